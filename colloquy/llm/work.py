@@ -58,7 +58,7 @@ def put_file(path: str, write) -> None:
     """Write a file under another name and move it into place, so that a retried task replaces it whole."""
     fs, name = open_fs(path)
     part = f"{name}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         write(out)
     fs.move(part, name)
 
@@ -84,7 +84,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     marked = left.join(F.broadcast(few), F.col(key).eqNullSafe(F.col("_k")), "left")
     salt = F.when(F.col("_h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*unique), F.lit(1 << 30)).cast("int"))
     marked = marked.withColumn("_s", F.struct(F.col(key).alias("k"), salt.alias("salt")))
-    joined = marked.join(many.hint("shuffle_hash") if False else many.hint("merge"), "_s", "left")
+    joined = marked.join(many.hint("merge"), "_s", "left")
     return joined.select(*[left[c] for c in left.columns], *[F.coalesce(F.col(f"_h.{c}"), F.col(f"_m.{c}")).alias(c) for c in names])
 
 
