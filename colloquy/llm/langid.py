@@ -6,14 +6,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .ngrams import fold, grams, join, mixed, per_text
 from .tokens import blocks
 
 _LETTER = re.compile(r"[^\W\d_]")
 SIZES = (3, 4, 5)
-HELD_OUT = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+
+
+def held_out() -> Column:
+    """Rows that no model may learn from: crc32 of the id as text is divisible by 5."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 class Filters:
@@ -66,7 +70,7 @@ def fit(docs: DataFrame, per_language: int = 2000, least_share: float = 2e-5) ->
     below a bound that its count sets: a bound on the sample alone. An n-gram is added to a language if it makes up ``least_share`` or more of the language's
     n-grams of its length, so no more than 1 / least_share n-grams of a length reach the driver for a language.
     """
-    known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(~HELD_OUT & F.col("doc_id").isNotNull())
+    known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(~held_out() & F.col("doc_id").isNotNull())
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)
     own = Filters(languages)
@@ -128,7 +132,7 @@ def predict(docs: DataFrame, filters: Filters, extra: tuple[str, ...] = ()) -> D
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(found, pa.string()), pa.array(score, pa.float64()), *(b.column(c) for c in extra)], names=["doc_id", "held_out", "lang_pred", "score", *extra])
 
     kinds = dict(docs.dtypes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), HELD_OUT.alias("held_out"), "text", *(c for c in extra if c not in ("doc_id", "text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *(c for c in extra if c not in ("doc_id", "text")))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in extra))
 
 

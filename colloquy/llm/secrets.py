@@ -109,5 +109,6 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts and joined spans of what scan() returns."""
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +17,7 @@ class Encoder:
     """Encodes whole texts as unsigned 16- or 32-bit little-endian ids.
 
     Byte-level BPE treats every piece of its pre-tokenizer apart, so a piece met before has the same ids again;
-    likewise what stands between two single spaces. New pieces of a batch are encoded together, one to a line.
-    Other kinds of tokenizer encode each text in full. ``most`` bounds what each of the two memories keeps.
+    likewise what stands between two single spaces. Other kinds of tokenizer encode each text in full. ``most`` bounds what each of the two memories keeps.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -31,30 +31,30 @@ class Encoder:
         self.by_pieces = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(PIECES).findall
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.by_pieces else []
+        # The names that byte-level BPE gives to bytes: printable Latin-1 characters stand for themselves, others follow from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_names = str.maketrans({b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)})
+        self.space = " ".translate(self.byte_names)
+        self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> None:
-        """Put pieces that are not kept yet into memory."""
-        lines = [p for p in new if not p.isspace()]
-        ids = np.frombuffer(self.whole(["\n".join(lines)])[0], self.dtype)
-        cuts = np.flatnonzero(ids == self.line[0])
-        if lines and len(self.line) == 1 and len(cuts) == len(lines) - 1:
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            begins, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
-            self.pieces.update(zip(lines, (raw[a:b] for a, b in zip(begins, ends, strict=True)), strict=True))
-            new = [p for p in new if p.isspace()]
-        new = list(new)
-        self.pieces.update(zip(new, self.whole(new), strict=True))
+    def apart(self, pieces: list[str]) -> list[bytes]:
+        """The ids of texts each of which is one piece of the pre-tokenizer, by the library's BPE model alone."""
+        model, out = self.tokenizer.model.tokenize, []
+        for p in pieces:
+            p = p.replace(" ", self.space) if p.isascii() and p[-1:] > " " else p.encode().decode("latin-1").translate(self.byte_names)
+            out.append(array(self.dtype.char, [t.id for t in model(p)]).tobytes())
+        return out
 
     def by_piece(self, texts: list[str]) -> list[bytes]:
         rows = [self.find(t) for t in texts]
         if len(self.pieces) > self.most:
             self.pieces = {}
         if new := set().union(*rows) - self.pieces.keys():
-            self.learn(new)
+            new = list(new)
+            self.pieces.update(zip(new, self.apart(new), strict=True))
         get = self.pieces.__getitem__
         return [b"".join(map(get, r)) for r in rows]
 
@@ -65,8 +65,21 @@ class Encoder:
         if len(self.chunks) > self.most:
             self.chunks = {}
         # No piece reaches over a space between two characters that are no white space, nor over the end of an added token.
-        new = [c for c in set().union(*(r[1:] for r in rows)) - self.chunks.keys() if c and not c[0].isspace() and not c[-1].isspace() and not any(x in c for x in self.added)]
-        self.chunks.update(zip(new, self.by_piece([" " + c for c in new]), strict=True))
+        new = set().union(*(r[1:] for r in rows)) - self.chunks.keys()
+        plain, stopped, other = set(), [], []
+        for c in new:
+            if c.isalpha():
+                plain.add(c)
+            elif c[-1:] in self.stops and c[:-1].isalpha():
+                stopped.append(c)
+                if c[:-1] not in self.chunks:
+                    plain.add(c[:-1])
+            elif c and not c[0].isspace() and not c[-1].isspace() and not any(x in c for x in self.added):
+                other.append(c)
+        self.chunks.update(zip(plain, self.apart([" " + c for c in plain]), strict=True))
+        for c in stopped:
+            self.chunks[c] = self.chunks[c[:-1]] + self.stops[c[-1]]
+        self.chunks.update(zip(other, self.by_piece([" " + c for c in other]), strict=True))
         get, out = self.chunks.__getitem__, []
         for r, t, first in zip(rows, texts, self.by_piece([r[0] for r in rows]), strict=True):
             try:

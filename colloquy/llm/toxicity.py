@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .langid import HELD_OUT
+from .langid import held_out
 from .ngrams import fold, grams, join, mixed
 from .tokens import blocks
 from .work import saved
@@ -67,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least_z: floa
     labelled rows. Labels other than 0 and 1, and labels of unknown documents, are left out. With one class or none
     the score is constant.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~HELD_OUT)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
@@ -144,5 +144,5 @@ def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFra
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(flat, pa.float64()), pa.array((flat >= 0.5).astype(np.int32)), *(b.column(c) for c in extra)], names=["doc_id", "held_out", "score", "predicted", *extra])
 
     kinds = dict(docs.dtypes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), HELD_OUT.alias("held_out"), "text", *(c for c in extra if c not in ("doc_id", "text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *(c for c in extra if c not in ("doc_id", "text")))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + "".join(f", `{c}` {kinds[c]}" for c in extra))
