@@ -44,7 +44,7 @@ class Encoder:
         """The ids of texts each of which is one piece of the pre-tokenizer, by the library's BPE model alone."""
         model, out = self.tokenizer.model.tokenize, []
         for p in pieces:
-            p = p.replace(" ", self.space) if p.isascii() and p[-1:] > " " else p.encode().decode("latin-1").translate(self.byte_names)
+            p = p.replace(" ", self.space) if p.isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(self.byte_names)
             out.append(array(self.dtype.char, [t.id for t in model(p)]).tobytes())
         return out
 
