@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, secrets, tokenfiles, toxicity, warc
+from . import decontaminate, langid, minhash, packing, secrets, tokenfiles, toxicity, warc
 
 
 def _tokenizer() -> str:
@@ -33,6 +33,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(spark, _table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_secrets, op5_decontamination, op8_language, op9_toxicity, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_secrets, op5_decontamination, op6_near_duplicates, op8_language, op9_toxicity, op10_token_files)}
 ORACLE: dict[str, str] = {}

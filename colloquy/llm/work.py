@@ -91,21 +91,20 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (id, component), component the smallest id reachable.
 
-    Every round each id takes the smallest label among its own and its neighbours' and then that label's own
-    label; rounds are written to the shared folder and stop when no label changes.
+    In each round an id takes the smallest label among its own and its neighbours', so the rounds are as many as the
+    longest shortest path has links: few for the star-shaped links of this subpackage. Every round is written to the
+    shared folder; only ids of one link each meet in a join, and the labels of a much linked id are summed before the
+    shuffle.
     """
-    spark = edges.sparkSession
     both = saved(edges.select(F.col(a).alias("id"), F.col(b).alias("other")).union(edges.select(b, a)).filter("id <> other").distinct(), "cc-edges")
+    degree = both.groupBy("id").agg(F.count("*").alias("w"))
     labels = saved(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), "cc-labels")
+    total = max(1, both.count())
     while True:
-        near = both.join(labels.hint("merge").select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
+        own = labels.join(degree.hint("merge"), "id").select(F.col("id").alias("other"), "component", "w")
+        near = lookup(both, own, "other", "w", total, ["id"]).groupBy("id").agg(F.min("component").alias("near"))
         step = labels.join(near.hint("merge"), "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        hops = step.groupBy("component").agg(F.count("*").alias("w")).join(jump.hint("merge"), "component")
-        total = max(1, both.count())
-        step = lookup(step, hops.select("component", "w", "further"), "component", "w", total, ["id"])
-        step = saved(step.select("id", "was", F.least("component", "further").alias("component")), "cc-labels")
-        changed = step.filter("was <> component").limit(1).count()
+        step = saved(step, "cc-labels")
         labels = step.select("id", "component")
-        if not changed:
+        if not step.filter("was <> component").limit(1).count():
             return labels
