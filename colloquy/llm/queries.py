@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, minhash, packing, secrets, tokenfiles, toxicity, warc
+from . import ann, decontaminate, langid, lines, minhash, packing, secrets, tokenfiles, toxicity, warc
 
 
 def _tokenizer() -> str:
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lines.digest(docs, lines.removed_lines(docs))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
@@ -37,6 +42,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +59,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(spark, _table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_secrets, op5_decontamination, op6_near_duplicates, op8_language, op9_toxicity, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_warc, op4_secrets, op5_decontamination, op6_near_duplicates, op7_neighbours, op8_language, op9_toxicity, op10_token_files)}
 ORACLE: dict[str, str] = {}

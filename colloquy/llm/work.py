@@ -41,12 +41,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that earlier calls of saved() and new_path() have left; their readers must be done."""
+def tables() -> list[str]:
+    """The paths that saved() and new_path() have given out and release() has not deleted yet."""
+    return list(_tables)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder whose readers are done."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+    for name in paths:
+        if name in _tables:
+            _tables.remove(name)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
