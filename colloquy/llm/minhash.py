@@ -132,14 +132,15 @@ def _with(pairs: DataFrame, table: DataFrame, side: str, value: str, total: int,
     return lookup(pairs, right.withColumnRenamed("_id", side), side, "_w", total, [other], share)
 
 
-def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
+def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 512) -> tuple[DataFrame, DataFrame]:
     """Components over classes of equal sets: (id, component) for linked ones, and the classes (print, id, w).
 
     Rounds of star-shaped candidates: in each bucket the documents stand in the order of how much they share with
     others (the sum of their buckets' sizes), so that the original of a group of copies comes first. In the first
     round the first document is paired with all others of its bucket. In later rounds only buckets whose documents
-    lie in several components remain, and in each the next ``hubs`` documents are paired with those behind them that
-    lie in another component and could reach the threshold by their sizes, until no such pair is left untested. So no
+    lie in several components remain, and in each the next 8, then 64, then ``hubs`` documents a round are paired with
+    those behind them that lie in another component and could reach the threshold by their sizes, until no such pair
+    is left untested. So no
     two documents that share a bucket stay unlinked for lack of a test, while a group of copies costs a pair for each.
     """
     classes = saved(signed.filter("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "minhash-classes")
@@ -174,7 +175,7 @@ def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 8)
     pairs = lookup(members, first, "key", "w", total, ["id"]).select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b"))
     links = tested(pairs)
     labels = components(links)
-    ranked, done = None, 1
+    ranked, done, width = None, 1, min(8, hubs)
     while True:
         now = members.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("w")).filter("low <> high")
@@ -186,17 +187,17 @@ def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 8)
         if ranked is None:
             ranked = saved(rest.select("key", "id", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id", "n")).alias("place")), "minhash-places")
         rest = saved(rest.join(ranked.hint("merge"), ["key", "id"]), "minhash-open")
-        near = (F.col("place") > done) & (F.col("place") <= done + hubs)
-        hub = rest.filter(near).groupBy("key").agg(F.collect_list(F.struct("id", "n", "component", "place")).alias("hubs"), F.first("size").alias("w"))
-        if not hub.limit(1).count():
+        if not rest.filter(F.col("place") > done + 1).limit(1).count():
             return labels, classes
+        near = (F.col("place") > done) & (F.col("place") <= done + width)
+        hub = rest.filter(near).groupBy("key").agg(F.collect_list(F.struct("id", "n", "component", "place")).alias("hubs"), F.first("size").alias("w"))
         stars = lookup(rest, hub, "key", "w", n, ["id"]).select("id", "n", "component", "place", F.explode("hubs").alias("h"))
         stars = stars.filter("place > h.place and component <> h.component")
         more = tested(stars.select(F.col("h.id").alias("a"), F.col("h.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b")))
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        done += hubs
+        done, width = done + width, min(hubs, width * 8)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
