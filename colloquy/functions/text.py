@@ -1,0 +1,286 @@
+"""Column functions over texts and scores."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Words without weight for keywords and retrieval.
+STOPWORDS = (
+    "a about after all also an and any are as at be been but by can could did do does for from had has have he her him his "
+    "how i if in into is it its just like me more my no not of on one or our out she so some than that the their them then "
+    "there these they this to up us was we were what when which who will with would you your"
+).split()
+_STOP = "^(" + "|".join(STOPWORDS) + ")$"
+
+
+def normalized(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "))
+
+
+def content_hash(text: Column) -> Column:
+    """SHA-256 of the lower-cased text with white space collapsed."""
+    return F.sha2(normalized(text), 256)
+
+
+def raw_hash(content: Column) -> Column:
+    """SHA-256 of the bytes."""
+    return F.sha2(content, 256)
+
+
+def conversation_hash(messages: DataFrame) -> DataFrame:
+    """(conversation_id, hash) of the ordered prompts and responses of each conversation."""
+    turn = F.concat(F.lit("U:"), "user_prompt", F.lit("\nA:"), "model_response")
+    turns = F.array_sort(F.collect_list(F.struct("sequence", turn.alias("t"))))
+    return messages.groupBy("conversation_id").agg(turns.alias("t")).select("conversation_id", content_hash(F.array_join(F.transform("t", lambda x: x["t"]), "\n---\n")).alias("hash"))
+
+
+def point_id(record: Column, index: Column, count: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
+    """the record's id if it is one chunk, else the name-based UUID (version 5) of ``{id}_c{index:03d}``."""
+    name = F.concat(record, F.lit("_c"), F.lpad(index.cast("string"), 3, "0"))
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8).cast("long")))
+    parts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)]
+    return F.when(count == 1, record).otherwise(F.concat_ws("-", *parts))
+
+
+def compose_qa(prompt: Column, response: Column, most: int = 20_000) -> Column:
+    """the text that a message is searched by."""
+    return F.substring(F.concat(F.lit("Q: "), prompt, F.lit("\nA: "), response), 1, most)
+
+
+def compose_item(kind: Column, title: Column, description: Column) -> Column:
+    return F.concat(kind, F.lit(": "), title, F.lit("\n"), F.coalesce(description, F.lit("")))
+
+
+def split_qa(text: Column, preview: int = 200) -> tuple[Column, Column]:
+    """prompt and response (cut to a preview) of a composed text; without its form, no prompt."""
+    at = F.locate("\nA: ", text)
+    both = text.startswith("Q: ") & (at > 0)
+    cut = lambda c: F.substring(c, 1, preview)
+    return F.when(both, cut(F.substring(text, F.lit(4), at - 4))), F.when(both, cut(F.substring(text, at + 4, F.length(text)))).otherwise(cut(text))
+
+
+def clean_text(text: Column) -> Column:
+    """no control characters but tab and line feed, line feeds for CRLF, two line feeds at most, trimmed."""
+    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"))
+
+
+def split_reasoning(raw: Column) -> tuple[Column, Column]:
+    """F8: (reasoning, clean text). Paired think or reasoning tags; a lone closing tag ends reasoning that starts the text."""
+    pair = r"(?s)<(?:think|reasoning)>(.*?)</(?:think|reasoning)>"
+    found = F.regexp_extract_all(raw, F.lit(pair), 1)
+    lone = (F.size(found) == 0) & (F.locate("</think>", raw) > 0)
+    at = F.locate("</think>", raw)
+    reasoning = F.when(lone, F.trim(F.substring(raw, F.lit(1), at - 1))).otherwise(F.trim(F.array_join(F.transform(found, F.trim), "\n")))
+    clean = F.when(lone, F.substring(raw, at + 8, F.length(raw))).otherwise(F.regexp_replace(raw, pair, ""))
+    return reasoning, F.regexp_replace(clean, r"^\s+|\s+$", "")
+
+
+def strip_report_format(text: Column) -> Column:
+    """headings, rules, bold-only lines and runs of blank lines go; code fences stay as they are."""
+    parts = F.split(text, "```")
+
+    def plain(t: Column) -> Column:
+        for pattern, to in ((r"(?m)^#{1,6}\s+(.*)$", "$1"), (r"(?m)^\s*(?:---+|\*\*\*+|___+)\s*$", ""), (r"(?m)^\*\*([^*\n]+)\*\*:?\s*$", "$1"), (r"\n{3,}", "\n\n")):
+            t = F.regexp_replace(t, pattern, to)
+        return t
+
+    return F.trim(F.array_join(F.transform(parts, lambda t, i: F.when(i % 2 == 0, plain(t)).otherwise(t)), "```"))
+
+
+def tokens(text: Column, pattern: str = r"[a-z][a-z0-9_]+") -> Column:
+    """Lower-cased ASCII words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
+
+
+def content_words(text: Column) -> Column:
+    """Words of three letters or more that are no stopwords."""
+    return F.filter(tokens(text), lambda w: (F.length(w) >= 3) & ~w.rlike(_STOP))
+
+
+def keywords(rows: DataFrame, n: int, id_column: str = "id", text_column: str = "text") -> DataFrame:
+    """(id, keyword, times, place): the n most frequent content words of each text, ties by first appearance."""
+    words = rows.select(id_column, F.posexplode(content_words(F.col(text_column))).alias("at", "keyword"))
+    counts = words.groupBy(id_column, "keyword").agg(F.count("*").alias("times"), F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc("times"), "at"))
+    return counts.withColumn("place", place).filter(F.col("place") <= n).select(id_column, "keyword", "times", "place")
+
+
+def fts_terms(query: Column) -> Column:
+    """search terms; numbers also padded with zeros to four and five digits where they are shorter."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(query), r"[^a-z0-9 ]", " "), " +"), lambda w: (F.length(w) > 1) & ~w.rlike(_STOP))
+    wide = lambda w, n: F.when(F.length(w) < n, F.lpad(w, n, "0")).otherwise(w)
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.array_distinct(F.array(w, wide(w, 4), wide(w, 5)))).otherwise(F.array(w))))
+
+
+def relative_time(ts: Column, as_of: str) -> Column:
+    """how long ago, in whole days of 24 hours."""
+    d = F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(ts)) / 86400)
+    n = lambda k, unit: F.concat(F.floor(d / k).cast("string"), F.when(F.floor(d / k) == 1, f" {unit} ago").otherwise(f" {unit}s ago"))
+    return F.when(d <= 0, "today").when(d == 1, "yesterday").when(d < 7, n(1, "day")).when(d < 30, n(7, "week")).when(d < 365, n(30, "month")).otherwise(n(365, "year"))
+
+
+#: Phrases that ask about the past.
+HISTORICAL = r"(first|earliest|originally|used to|long ago|history|last (week|month|year)|back when|remember when)"
+
+
+def is_historical(text: Column) -> Column:
+    """F13."""
+    return F.lower(text).rlike(HISTORICAL)
+
+
+#: Intent, pattern, confidence, retrieval depth; a pattern marked short counts only for texts under 60 characters.
+INTENTS = (
+    ("greeting", r"^(hi|hello|hey|good (morning|evening))", 0.9, "none", True),
+    ("farewell", r"^(bye|goodbye|good night|see you)", 0.9, "none", True),
+    ("acknowledgment", r"^(ok|okay|thanks|thank you|got it|great)", 0.85, "none", True),
+    ("continuation", r"^(continue|go on|and then|next)", 0.8, "light", True),
+    ("clarification", r"(what do you mean|clarify|explain that)", 0.8, "light", False),
+    ("emotional", r"(i feel|i'm (sad|happy|tired)|frustrated|worried)", 0.8, "light", False),
+    ("planning", r"(plan|roadmap|next steps|schedule|prioriti)", 0.75, "full", False),
+    ("command", r"^(create|add|update|delete|make|set) ", 0.8, "light", False),
+    ("question", r"(\?|^(what|who|when|where|why|how) )", 0.7, "full", False),
+)
+
+
+def _intent(text: Column, field: int) -> Column:
+    t, out = F.lower(F.trim(text)), None
+    for row in INTENTS:
+        hit = t.rlike(row[1]) & (F.length(t) < 60) if row[4] else t.rlike(row[1])
+        out = F.when(hit, row[field]) if out is None else out.when(hit, row[field])
+    long, short = {0: ("discussion", "statement"), 2: (0.5, 0.4), 3: ("full", "none")}[field]
+    return out.when(F.length(t) > 20, long).otherwise(short)
+
+
+def intent(text: Column) -> Column:
+    """the first rule that fits; without one, by length."""
+    return _intent(text, 0)
+
+
+def intent_confidence(text: Column) -> Column:
+    return _intent(text, 2)
+
+
+def retrieval_depth(text: Column) -> Column:
+    return _intent(text, 3)
+
+
+#: Document types by pattern of path or title.
+DOC_TYPES = (("journal", r"journal|diary"), ("minutes", r"minutes|meeting"), ("spec", r"spec|design|architecture"), ("readme", r"readme"), ("research", r"research|paper|study"))
+
+
+def doc_type(text: Column) -> Column:
+    """the first type whose pattern occurs."""
+    return functools.reduce(lambda c, x: c.when(F.lower(text).rlike(x[1]), x[0]), DOC_TYPES[1:], F.when(F.lower(text).rlike(DOC_TYPES[0][1]), DOC_TYPES[0][0])).otherwise("general")
+
+
+def entity_candidates(text: Column) -> Column:
+    """F16: capitalised phrases, quoted strings, theory names, numbered items; else the three longest words."""
+    rules = [r"[A-Z][a-z]+(?: [A-Z][a-z]+)+", r'"([^"\n]{2,60})"', r"[A-Z][A-Za-z]*-[Tt]heory", r"\bR[0-9]+\b", r"(?<=[a-z,] )[A-Z][a-z]{2,}"]
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1 if p[0] == '"' else 0) for p in rules))
+    first = F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    words = F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) > 3))
+    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3), lambda s: s["w"])
+    return F.when(F.size(found) > 0, first).otherwise(longest)
+
+
+def normal_name(name: Column) -> Column:
+    """lower-cased, without punctuation, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9 ]", ""), " +", " "))
+
+
+def time_of_day(ts: Column) -> Column:
+    """F18."""
+    h = F.hour(ts)
+    return F.when(h < 5, "night").when(h < 12, "morning").when(h < 17, "afternoon").when(h < 21, "evening").otherwise("night")
+
+
+def season(ts: Column, latitude: float) -> Column:
+    names = ("winter", "spring", "summer", "autumn")
+    k = F.floor(F.month(ts) % 12 / 3) + (0 if latitude >= 0 else 2)
+    return F.element_at(F.array(*map(F.lit, names)), (k % 4 + 1).cast("int"))
+
+
+def daylight_hours(ts: Column, latitude: float) -> Column:
+    """hours between sunrise and sunset by solar declination; null in polar day and night."""
+    declination = F.radians(F.lit(-23.44)) * F.cos(F.radians(F.lit(360.0) / 365 * (F.dayofyear(ts) + 10)))
+    x = -F.tan(F.radians(F.lit(latitude))) * F.tan(declination)
+    return F.when(F.abs(x) <= 1, 2 * F.degrees(F.acos(x)) / 15)
+
+
+def celsius(fahrenheit: Column) -> Column:
+    """F20."""
+    return (fahrenheit - 32) * 5 / 9
+
+
+#: Statuses by the words people use.
+STATUS_WORDS = {"done": "completed", "finished": "completed", "complete": "completed", "started": "in_progress", "working": "in_progress", "blocked": "blocked", "stuck": "blocked", "shipped": "shipped", "archived": "archived"}
+
+
+def status_enum(text: Column) -> Column:
+    """the status that the first such word of a phrase means."""
+    word = F.regexp_extract(F.lower(text), "(" + "|".join(STATUS_WORDS) + ")", 1)
+    return functools.reduce(lambda c, w: c.when(word == w, STATUS_WORDS[w]), STATUS_WORDS, F.when(F.lit(False), F.lit(None).cast("string")))
+
+
+def split_tokens(total: Column, reasoning: Column, response: Column) -> Column:
+    """the part of a completion's tokens that its reasoning takes, by length."""
+    n = F.length(reasoning) + F.length(response)
+    return F.when(n > 0, F.floor(total * F.length(reasoning) / n)).otherwise(F.lit(0))
+
+
+def quality_score(prompt: Column, response: Column) -> Column:
+    """0.5, changed by word count, prompt-to-response ratio, repeated four-word runs and boilerplate; 0 to 1."""
+    w = F.filter(F.split(F.lower(response), "[ \n]+"), lambda x: x != "")
+    n = F.size(w)
+    runs = F.when(n >= 4, F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 4), " "))).otherwise(F.array().cast("array<string>"))
+    repeated = F.size(runs) - F.size(F.array_distinct(runs))
+    score = F.lit(0.5) + F.when(n < 5, -0.3).when(n < 20, -0.1).when(n > 100, 0.2).otherwise(0.1)
+    score = score + F.when(F.length(response) < F.length(prompt), -0.1).otherwise(0.05)
+    score = score - F.least(F.lit(0.3), repeated * 0.05) - F.when(F.lower(response).rlike("as an ai|i cannot|i'm sorry"), 0.2).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
+
+
+def salience_floor(quality: Column) -> Column:
+    """the least salience by band of quality."""
+    return F.when(quality >= 0.8, 0.6).when(quality >= 0.6, 0.4).when(quality >= 0.3, 0.2).otherwise(0.0)
+
+
+def attribution(title: Column, position: Column, age: Column) -> Column:
+    """F26."""
+    return F.concat_ws(" ", F.lit("From"), F.concat(F.lit('"'), title, F.lit('"')), F.concat(F.lit("("), position, F.lit(",")), F.concat(age, F.lit(")")))
+
+
+def layer_variant(weight: Column) -> Column:
+    """F27."""
+    return F.when(weight < 0.3, "none").when(weight < 0.7, "minimal").when(weight > 1.3, "expanded").otherwise("standard")
+
+
+def age_years(born: Column, as_of: str) -> Column:
+    """whole years."""
+    return F.floor(F.months_between(F.lit(as_of).cast("date"), born.cast("date")) / 12).cast("int")
+
+
+#: Reply shapes: the schema of each kind and the condition that accepts it.
+REPLIES = {
+    "eval": ("score double, topics array<string>, rationale string", "r.score between 0 and 1"),
+    "entity": ("name string, type string, relevance double", "length(trim(r.name)) > 0 and r.type is not null"),
+    "register": ("label string, score double", "r.label in ('warm', 'neutral', 'clinical') and r.score between 0 and 1"),
+    "synthesis": ("title string, insight string, confidence double", "length(r.title) > 0 and r.confidence between 0 and 1"),
+    "turn": ("relevance double, depth double, warmth double", "least(r.relevance, r.depth, r.warmth) >= 0 and greatest(r.relevance, r.depth, r.warmth) <= 1"),
+}
+
+
+def validate_replies(replies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """model replies (id, kind, raw) of one kind as typed rows, and those that do not fit (id, raw)."""
+    schema, fits = REPLIES[kind]
+    body = F.trim(F.regexp_replace("raw", r"^\s*```(?:json)?|```\s*$", ""))
+    parsed = replies.filter(F.col("kind") == kind).withColumn("r", F.from_json(body, schema))
+    good = F.coalesce(F.expr(fits), F.lit(False))
+    accepted = parsed.filter(good).select("id", "r.*")
+    if kind == "turn":
+        accepted = accepted.withColumn("overall", 0.4 * F.col("relevance") + 0.35 * F.col("depth") + 0.25 * F.col("warmth"))
+    return accepted, parsed.filter(~good).select("id", "raw")
