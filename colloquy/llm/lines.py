@@ -63,64 +63,65 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
         return F.shiftleft(at.cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
 
     lines = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first"), "line").join(F.broadcast(often), F.col("hash") == F.col("_h"), "left").filter(F.col("_f").isNull() | F.col("_f").eqNullSafe(F.col("first")))
-    tokens = lines.select("hash", "first", F.sort_array(F.transform(_words(F.col("line")), token)).alias("tokens")).withColumn("n", F.size("tokens")).filter(F.col("n") >= least)
+    tokens = lines.select("hash.x", "first.doc_id", "first.pos", F.sort_array(F.transform(_words(F.col("line")), token)).alias("tokens")).withColumn("n", F.size("tokens")).filter(F.col("n") >= least)
     short = F.slice("tokens", 1, (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int"))
-    entries = tokens.select("hash", "first", "n", F.posexplode(short).alias("at", "token")).repartition("token")
-    entries = entries.groupBy("token", "hash").agg(F.min("first").alias("first"), F.min("n").alias("n"), F.min("at").alias("at"))
+    entries = tokens.select("x", "doc_id", "pos", "n", F.posexplode(short).alias("at", "token")).repartition("token")
+    # Copies of a line share x: 64 bits of its hash, which only has to tell lines of one token apart.
+    entries = entries.groupBy("token", "x").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("n").alias("n"), F.min("at").alias("at"))
     own = Window.partitionBy("token")
-    entries = entries.withColumn("size", F.count("*").over(own)).filter("size > 1").withColumn("place", F.row_number().over(own.orderBy("first", "hash")))
-    entry = F.struct("place", "hash", "first", "n", "at")
-    blocks = entries.groupBy("token", "size", F.floor((F.col("place") - 1) / CROWD).alias("block")).agg(F.collect_list(entry).alias("m"))  # CROWD entries at most
+    entries = entries.withColumn("size", F.count("*").over(own)).filter("size > 1").withColumn("place", F.row_number().over(own.orderBy("first", "x")))
+    entry = F.struct("place", "first", "n", "at")
+    blocks = entries.groupBy("token", "size", F.floor((F.col("place") - 1) / CROWD).alias("block")).agg(F.collect_list(F.struct("place", "first", "n", "at", "x")).alias("m"))  # CROWD entries at most
 
     def may(a: Column, b: Column) -> Column:
         """An earlier and a later entry could reach the similarity by their sizes and what follows this token."""
         rest = F.least(a["n"] - a["at"], b["n"] - b["at"])
         return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & _overlap(percent, rest, a["n"], b["n"])
 
-    pair = lambda a, b: F.struct(a["hash"].alias("a"), a["first"].alias("a_first"), b["hash"].alias("b"), b["first"].alias("b_first"))
+    pair = lambda a, b: F.struct(a["first"].alias("a"), b["first"].alias("b"))
     pairs = F.flatten(F.transform("m", lambda b: F.transform(F.filter("m", lambda a: (a["place"] < b["place"]) & may(a, b)), lambda a: pair(a, b))))
     few = F.col("size") <= CROWD
     blocks = blocks.select("token", "size", F.when(few, pairs).alias("pairs"), F.when(~few, F.col("m")).alias("m")).filter(~few | (F.size("pairs") > 0))
     blocks = saved(blocks, "line-candidates")
-
-    found = verified(docs, blocks.filter("pairs is not null").select(F.explode("pairs").alias("p")).select("p.*").distinct(), percent)
-    gone = saved(found.select("b", "b_first").distinct(), "line-gone")
+    crowd = saved(blocks.filter("m is not null").select("token", "size", F.explode("m").alias("e")).select("token", "size", "e.*"), "line-crowd")
+    pairs = saved(blocks.filter("pairs is not null").select(F.explode("pairs").alias("p")).select("p.*").distinct(), "line-pairs")
+    words = _at(docs, pairs.select(F.col("a").alias("f")).union(pairs.select("b")).union(crowd.select("first")))
+    gone = verified(words, pairs, percent)
 
     # Crowded tokens: each line that has no earlier match yet meets the first lines of its token, more of them in every round.
-    crowd = saved(blocks.filter("m is not null").select("token", "size", F.explode("m").alias("e")).select("token", "size", "e.*"), "line-crowd")
     begin, width = 0, 1
     while crowd.filter(F.col("place") > begin + 1).limit(1).count():
-        open_ = crowd.join(gone.select(F.col("b").alias("hash")).distinct().hint("merge"), "hash", "left_anti").filter(F.col("place") > begin + 1)
+        open_ = crowd.join(gone.select("hash.x").distinct().hint("merge"), "x", "left_anti").filter(F.col("place") > begin + 1)
         open_ = saved(open_, "line-open")
-        hubs = crowd.filter((F.col("place") > begin) & (F.col("place") <= begin + width)).groupBy("token").agg(F.collect_list(F.struct("place", "hash", "first", "n", "at")).alias("hubs"))
+        hubs = crowd.filter((F.col("place") > begin) & (F.col("place") <= begin + width)).groupBy("token").agg(F.collect_list(entry).alias("hubs"))
         hubs = hubs.join(open_.groupBy("token").agg(F.count("*").alias("w")).hint("merge"), "token")
         n = max(1, open_.count())
-        met = lookup(open_, hubs, "token", "w", n, ["hash"]).filter("hubs is not null")
-        entry = F.struct("place", "hash", "first", "n", "at")
+        met = lookup(open_, hubs, "token", "w", n, ["x"]).filter("hubs is not null")
         met = met.select(F.explode(F.transform(F.filter("hubs", lambda a: (a["place"] < F.col("place")) & may(a, entry)), lambda a: pair(a, entry))).alias("p")).select("p.*").distinct()
-        more = verified(docs, met, percent)
-        gone = saved(gone.union(more.select("b", "b_first")).distinct(), "line-gone")
-        begin, width = begin + width, width * 8 if width < 4096 else width
-    gone = gone.groupBy("b").agg(F.min("b_first").alias("b_first"))
+        gone = saved(gone.union(verified(words, saved(met, "line-pairs"), percent)), "line-gone")
+        begin, width = begin + width, min(512, width * 8)
+    gone = gone.groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
     both = copies.join(gone.hint("merge"), F.col("hash") == F.col("b"), "full")
     return both.select(F.coalesce("hash", "b").alias("hash"), F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("first", "b_first").alias("first"), F.col("b").isNotNull().alias("gone"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, a_first, b, b_first; hashes and places of lines) whose word sets reach the similarity."""
-    pairs = saved(pairs, "line-pairs")
-    sides = pairs.select(F.col("a").alias("hash"), F.col("a_first").alias("f")).union(pairs.select("b", "b_first")).distinct()
-    wanted = sides.groupBy("f.doc_id").agg(F.collect_set("f.pos").alias("wanted"))  # no more places than the document has lines
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id")
-    split = texts.select("wanted", F.split("text", "\n").alias("lines")).select(F.explode(F.transform("wanted", lambda p: F.get("lines", p))).alias("line")).filter("line is not null")
-    words = saved(split.select(_hash(F.col("line")).alias("hash"), _words(F.col("line")).alias("words")).dropDuplicates(["hash"]), "line-words")
-    total = max(1, pairs.count())
+def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(f, hash, words) of the lines at those places (f: doc_id, pos); the texts of their documents are shuffled once."""
+    wanted = places.groupBy("f.doc_id").agg(F.collect_set("f.pos").alias("wanted"))  # no more places than the document has lines
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")))
+    split = texts.select("doc_id", F.explode("wanted").alias("pos"), F.split("text", "\n").alias("lines")).select(F.struct("doc_id", "pos").alias("f"), F.get("lines", F.col("pos")).alias("line")).filter("line is not null")
+    return saved(split.select("f", _hash(F.col("line")).alias("hash"), _words(F.col("line")).alias("words")), "line-words")
+
+
+def verified(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(hash, first) of the later lines of those pairs of places (a, b) whose word sets reach the similarity."""
+    total = pairs.count()
     for side in ("a", "b"):
-        w = pairs.groupBy(F.col(side).alias("hash")).agg(F.count("*").alias("w"))
-        right = words.join(w.hint("merge"), "hash").select(F.col("hash").alias(side), "w", F.col("words").alias(f"{side}_words"))
-        pairs = lookup(pairs, right, side, "w", total, ["b" if side == "a" else "a"])
+        w = pairs.groupBy(F.col(side).alias("f")).agg(F.count("*").alias("w"))
+        right = words.join(w.hint("merge"), "f").select(F.col("f").alias(side), "w", F.col("words").alias(f"{side}_words"), *([F.col("hash")] if side == "b" else []))
+        pairs = lookup(pairs, right, side, "w", max(1, total), ["b" if side == "a" else "a"])
     overlap = F.size(F.array_intersect("a_words", "b_words"))
-    return pairs.filter(_overlap(percent, overlap, F.size("a_words"), F.size("b_words"))).select("a", "a_first", "b", "b_first")
+    return saved(pairs.filter(_overlap(percent, overlap, F.size("a_words"), F.size("b_words"))).groupBy("hash").agg(F.min("b").alias("first")), "line-gone")
 
 
 def removed_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:

@@ -13,6 +13,8 @@ from .work import components, lookup, saved
 
 WORDS, BANDS, ROWS = 5, 40, 5
 BINS = BANDS * ROWS
+#: Rows of a block of a crowded bucket.
+BLOCK = 256
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _TURN = np.array([0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1 | 1 for k in range(max(WORDS, ROWS))], np.uint64)
 
@@ -94,14 +96,20 @@ def _sign(batches):
         yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(print_, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "n", "print", "bands", "marks"])
 
 
-def _alike(least: float):
-    """Keep pairs whose signatures agree in as many bins as pairs at the threshold do, but for one in many millions."""
+def _agree(percent: int, n: np.ndarray) -> np.ndarray:
+    """The share of bins in which signatures of sets of n shingles or more agree at the threshold, less five standard errors."""
+    p = percent / 100
+    return p - 5 * np.sqrt(p * (1 - p) / np.minimum(n, BINS))
+
+
+def _alike(percent: int):
+    """Keep pairs whose signatures agree as those of pairs at the threshold do, but for one in millions."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("marks_a", "marks_b"))
-                yield b.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b"])
+                yield b.filter(pa.array((x == y).mean(axis=1) >= _agree(percent, b.column("n").to_numpy()))).select(["a", "b"])
 
     return run
 
@@ -132,19 +140,69 @@ def _with(pairs: DataFrame, table: DataFrame, side: str, value: str, total: int,
     return lookup(pairs, right.withColumnRenamed("_id", side), side, "_w", total, [other], share)
 
 
-def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 512) -> tuple[DataFrame, DataFrame]:
+def _blocks(percent: int):
+    """Pairs of two blocks of a bucket that could be linked: other components, sizes and signatures near enough; each
+    pair in the first bucket alone that it shares. Rows come sorted by bucket and blocks; a group has two blocks at most."""
+
+    def pairs(t: pa.Table) -> pa.Table:
+        get = lambda c: t[c].to_numpy()
+        ids, n, comp, block, band, low, high = map(get, ("id", "n", "component", "block", "band", "low", "high"))
+        marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(-1, BINS)
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        x, y = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
+        out = []
+        for i in x:
+            j = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i])) & ((low[0] != high[0]) | (y > i))]
+            if len(j):
+                j = j[(marks[j] == marks[i]).mean(axis=1) >= _agree(percent, np.minimum(n[j], n[i]))]
+                j = j[(bands[j, : band[i]] == bands[i, : band[i]]).sum(axis=1) == 0]
+                out.append(np.column_stack([np.full(len(j), i), j]))
+        both = np.concatenate(out) if out else np.zeros((0, 2), int)
+        i, j = both[:, 0], both[:, 1]
+        return pa.table({"a": ids[i], "n_a": n[i], "b": ids[j], "n_b": n[j]})
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            key = np.column_stack([t[c].to_numpy() for c in ("key", "low", "high")])
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for s, e in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+                yield from pairs(t.slice(s, e - s)).to_batches()
+            held = t.slice(cuts[-1] if len(cuts) else 0).to_batches()
+        if held:
+            yield from pairs(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of buckets that hold several components, with component, the bucket's size w and their place, and their number."""
+    now = members.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("w")).filter("low <> high")
+    mixed = saved(mixed.select("key", "w", F.col("w").alias("m")), "minhash-mixed")
+    n = mixed.agg(F.sum("w")).first()[0] or 0
+    rest = lookup(now, mixed, "key", "w", max(1, n), ["id"]).filter("m is not null").withColumnRenamed("m", "w")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id", "n"))
+    return saved(rest.withColumn("place", place), "minhash-apart"), n
+
+
+def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
     """Components over classes of equal sets: (id, component) for linked ones, and the classes (print, id, w).
 
-    Rounds of star-shaped candidates: in each bucket the documents stand in the order of how much they share with
+    Two rounds of star-shaped candidates: in each bucket the documents stand in the order of how much they share with
     others (the sum of their buckets' sizes), so that the original of a group of copies comes first. In the first
-    round the first document is paired with all others of its bucket. In later rounds only buckets whose documents
-    lie in several components remain, and in each the next 8, then 64, then ``hubs`` documents a round are paired with
-    those behind them that lie in another component and could reach the threshold by their sizes, until no such pair
-    is left untested. So no
-    two documents that share a bucket stay unlinked for lack of a test, while a group of copies costs a pair for each.
+    round the first document is paired with all others of its bucket, in the second the next ``hubs`` documents, in
+    buckets whose documents lie in several components, with those of other components. Buckets that are still apart
+    then are worked off whole: their documents in blocks, each block against each, comparing signatures; only pairs
+    that come near the threshold leave a task. So no two documents that share a bucket stay unlinked for lack of a
+    test, while a group of copies costs a pair for each.
     """
     classes = saved(signed.filter("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "minhash-classes")
-    rows = classes.select("id", "n", F.explode("bands").alias("key"))
+    rows = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("w")).filter("w > 1").withColumn("size", F.col("w"))
     sizes = saved(sizes, "minhash-buckets")
     total = max(1, sizes.agg(F.sum("w")).first()[0] or 0)
@@ -158,12 +216,12 @@ def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 51
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     def tested(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs.filter("a <> b").filter(fits).select("a", "b").distinct(), "minhash-pairs")
+        pairs = saved(pairs.filter("a <> b").filter(fits).select("a", "b", F.least("n_a", "n_b").alias("n")).distinct(), "minhash-pairs")
         n = pairs.count()
         if not n:
             return pairs
         near = _with(_with(pairs, marks, "b", "marks", n, 2000), marks, "a", "marks", n, 2000)
-        near = saved(near.mapInArrow(_alike(percent / 100 - 0.25), "a long, b long").distinct(), "minhash-near")
+        near = saved(near.mapInArrow(_alike(percent), "a long, b long").distinct(), "minhash-near")
         n = near.count()
         if not n:
             return near
@@ -175,29 +233,32 @@ def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 51
     pairs = lookup(members, first, "key", "w", total, ["id"]).select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b"))
     links = tested(pairs)
     labels = components(links)
-    ranked, done, width = None, 1, min(8, hubs)
-    while True:
-        now = members.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("w")).filter("low <> high")
-        mixed = saved(mixed.select("key", "w"), "minhash-mixed")
-        n = mixed.agg(F.sum("w")).first()[0] or 0
+    # A second round with the next hubs of the buckets whose documents are still apart.
+    rest, n = apart(members, labels)
+    if not n:
+        return labels, classes
+    hub = rest.filter(F.col("place").between(2, 1 + hubs)).groupBy("key").agg(F.collect_list(F.struct("id", "n", "component", "place")).alias("hubs"), F.first("w").alias("w"))
+    stars = lookup(rest.drop("w"), hub, "key", "w", n, ["id"]).filter("hubs is not null")
+    far = F.filter("hubs", lambda h: (h["place"] < F.col("place")) & (h["component"] != F.col("component")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))))
+    stars = stars.select("id", "n", F.explode(far).alias("h"))
+    more = tested(stars.select(F.col("h.id").alias("a"), F.col("h.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b")))
+    if more.limit(1).count():
+        links = saved(links.union(more), "minhash-links")
+        labels = components(links)
+        rest, n = apart(members, labels)
         if not n:
             return labels, classes
-        rest = lookup(now, mixed.withColumn("open", F.lit(True)), "key", "w", n, ["id"]).filter("open")
-        if ranked is None:
-            ranked = saved(rest.select("key", "id", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id", "n")).alias("place")), "minhash-places")
-        rest = saved(rest.join(ranked.hint("merge"), ["key", "id"]), "minhash-open")
-        if not rest.filter(F.col("place") > done + 1).limit(1).count():
-            return labels, classes
-        near = (F.col("place") > done) & (F.col("place") <= done + width)
-        hub = rest.filter(near).groupBy("key").agg(F.collect_list(F.struct("id", "n", "component", "place")).alias("hubs"), F.first("size").alias("w"))
-        stars = lookup(rest, hub, "key", "w", n, ["id"]).select("id", "n", "component", "place", F.explode("hubs").alias("h"))
-        stars = stars.filter("place > h.place and component <> h.component")
-        more = tested(stars.select(F.col("h.id").alias("a"), F.col("h.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b")))
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
-        done, width = done + width, min(hubs, width * 8)
+    # What is left, whole: blocks of a bucket against its other blocks.
+    full = rest.join(classes.select("id", "marks", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")).hint("merge"), "id")
+    last = F.floor((F.col("w") - 1) / BLOCK).cast("int")
+    full = full.withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    full = full.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "id", "n", "component", "marks", "bands")
+    dealt = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    near = dealt.mapInArrow(_blocks(percent), "a long, n_a long, b long, n_b long")
+    more = tested(near)
+    if more.limit(1).count():
+        labels = components(saved(links.union(more), "minhash-links"))
+    return labels, classes
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
