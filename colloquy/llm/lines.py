@@ -64,18 +64,21 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
 
     lines = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first"), "line").join(F.broadcast(often), F.col("hash") == F.col("_h"), "left").filter(F.col("_f").isNull() | F.col("_f").eqNullSafe(F.col("first")))
     tokens = lines.select("hash.x", "first.doc_id", "first.pos", F.sort_array(F.transform(_words(F.col("line")), token)).alias("tokens")).withColumn("n", F.size("tokens")).filter(F.col("n") >= least)
+    # A bit for each token's hash mod 64: a bit that the other line lacks is a token that it lacks.
+    tokens = tokens.withColumn("bits", F.expr("aggregate(tokens, 0L, (acc, t) -> acc | shiftleft(1L, cast(t & 63 as int)))"))
     short = F.slice("tokens", 1, (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int"))
-    entries = tokens.select("x", "doc_id", "pos", "n", F.posexplode(short).alias("at", "token")).repartition("token")
+    entries = tokens.select("x", "doc_id", "pos", "n", "bits", F.posexplode(short).alias("at", "token")).repartition("token")
     # Copies of a line share x: 64 bits of its hash, which only has to tell lines of one token apart.
-    entries = entries.groupBy("token", "x").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("n").alias("n"), F.min("at").alias("at"))
+    entries = entries.groupBy("token", "x").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("n").alias("n"), F.min("at").alias("at"), F.min("bits").alias("bits"))
     own = Window.partitionBy("token")
     entries = entries.withColumn("size", F.count("*").over(own)).filter("size > 1").withColumn("place", F.row_number().over(own.orderBy("first", "x")))
-    entry = F.struct("place", "first", "n", "at")
-    blocks = entries.groupBy("token", "size", F.floor((F.col("place") - 1) / CROWD).alias("block")).agg(F.collect_list(F.struct("place", "first", "n", "at", "x")).alias("m"))  # CROWD entries at most
+    entry = F.struct("place", "first", "n", "at", "bits")
+    blocks = entries.groupBy("token", "size", F.floor((F.col("place") - 1) / CROWD).alias("block")).agg(F.collect_list(F.struct("place", "first", "n", "at", "bits", "x")).alias("m"))  # CROWD entries at most
 
     def may(a: Column, b: Column) -> Column:
-        """An earlier and a later entry could reach the similarity by their sizes and what follows this token."""
-        rest = F.least(a["n"] - a["at"], b["n"] - b["at"])
+        """An earlier and a later entry could reach the similarity by their sizes, what follows this token, and their bits."""
+        lacks = lambda x, y: F.bit_count(x["bits"].bitwiseAND(F.bitwise_not(y["bits"])))
+        rest = F.least(a["n"] - a["at"], b["n"] - b["at"], a["n"] - lacks(a, b), b["n"] - lacks(b, a))
         return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & _overlap(percent, rest, a["n"], b["n"])
 
     pair = lambda a, b: F.struct(a["first"].alias("a"), b["first"].alias("b"))
@@ -150,13 +153,16 @@ def digest(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return both.select(own.doc_id, "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents with those lines taken out of their texts; n_chars, if there, counts the new text."""
+def without_lines(docs: DataFrame, removed: DataFrame, keep_blank: bool = True) -> DataFrame:
+    """The documents with those lines taken out of their texts; n_chars, if there, counts the new text. Without
+    ``keep_blank``, documents go of which that leaves white space alone."""
     gone = removed.select(F.col("doc_id").alias("_id"), "removed")
     both = docs.join(gone.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = both.withColumn("text", text)
+    if not keep_blank:
+        out = out.filter(F.col("removed").isNull() | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -33,9 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that an earlier line resembles; a document that this leaves blank goes."""
     start = work.tables()
-    left = lines.without_lines(docs.withColumn("_was", F.col("text")), lines.removed_lines(docs))
+    left = lines.without_lines(docs, lines.removed_lines(docs), keep_blank=False)
     _before.extend(p for p in work.tables() if p not in start)
-    return left.filter(F.col("text").eqNullSafe(F.col("_was")) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
+    return left
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
