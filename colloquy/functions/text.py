@@ -84,7 +84,7 @@ def strip_report_format(text: Column) -> Column:
     parts = F.split(text, "```")
 
     def plain(t: Column) -> Column:
-        for pattern, to in ((r"(?m)^#{1,6}\s+(.*)$", "$1"), (r"(?m)^\s*(?:---+|\*\*\*+|___+)\s*$", ""), (r"(?m)^\*\*([^*\n]+)\*\*:?\s*$", "$1"), (r"\n{3,}", "\n\n")):
+        for pattern, to in ((r"(?m)^#{1,6}\s+(.*)$", "$1"), (r"(?m)^[ \t]*(?:---+|\*\*\*+|___+)[ \t]*$", ""), (r"(?m)^\*\*([^*\n]+)\*\*:?[ \t]*$", "$1"), (r"\n{3,}", "\n\n")):
             t = F.regexp_replace(t, pattern, to)
         return t
 

@@ -48,7 +48,7 @@ def last_response_turns(s, d):
     return N.google_turns(B.table(s, d, "conversations"))
 
 
-@query("", r"""SELECT doc_id AS id, doc_id::VARCHAR AS title, len(list_filter(regexp_split_to_array(trim(text), '[ \n]+'), w -> w <> '')) AS word_count FROM documents WHERE length(trim(text)) > 0""")
+@query("", r"""SELECT doc_id AS id, doc_id::VARCHAR AS title, len(list_filter(regexp_split_to_array(trim(text), '[ \n]+'), lambda w: w <> '')) AS word_count FROM documents WHERE length(trim(text)) > 0""")
 def document_heads(s, d):
     return N.document_heads(B.documents(s, d))
 
@@ -165,7 +165,7 @@ def recent_errors(s, d):
     return M.listing(rows, [F.desc("timestamp"), F.desc("id")], 100, level="ERROR").select("id", "level", "module", "message")
 
 
-@query("messages", f"""SELECT message_id, len(w) >= 3 AND len(list_filter(w, x -> x NOT IN {STOP})) >= 2 AS needed FROM (SELECT message_id, list_filter(regexp_split_to_array(lower(user_prompt), '[^a-z0-9]+'), x -> x <> '') AS w FROM messages)""")
+@query("messages", f"""SELECT message_id, len(w) >= 3 AND len(list_filter(w, lambda x: x NOT IN {STOP})) >= 2 AS needed FROM (SELECT message_id, list_filter(regexp_split_to_array(lower(user_prompt), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM messages)""")
 def retrieval_gate(s, d):
     return B.messages(s, d).select("message_id", M.needs_retrieval(F.col("user_prompt"), T.STOPWORDS).alias("needed"))
 
@@ -184,7 +184,7 @@ def edges_touching(s, d):
     return M.edges_touching(B.relationships(s, d), B.items(s, d).filter(F.col("id").isin("c1", "c2", "c3")).select("id"))
 
 
-@query("mentions entities", "SELECT e.id, e.name, r.recent FROM entities e LEFT JOIN (SELECT entity_id AS id, list(message_id ORDER BY created_at DESC, message_id DESC) AS recent FROM (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, message_id DESC) <= 20) GROUP BY entity_id) r USING (id)")
+@query("mentions entities", "SELECT e.id, e.name, r.recent FROM entities e LEFT JOIN (SELECT entity_id AS id, list(message_id ORDER BY n) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, message_id DESC) AS n FROM mentions) WHERE n <= 20 GROUP BY entity_id) r USING (id)")
 def entity_with_mentions(s, d):
     child = B.mentions(s, d).withColumnRenamed("entity_id", "id")
     return M.with_recent_children(B.entities(s, d), child, "id", [F.desc("created_at"), F.desc("message_id")], "message_id").select("id", "name", "recent")
@@ -282,7 +282,7 @@ def cleaned_texts(s, d):
     return docs(s, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
-@query("words", "SELECT message_id AS id, k AS keyword, times, row_number() OVER (PARTITION BY message_id ORDER BY times DESC, at) AS place FROM wordcount QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY times DESC, at) <= 10")
+@query("words", "SELECT message_id AS id, k AS keyword, times, row_number() OVER (PARTITION BY message_id ORDER BY times DESC, w.place) AS place FROM wordcount w QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY times DESC, w.place) <= 10")
 def message_keywords(s, d):
     own = B.messages(s, d).select(F.col("message_id").alias("id"), F.concat_ws(" ", "user_prompt", "model_response").alias("text"))
     return T.keywords(own, 10).select("id", "keyword", "times", *long("place"))
@@ -328,7 +328,7 @@ def token_split(s, d):
 
 @query("messages", r"""SELECT message_id, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN n < 5 THEN -0.3 WHEN n < 20 THEN -0.1 WHEN n > 100 THEN 0.2 ELSE 0.1 END + CASE WHEN length(model_response) < length(user_prompt) THEN -0.1 ELSE 0.05 END
     - least(0.3, (len(runs) - len(list_distinct(runs))) * 0.05) - CASE WHEN regexp_matches(lower(model_response), 'as an ai|i cannot|i''m sorry') THEN 0.2 ELSE 0.0 END)), 3)::DOUBLE AS score
-    FROM (SELECT *, CASE WHEN n >= 4 THEN list_transform(range(1, n - 2), i -> array_to_string(w[i:i+3], ' ')) ELSE [] END AS runs FROM (SELECT *, len(w) AS n FROM (SELECT *, list_filter(regexp_split_to_array(lower(model_response), '[ \n]+'), x -> x <> '') AS w FROM messages)))""")
+    FROM (SELECT *, CASE WHEN n >= 4 THEN list_transform(range(1, n - 2), lambda i: array_to_string(w[i:i+3], ' ')) ELSE [] END AS runs FROM (SELECT *, len(w) AS n FROM (SELECT *, list_filter(regexp_split_to_array(lower(model_response), '[ \n]+'), lambda x: x <> '') AS w FROM messages)))""")
 def quality_scores(s, d):
     return B.messages(s, d).select("message_id", T.quality_score(F.col("user_prompt"), F.col("model_response")).alias("score"))
 
@@ -423,7 +423,7 @@ def light_context(s, d):
     return R.light_context(_hits(s, d).drop("rank"), 0.05).select("qid", "point_id", F.round("score", 4).alias("score"))
 
 
-@query("words", """, k AS (SELECT message_id, list(k) AS w FROM (SELECT * FROM wordcount QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY times DESC, at) <= 15) GROUP BY message_id)
+@query("words", """, k AS (SELECT message_id, list(k) AS w FROM (SELECT * FROM wordcount QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY times DESC, place) <= 15) GROUP BY message_id)
     SELECT a.message_id, round(len(list_intersect(a.w, b.w)) / len(a.w), 6) AS usage FROM k a JOIN k b ON b.message_id = a.message_id + 1""")
 def usage_signals(s, d):
     own = B.messages(s, d).select(F.col("message_id").alias("id"), F.concat_ws(" ", "user_prompt", "model_response").alias("text"))
@@ -559,10 +559,10 @@ def duplicate_entities(s, d):
     return E.duplicates(B.entities(s, d, True))
 
 
-@query("mentions", "SELECT entity_id - (entity_id - 1) % 4 AS entity_id, message_id, min(rid) AS rowid FROM mentions GROUP BY 1, 2")
+@query("mentions", "SELECT entity_id - entity_id % 4 AS entity_id, message_id, min(rid) AS rowid FROM mentions GROUP BY 1, 2")
 def merged_mentions(s, d):
     own = B.entities(s, d)
-    chain = own.filter((F.col("id") - 1) % 4 > 0).select(F.col("id").alias("duplicate_id"), (F.col("id") - 1).alias("canonical_id"))
+    chain = own.filter("id % 4 > 0").select(F.col("id").alias("duplicate_id"), (F.col("id") - 1).alias("canonical_id"))
     return E.merge(own, B.mentions(s, d), E.canonical_map(chain))[1]
 
 
@@ -599,11 +599,11 @@ def propagated_salience(s, d):
     return Q.propagate_salience(pts, own).select(F.col("point_id").alias("message_id"), "salience")
 
 
-@query("metadata points", f"""SELECT m.message_id FROM metadata m JOIN messages USING (message_id) JOIN (SELECT message_id FROM (SELECT n.message_id, p.salience, p.last_retrieved FROM points p JOIN messages n ON n.message_id % 97 = p.point_id % 97) GROUP BY message_id HAVING bool_and(salience < 0.9 AND last_retrieved IS NULL)) l USING (message_id)
+@query("metadata points", f"""SELECT m.message_id FROM metadata m JOIN messages USING (message_id) JOIN (SELECT message_id FROM (SELECT n.message_id, p.salience, p.last_retrieved FROM points p JOIN messages n ON n.message_id % 499 = p.point_id) GROUP BY message_id HAVING bool_and(salience < 0.9 AND last_retrieved IS NULL)) l USING (message_id)
     WHERE quality_score < 0.5 AND created_at < {AS_OF} - INTERVAL 7 DAYS""")
 def prunable_messages(s, d):
     own = B.messages(s, d)
-    pts = B.points(s, d).join(own.select("message_id"), F.col("message_id") % 97 == F.col("point_id") % 97).select("message_id", "salience", "last_retrieved")
+    pts = B.points(s, d).join(own.select("message_id"), F.col("message_id") % 499 == F.col("point_id")).select("message_id", "salience", "last_retrieved")
     return Q.prunable(pts, B.metadata(s, d), own, B.AS_OF, quality=0.5, salience=0.9)
 
 
@@ -620,7 +620,8 @@ def message_threads(s, d):
 
 @query()
 def scored_messages(s, d):
-    return Q.score_unscored(B.messages(s, d), B.metadata(s, d)).select("message_id", "quality_score", F.array_join("keywords", ",").alias("keywords"))
+    meta = B.metadata(s, d).withColumn("quality_score", F.when(F.col("message_id") % 3 > 0, F.col("quality_score")))
+    return Q.score_unscored(B.messages(s, d), meta).select("message_id", "quality_score", F.array_join("keywords", ",").alias("keywords"))
 
 
 # Chunks
@@ -720,10 +721,11 @@ def coverage(s, d):
     return M.coverage(own, B.metadata(s, d), own.filter("length(model_response) > 500").select("message_id"))
 
 
-@query("metadata", ", c AS (SELECT count(*) AS m, count(quality_score) AS s FROM metadata) SELECT 'info' AS level, 'unscored messages' AS message FROM c WHERE s < m UNION ALL SELECT 'warning', 'less than half scored' FROM c WHERE s * 2 < m")
+@query("metadata", ", c AS (SELECT count(*) AS m, count(CASE WHEN message_id % 3 > 0 THEN quality_score END) AS s FROM metadata) SELECT 'info' AS level, 'unscored messages' AS message FROM c WHERE s < m UNION ALL SELECT 'warning', 'less than half scored' FROM c WHERE s * 2 < m")
 def coverage_alerts(s, d):
     own = B.messages(s, d)
-    return M.alerts(M.coverage(own, B.metadata(s, d), own.select("message_id")))
+    meta = B.metadata(s, d).withColumn("quality_score", F.when(F.col("message_id") % 3 > 0, F.col("quality_score")))
+    return M.alerts(M.coverage(own, meta, own.select("message_id")))
 
 
 @query("registry", "SELECT 'enough' AS gate, CASE WHEN count(*) >= 100 THEN 'PASS' ELSE 'FAIL' END AS result FROM registry UNION ALL SELECT 'hashed', CASE WHEN count(*) = count(content_hash) THEN 'PASS' ELSE 'FAIL' END FROM registry UNION ALL SELECT 'ok 90 %', CASE WHEN count(*) FILTER (WHERE status = 'ok') * 10 >= count(*) * 9 THEN 'PASS' ELSE 'FAIL' END FROM registry")

@@ -22,7 +22,7 @@ CTE = {
             TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(sequence) AS created_at
             FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY tri) AS sequence FROM trip WHERE user_prompt <> '' OR model_response <> ''))""",
     "mentions": """mentions AS (SELECT l_orderkey * 10 + l_linenumber AS rid, l_suppkey AS entity_id, l_orderkey AS message_id, o_custkey AS conversation_id, l_discount AS relevance, l_shipdate AS created_at
-            FROM lineitem JOIN orders ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_orderkey * 10 + l_linenumber) = 1)""",
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_orderkey * 10 + l_linenumber, o_custkey, l_discount, l_shipdate) = 1)""",
     "parts": """mentions AS (SELECT DISTINCT l_partkey AS entity_id, l_orderkey AS message_id, o_custkey AS conversation_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "entities": """seen AS (SELECT entity_id, count(*) AS n, min(created_at) AS first_seen_at, max(created_at) AS last_seen_at FROM mentions GROUP BY entity_id),
         entities AS (SELECT s_suppkey AS id, s_suppkey % 6 AS entity_type, s_name AS name, coalesce(n, 0) AS mention_count, first_seen_at, last_seen_at, 0.5::DOUBLE AS salience
@@ -38,9 +38,9 @@ CTE = {
             UNION ALL SELECT 'c' || c_custkey, 'feature', c_mktsegment, 'n' || c_nationkey, c_name, [{', '.join(f"'{s}'" for s in STATUSES)}][c_custkey % 8 + 1], (1 + c_custkey % 5)::BIGINT FROM customer)""",
     "tasks": """tasks AS (SELECT o_orderkey AS id, 'order' AS task_type, 'c' || o_custkey AS target_item_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'processing' END AS status,
             substr(o_orderpriority, 1, 1)::BIGINT AS priority, o_orderdate AS created_at FROM orders)""",
-    "words": f"""wordlist AS (SELECT message_id, unnest(w) AS k, generate_subscripts(w, 1) AS at FROM (SELECT message_id, list_filter(regexp_extract_all(lower(user_prompt || ' ' || model_response), '[a-z][a-z0-9_]+'), x -> length(x) >= 3 AND x NOT IN {STOP}) AS w FROM messages)),
-        wordcount AS (SELECT message_id, k, count(*) AS times, min(at) AS at FROM wordlist GROUP BY message_id, k),
-        keywords AS (SELECT message_id, list(k ORDER BY k) AS keywords FROM (SELECT * FROM wordcount QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY times DESC, at) <= 5) GROUP BY message_id)""",
+    "words": f"""wordlist AS (SELECT message_id, unnest(w) AS k, generate_subscripts(w, 1) AS place FROM (SELECT message_id, list_filter(regexp_extract_all(lower(user_prompt || ' ' || model_response), '[a-z][a-z0-9_]+'), lambda x: length(x) >= 3 AND x NOT IN {STOP}) AS w FROM messages)),
+        wordcount AS (SELECT message_id, k, count(*) AS times, min(place) AS place FROM wordlist GROUP BY message_id, k),
+        keywords AS (SELECT message_id, list(k ORDER BY k) AS keywords FROM (SELECT * FROM wordcount QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY times DESC, place) <= 5) GROUP BY message_id)""",
     "metadata": """metadata AS (SELECT message_id, CASE WHEN message_id % 5 <> 0 THEN ((message_id * 37) % 101) / 100.0::DOUBLE END AS quality_score, (message_id * 13) % 5000 AS latency_total_ms, coalesce(keywords, []) AS keywords
             FROM messages LEFT JOIN keywords USING (message_id))""",
     "logs": """logs AS (SELECT event_id AS id, ts AS timestamp, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' ELSE 'INFO' END AS level, 'm' || (user_id % 7) AS module, event_type AS message FROM events)""",
