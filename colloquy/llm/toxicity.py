@@ -45,26 +45,28 @@ def _logistic(of: np.ndarray, slot: np.ndarray, value: np.ndarray, labels: np.nd
     n, m = len(labels), len(value)
     size = np.bincount(of, value[slot] ** 2, n)
     rate = 1.0 / (0.25 * (size.max(initial=0) + 1) / 4 + penalty)
+    share = labels.mean()
+    weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5  # the rarer label counts more
+    rate /= weight.max()
     w, b, pw, pb = np.zeros(m), 0.0, np.zeros(m), 0.0
     for k in range(steps):
         push = k / (k + 3)
         yw, yb = w + push * (w - pw), b + push * (b - pb)
         score = np.bincount(of, yw[slot] * value[slot], n) + yb
-        gap = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) / n
+        gap = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) * weight / n
         pw, pb = w, b
         w = yw - rate * (np.bincount(slot, gap[of] * value[slot], m) + penalty * yw / n)
         b = yb - rate * gap.sum()
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least_z: float = 4.0, penalty: float = 1.0, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least_z: float = 4.0, penalty: float = 1.0, steps: int = 600) -> Model:
     """Learn from the labelled documents that are not held out.
 
     At most ``per_class`` documents of each label are used, those with the smallest hash of their id: a bound on the
     sample alone. Counts of documents per hashed n-gram and label are summed on the cluster (2^18 n-grams at most
     reach the driver); n-grams whose log-count ratio lies ``least_z`` standard errors or more from that of the sample
-    are kept, and the regression is fitted on their ratios. Its bias is set right for the labels' share in all
-    labelled rows. Labels other than 0 and 1, and labels of unknown documents, are left out. With one class or none
+    are kept, and the regression is fitted on their ratios, the rarer label counting more. Labels other than 0 and 1, and labels of unknown documents, are left out. With one class or none
     the score is constant.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least_z: floa
     w, b = _logistic(of, slot, ratio[wanted], truth, penalty, steps)
     weights = np.zeros(1 << BITS)
     weights[wanted] = w * ratio[wanted]
-    return Model(weights, b + float(np.log(n1 / n0) - np.log(m1 / m0)))
+    return Model(weights, b)
 
 
 def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
