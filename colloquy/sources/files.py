@@ -36,7 +36,7 @@ def read_google_export(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("md", "txt"), exclude: str | None = None) -> DataFrame:
     """(file_path, title, content, word_count, modified, content_hash) of text files; empty ones are dropped."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.trim("value").alias("content"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.trim("value").alias("content"))
     rows = rows.filter(F.col("file_path").rlike(r"\.(" + "|".join(extensions) + ")$") & (F.length("content") > 0))
     if exclude:
         rows = rows.filter(~F.col("file_path").rlike(exclude))
