@@ -196,6 +196,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_span: in
     import regex
 
     token = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = {b: b + 32 for b in range(65, 91)}
 
     def cut(batches):
         for b in batches:
@@ -204,7 +205,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_span: in
             for text, spans in zip(texts, b.column("spans").to_pylist(), strict=True):
                 spans = [s for s in spans or () if s["end"] - s["begin"] > most_span]
                 if spans:
-                    at = [m.span() for m in token.finditer(text)]
+                    at = [m.span() for m in token.finditer(text.translate(lower))]
                     keep, last = [], 0
                     for s in spans:
                         keep.append(text[last : at[s["begin"]][0]])

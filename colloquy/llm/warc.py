@@ -75,7 +75,7 @@ def read_archive(source):
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_FRAME:
         known, rest = zstandard.ZstdCompressionDict(source.read(struct.unpack("<I", head[4:])[0])), b""
     plain = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
-    data, frame, chunk = rest, plain.decompressobj(), b""
+    data, frame, begun = rest, plain.decompressobj(), False
     parts: list[bytes] = []
     while True:
         if not data:
@@ -83,6 +83,7 @@ def read_archive(source):
             if not data:
                 break
         parts.append(frame.decompress(data))
+        begun = not frame.eof
         if frame.eof:
             data, frame = frame.unused_data, plain.decompressobj()
             chunk, parts = b"".join(parts), []
@@ -92,7 +93,7 @@ def read_archive(source):
             yield fields, body[: int(fields["content-length"])]
         else:
             data = b""
-    if any(parts):
+    if begun:
         raise ValueError("an archive ends inside a record")
 
 
