@@ -8,6 +8,7 @@ from .work import lookup, saved
 
 #: A token with more lines than this among its prefix entries is worked off in rounds; others give all their pairs at once.
 CROWD = 16
+BITS = ("b0", "b1", "b2", "b3")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -64,20 +65,20 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
 
     lines = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first"), "line").join(F.broadcast(often), F.col("hash") == F.col("_h"), "left").filter(F.col("_f").isNull() | F.col("_f").eqNullSafe(F.col("first")))
     tokens = lines.select("hash.x", "first.doc_id", "first.pos", F.sort_array(F.transform(_words(F.col("line")), token)).alias("tokens")).withColumn("n", F.size("tokens")).filter(F.col("n") >= least)
-    # A bit for each token's hash mod 64: a bit that the other line lacks is a token that it lacks.
-    tokens = tokens.withColumn("bits", F.expr("aggregate(tokens, 0L, (acc, t) -> acc | shiftleft(1L, cast(t & 63 as int)))"))
+    # A bit for each token's hash mod 256, in four numbers: a bit that the other line lacks is a token that it lacks.
+    tokens = tokens.withColumns({c: F.expr(f"aggregate(tokens, 0L, (acc, t) -> if((t & 192) = {64 * k}, acc | shiftleft(1L, cast(t & 63 as int)), acc))") for k, c in enumerate(BITS)})
     short = F.slice("tokens", 1, (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int"))
-    entries = tokens.select("x", "doc_id", "pos", "n", "bits", F.posexplode(short).alias("at", "token")).repartition("token")
+    entries = tokens.select("x", "doc_id", "pos", "n", *BITS, F.posexplode(short).alias("at", "token")).repartition("token")
     # Copies of a line share x: 64 bits of its hash, which only has to tell lines of one token apart.
-    entries = entries.groupBy("token", "x").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("n").alias("n"), F.min("at").alias("at"), F.min("bits").alias("bits"))
+    entries = entries.groupBy("token", "x").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("n").alias("n"), F.min("at").alias("at"), *(F.min(c).alias(c) for c in BITS))
     own = Window.partitionBy("token")
     entries = entries.withColumn("size", F.count("*").over(own)).filter("size > 1").withColumn("place", F.row_number().over(own.orderBy("first", "x")))
-    entry = F.struct("place", "first", "n", "at", "bits")
-    blocks = entries.groupBy("token", "size", F.floor((F.col("place") - 1) / CROWD).alias("block")).agg(F.collect_list(F.struct("place", "first", "n", "at", "bits", "x")).alias("m"))  # CROWD entries at most
+    entry = F.struct("place", "first", "n", "at", *BITS)
+    blocks = entries.groupBy("token", "size", F.floor((F.col("place") - 1) / CROWD).alias("block")).agg(F.collect_list(F.struct("place", "first", "n", "at", *BITS, "x")).alias("m"))  # CROWD entries at most
 
     def may(a: Column, b: Column) -> Column:
         """An earlier and a later entry could reach the similarity by their sizes, what follows this token, and their bits."""
-        lacks = lambda x, y: F.bit_count(x["bits"].bitwiseAND(F.bitwise_not(y["bits"])))
+        lacks = lambda x, y: sum((F.bit_count(x[c].bitwiseAND(F.bitwise_not(y[c]))) for c in BITS), F.lit(0))
         rest = F.least(a["n"] - a["at"], b["n"] - b["at"], a["n"] - lacks(a, b), b["n"] - lacks(b, a))
         return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & _overlap(percent, rest, a["n"], b["n"])
 
