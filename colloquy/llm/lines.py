@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .work import lookup, saved
 
 #: A token with more lines than this among its prefix entries is worked off in rounds; others give all their pairs at once.
-CROWD = 16
+CROWD = 128
 BITS = ("b0", "b1", "b2", "b3")
 
 

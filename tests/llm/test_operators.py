@@ -84,7 +84,9 @@ def brute_lines(texts, percent=75, least=5):
     return out
 
 
-def test_line_dedup(make, messy):
+@pytest.mark.parametrize("crowd", [16, 128])
+def test_line_dedup(make, messy, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     texts = [x for x in messy if x[0] is not None or x[1] is not None]
     rng = random.Random(8)
     words = [f"w{k}" for k in range(300)]
