@@ -164,6 +164,12 @@ def provenance(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("qid").alias("src"), F.lit("INFORMED_BY").alias("rel"), F.when(F.col("collection") == 0, "Message").otherwise("Document").alias("dst_label"), F.col("point_id").alias("dst"), "score")
 
 
+def best_seeds(points: DataFrame, quality: DataFrame, k: int = 50) -> DataFrame:
+    """(qid, vector, seed_conversation) of the k points of best quality (point_id, quality) among all; ties by point_id."""
+    best = quality.orderBy(F.desc("quality"), "point_id").limit(k).select("point_id")
+    return points.join(F.broadcast(best), "point_id").select(F.col("point_id").alias("qid"), "vector", F.col("conversation_id").alias("seed_conversation"))
+
+
 def clusters(hits: DataFrame, quality: DataFrame, least: float = 0.6, smallest: int = 3, largest: int = 6, greedy: bool = True) -> DataFrame:
     """(seed, members, score): a seed's near points of other conversations, best first by mean quality * share of
     distinct conversations; with ``greedy`` no point is in two clusters that stay.

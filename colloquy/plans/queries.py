@@ -529,9 +529,9 @@ def provenance_edges(s, d):
 @query()
 def insight_clusters(s, d):
     own = B.points(s, d)
-    seeds = own.filter("point_id < 50").select(F.col("point_id").alias("qid"), "vector", F.col("conversation_id").alias("seed_conversation"))
-    hits = R.vector_search(own, seeds, 10).join(seeds.select("qid", "seed_conversation"), "qid")
     quality = own.select("point_id", ((F.col("point_id") * 37) % 101 / 100).alias("quality"))
+    seeds = G.best_seeds(own, quality)
+    hits = R.vector_search(own, seeds, 10).join(seeds.select("qid", "seed_conversation"), "qid")
     return G.clusters(hits, quality, 0.3).select("seed", F.array_join("members", ",").alias("members"), F.round("score", 6).alias("score"))
 
 
