@@ -114,23 +114,25 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, most_levels: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(id, betweenness) of an undirected, unweighted graph by Brandes' two passes, level by level for all sources.
 
-    The frontier holds a row per (source, node); each level is one join with the edges and is checkpointed. ``sources``
-    (id) restricts the sources, e.g. to a sample of a large graph.
+    The frontier holds a row per (source, node); each level is one join with the edges and is checkpointed, until a
+    level is empty. Edges lead at most one level on or back, so a level only has to leave out the two before it.
+    ``sources`` (id) restricts the sources, e.g. to a sample of a large graph.
     """
     both = _checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     start = both.select(F.col("a").alias("id")).distinct() if sources is None else sources
     levels = [_checkpointed(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")))]
-    seen = levels[0].select("s", "v")
-    while len(levels) <= most_levels:
+    while True:
+        seen = levels[-1].select("s", "v")
+        if len(levels) > 1:
+            seen = seen.union(levels[-2].select("s", "v"))
         step = levels[-1].join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("sigma").alias("sigma"))
         step = _checkpointed(step.join(seen, ["s", "v"], "left_anti"))
         if not step.limit(1).count():
             break
         levels.append(step)
-        seen = seen.union(step.select("s", "v"))
     delta, total = None, None
     for below, own in zip(levels[:0:-1], levels[-2::-1], strict=True):
         lower = below.withColumn("d", F.lit(0.0)) if delta is None else below.join(delta.withColumnRenamed("delta", "d"), ["s", "v"], "left").fillna(0.0, ["d"])

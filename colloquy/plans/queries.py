@@ -482,7 +482,7 @@ def degree_centrality(s, d):
 
 @query()
 def betweenness_centrality(s, d):
-    return G.betweenness(_dense(s, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return G.betweenness(G.cooccurrence(B.mentions(s, d, "l_partkey"), "message_id")).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query("metadata", """, k AS (SELECT message_id, conversation_id, unnest(keywords) AS k FROM metadata JOIN messages USING (message_id)), rare AS (SELECT k FROM k GROUP BY k HAVING count(*) <= 1000), w AS (SELECT k.* FROM k JOIN rare USING (k)), n AS (SELECT message_id, count(*) AS n FROM w GROUP BY message_id)

@@ -1,8 +1,13 @@
 """Queries without SQL against brute force: whole inputs, nothing left out."""
 
+from collections import Counter, defaultdict
+from itertools import combinations
+
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
+from colloquy.operators import graph as G
 from colloquy.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +34,47 @@ def test_clusters_start_from_the_best(spark):
             want[s] = (",".join(map(str, own)), round(-score, 6))
             used |= set(own)
     assert want and {r.seed: (r.members, r.score) for r in QUERIES["insight_clusters"](spark, DATA).collect()} == want
+
+
+def brandes(edges):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    out = dict.fromkeys(near, 0.0)
+    for s in near:
+        level, sigma, order = {s: 0}, Counter({s: 1}), [s]
+        for v in order:
+            for w in near[v]:
+                if w not in level:
+                    level[w] = level[v] + 1
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = Counter()
+        for w in reversed(order):
+            for v in near[w]:
+                if level[v] == level[w] - 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                out[w] += delta[w] / 2
+    return out
+
+
+def test_betweenness_of_a_long_path(spark):
+    n = 68
+    own = spark.createDataFrame([(i, i + 1, 1) for i in range(n)], "a int, b int, weight int")
+    assert {r.id: r.betweenness for r in G.betweenness(own).collect()} == {i: i * (n - i) for i in range(n + 1)}
+
+
+def test_betweenness_of_all_parts(spark):
+    parts = defaultdict(set)
+    rows = pq.read_table(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_partkey"]).to_pydict()
+    orders = set(pq.read_table(f"{DATA}/orders.parquet", columns=["o_orderkey"]).to_pydict()["o_orderkey"])
+    for o, p in zip(rows["l_orderkey"], rows["l_partkey"], strict=True):
+        if o in orders:
+            parts[o].add(p)
+    weight = Counter(pair for ps in parts.values() for pair in combinations(sorted(ps), 2))
+    want = brandes(pair for pair, w in weight.items() if w >= 2)
+    got = {r.id: r.betweenness for r in QUERIES["betweenness_centrality"](spark, DATA).collect()}
+    assert max(got.values()) > 0 and got == pytest.approx(want, abs=2e-6)
