@@ -750,3 +750,12 @@ def embed_payloads(s, d):
     done = own.filter("message_id % 3 = 0").select(F.col("message_id").alias("id"), F.lit(0).alias("chunk_index"))
     parts = chunks.chunk_messages(own, 500, 400, 50, 40).filter("chunk_total = 1")
     return R.to_embed(parts, own, B.metadata(s, d), done).filter("length(chunk_text) > 0").join(own.filter("length(model_response) <= 500").select(F.col("message_id").alias("id")), "id", "left_semi").select("id", "conversation_id", "salience")
+
+
+@query()
+def chunk_payloads(s, d):
+    """R8 whole: every chunk of every message, less the first chunks of each third message, which have their points."""
+    own = B.messages(s, d)
+    parts = chunks.chunk_messages(own, 500, 400, 50, 40)
+    done = parts.filter("id % 3 = 0 and chunk_index = 0").select("id", "chunk_index")
+    return R.to_embed(parts, own, B.metadata(s, d), done)

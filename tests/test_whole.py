@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from colloquy.operators import graph as G
+from colloquy.plans import bindings as B
 from colloquy.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -78,3 +79,29 @@ def test_betweenness_of_all_parts(spark):
     want = brandes(pair for pair, w in weight.items() if w >= 2)
     got = {r.id: r.betweenness for r in QUERIES["betweenness_centrality"](spark, DATA).collect()}
     assert max(got.values()) > 0 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_payloads_of_all_chunks(spark):
+    got = defaultdict(dict)
+    for r in QUERIES["chunk_payloads"](spark, DATA).collect():
+        assert r.chunk_index not in got[r.id]
+        got[r.id][r.chunk_index] = r
+    longer = 0
+    for m in B.messages(spark, DATA).collect():
+        own = got.pop(m.message_id, {})
+        quality = m.message_id * 37 % 101 / 100 if m.message_id % 5 else 0.5
+        assert all((r.conversation_id, r.created_at, r.salience) == (m.conversation_id, m.created_at, quality) for r in own.values())
+        if m.message_id % 3 == 0:
+            assert sorted(own) == list(range(1, len(own) + 1)) and (len(m.model_response) <= 500) == (not own)
+            longer += len(own)
+            continue
+        # Without prompts and overlaps, the chunks' texts give the response again.
+        assert sorted(own) == list(range(len(own)))
+        text, head = "", f"Q: {m.user_prompt[:150]}...\nA: "
+        for k in range(len(own)):
+            assert own[k].chunk_text.startswith(head)
+            body = own[k].chunk_text.removeprefix(head)
+            text += body[next(n for n in range(41) if text.endswith(body[:n]) and m.model_response.startswith(body[n:], len(text))) :]
+        assert text == m.model_response
+        longer += len(own) > 1
+    assert longer and not got
