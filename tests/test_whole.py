@@ -1,5 +1,6 @@
 """Queries without SQL against brute force: whole inputs, nothing left out."""
 
+import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -105,3 +106,25 @@ def test_payloads_of_all_chunks(spark):
         assert text == m.model_response
         longer += len(own) > 1
     assert longer and not got
+
+
+def test_common_keywords_count(spark):
+    """A keyword of over 1,000 messages is evidence like any other."""
+    n = 1010
+    rows = spark.createDataFrame([(i, i, ["common", f"own{i}"]) for i in range(n)], "message_id long, conversation_id long, keywords array<string>")
+    got = G.keyword_similarity(rows, 0.3)
+    assert [tuple(r) for r in got.groupBy("jaccard").count().collect()] == [(1 / 3, n * (n - 1) // 2)]
+
+
+@pytest.mark.parametrize("least", [0.1, 0.3, 0.5, 0.7, 1.0])
+def test_keyword_similarity(spark, least):
+    rng = random.Random(5)
+    rows = [(i, i % 30, [f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(12))]) for i in range(120)] + [(500, 1, None), (501, 2, ["w0", None])]
+    sets = {m: (c, set(k or ()) - {None}) for m, c, k in rows}
+    want = {}
+    for a, b in combinations(sorted(sets), 2):
+        (ca, x), (cb, y) = sets[a], sets[b]
+        if ca != cb and x & y and len(x & y) / len(x | y) >= least:
+            want[a, b] = len(x & y) / len(x | y)
+    got = G.keyword_similarity(spark.createDataFrame(rows, "message_id long, conversation_id long, keywords array<string>"), least).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
