@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from colloquy.operators import graph as G
+from colloquy.operators import graph as G, intent as I
 from colloquy.plans import bindings as B
 from colloquy.plans.queries import QUERIES
 
@@ -128,3 +128,11 @@ def test_keyword_similarity(spark, least):
             want[a, b] = len(x & y) / len(x | y)
     got = G.keyword_similarity(spark.createDataFrame(rows, "message_id long, conversation_id long, keywords array<string>"), least).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
+
+
+def test_titles_of_several_words(spark):
+    items = [("n1", "NATION_1"), ("n10", "NATION_10"), ("p2", "Big Red Barn"), ("p3", "Red"), ("p4", "C++ (\\Eold)"), ("p1", "big red barn"), ("p5", "Größe"), ("c1", "Customer#000000001"), ("p6", " - ")]
+    texts = ["show NATION_10 now", "show nation_1.", "list the big red barn", "find big, red barns", "what is c++ (\\eold) for", "find größe", "show customer#000000001", "show redder", "show - nothing"]
+    want = ["n10", "n1", "p1", "p3", "p4", "p5", "c1", None, None]
+    got = I.recommend_actions(spark.createDataFrame(list(enumerate(texts)), "message_id int, user_prompt string"), spark.createDataFrame(items, "id string, title string"))
+    assert [r.item_id for r in got.orderBy("message_id").collect()] == want
