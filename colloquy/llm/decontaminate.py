@@ -125,19 +125,22 @@ def automata(benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000
     """Build the automata of all items and write them to the shared folder; their paths.
 
     The items' words are counted first. Items are dealt by hash into as many blocks as keep a block near
-    ``most_words`` words; one automaton is built for each, so neither the driver nor a worker holds more than a
-    block at a time, whatever the benchmark's size.
+    ``most_words`` words; each block's automaton is built and written by a task of its own, and only its path goes to
+    the driver, so a worker holds one block at a time, whatever the benchmark's size.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     total = items.select(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * most_words)))
-    folder, paths = make_dir(new_path(benchmark.sparkSession, "benchmark")), []
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        own = SuffixAutomaton([(r.item_id, words(r.text)) for r in rows], window)
-        paths.append(f"{folder}/{k:05d}.pickle")
-        put_file(paths[-1], lambda out, own=own: out.write(pickle.dumps(own)))
-    return paths
+    folder = make_dir(new_path(benchmark.sparkSession, "benchmark"))
+
+    def build(rows: pa.Table) -> pa.Table:
+        own = SuffixAutomaton([(i, words(t)) for i, t in zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True)], window)
+        path = f"{folder}/{rows.column('block')[0].as_py():05d}.pickle"
+        put_file(path, lambda out: out.write(pickle.dumps(own)))
+        return pa.table({"path": [path]})
+
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    return sorted(r.path for r in blocks.groupBy("block").applyInArrow(build, "path string").collect())
 
 
 def match(docs: DataFrame, paths: list[str], extra: tuple[str, ...] = ()) -> DataFrame:

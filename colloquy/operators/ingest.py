@@ -129,3 +129,13 @@ def duplicate_links(rows: DataFrame, key: Column) -> DataFrame:
     """(id, first_id): every duplicate with the first row of its group."""
     own = rows.select("id", key.alias("hash"))
     return own.join(exact_duplicates(rows, key), "hash").filter("id <> first_id").select("id", "first_id")
+
+
+def numbered(rows: DataFrame, by: str, name: str, width: int = 1_000_000) -> DataFrame:
+    """Rows with their place from 0 in the order of a unique whole number, counted within ranges of ``width`` numbers;
+    only the ranges' totals come together in one task."""
+    own = rows.withColumn("_range", F.floor(F.col(by) / width))
+    totals = own.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    return own.withColumn("_at", within).join(totals.select("_range", F.coalesce(before, F.lit(0)).alias("_before")), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import chunks, entities as E, graph as G, ingest as N, intent as I, quality as Q, report as M, retrieve as R
@@ -446,7 +446,7 @@ def reranked(s, d):
 def entity_sources(s, d):
     own = B.messages(s, d)
     n = own.count()
-    place = own.withColumn("k", F.row_number().over(Window.orderBy("message_id")) - 1).select("k", F.col("message_id").alias("m"))
+    place = N.numbered(own.select("message_id"), "message_id", "k").select(F.col("k").cast("int").alias("k"), F.col("message_id").alias("m"))
     seen = B.mentions(s, d).withColumn("k", (F.col("message_id") % n).cast("int")).join(place, "k").select("entity_id", F.col("m").alias("message_id")).distinct()
     return R.entity_sources(seen, own, s.createDataFrame([(1, 3), (1, 4), (2, 5)], "qid int, entity_id long"))
 

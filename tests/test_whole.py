@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from colloquy.operators import graph as G, intent as I
+from colloquy.llm import decontaminate
+from colloquy.operators import graph as G, ingest as N, intent as I
 from colloquy.plans import bindings as B
 from colloquy.plans.queries import QUERIES
 
@@ -136,3 +137,28 @@ def test_titles_of_several_words(spark):
     want = ["n10", "n1", "p1", "p3", "p4", "p5", "c1", None, None]
     got = I.recommend_actions(spark.createDataFrame(list(enumerate(texts)), "message_id int, user_prompt string"), spark.createDataFrame(items, "id string, title string"))
     assert [r.item_id for r in got.orderBy("message_id").collect()] == want
+
+
+def test_numbers_in_order(spark):
+    ids = random.Random(7).sample(range(-50, 400), 300)
+    own = spark.createDataFrame([(i,) for i in ids], "id long")
+    for width in (7, 10_000):
+        assert [tuple(r) for r in N.numbered(own, "id", "k", width).orderBy("k").collect()] == [(i, k) for k, i in enumerate(sorted(ids))]
+
+
+def test_messages_are_numbered_in_parts(spark):
+    plan = QUERIES["entity_sources"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(message_id" not in plan
+
+
+def test_automata_are_built_by_tasks(spark, monkeypatch):
+    def on_driver(*_):
+        raise AssertionError("built on the driver")
+
+    monkeypatch.setattr(decontaminate.SuffixAutomaton, "__init__", on_driver)
+    bench = spark.createDataFrame([(i, f"word{i} and more of item {i}") for i in range(20)], "item_id long, text string")
+    paths = decontaminate.automata(bench, 5, most_words=30)
+    assert len(paths) > 1
+    found = decontaminate.find(spark.createDataFrame([(1, "Word7 and more"), (2, "so Word7 and more of item 7"), (3, None)], "doc_id long, text string"), bench, 5)
+    assert {r.doc_id: (r.n_words, r.item_ids) for r in found.collect()} == {1: (3, []), 2: (7, ["7"]), 3: (0, [])}
+    assert decontaminate.automata(bench.filter("item_id < 0"), 4) == []
