@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .work import lookup, saved
 
-#: A token with more lines than this among its prefix entries is worked off in rounds; others give all their pairs at once.
-CROWD = 128
-BITS = ("b0", "b1", "b2", "b3")
+#: log2 of the number of hash buckets in which words are counted for the order by rarity.
+RANK_BITS = 18
+#: White space inside a line besides the space.
+BLANKS = "\t\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line): the parts of a text between line feeds; a null text has none."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(doc_id, pos, line): the parts of a text between line feeds; a null text has none.
+
+    Here and below, the outer form of explode keeps Spark from splitting a text twice, once to filter by the size.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).filter("line is not null")
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"[\x09-\x0D\x20]+"), lambda w: w != ""))
+def _parts(text: Column) -> Column:
+    """The lower-cased text between white space, with empty parts; by a pattern only where there is more than spaces."""
+    low, odd = F.lower(text), F.lit(False)
+    for c in BLANKS:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.split(low, r"[\x09-\x0D\x20]")).otherwise(F.split(low, " "))
 
 
 def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
 
 
-def _ranks(docs: DataFrame) -> DataFrame:
-    """One row, one array: for each of 65,536 hash buckets of words its place among them by how many words it holds."""
-    word = docs.select(F.explode(F.split(F.lower("text"), r"[\x09-\x0D\x20]+")).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket"))
-    all_buckets = docs.sparkSession.range(1 << 16).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("n"))
-    counts = word.groupBy("bucket").agg(F.count("*").alias("n")).union(all_buckets).groupBy("bucket").agg(F.sum("n").alias("n"))
-    order = F.array_sort(F.collect_list(F.struct("n", "bucket")))  # 65,536 entries, whatever the input
-    placed = counts.agg(F.transform(order, lambda s, i: F.struct(s["bucket"].alias("bucket"), i.alias("place"))).alias("o"))
-    return placed.select(F.transform(F.array_sort("o"), lambda s: s["place"]).alias("ranks"))
+def _ranks(docs: DataFrame) -> bytearray:
+    """For each of 2 ** RANK_BITS hash buckets of words a byte: the number of words that it holds, in thirds of a power
+    of two from 1 on."""
+    word = docs.select(F.explode_outer(_parts(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).select(_bucket(F.xxhash64("w")).alias("bucket"))
+    counts = word.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+    ranks = bytearray(b"\x01" * (1 << RANK_BITS))
+    counts = counts.select("bucket", (1 + F.least(F.floor(3 * F.log2("n")), F.lit(126))).cast("int").alias("rank"))
+    for bucket, rank in counts.collect():  # 2 ** RANK_BITS rows at most, whatever the input
+        ranks[bucket] = rank
+    return ranks
+
+
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - RANK_BITS).cast("int")
 
 
 def _overlap(percent: int, overlap: Column, n_a: Column, n_b: Column) -> Column:
@@ -39,93 +53,102 @@ def _overlap(percent: int, overlap: Column, n_a: Column, n_b: Column) -> Column:
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
+def _may(percent: int, n_a: Column, at_a: Column, parity_a: Column, n_b: Column, at_b: Column, parity_b: Column) -> Column:
+    """Two lines with a token at those places could reach the similarity, by three bounds that no similar pair exceeds.
+
+    Length: the smaller set has percent / 100 of the larger one's tokens. Position: with this as their first common
+    token they share no more than what follows it. Parity: bit k says whether an odd number of a line's tokens hash to
+    k, so each differing bit is a token that only one of them has.
+    """
+    rest = F.least(n_a - at_a, n_b - at_b)
+    apart = F.bit_count(parity_a.bitwiseXOR(parity_b))
+    fits = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return fits & _overlap(percent, rest, n_a, n_b) & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+
+
+def _tokens(lines: DataFrame, ranks: bytearray) -> DataFrame:
+    """In place of lines, their different words as sorted numbers (the rank of the word's bucket, then its hash), how
+    many they are, and whether the number of those in each of 64 buckets is odd."""
+    low = F.lit((1 << 56) - 1)
+
+    def token(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rank = F.ascii(F.substring(F.lit(ranks), _bucket(h) + 1, 1).cast("string"))
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
+
+    tokens = F.array_remove(F.transform(_parts(F.col("line")), token), token(F.lit("")))
+    rows = lines.withColumn("tokens", F.sort_array(F.array_distinct(tokens))).drop("line").withColumn("n", F.size("tokens"))
+    return rows.withColumn("parity", F.expr("aggregate(tokens, 0L, (acc, t) -> acc ^ shiftleft(1L, cast(t & 63 as int)))"))
+
+
+def _entries(lines: DataFrame, percent: int, least: int) -> DataFrame:
+    """The prefix index: a row (token, at) for each of a line's rarest tokens, as many as two similar lines need to
+    share one, in place of the tokens; none for lines of fewer than ``least``."""
+    size = F.when(F.col("n") >= least, F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).otherwise(0).cast("int")
+    names = [c for c in lines.columns if c != "tokens"]
+    return lines.select(*names, F.posexplode_outer(F.slice("tokens", 1, size)).alias("at", "token")).filter("token is not null")
+
+
 def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
     """Groups of equal lines that do not all stay: (hash, w, first, gone).
 
     ``first`` is the group's first place (doc_id, pos), ``w`` its number of lines; with ``gone`` an earlier line of
     other text is similar, so that the first line goes, too.
+
+    First the prefix index of all lines is joined with itself by token, in a semi join: it keeps the entries that have
+    any partner within the bounds of _may(), and yields no pairs. Only these lines' words are fetched. Among them each
+    line then meets the first line of each of its tokens; those that no such line resembles meet all earlier lines of
+    their tokens that the bounds leave. So a large group of similar lines costs a pair for each token.
     """
-    # Places of lines; among groups of equal lines only those of two or more are kept.
     place = F.struct("doc_id", "pos")
     plain = _lines(docs)
-    copies = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first")).groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("w")).filter("w > 1")
-    copies = saved(copies, "line-copies")
-    total = max(1, plain.count())
-    often = copies.filter(F.col("w") * 2000 >= total).select(F.col("hash").alias("_h"), F.col("first").alias("_f"))  # 2,000 rows at most
-
-    # Prefix index: the rarest tokens of each line, by the order (bucket's rank, hash), which is the same for all lines.
-    ranks = _ranks(docs).first().ranks  # 65,536 numbers, whatever the input
-    rank = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")  # folded into one literal
-    low = F.lit((1 << 48) - 1)
-
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        at = F.element_at(rank, F.shiftrightunsigned(h, 48).cast("int") + 1) - (1 << 15)
-        return F.shiftleft(at.cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
-
-    lines = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first"), "line").join(F.broadcast(often), F.col("hash") == F.col("_h"), "left").filter(F.col("_f").isNull() | F.col("_f").eqNullSafe(F.col("first")))
-    tokens = lines.select("hash.x", "first.doc_id", "first.pos", F.sort_array(F.transform(_words(F.col("line")), token)).alias("tokens")).withColumn("n", F.size("tokens")).filter(F.col("n") >= least)
-    # A bit for each token's hash mod 256, in four numbers: a bit that the other line lacks is a token that it lacks.
-    tokens = tokens.withColumns({c: F.expr(f"aggregate(tokens, 0L, (acc, t) -> if((t & 192) = {64 * k}, acc | shiftleft(1L, cast(t & 63 as int)), acc))") for k, c in enumerate(BITS)})
-    short = F.slice("tokens", 1, (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int"))
-    entries = tokens.select("x", "doc_id", "pos", "n", *BITS, F.posexplode(short).alias("at", "token")).repartition("token")
+    groups = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first")).groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("w"))
+    groups = saved(groups, "line-groups")
+    total = max(1, groups.agg(F.sum("w")).first()[0] or 0)
+    often = groups.filter(F.col("w") * 2000 >= total).select(F.col("hash").alias("_h"), F.col("first").alias("_f"))  # 2,000 rows at most
+
+    ranks = _ranks(docs)
+    once = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first"), "line").join(F.broadcast(often), F.col("hash") == F.col("_h"), "left")
+    once = once.filter(F.col("_f").isNull() | F.col("_f").eqNullSafe(F.col("first"))).select("hash.x", "line")
     # Copies of a line share x: 64 bits of its hash, which only has to tell lines of one token apart.
-    entries = entries.groupBy("token", "x").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("n").alias("n"), F.min("at").alias("at"), *(F.min(c).alias(c) for c in BITS))
-    own = Window.partitionBy("token")
-    entries = entries.withColumn("size", F.count("*").over(own)).filter("size > 1").withColumn("place", F.row_number().over(own.orderBy("first", "x")))
-    entry = F.struct("place", "first", "n", "at", *BITS)
-    blocks = entries.groupBy("token", "size", F.floor((F.col("place") - 1) / CROWD).alias("block")).agg(F.collect_list(F.struct("place", "first", "n", "at", *BITS, "x")).alias("m"))  # CROWD entries at most
-
-    def may(a: Column, b: Column) -> Column:
-        """An earlier and a later entry could reach the similarity by their sizes, what follows this token, and their bits."""
-        lacks = lambda x, y: sum((F.bit_count(x[c].bitwiseAND(F.bitwise_not(y[c]))) for c in BITS), F.lit(0))
-        rest = F.least(a["n"] - a["at"], b["n"] - b["at"], a["n"] - lacks(a, b), b["n"] - lacks(b, a))
-        return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & _overlap(percent, rest, a["n"], b["n"])
-
-    pair = lambda a, b: F.struct(a["first"].alias("a"), b["first"].alias("b"))
-    pairs = F.flatten(F.transform("m", lambda b: F.transform(F.filter("m", lambda a: (a["place"] < b["place"]) & may(a, b)), lambda a: pair(a, b))))
-    few = F.col("size") <= CROWD
-    blocks = blocks.select("token", "size", F.when(few, pairs).alias("pairs"), F.when(~few, F.col("m")).alias("m")).filter(~few | (F.size("pairs") > 0))
-    blocks = saved(blocks, "line-candidates")
-    crowd = saved(blocks.filter("m is not null").select("token", "size", F.explode("m").alias("e")).select("token", "size", "e.*"), "line-crowd")
-    pairs = saved(blocks.filter("pairs is not null").select(F.explode("pairs").alias("p")).select("p.*").distinct(), "line-pairs")
-    words = _at(docs, pairs.select(F.col("a").alias("f")).union(pairs.select("b")).union(crowd.select("first")))
-    gone = verified(words, pairs, percent)
-
-    # Crowded tokens: each line that has no earlier match yet meets the first lines of its token, more of them in every round.
-    begin, width = 0, 1
-    while crowd.filter(F.col("place") > begin + 1).limit(1).count():
-        open_ = crowd.join(gone.select("hash.x").distinct().hint("merge"), "x", "left_anti").filter(F.col("place") > begin + 1)
-        open_ = saved(open_, "line-open")
-        hubs = crowd.filter((F.col("place") > begin) & (F.col("place") <= begin + width)).groupBy("token").agg(F.collect_list(entry).alias("hubs"))
-        hubs = hubs.join(open_.groupBy("token").agg(F.count("*").alias("w")).hint("merge"), "token")
-        n = max(1, open_.count())
-        met = lookup(open_, hubs, "token", "w", n, ["x"]).filter("hubs is not null")
-        met = met.select(F.explode(F.transform(F.filter("hubs", lambda a: (a["place"] < F.col("place")) & may(a, entry)), lambda a: pair(a, entry))).alias("p")).select("p.*").distinct()
-        gone = saved(gone.union(verified(words, saved(met, "line-pairs"), percent)), "line-gone")
-        begin, width = begin + width, min(512, width * 8)
-    gone = gone.groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
+    entries = _entries(_tokens(once, ranks), percent, least).repartition("token")
+    entries = entries.groupBy("token", "x").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("parity").alias("parity"))
+    bounds = _may(percent, *(F.col(f"{s}.{c}") for s in ("a", "b") for c in ("n", "at", "parity")))
+    near = entries.alias("a").join(entries.alias("b").hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.x") != F.col("b.x")) & bounds, "left_semi")
+    near = saved(near.select("x").distinct(), "line-near")
+
+    # The words of these lines; of those that only have copies, whether they are long enough.
+    copies = groups.filter("w > 1")
+    wanted = groups.join(near.withColumn("near", F.lit(True)).hint("shuffle_hash"), F.col("hash.x") == F.col("x"), "left").filter("near or w > 1")
+    texts = plain.join(wanted.select("first", "near", "hash").hint("shuffle_hash"), place.eqNullSafe(F.col("first")) & (F.col("hash") == _hash(F.col("line"))))
+    texts = texts.select(F.col("first").alias("f"), "hash", "hash.x", F.coalesce("near", F.lit(False)).alias("near"), "line").distinct()
+    texts = saved(_tokens(texts, ranks).withColumn("tokens", F.when(F.col("near"), F.col("tokens"))), "line-words")
+    copies = copies.join(texts.filter(F.col("n") >= least).select("hash").hint("merge"), "hash", "left_semi")
+    texts = texts.filter("near").drop("near")
+
+    index = saved(_entries(texts.drop("hash"), percent, least), "line-entries")
+    hubs = index.groupBy("token").agg(F.min(F.struct("f", "x", "n", "at", "parity")).alias("hub"), F.count("*").alias("w")).filter("w > 1")
+    met = index.join(hubs.select("token", "hub").hint("merge"), "token")
+    met = met.filter((F.col("hub.f") < F.col("f")) & _may(percent, *(F.col(s + c) for s in ("hub.", "") for c in ("n", "at", "parity"))))
+    gone = verified(texts, saved(met.select(F.col("hub.x").alias("a"), F.col("x").alias("b")).distinct(), "line-pairs"), percent)
+    later = index.join(gone.select("hash.x").hint("merge"), "x", "left_anti")
+    met = index.alias("a").join(later.alias("b").hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.f") < F.col("b.f")) & bounds)
+    more = verified(texts, saved(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct(), "line-pairs"), percent)
+    gone = gone.union(more).groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
     both = copies.join(gone.hint("merge"), F.col("hash") == F.col("b"), "full")
     return both.select(F.coalesce("hash", "b").alias("hash"), F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("first", "b_first").alias("first"), F.col("b").isNotNull().alias("gone"))
 
 
-def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(f, hash, words) of the lines at those places (f: doc_id, pos); the texts of their documents are shuffled once."""
-    wanted = places.groupBy("f.doc_id").agg(F.collect_set("f.pos").alias("wanted"))  # no more places than the document has lines
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")))
-    split = texts.select("doc_id", F.explode("wanted").alias("pos"), F.split("text", "\n").alias("lines")).select(F.struct("doc_id", "pos").alias("f"), F.get("lines", F.col("pos")).alias("line")).filter("line is not null")
-    return saved(split.select("f", _hash(F.col("line")).alias("hash"), _words(F.col("line")).alias("words")), "line-words")
+def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(hash, first) of the later lines of those pairs (a, b) of lines whose word sets reach the similarity.
 
-
-def verified(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(hash, first) of the later lines of those pairs of places (a, b) whose word sets reach the similarity."""
-    total = pairs.count()
-    for side in ("a", "b"):
-        w = pairs.groupBy(F.col(side).alias("f")).agg(F.count("*").alias("w"))
-        right = words.join(w.hint("merge"), "f").select(F.col("f").alias(side), "w", F.col("words").alias(f"{side}_words"), *([F.col("hash")] if side == "b" else []))
-        pairs = lookup(pairs, right, side, "w", max(1, total), ["b" if side == "a" else "a"])
-    overlap = F.size(F.array_intersect("a_words", "b_words"))
-    return saved(pairs.filter(_overlap(percent, overlap, F.size("a_words"), F.size("b_words"))).groupBy("hash").agg(F.min("b").alias("first")), "line-gone")
+    A line in very many pairs makes a skewed partition of a merge join, which Spark splits as it runs.
+    """
+    a = texts.select(F.col("x").alias("a"), F.col("tokens").alias("a_tokens"), F.col("n").alias("a_n"))
+    b = texts.select(F.col("x").alias("b"), F.col("tokens").alias("b_tokens"), F.col("n").alias("b_n"), "hash", "f")
+    met = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    alike = met.filter(_overlap(percent, F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n"), F.col("b_n")))
+    return saved(alike.groupBy("hash").agg(F.min("f").alias("first")), "line-gone")
 
 
 def removed_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
@@ -139,7 +162,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
     share their places, so a line at the first place of its group stays in each. Other columns are not read.
     """
     groups = saved(similar_lines(docs, percent, least), "line-groups")
-    lines = _lines(docs).filter(F.size(_words(F.col("line"))) >= least).select("doc_id", "pos", _hash(F.col("line")).alias("hash"))
+    lines = _lines(docs).select("doc_id", "pos", _hash(F.col("line")).alias("hash"))
     n = max(1, groups.agg(F.sum("w")).first()[0] or 0)
     known = lookup(lines, groups, "hash", "w", n, ["doc_id", "pos"]).filter("gone is not null")
     goes = F.col("gone") | ~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
