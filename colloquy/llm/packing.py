@@ -9,32 +9,36 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .tokens import blocks, encoder
+from .tokens import BLOCK, blocks, encoder
 from .work import saved
 
 
 def _tokenize(tokenizer: str, end: int):
+    names = ["part", "row", "doc_id", "before", "n", "ids"]
+
     def run(batches):
         part, coder, seen, row = TaskContext.get().partitionId(), encoder(tokenizer), 0, 0
-        mark = np.array([end], coder.dtype).tobytes()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, k in blocks(texts):
-                ids = [x + mark for x in coder.encode(texts[i:k])]
-                n = [len(x) // coder.dtype.itemsize for x in ids]
-                at = np.concatenate([[0], np.cumsum(n)]) + seen
-                seen = int(at[-1])
-                yield pa.record_batch([pa.array([part] * len(n), pa.int32()), pa.array(range(row, row + len(n)), pa.int64()), b.column("doc_id").slice(i, k - i), pa.array(at[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "row", "doc_id", "before", "n", "ids"])
-                row += len(n)
+            texts = b.column("text")
+            for i, k in blocks(texts, BLOCK):
+                flat, n = coder.flat(texts.slice(i, k - i), end)
+                at = np.cumsum(n) - n
+                bounds = np.append(at, len(flat)) * coder.dtype.itemsize
+                ids = pa.Array.from_buffers(pa.large_binary(), k - i, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                own = [pa.array(np.full(k - i, part, np.int32)), pa.array(np.arange(row, row + k - i)), b.column("doc_id").slice(i, k - i)]
+                yield pa.record_batch([*own, pa.array(at + seen), pa.array(n), ids], names=names)
+                seen, row = seen + len(flat), row + k - i
 
     return run
 
 
 def _cut(length: int, keep_ids: bool):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+
     def run(batches):
         for b in batches:
             out = []
-            for doc, first, n, raw in zip(b.column("doc_id").to_pylist(), b.column("first").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            for doc, first, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "first", "n", "ids")), strict=True):
                 wide = raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                 start = 0
                 while start < n:
@@ -44,8 +48,9 @@ def _cut(length: int, keep_ids: bool):
                     out.append((doc, start, size, zlib.crc32(ids), n, sequence, offset, ids if keep_ids else None))
                     start += size
             if out:
-                c = list(zip(*out, strict=True))
-                yield pa.record_batch([*(pa.array(x, pa.int64()) for x in c[:7]), pa.array(c[7], pa.binary())][: 7 + keep_ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + keep_ids])
+                *c, ids = zip(*out, strict=True)
+                rows = [pa.array(x, pa.int64()) for x in c] + [pa.array(ids, pa.binary())]
+                yield pa.record_batch(rows[: 7 + keep_ids], names=names[: 7 + keep_ids])
 
     return run
 

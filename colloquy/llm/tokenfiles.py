@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .tokens import blocks, encoder
+from .tokens import BLOCK, blocks, encoder
 from .work import make_dir, new_path, open_fs, put_file, saved
 
 MANIFEST = "part int, tokens string, index string, n_docs long, n_tokens long, n_sequences long"
@@ -56,12 +56,11 @@ def _writer(folder: str, tokenizer: str, id_column: str, end: int, length: int,
         kind = pa.from_numpy_dtype(coder.dtype)
         schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         paths = [f"{folder}/{name}-{part:06d}.arrow" for name in ("tokens", "index")]
-        ids, starts, sizes, seen = [], [], [], 0
+        ids, sizes, seen = [], [], 0
 
         def tokens(out):
             nonlocal seen
             left, step = np.zeros(0, coder.dtype), length * per_batch
-            mark = np.array([end], coder.dtype).tobytes()
 
             def batch(flat, used):
                 mask = pa.array(np.arange(len(flat)) < used)
@@ -69,31 +68,33 @@ def _writer(folder: str, tokenizer: str, id_column: str, end: int, length: int,
 
             with pa.ipc.new_stream(out, schema) as to:
                 for b in batches:
-                    texts = b.column("text").to_pylist()
+                    texts = b.column("text")
                     ids.append(b.column(id_column))
-                    for i, k in blocks(texts):
-                        rows = [x + mark for x in coder.encode(texts[i:k])]
-                        for x in rows:
-                            starts.append(seen)
-                            sizes.append(len(x) // coder.dtype.itemsize)
-                            seen += sizes[-1]
-                        left = np.concatenate([left, np.frombuffer(b"".join(rows), coder.dtype)])
-                        while len(left) >= step:
-                            to.write_batch(batch(left[:step], step))
-                            left = left[step:]
+                    for i, k in blocks(texts, BLOCK):
+                        flat, n = coder.flat(texts.slice(i, k - i), end)
+                        sizes.append(n)
+                        seen += len(flat)
+                        left = np.concatenate([left, flat])
+                        full = len(left) - len(left) % step
+                        for at in range(0, full, step):
+                            to.write_batch(batch(left[at : at + step], step))
+                        left = left[full:]
                 if len(left):
                     to.write_batch(batch(np.pad(left, (0, -len(left) % length)), len(left)))
 
         put_file(paths[0], tokens)
 
+        n = np.concatenate([np.zeros(0, np.int64), *sizes])
+
         def index(out):
-            table = pa.table({"doc": pa.chunked_array(ids, pa.int64()) if not ids else pa.chunked_array(ids), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())})
+            docs = pa.chunked_array(ids, ids[0].type if ids else pa.int64())
+            table = pa.table({"doc": docs, "start": pa.array(np.cumsum(n) - n), "n_tokens": pa.array(n)})
             with pa.ipc.new_stream(out, table.schema) as to:
                 to.write_table(table, max_chunksize=1 << 16)
 
         put_file(paths[1], index)
-        row = [part, *paths, len(sizes), seen, -(-seen // length)]
-        yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "tokens", "index", "n_docs", "n_tokens", "n_sequences"])
+        row = {"part": part, "tokens": paths[0], "index": paths[1], "n_docs": len(n), "n_tokens": seen, "n_sequences": -(-seen // length)}
+        yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("tokens", pa.string()), ("index", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_tokens", "n_sequences"))]))
 
     return write
 

@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, with the pieces of words that were met before kept in memory."""
+"""Token ids by the tokenizers library, a block of texts at a time: each different word of a block is encoded once."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+#: Bytes of texts that are encoded at once.
+BLOCK = 1 << 23
 #: Fixed value: the pre-tokenizing pattern of byte-level BPE vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -17,10 +21,11 @@ class Encoder:
     """Encodes whole texts as unsigned 16- or 32-bit little-endian ids.
 
     Byte-level BPE treats every piece of its pre-tokenizer apart, so a piece met before has the same ids again;
-    likewise what stands between two single spaces. Other kinds of tokenizer encode each text in full. ``most`` bounds what each of the two memories keeps.
+    likewise what stands between two single spaces. Other kinds of tokenizer encode each text in full. ``most`` bounds
+    what each of the two memories keeps.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,16 +63,15 @@ class Encoder:
         get = self.pieces.__getitem__
         return [b"".join(map(get, r)) for r in rows]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_pieces or not texts:
-            return self.whole(texts)
-        rows = [t.split(" ") for t in texts]
+    def learn(self, chunks: list[str]) -> list[bytes | None]:
+        """The ids of chunks that follow a space; None for those that a piece or an added token may reach over."""
         if len(self.chunks) > self.most:
             self.chunks = {}
         # No piece reaches over a space between two characters that are no white space, nor over the end of an added token.
-        new = set().union(*(r[1:] for r in rows)) - self.chunks.keys()
         plain, stopped, other = set(), [], []
-        for c in new:
+        for c in chunks:
+            if c in self.chunks:
+                continue
             if c.isalpha():
                 plain.add(c)
             elif c[-1:] in self.stops and c[:-1].isalpha():
@@ -76,19 +80,53 @@ class Encoder:
                     plain.add(c[:-1])
             elif c and not c[0].isspace() and not c[-1].isspace() and not any(x in c for x in self.added):
                 other.append(c)
+            else:
+                self.chunks[c] = None
         self.chunks.update(zip(plain, self.apart([" " + c for c in plain]), strict=True))
         for c in stopped:
             self.chunks[c] = self.chunks[c[:-1]] + self.stops[c[-1]]
         self.chunks.update(zip(other, self.by_piece([" " + c for c in other]), strict=True))
-        get, out = self.chunks.__getitem__, []
-        for r, t, first in zip(rows, texts, self.by_piece([r[0] for r in rows]), strict=True):
-            try:
-                if r[0][-1:].isspace() or any(x in r[0] for x in self.added):
-                    raise KeyError
-                out.append(first + b"".join(map(get, r[1:])))
-            except KeyError:
-                out.append(self.whole([t])[0] if any(x in t for x in self.added) else self.by_piece([t])[0])
-        return out
+        return [*map(self.chunks.__getitem__, chunks)]
+
+    def alone(self, text: str) -> bytes:
+        return (self.whole if any(x in text for x in self.added) else self.by_piece)([text])[0]
+
+    def flat(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by ``end``, and how many each text has with it."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        if not self.by_pieces:
+            rows = [np.append(np.frombuffer(x, self.dtype), self.dtype.type(end)) for x in self.whole(texts.to_pylist())]
+            return np.concatenate(rows), np.array([*map(len, rows)])
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        first, words = bounds[:-1], parts.values
+        known = words.dictionary_encode()
+        at, own = known.indices.to_numpy().astype(np.int64), self.learn(known.dictionary.to_pylist())
+        # A text's first word follows no space: it has ids of its own.
+        heads = words.take(pa.array(first)).to_pylist()
+        at[first] = len(own) + np.arange(len(heads))
+        own += [None if h[-1:].isspace() or any(x in h for x in self.added) else ids for h, ids in zip(heads, self.by_piece(heads), strict=True)]
+        whose = np.repeat(np.arange(len(heads)), np.diff(bounds))
+        unsafe = np.fromiter((x is None for x in own), bool, len(own))[at]
+        if unsafe.any():  # these texts go by themselves, in the place of their first word
+            odd = np.unique(whose[unsafe])
+            at[np.isin(whose, odd)] = len(own)
+            at[first[odd]] = len(own) + 1 + np.arange(len(odd))
+            own += [b"", *map(self.alone, texts.take(pa.array(odd)).to_pylist())]
+        own = [x or b"" for x in own]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
+        values, begin = np.frombuffer(b"".join(own), self.dtype), np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = values[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1])]
+        return np.insert(ids, ends[bounds[1:] - 1], self.dtype.type(end)), np.add.reduceat(n, first) + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        ids, n = self.flat(pa.array(texts, pa.string()), 0)
+        ends = np.cumsum(n)
+        return [ids[e - k : e - 1].tobytes() for e, k in zip(ends, n, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -97,13 +135,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def blocks(texts: list[str], most: int = 1 << 21):
-    """Slices of a list of texts of about ``most`` characters, at least one text each."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+def blocks(texts: pa.Array | list[str], most: int = 1 << 21):
+    """Slices of texts of about ``most`` bytes (of a list: characters), at least one text each."""
+    n = [*map(len, texts)] if isinstance(texts, list) else pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    size, begin = np.cumsum(n), 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most, "right")))
+        yield begin, end
+        begin = end

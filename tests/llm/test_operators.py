@@ -31,6 +31,9 @@ def test_encoder_equals_library():
     for i in range(0, len(texts), 300):
         assert e.encode(texts[i : i + 300]) == e.whole(texts[i : i + 300])
     assert e.encode([]) == []
+    pool = "".join(chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(400))
+    wild = ["".join(rng.choices(pool + " " * 60 + ".\n\t", k=rng.randint(0, 80))) for _ in range(2000)]
+    assert e.encode(wild) == e.whole(wild)
 
 
 def test_packing(make, messy):
