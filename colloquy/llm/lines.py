@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .work import lookup, saved
+from .work import drop, lookup, saved
 
 #: log2 of the number of hash buckets in which words are counted for the order by rarity.
 RANK_BITS = 18
@@ -53,22 +53,22 @@ def _overlap(percent: int, overlap: Column, n_a: Column, n_b: Column) -> Column:
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
-def _may(percent: int, n_a: Column, at_a: Column, parity_a: Column, n_b: Column, at_b: Column, parity_b: Column) -> Column:
-    """Two lines with a token at those places could reach the similarity, by three bounds that no similar pair exceeds.
+def _may(percent: int, a: str, b: str) -> Column:
+    """Two entries of one token could be of similar lines, by three bounds that no similar pair exceeds.
 
-    Length: the smaller set has percent / 100 of the larger one's tokens. Position: with this as their first common
-    token they share no more than what follows it. Parity: bit k says whether an odd number of a line's tokens hash to
-    k, so each differing bit is a token that only one of them has.
+    Position: with this as their first common token, lines share no more than what follows it, which bounds the size
+    of the other line (``room``); at a line's first token this is the bound on lengths. Parity: bit k says whether an
+    odd number of a line's tokens hash to k, so each differing bit is a token that only one of the lines has.
     """
-    rest = F.least(n_a - at_a, n_b - at_b)
-    apart = F.bit_count(parity_a.bitwiseXOR(parity_b))
-    fits = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return fits & _overlap(percent, rest, n_a, n_b) & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+    col = lambda side, name: F.col(f"{side}.{name}")
+    apart = F.bit_count(col(a, "even").bitwiseXOR(col(b, "even"))) + F.bit_count(col(a, "odd").bitwiseXOR(col(b, "odd")))
+    fits = (col(a, "room") >= col(b, "n")) & (col(b, "room") >= col(a, "n"))
+    return fits & ((100 + percent) * apart <= (100 - percent) * (col(a, "n") + col(b, "n")))
 
 
 def _tokens(lines: DataFrame, ranks: bytearray) -> DataFrame:
     """In place of lines, their different words as sorted numbers (the rank of the word's bucket, then its hash), how
-    many they are, and whether the number of those in each of 64 buckets is odd."""
+    many they are, and the parities of 128 hash buckets of them: of the even hashes, of the odd ones."""
     low = F.lit((1 << 56) - 1)
 
     def token(w: Column) -> Column:
@@ -78,15 +78,18 @@ def _tokens(lines: DataFrame, ranks: bytearray) -> DataFrame:
 
     tokens = F.array_remove(F.transform(_parts(F.col("line")), token), token(F.lit("")))
     rows = lines.withColumn("tokens", F.sort_array(F.array_distinct(tokens))).drop("line").withColumn("n", F.size("tokens"))
-    return rows.withColumn("parity", F.expr("aggregate(tokens, 0L, (acc, t) -> acc ^ shiftleft(1L, cast(t & 63 as int)))"))
+    bit = "acc ^ shiftleft(1L, cast(shiftright(t, 1) & 63 as int))"
+    return rows.withColumns({name: F.expr(f"aggregate(tokens, 0L, (acc, t) -> if(t & 1 = {k}, {bit}, acc))") for k, name in enumerate(("even", "odd"))})
 
 
 def _entries(lines: DataFrame, percent: int, least: int) -> DataFrame:
-    """The prefix index: a row (token, at) for each of a line's rarest tokens, as many as two similar lines need to
-    share one, in place of the tokens; none for lines of fewer than ``least``."""
+    """The prefix index: a row (token, room) for each of a line's rarest tokens, as many as two similar lines need to
+    share one, in place of the tokens; none for lines of fewer than ``least``. ``room`` is the size of the largest
+    line that can be similar if this is the first token that both have."""
     size = F.when(F.col("n") >= least, F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).otherwise(0).cast("int")
     names = [c for c in lines.columns if c != "tokens"]
-    return lines.select(*names, F.posexplode_outer(F.slice("tokens", 1, size)).alias("at", "token")).filter("token is not null")
+    rows = lines.select(*names, F.posexplode_outer(F.slice("tokens", 1, size)).alias("at", "token")).filter("token is not null")
+    return rows.select(*names, "token", F.floor((100 * F.col("n") - (100 + percent) * F.col("at")) / percent).cast("int").alias("room"))
 
 
 def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
@@ -112,8 +115,8 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
     once = once.filter(F.col("_f").isNull() | F.col("_f").eqNullSafe(F.col("first"))).select("hash.x", "line")
     # Copies of a line share x: 64 bits of its hash, which only has to tell lines of one token apart.
     entries = _entries(_tokens(once, ranks), percent, least).repartition("token")
-    entries = entries.groupBy("token", "x").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("parity").alias("parity"))
-    bounds = _may(percent, *(F.col(f"{s}.{c}") for s in ("a", "b") for c in ("n", "at", "parity")))
+    entries = entries.groupBy("token", "x").agg(*(F.min(c).alias(c) for c in ("n", "room", "even", "odd")))
+    bounds = _may(percent, "a", "b")
     near = entries.alias("a").join(entries.alias("b").hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.x") != F.col("b.x")) & bounds, "left_semi")
     near = saved(near.select("x").distinct(), "line-near")
 
@@ -121,20 +124,20 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
     copies = groups.filter("w > 1")
     wanted = groups.join(near.withColumn("near", F.lit(True)).hint("shuffle_hash"), F.col("hash.x") == F.col("x"), "left").filter("near or w > 1")
     texts = plain.join(wanted.select("first", "near", "hash").hint("shuffle_hash"), place.eqNullSafe(F.col("first")) & (F.col("hash") == _hash(F.col("line"))))
-    texts = texts.select(F.col("first").alias("f"), "hash", "hash.x", F.coalesce("near", F.lit(False)).alias("near"), "line").distinct()
+    texts = texts.select(F.col("first").alias("f"), "hash", "hash.x", F.coalesce("near", F.lit(False)).alias("near"), "line")
     texts = saved(_tokens(texts, ranks).withColumn("tokens", F.when(F.col("near"), F.col("tokens"))), "line-words")
     copies = copies.join(texts.filter(F.col("n") >= least).select("hash").hint("merge"), "hash", "left_semi")
     texts = texts.filter("near").drop("near")
 
     index = saved(_entries(texts.drop("hash"), percent, least), "line-entries")
-    hubs = index.groupBy("token").agg(F.min(F.struct("f", "x", "n", "at", "parity")).alias("hub"), F.count("*").alias("w")).filter("w > 1")
-    met = index.join(hubs.select("token", "hub").hint("merge"), "token")
-    met = met.filter((F.col("hub.f") < F.col("f")) & _may(percent, *(F.col(s + c) for s in ("hub.", "") for c in ("n", "at", "parity"))))
-    gone = verified(texts, saved(met.select(F.col("hub.x").alias("a"), F.col("x").alias("b")).distinct(), "line-pairs"), percent)
+    hubs = index.groupBy("token").agg(F.min(F.struct("f", "x", "n", "room", "even", "odd")).alias("hub"), F.count("*").alias("w")).filter("w > 1")
+    met = index.alias("b").join(hubs.select("token", "hub").hint("merge"), "token").filter((F.col("hub.f") < F.col("b.f")) & _may(percent, "hub", "b"))
+    gone = verified(texts, saved(met.select(F.col("hub.x").alias("a"), F.col("b.x").alias("b")).distinct(), "line-pairs"), percent)
     later = index.join(gone.select("hash.x").hint("merge"), "x", "left_anti")
     met = index.alias("a").join(later.alias("b").hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.f") < F.col("b.f")) & bounds)
-    more = verified(texts, saved(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct(), "line-pairs"), percent)
-    gone = gone.union(more).groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
+    pairs = saved(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct(), "line-pairs")
+    drop(index)
+    gone = gone.union(verified(texts, pairs, percent)).groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
     both = copies.join(gone.hint("merge"), F.col("hash") == F.col("b"), "full")
     return both.select(F.coalesce("hash", "b").alias("hash"), F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("first", "b_first").alias("first"), F.col("b").isNotNull().alias("gone"))
 
@@ -148,7 +151,9 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     b = texts.select(F.col("x").alias("b"), F.col("tokens").alias("b_tokens"), F.col("n").alias("b_n"), "hash", "f")
     met = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
     alike = met.filter(_overlap(percent, F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n"), F.col("b_n")))
-    return saved(alike.groupBy("hash").agg(F.min("f").alias("first")), "line-gone")
+    found = saved(alike.groupBy("hash").agg(F.min("f").alias("first")), "line-gone")
+    drop(pairs)
+    return found
 
 
 def removed_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:

@@ -65,6 +65,13 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def drop(*read: DataFrame) -> None:
+    """Delete the tables that saved() gave as these DataFrames, once nothing will read them again."""
+    for df in read:
+        folders = {f.rpartition("/")[0].removeprefix("file://") for f in df.inputFiles()}
+        release(df.sparkSession, [p for p in _tables if p.removeprefix("file://").rstrip("/") in folders])
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path (local, file:, hdfs: or an object store) and the path in it."""
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
