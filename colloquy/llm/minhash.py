@@ -7,14 +7,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .work import components, lookup, saved
+from .work import components, drop, lookup, saved
 
 WORDS, BANDS, ROWS = 5, 40, 5
 BINS = BANDS * ROWS
-#: Rows of a block of a crowded bucket.
-BLOCK = 256
+#: 64-bit numbers that hold a document's parities.
+PARITIES = 16
+PARITY = [f"p{k}" for k in range(PARITIES)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _TURN = np.array([0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1 | 1 for k in range(max(WORDS, ROWS))], np.uint64)
 
@@ -140,123 +141,103 @@ def _with(pairs: DataFrame, table: DataFrame, side: str, value: str, total: int,
     return lookup(pairs, right.withColumnRenamed("_id", side), side, "_w", total, [other], share)
 
 
-def _blocks(percent: int):
-    """Pairs of two blocks of a bucket that could be linked: other components, sizes and signatures near enough; each
-    pair in the first bucket alone that it shares. Rows come sorted by bucket and blocks; a group has two blocks at most."""
-
-    def pairs(t: pa.Table) -> pa.Table:
-        get = lambda c: t[c].to_numpy()
-        ids, n, comp, block, band, low, high = map(get, ("id", "n", "component", "block", "band", "low", "high"))
-        marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(-1, BINS)
-        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        x, y = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
-        out = []
-        for i in x:
-            j = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i])) & ((low[0] != high[0]) | (y > i))]
-            if len(j):
-                j = j[(marks[j] == marks[i]).mean(axis=1) >= _agree(percent, np.minimum(n[j], n[i]))]
-                j = j[(bands[j, : band[i]] == bands[i, : band[i]]).sum(axis=1) == 0]
-                out.append(np.column_stack([np.full(len(j), i), j]))
-        both = np.concatenate(out) if out else np.zeros((0, 2), int)
-        i, j = both[:, 0], both[:, 1]
-        return pa.table({"a": ids[i], "n_a": n[i], "b": ids[j], "n_b": n[j]})
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            key = np.column_stack([t[c].to_numpy() for c in ("key", "low", "high")])
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for s, e in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
-                yield from pairs(t.slice(s, e - s)).to_batches()
-            held = t.slice(cuts[-1] if len(cuts) else 0).to_batches()
-        if held:
-            yield from pairs(pa.Table.from_batches(held)).to_batches()
-
-    return run
-
-
-def apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of buckets that hold several components, with component, the bucket's size w and their place, and their number."""
+def _parities(batches):
+    """For each document and each of 64 * PARITIES hash buckets, whether it holds an odd number of shingles; and the shingles."""
+    for b in batches:
+        sets = [*map(shingles, b.column("text").to_pylist())]
+        parity = np.zeros((len(sets), PARITIES), np.uint64)
+        for row, s in zip(parity, sets, strict=True):
+            bit = np.bincount((s & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+            row[:] = np.packbits(bit.astype(np.uint8), bitorder="little").view(np.uint64)
+        columns = [pa.array(c) for c in np.ascontiguousarray(parity.T).view(np.int64)]
+        own = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        n = pa.array([len(s) for s in sets], pa.int64())
+        yield pa.record_batch([b.column("id"), b.column("t"), n, *columns, own], names=["id", "t", "n", *PARITY, "shingles"])
+
+
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents of buckets that hold several components: (id, component)."""
     now = members.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("w")).filter("low <> high")
-    mixed = saved(mixed.select("key", "w", F.col("w").alias("m")), "minhash-mixed")
+    mixed = saved(mixed.select("key", "w", F.lit(True).alias("mixed")), "minhash-mixed")
     n = mixed.agg(F.sum("w")).first()[0] or 0
-    rest = lookup(now, mixed, "key", "w", max(1, n), ["id"]).filter("m is not null").withColumnRenamed("m", "w")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id", "n"))
-    return saved(rest.withColumn("place", place), "minhash-apart"), n
+    return saved(lookup(now, mixed, "key", "w", max(1, n), ["id"]).filter("mixed").select("id", "component").distinct(), "minhash-apart")
+
 
+def met_apart(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of those documents in different components that could be linked, and all that are.
 
-def linked(signed: DataFrame, docs: DataFrame, percent: int = 75, hubs: int = 8) -> tuple[DataFrame, DataFrame]:
+    An exact prefix filter: of its shingles in the order of how many of these documents have each, a document shares
+    one of the first few with any that it is linked to. Shingles of its own come first in that order, so a variant
+    that many edits set apart from the rest of its group has few or no entries. Three bounds that no linked pair
+    exceeds follow: sizes and positions, as the first common shingle leaves room for a partner of a certain size; and
+    parities, as a bucket that holds an odd number of shingles of only one of the two is a shingle that the other lacks.
+    """
+    own = texts.join(rest.select("id").hint("shuffle_hash"), "id", "left_semi").withColumn("t", F.xxhash64("text"))  # t: rows may share an id
+    schema = ", ".join(f"{c} long" for c in ("id", "t", "n", *PARITY)) + ", shingles array<long>"
+    known = saved(own.mapInArrow(_parities, schema), "minhash-shingles")
+    each = known.select("id", "t", F.explode("shingles").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = each.join(often.hint("merge"), "h").groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))  # one document's
+    rows = known.drop("shingles").join(shared.hint("merge"), ["id", "t"]).join(rest.hint("merge"), "id")
+    at = F.col("n") - F.col("k") + F.col("i")
+    rows = rows.select("id", "t", "n", "component", *PARITY, F.size("s").alias("k"), F.posexplode("s").alias("i", "x"))
+    entries = rows.withColumn("room", F.floor((100 * F.col("n") - (100 + percent) * at) / percent)).filter(100 * F.col("room") >= percent * F.col("n"))
+    entries = entries.select("id", "n", "component", "room", *PARITY, "x.h")
+    differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in PARITY), F.lit(0))
+    may = (F.col("a.room") >= F.col("b.n")) & (F.col("b.room") >= F.col("a.n")) & ((100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
+    on = (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & may
+    return saved(entries.alias("a").join(entries.alias("b").hint("merge"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "minhash-near")
+
+
+def linked(signed: DataFrame, docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Components over classes of equal sets: (id, component) for linked ones, and the classes (print, id, w).
 
-    Two rounds of star-shaped candidates: in each bucket the documents stand in the order of how much they share with
-    others (the sum of their buckets' sizes), so that the original of a group of copies comes first. In the first
-    round the first document is paired with all others of its bucket, in the second the next ``hubs`` documents, in
-    buckets whose documents lie in several components, with those of other components. Buckets that are still apart
-    then are worked off whole: their documents in blocks, each block against each, comparing signatures; only pairs
-    that come near the threshold leave a task. So no two documents that share a bucket stay unlinked for lack of a
-    test, while a group of copies costs a pair for each.
+    Star-shaped candidates first: in each bucket the document that shares most with others (by the sum of its buckets'
+    sizes), so the original of a group of copies, is paired with all others of the bucket. Documents of buckets that
+    still hold several components then meet by met_apart(), which loses no link. So a group of copies costs a pair for
+    each, and no two documents that share a bucket stay unlinked for lack of a test.
     """
-    classes = saved(signed.filter("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "minhash-classes")
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("w"), *(F.first(c).alias(c) for c in ("n", "bands", "marks")))
+    classes = saved(classes, "minhash-classes")
     rows = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("w")).filter("w > 1").withColumn("size", F.col("w"))
     sizes = saved(sizes, "minhash-buckets")
     total = max(1, sizes.agg(F.sum("w")).first()[0] or 0)
-    members = saved(lookup(rows, sizes, "key", "w", total, ["id"]).filter("size is not null"), "minhash-members")
-    score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    members = saved(members.join(score.hint("merge"), "id"), "minhash-members")
+    found = saved(lookup(rows, sizes, "key", "w", total, ["id"]).filter("size is not null"), "minhash-members")
+    score = found.groupBy("id").agg(F.sum("size").alias("score"))
+    members = saved(found.join(score.hint("merge"), "id"), "minhash-members")
+    drop(found)
     order = F.struct(-F.col("score"), F.col("id"), F.col("n")).alias("o")
     ids = members.select("id").distinct()
-    texts = saved(docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(ids.hint("shuffle_hash"), "id", "left_semi"), "minhash-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(ids.hint("shuffle_hash"), "id", "left_semi")
+    texts = saved(texts, "minhash-texts")
     marks = classes.select("id", "marks")
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs.filter("a <> b").filter(fits).select("a", "b", F.least("n_a", "n_b").alias("n")).distinct(), "minhash-pairs")
-        n = pairs.count()
-        if not n:
-            return pairs
-        near = _with(_with(pairs, marks, "b", "marks", n, 2000), marks, "a", "marks", n, 2000)
-        near = saved(near.mapInArrow(_alike(percent), "a long, b long").distinct(), "minhash-near")
+    def confirmed(near: DataFrame) -> DataFrame:
         n = near.count()
         if not n:
             return near
         both = _with(_with(near, texts, "b", "text", n, 200), texts, "a", "text", n, 200)
-        return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "minhash-links")
+        links = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "minhash-links")
+        drop(near)
+        return links
 
     first = members.groupBy("key").agg(F.min(order).alias("o"))
     first = first.join(sizes.hint("merge"), "key").select("key", "w", F.col("o.id").alias("a"), F.col("o.n").alias("n_a"))
     pairs = lookup(members, first, "key", "w", total, ["id"]).select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    links = tested(pairs)
+    fits = f"a <> b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    pairs = saved(pairs.filter(fits).select("a", "b", F.least("n_a", "n_b").alias("n")).distinct(), "minhash-pairs")
+    n = pairs.count()
+    if n:
+        near = _with(_with(pairs, marks, "b", "marks", n, 2000), marks, "a", "marks", n, 2000)
+        links = confirmed(saved(near.mapInArrow(_alike(percent), "a long, b long").distinct(), "minhash-near"))
+    else:
+        links = pairs.select("a", "b")
     labels = components(links)
-    # A second round with the next hubs of the buckets whose documents are still apart.
-    rest, n = apart(members, labels)
-    if not n:
-        return labels, classes
-    hub = rest.filter(F.col("place").between(2, 1 + hubs)).groupBy("key").agg(F.collect_list(F.struct("id", "n", "component", "place")).alias("hubs"), F.first("w").alias("w"))
-    stars = lookup(rest.drop("w"), hub, "key", "w", n, ["id"]).filter("hubs is not null")
-    far = F.filter("hubs", lambda h: (h["place"] < F.col("place")) & (h["component"] != F.col("component")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))))
-    stars = stars.select("id", "n", F.explode(far).alias("h"))
-    more = tested(stars.select(F.col("h.id").alias("a"), F.col("h.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b")))
-    if more.limit(1).count():
-        links = saved(links.union(more), "minhash-links")
-        labels = components(links)
-        rest, n = apart(members, labels)
-        if not n:
-            return labels, classes
-    # What is left, whole: blocks of a bucket against its other blocks.
-    full = rest.join(classes.select("id", "marks", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")).hint("merge"), "id")
-    last = F.floor((F.col("w") - 1) / BLOCK).cast("int")
-    full = full.withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    full = full.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "id", "n", "component", "marks", "bands")
-    dealt = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    near = dealt.mapInArrow(_blocks(percent), "a long, n_a long, b long, n_b long")
-    more = tested(near)
-    if more.limit(1).count():
+    rest = apart(members, labels)
+    if rest.limit(1).count():
+        more = confirmed(met_apart(rest, texts, percent))
         labels = components(saved(links.union(more), "minhash-links"))
     return labels, classes
 

@@ -25,7 +25,7 @@ class Encoder:
     what each of the two memories keeps.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,11 +64,12 @@ class Encoder:
         return [b"".join(map(get, r)) for r in rows]
 
     def learn(self, chunks: list[str]) -> list[bytes | None]:
-        """The ids of chunks that follow a space; None for those that a piece or an added token may reach over."""
+        """The ids of chunks that follow a space or begin with a line feed; None for those that a piece or an added
+        token may reach over."""
         if len(self.chunks) > self.most:
             self.chunks = {}
-        # No piece reaches over a space between two characters that are no white space, nor over the end of an added token.
-        plain, stopped, other = set(), [], []
+        # No piece reaches over a space or line feed between two characters that are no white space, nor over the end of an added token.
+        plain, stopped, lines, other = set(), [], [], []
         for c in chunks:
             if c in self.chunks:
                 continue
@@ -78,14 +79,15 @@ class Encoder:
                 stopped.append(c)
                 if c[:-1] not in self.chunks:
                     plain.add(c[:-1])
-            elif c and not c[0].isspace() and not c[-1].isspace() and not any(x in c for x in self.added):
-                other.append(c)
+            elif c and not c[-1].isspace() and not any(x in c for x in self.added) and not c[c[0] == "\n"].isspace():
+                (lines if c[0] == "\n" else other).append(c)
             else:
                 self.chunks[c] = None
         self.chunks.update(zip(plain, self.apart([" " + c for c in plain]), strict=True))
         for c in stopped:
             self.chunks[c] = self.chunks[c[:-1]] + self.stops[c[-1]]
         self.chunks.update(zip(other, self.by_piece([" " + c for c in other]), strict=True))
+        self.chunks.update(zip(lines, self.by_piece(lines), strict=True))
         return [*map(self.chunks.__getitem__, chunks)]
 
     def alone(self, text: str) -> bytes:
@@ -98,29 +100,32 @@ class Encoder:
         if not self.by_pieces:
             rows = [np.append(np.frombuffer(x, self.dtype), self.dtype.type(end)) for x in self.whole(texts.to_pylist())]
             return np.concatenate(rows), np.array([*map(len, rows)])
-        parts = pc.split_pattern(texts, " ")
-        bounds = parts.offsets.to_numpy().astype(np.int64)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds = parts.offsets.to_numpy()
         first, words = bounds[:-1], parts.values
         known = words.dictionary_encode()
-        at, own = known.indices.to_numpy().astype(np.int64), self.learn(known.dictionary.to_pylist())
+        at, own = known.indices.to_numpy().copy(), self.learn(known.dictionary.to_pylist())
         # A text's first word follows no space: it has ids of its own.
         heads = words.take(pa.array(first)).to_pylist()
         at[first] = len(own) + np.arange(len(heads))
         own += [None if h[-1:].isspace() or any(x in h for x in self.added) else ids for h, ids in zip(heads, self.by_piece(heads), strict=True)]
-        whose = np.repeat(np.arange(len(heads)), np.diff(bounds))
         unsafe = np.fromiter((x is None for x in own), bool, len(own))[at]
         if unsafe.any():  # these texts go by themselves, in the place of their first word
+            whose = np.repeat(np.arange(len(heads)), np.diff(bounds))
             odd = np.unique(whose[unsafe])
             at[np.isin(whose, odd)] = len(own)
             at[first[odd]] = len(own) + 1 + np.arange(len(odd))
             own += [b"", *map(self.alone, texts.take(pa.array(odd)).to_pylist())]
-        own = [x or b"" for x in own]
+        # A row for each chunk, and one for the end of each text; then the ids of all rows.
+        at = np.insert(at, bounds[1:], len(own))
+        own = [*(x or b"" for x in own), np.array([end], self.dtype).tobytes()]
         size = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
         values, begin = np.frombuffer(b"".join(own), self.dtype), np.cumsum(size) - size
         n = size[at]
         ends = np.cumsum(n)
-        ids = values[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1])]
-        return np.insert(ids, ends[bounds[1:] - 1], self.dtype.type(end)), np.add.reduceat(n, first) + 1
+        place = np.repeat((begin[at] - ends + n).astype(np.int32), n)  # a block has fewer ids than 2 ** 31
+        place += np.arange(ends[-1], dtype=np.int32)
+        return values[place], np.add.reduceat(n, first + np.arange(len(heads)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
