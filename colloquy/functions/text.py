@@ -15,6 +15,11 @@ STOPWORDS = (
 _STOP = "^(" + "|".join(STOPWORDS) + ")$"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "))
 
@@ -65,7 +70,7 @@ def split_qa(text: Column, preview: int = 200) -> tuple[Column, Column]:
 def clean_text(text: Column) -> Column:
     """no control characters but tab and line feed, line feeds for CRLF, two line feeds at most, trimmed."""
     t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
 def split_reasoning(raw: Column) -> tuple[Column, Column]:
@@ -117,64 +122,109 @@ def fts_terms(query: Column) -> Column:
 
 
 def relative_time(ts: Column, as_of: str) -> Column:
-    """how long ago, in whole days of 24 hours."""
+    """how long ago, in whole days of 24 hours; empty for the future."""
     d = F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(ts)) / 86400)
     n = lambda k, unit: F.concat(F.floor(d / k).cast("string"), F.when(F.floor(d / k) == 1, f" {unit} ago").otherwise(f" {unit}s ago"))
-    return F.when(d <= 0, "today").when(d == 1, "yesterday").when(d < 7, n(1, "day")).when(d < 30, n(7, "week")).when(d < 365, n(30, "month")).otherwise(n(365, "year"))
+    return F.when(d < 0, "").when(d == 0, "today").when(d == 1, "yesterday").when(d < 7, n(1, "day")).when(d < 30, n(7, "week")).when(d < 365, n(30, "month")).otherwise(n(365, "year"))
+
+
+#: Patterns of references to the past, in any case.
+MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+HISTORICAL = (
+    rf"last\s*(year|month|week|summer|winter|fall|spring|{MONTHS})",
+    r"(months?|years?|weeks?)\s*ago",
+    rf"in\s*({MONTHS})",
+    r"in\s+\d{4}",
+    r"back\s+when|first\s+time|earliest|originally",
+    r"our\s+(first|earliest|original)\s+(conversation|discussion|chat)",
+)
 
 
-#: Phrases that ask about the past.
-HISTORICAL = r"(first|earliest|originally|used to|long ago|history|last (week|month|year)|back when|remember when)"
+def is_historical(text: Column) -> Column:
+    """any of the patterns occurs."""
+    return text.rlike("(?i)" + "|".join(f"({p})" for p in HISTORICAL))
 
 
-def is_historical(text: Column) -> Column:
-    """F13."""
-    return F.lower(text).rlike(HISTORICAL)
-
-
-#: Intent, pattern, confidence, retrieval depth; a pattern marked short counts only for texts under 60 characters.
-INTENTS = (
-    ("greeting", r"^(hi|hello|hey|good (morning|evening))", 0.9, "none", True),
-    ("farewell", r"^(bye|goodbye|good night|see you)", 0.9, "none", True),
-    ("acknowledgment", r"^(ok|okay|thanks|thank you|got it|great)", 0.85, "none", True),
-    ("continuation", r"^(continue|go on|and then|next)", 0.8, "light", True),
-    ("clarification", r"(what do you mean|clarify|explain that)", 0.8, "light", False),
-    ("emotional", r"(i feel|i'm (sad|happy|tired)|frustrated|worried)", 0.8, "light", False),
-    ("planning", r"(plan|roadmap|next steps|schedule|prioriti)", 0.75, "full", False),
-    ("command", r"^(create|add|update|delete|make|set) ", 0.8, "light", False),
-    ("question", r"(\?|^(what|who|when|where|why|how) )", 0.7, "full", False),
-)
+#: The patterns of each intent, in any case. Those of SHORT must fit a whole message, up to its closing
+#: marks; of the others, CLARIFICATION and COMMAND must begin it, the rest may occur anywhere.
+SHORT = {
+    "greeting": r"hey|hi|hello|howdy|yo|sup|good\s*(morning|afternoon|evening|night)|what'?s\s*up|greetings",
+    "acknowledgment": r"ok(ay)?|got\s*it|thanks?(\s*you)?|cool|nice|great|perfect|understood|right|yep|yup|yeah|sure|absolutely|will\s*do|noted|sounds?\s*good|that('?s|\s+is)\s*(helpful|great|perfect|good)",
+    "farewell": r"bye|goodbye|goodnight|good\s*night|see\s*you|talk\s*(later|soon|tomorrow)|gotta\s*go|heading\s*out|signing\s*off|night|ttyl|later",
+    "continuation": r"tell\s*me\s*more|go\s*on|continue|and(\s*then)?|what\s*else|keep\s*going|more\s*(details?|info(rmation)?)|elaborate",
+}
+CLARIFICATION = r"what\s*(do\s*you|did\s*you|does\s*that)\s*mean|can\s*you\s*(explain|clarify)|i\s*don'?t\s*(understand|get\s*it)|how\s*so|in\s*what\s*(way|sense)"
+COMMAND = r"/\w+"
+ANYWHERE = {
+    "emotional": r"i('?m|\s+am)\s*(feeling|so\s*(tired|sad|frustrated|angry|anxious|overwhelmed))|i\s*(hate|can'?t\s*(do|handle|take))|everything\s*(is|feels)\s*(terrible|hopeless|pointless)|having\s*a\s*(bad|rough|hard|tough)\s*(day|time|week)",
+    "meta": r"how\s*are\s*you|what\s*do\s*you\s*(remember|recall|know\s*about\s*me)|do\s*you\s*remember|what('?s|\s+is)\s*your\s*(status|state)|how('?s|\s+is)\s*(the\s*)?(system|platform|janus)",
+    "planning": r"let'?s\s*(work\s*on|plan|build|design|architect|figure\s*out|think\s*about)|we\s*(need|should)\s*(to|build|create|implement)|(next\s*steps?|roadmap|sprint|milestone)|how\s*should\s*we\s*(approach|handle|implement)",
+    "knowledge": r"what\s*did\s*we\s*(discuss|talk\s*about|decide|agree)|(tell|remind)\s*me\s*about|(remember|recall)\s*when\s*we|what('?s|\s+is|was)\s*(the|our)\s*(plan|decision|conclusion)|search\s*(for|through)|find\s*(the|our)",
+    "creative": r"(write|draft|compose|create|generate|brainstorm|imagine|design)\s",
+}
+#: Retrieval depth of each intent, and whether signals are gathered before the answer.
+ROUTES = {
+    "greeting": ("none", False), "acknowledgment": ("none", False), "farewell": ("none", False), "emotional": ("none", True), "continuation": ("light", False), "clarification": ("light", False),
+    "knowledge": ("full", True), "creative": ("full", True), "planning": ("full", True), "meta": ("light", True), "command": ("none", False),
+}
 
 
-def _intent(text: Column, field: int) -> Column:
-    t, out = F.lower(F.trim(text)), None
-    for row in INTENTS:
-        hit = t.rlike(row[1]) & (F.length(t) < 60) if row[4] else t.rlike(row[1])
-        out = F.when(hit, row[field]) if out is None else out.when(hit, row[field])
-    long, short = {0: ("discussion", "statement"), 2: (0.5, 0.4), 3: ("full", "none")}[field]
-    return out.when(F.length(t) > 20, long).otherwise(short)
+def route(text: Column, turn: Column | int = 0) -> Column:
+    """(intent, confidence, depth, prepass) of a message, by the first rule that fits.
 
+    A slash command; distress anywhere; in messages of under 60 characters the short forms; then clarification, meta,
+    planning, knowledge and creative signals. Otherwise over 20 characters count as knowledge, fewer as
+    acknowledgment. A greeting is surer in the first turns.
+    """
+    t = stripped(text)
+    whole = lambda name: (F.length(t) < 60) & t.rlike(rf"(?i)^({SHORT[name]})[\s!?.]*$")
+    found = lambda name: t.rlike(f"(?i){ANYWHERE[name]}")
+    opening = F.when(F.lit(turn) <= 1 if isinstance(turn, int) else turn <= 1, 0.95).otherwise(0.8)
+    rules = [
+        (t == "", "acknowledgment", 0.9), (t.rlike(f"^{COMMAND}"), "command", 1.0), (found("emotional"), "emotional", 0.8), (whole("greeting"), "greeting", opening), (whole("acknowledgment"), "acknowledgment", 0.9),
+        (whole("farewell"), "farewell", 0.9), (whole("continuation"), "continuation", 0.85), (t.rlike(f"(?i)^({CLARIFICATION})"), "clarification", 0.8), (found("meta"), "meta", 0.8), (found("planning"), "planning", 0.75),
+        (found("knowledge"), "knowledge", 0.75), (found("creative"), "creative", 0.7), (F.length(t) > 20, "knowledge", 0.5), (F.lit(True), "acknowledgment", 0.4),
+    ]
 
-def intent(text: Column) -> Column:
-    """the first rule that fits; without one, by length."""
-    return _intent(text, 0)
+    def result(name: str, confidence) -> Column:
+        depth, prepass = ROUTES[name]
+        return F.struct(F.lit(name).alias("intent"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).cast("double").alias("confidence"), F.lit(depth).alias("depth"), F.lit(prepass).alias("prepass"))
 
+    return functools.reduce(lambda c, r: c.when(r[0], result(*r[1:])), rules[1:], F.when(rules[0][0], result(*rules[0][1:])))
 
-def intent_confidence(text: Column) -> Column:
-    return _intent(text, 2)
 
+def intent(text: Column, turn: Column | int = 0) -> Column:
+    return route(text, turn)["intent"]
 
-def retrieval_depth(text: Column) -> Column:
-    return _intent(text, 3)
 
+def intent_confidence(text: Column, turn: Column | int = 0) -> Column:
+    return route(text, turn)["confidence"]
 
-#: Document types by pattern of path or title.
-DOC_TYPES = (("journal", r"journal|diary"), ("minutes", r"minutes|meeting"), ("spec", r"spec|design|architecture"), ("readme", r"readme"), ("research", r"research|paper|study"))
 
+def retrieval_depth(text: Column) -> Column:
+    return route(text)["depth"]
+
+
+#: Document types, in order, by pattern of title and file name; folders of entries.
+DOC_TYPES = (
+    ("chapter", r"^chapter\b|^chpt\b|^ch\s*\d"),
+    ("conversation", r"conversation|session_\d|^\d{8}"),
+    ("journal", r"journal|diary|log\b"),
+    ("essay", r"essay|paper|thesis|abstract"),
+    ("research", r"research|study|analysis|survey"),
+    ("creative", r"grimoire|spell|illusion|ritual"),
+    ("project_doc", r"protocol|mandate|sprint|mission"),
+    ("documentation", r"readme|changelog|todo|guide"),
+    ("session_notes", r"minutes|book.club"),
+)
+ENTRY_FOLDERS = ("Claude Journal", "Claude_Journal")
 
-def doc_type(text: Column) -> Column:
-    """the first type whose pattern occurs."""
-    return functools.reduce(lambda c, x: c.when(F.lower(text).rlike(x[1]), x[0]), DOC_TYPES[1:], F.when(F.lower(text).rlike(DOC_TYPES[0][1]), DOC_TYPES[0][0])).otherwise("general")
+
+def doc_type(title: Column, path: Column | None = None) -> Column:
+    """the type of a document by its path's folders, then by the first pattern in its title and file name."""
+    text = title if path is None else F.concat(title, F.lit(" "), F.element_at(F.split(path, "/"), -1))
+    entry = F.lit(False) if path is None else functools.reduce(lambda a, b: a | b, (F.contains(path, F.lit(x)) for x in ENTRY_FOLDERS))
+    return functools.reduce(lambda c, x: c.when(text.rlike(f"(?i){x[1]}"), x[0]), DOC_TYPES, F.when(entry, "entry")).otherwise("general")
 
 
 def entity_candidates(text: Column) -> Column:
@@ -195,35 +245,59 @@ def normal_name(name: Column) -> Column:
 def time_of_day(ts: Column) -> Column:
     """F18."""
     h = F.hour(ts)
-    return F.when(h < 5, "night").when(h < 12, "morning").when(h < 17, "afternoon").when(h < 21, "evening").otherwise("night")
+    return F.when(h < 5, "night").when(h < 8, "early morning").when(h < 12, "morning").when(h < 17, "afternoon").when(h < 21, "evening").otherwise("night")
+
+
+def greeting(ts: Column) -> Column:
+    """a greeting for the hour, the evening's at night."""
+    h = F.hour(ts)
+    return F.when((h >= 5) & (h < 12), "Good morning").when((h >= 12) & (h < 17), "Good afternoon").otherwise("Good evening")
 
 
 def season(ts: Column, latitude: float) -> Column:
-    names = ("winter", "spring", "summer", "autumn")
+    names = ("winter", "spring", "summer", "fall")
     k = F.floor(F.month(ts) % 12 / 3) + (0 if latitude >= 0 else 2)
     return F.element_at(F.array(*map(F.lit, names)), (k % 4 + 1).cast("int"))
 
 
 def daylight_hours(ts: Column, latitude: float) -> Column:
     """hours between sunrise and sunset by solar declination; null in polar day and night."""
-    declination = F.radians(F.lit(-23.44)) * F.cos(F.radians(F.lit(360.0) / 365 * (F.dayofyear(ts) + 10)))
+    declination = F.radians(23.45 * F.sin(F.radians(360.0 / 365.0 * (F.dayofyear(ts) - 81))))
     x = -F.tan(F.radians(F.lit(latitude))) * F.tan(declination)
     return F.when(F.abs(x) <= 1, 2 * F.degrees(F.acos(x)) / 15)
 
 
+def sunrise_sunset(ts: Column, latitude: float, longitude: float, utc_offset: float = 0.0) -> tuple[Column, Column]:
+    """sunrise and sunset in hours after midnight of the local clock; null in polar day and night."""
+    noon, half = 12 + (utc_offset * 15 - longitude) / 15, daylight_hours(ts, latitude) / 2
+    return noon - half, noon + half
+
+
+#: Mean lowest and highest temperature of each month, Fahrenheit.
+CLIMATE = ((-2, 17), (3, 23), (16, 36), (30, 53), (43, 67), (53, 76), (58, 82), (55, 80), (44, 69), (31, 55), (17, 36), (2, 21))
+
+
 def celsius(fahrenheit: Column) -> Column:
     """F20."""
     return (fahrenheit - 32) * 5 / 9
 
 
-#: Statuses by the words people use.
-STATUS_WORDS = {"done": "completed", "finished": "completed", "complete": "completed", "started": "in_progress", "working": "in_progress", "blocked": "blocked", "stuck": "blocked", "shipped": "shipped", "archived": "archived"}
+def climate(ts: Column) -> tuple[Column, Column]:
+    """the month's mean lowest and highest temperature, in Fahrenheit."""
+    at = lambda k: F.element_at(F.array(*(F.lit(m[k]) for m in CLIMATE)), F.month(ts))
+    return at(0), at(1)
+
+
+#: The words after "to", "as" or "is" that name a status, and what they are stored as if not as they stand.
+STATUS_PATTERN = r"(?:to|as|is)\s+(done|complete|finished|shipped|in.?progress|started|blocked|not.?started|planning|review|archived|pending|processing|failed)"
+STATUS_WORDS = {"done": "completed", "complete": "completed", "finished": "completed", "started": "in_progress"}
 
 
 def status_enum(text: Column) -> Column:
-    """the status that the first such word of a phrase means."""
-    word = F.regexp_extract(F.lower(text), "(" + "|".join(STATUS_WORDS) + ")", 1)
-    return functools.reduce(lambda c, w: c.when(word == w, STATUS_WORDS[w]), STATUS_WORDS, F.when(F.lit(False), F.lit(None).cast("string")))
+    """the stored form of the status that a phrase names; null without one."""
+    word = F.lower(F.regexp_extract(text, "(?i)" + STATUS_PATTERN, 1))
+    known = functools.reduce(lambda c, w: c.when(word == w, STATUS_WORDS[w]), STATUS_WORDS, F.when(word == "", F.lit(None).cast("string")))
+    return known.otherwise(F.regexp_replace(word, "[ -]", "_"))
 
 
 def split_tokens(total: Column, reasoning: Column, response: Column) -> Column:
@@ -232,21 +306,36 @@ def split_tokens(total: Column, reasoning: Column, response: Column) -> Column:
     return F.when(n > 0, F.floor(total * F.length(reasoning) / n)).otherwise(F.lit(0))
 
 
-def quality_score(prompt: Column, response: Column) -> Column:
-    """0.5, changed by word count, prompt-to-response ratio, repeated four-word runs and boilerplate; 0 to 1."""
-    w = F.filter(F.split(F.lower(response), "[ \n]+"), lambda x: x != "")
-    n = F.size(w)
-    runs = F.when(n >= 4, F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 4), " "))).otherwise(F.array().cast("array<string>"))
-    repeated = F.size(runs) - F.size(F.array_distinct(runs))
-    score = F.lit(0.5) + F.when(n < 5, -0.3).when(n < 20, -0.1).when(n > 100, 0.2).otherwise(0.1)
-    score = score + F.when(F.length(response) < F.length(prompt), -0.1).otherwise(0.05)
-    score = score - F.least(F.lit(0.3), repeated * 0.05) - F.when(F.lower(response).rlike("as an ai|i cannot|i'm sorry"), 0.2).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
+#: Phrases that say nothing.
+BOILERPLATE = ("i hope this helps", "let me know if", "feel free to", "i'd be happy to", "is there anything else")
+
+
+def quality_score(prompt: Column, response: Column, reasoning: Column | None = None) -> Column:
+    """from 0.5 up for reasoning and substance, down for terse, repetitive and boilerplate responses; 0 to 1, and 0
+    without a response. Time is linear in the response (but for a sort of its four-word runs)."""
+    size = lambda text: F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
+    w = F.filter(F.split(F.lower(response), r"\s+"), lambda x: x != "")
+    n, asked = F.size(w), F.when(F.length(F.coalesce(prompt, F.lit(""))) > 0, size(prompt)).otherwise(1)
+    rest = lambda k: F.slice(w, k + 1, F.greatest(n - k, F.lit(0)))
+    runs = F.slice(F.arrays_zip(w.alias("a"), rest(1).alias("b"), rest(2).alias("c"), rest(3).alias("d")), 1, F.greatest(n - 3, F.lit(0)))
+    runs = F.sort_array(F.transform(runs, lambda r: F.concat_ws(" ", r["a"], r["b"], r["c"], r["d"])))
+    # In sorted order, a run that occurs three times or more equals the one two places on.
+    thrice = F.filter(F.arrays_zip(runs.alias("x"), F.slice(runs, 3, F.greatest(n, F.lit(0))).alias("y")), lambda r: r["x"] == r["y"])
+    repeated = F.size(F.array_distinct(F.transform(thrice, lambda r: r["x"])))
+    phrases = sum((F.contains(F.lower(response), F.lit(p)).cast("int") for p in BOILERPLATE), F.lit(0))
+    score = F.lit(0.5)
+    if reasoning is not None:
+        k = F.coalesce(F.length(reasoning), F.lit(0))
+        score = score + F.when(k > 500, 0.2).when(k > 100, 0.1).when(k > 0, 0.05).otherwise(0.0)
+    score = score + F.when(n < 10, -0.15).when(n > 100, 0.1).otherwise(0.0)
+    score = score - F.when((asked > 20) & (n / F.greatest(asked, F.lit(1)) < 0.3), 0.1).otherwise(0.0)
+    score = score - F.when((n > 20) & (repeated > 3), 0.15).otherwise(0.0) - F.when(phrases >= 2, 0.1).otherwise(0.0)
+    return F.when(F.length(F.coalesce(response, F.lit(""))) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 3))))
 
 
 def salience_floor(quality: Column) -> Column:
     """the least salience by band of quality."""
-    return F.when(quality >= 0.8, 0.6).when(quality >= 0.6, 0.4).when(quality >= 0.3, 0.2).otherwise(0.0)
+    return F.when(quality >= 0.9, 0.9).when(quality >= 0.8, 0.7).when(quality >= 0.7, 0.6).when(quality >= 0.5, 0.3).otherwise(0.0)
 
 
 def attribution(title: Column, position: Column, age: Column) -> Column:

@@ -58,21 +58,23 @@ def conversation_similarity(points: DataFrame, least: float = 0.55, k: int = 5,
     return top_k(means, ["conversation_id"], [F.desc("weight"), F.col("other")], k)
 
 
-def keyword_similarity(rows: DataFrame, least: float = 0.3) -> DataFrame:
-    """(a, b, jaccard) of messages (message_id, conversation_id, keywords) of different conversations, exact.
+def keyword_similarity(rows: DataFrame, least: float = 0.3, quality: float = 0.5) -> DataFrame:
+    """(a, b, jaccard, shared) of messages (message_id, conversation_id, keywords, quality_score) of different
+    conversations and of a quality over ``quality``, exact; shared: their common keywords, sorted.
 
     Messages meet at the keywords of their prefixes, rarest first, so that similar ones meet at the rarest keyword that
     they share; there alone the whole sets are compared. The pairs of a crowded keyword are dealt over blocks.
     """
+    rows = rows.filter(F.col("quality_score") > quality)
     words = rows.select("message_id", "conversation_id", F.explode(F.array_distinct(F.array_compact("keywords"))).alias("k"))
     df = words.groupBy("k").agg(F.count("*").alias("df"))
-    sets = words.join(df, "k").groupBy("message_id", "conversation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "k"))), lambda s: s["k"]).alias("set"))
+    sets = words.join(df.hint("merge"), "k").groupBy("message_id", "conversation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "k"))), lambda s: s["k"]).alias("set"))
     n = F.size("set")
     prefix = F.slice("set", F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int"))  # rounding must not shorten it
     pairs, _ = pairs_within(sets.select(F.struct("message_id", "conversation_id", "set").alias("m"), F.explode(prefix).alias("k")), "k", "m")
     pairs = pairs.filter("a.conversation_id <> b.conversation_id").withColumn("both", F.array_intersect("a.set", "b.set")).filter(F.get("both", F.lit(0)) == F.col("k"))
     shared = F.size("both")
-    return pairs.select(F.col("a.message_id").alias("a"), F.col("b.message_id").alias("b"), (shared / (F.size("a.set") + F.size("b.set") - shared)).alias("jaccard")).filter(F.col("jaccard") >= least)
+    return pairs.select(F.col("a.message_id").alias("a"), F.col("b.message_id").alias("b"), (shared / (F.size("a.set") + F.size("b.set") - shared)).alias("jaccard"), F.sort_array("both").alias("shared")).filter(F.col("jaccard") >= least)
 
 
 def project(messages: DataFrame, items: DataFrame, tasks: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, stripped
 
 
 def _islands(turns: DataFrame) -> DataFrame:
@@ -39,10 +39,10 @@ def clean_thought(text: Column) -> Column:
 
 def document_heads(docs: DataFrame) -> DataFrame:
     """(id, title, word_count): a heading among the first five lines, else the id; texts are trimmed, empty ones dropped."""
-    text = F.trim(F.col("content"))
+    text = stripped(F.col("content"))
     head = F.array_join(F.slice(F.split(text, "\n"), 1, 5), "\n")
     title = F.regexp_extract(head, r"(?m)^#{1,3} +(.+)$", 1)
-    words = F.size(F.filter(F.split(text, "[ \n]+"), lambda w: w != "")).cast("long")
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
     return docs.filter(F.length(text) > 0).select("id", F.when(title != "", title).otherwise(F.col("id").cast("string")).alias("title"), words.alias("word_count"))
 
 

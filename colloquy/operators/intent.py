@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import intent, intent_confidence, status_enum
+from ..functions.text import route, status_enum
 
 ENTRY = "map<string, struct<confidence: double, seen: int, first: int, last: int>>"
 
@@ -26,7 +26,9 @@ def advance(state: dict, name: str, confidence: float, turn: int, weight: float
 
 def observed(messages: DataFrame) -> DataFrame:
     """(conversation_id, sequence, name, confidence) of every message's intent."""
-    return messages.select("conversation_id", F.col("sequence").cast("int").alias("sequence"), intent(F.col("user_prompt")).alias("name"), intent_confidence(F.col("user_prompt")).alias("confidence"))
+    turn = F.col("sequence").cast("int")
+    rows = messages.select("conversation_id", turn.alias("sequence"), route(F.col("user_prompt"), turn).alias("r"))
+    return rows.select("conversation_id", "sequence", F.col("r.intent").alias("name"), "r.confidence")
 
 
 def hypotheses(messages: DataFrame, weight: float = 0.3, fade: float = 0.15, least: float = 0.05) -> DataFrame:
@@ -62,12 +64,15 @@ def gates(states: DataFrame) -> DataFrame:
 
 
 def retrospectives(states: DataFrame, every: int = 5) -> DataFrame:
-    """(conversation_id, sequence, name, finding) at every fifth turn: sustained, drift, escalation."""
-    w = Window.partitionBy("conversation_id", "name").orderBy("sequence")
-    s = states.withColumn("before", F.lag("confidence", 3).over(w))
-    drift = (F.col("confidence") > 0.6) & (F.col("before") < 0.3) & (F.col("sequence") - F.col("first") > 2)
-    finding = F.when((F.col("seen") >= 3) & (F.col("last") - F.col("first") >= 2), "sustained").when(drift, "drift").when((F.col("seen") >= 2) & (F.col("confidence") > 0.4), "escalation")
-    return s.filter(F.col("sequence") % every == 0).withColumn("finding", finding).filter("finding is not null").select("conversation_id", "sequence", "name", "finding")
+    """(conversation_id, sequence, name, finding) at every fifth turn, a row for each finding: a mode sustained over
+    three turns or more, an emotional pattern that escalates, an intent that was weak in the three turns before."""
+    w = Window.partitionBy("conversation_id", "name").orderBy("sequence").rangeBetween(-3, -1)
+    s = states.withColumn("weakest", F.min("confidence").over(w))
+    sustained = (F.col("seen") >= 3) & (F.col("last") - F.col("first") >= 2)
+    escalates = (F.col("name") == "emotional") & (F.col("seen") >= 2) & (F.col("confidence") > 0.4)
+    drift = (F.col("seen") >= 2) & (F.col("confidence") > 0.6) & (F.col("weakest") < 0.3) & (F.col("first") < F.col("sequence") - 2)
+    found = F.array_compact(F.array(F.when(sustained, "sustained"), F.when(escalates, "escalation"), F.when(drift, "drift")))
+    return s.filter(F.col("sequence") % every == 0).select("conversation_id", "sequence", "name", F.explode(found).alias("finding"))
 
 
 def recommend_actions(messages: DataFrame, items: DataFrame, act: float = 0.75, confirm: float = 0.5) -> DataFrame:

@@ -12,17 +12,19 @@ def score_unscored(messages: DataFrame, metadata: DataFrame, n: int = 10) -> Dat
     todo = messages.join(metadata.filter("quality_score is null").select("message_id"), "message_id", "left_semi")
     words = keywords(todo.select(F.col("message_id").alias("id"), F.concat_ws(" ", "user_prompt", "model_response").alias("text")), n)
     words = words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda s: s["keyword"]).alias("keywords"))
-    score = F.when((F.length("user_prompt") == 0) & (F.length("model_response") == 0), 0.0).otherwise(quality_score(F.col("user_prompt"), F.col("model_response")))
+    score = quality_score(F.col("user_prompt"), F.col("model_response"))
     own = todo.select("message_id", score.alias("quality_score"))
     return own.join(words, own.message_id == words.id, "left").select("message_id", "quality_score", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def propagate_salience(points: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Q2: (point_id, salience) from the quality of the point's message; points without a score keep theirs."""
-    both = points.join(metadata.select("message_id", "quality_score"), "message_id", "left")
+    """Q2: (point_id, salience) from the quality of the point's message; points without a score keep theirs. An
+    evaluated salience_score of the metadata, where there is one, goes before what quality makes of the point's own."""
+    evaluated = F.col("salience_score") if "salience_score" in metadata.columns else F.lit(None).cast("double")
+    both = points.join(metadata.select("message_id", "quality_score", evaluated.alias("_evaluated")), "message_id", "left")
     s, q = F.col("salience"), F.col("quality_score")
-    new = F.when(q < 0.15, s * 0.3).when(q < 0.4, s * 0.7).when(q > 0.7, s + 0.1).otherwise(s)
-    clipped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), new)), 4)
+    derived = F.when(q < 0.15, s * 0.3).when(q < 0.4, s * 0.7).when(q > 0.7, s + 0.1).otherwise(s)
+    clipped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_evaluated", derived))), 4)
     return both.select("point_id", F.when(q.isNull(), s).otherwise(F.greatest(clipped, salience_floor(q))).alias("salience"))
 
 

@@ -150,13 +150,26 @@ def coverage(messages: DataFrame, metadata: DataFrame, chunked: DataFrame) -> Da
     return both.agg(F.count("*").alias("messages"), F.count("quality_score").alias("scored"), F.count_if(F.size("keywords") > 0).alias("keyworded"), F.count("c").alias("chunked"))
 
 
-def alerts(cover: DataFrame) -> DataFrame:
-    """M5: (level, message): rules over coverage; a single ok where none applies."""
-    rule = lambda cond, level, text: F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(text).alias("message")))
-    rules = F.array(rule(F.col("scored") * 2 < F.col("messages"), "warning", "less than half scored"), rule(F.col("scored") < F.col("messages"), "info", "unscored messages"), rule(F.col("chunked") * 10 < F.col("messages"), "info", "few chunked messages"))
-    found = F.filter(rules, lambda r: r.isNotNull())
-    none = F.array(F.struct(F.lit("ok").alias("level"), F.lit("all good").alias("message")))
-    return cover.select(F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("a")).select("a.level", "a.message")
+def alerts(messages: DataFrame, metadata: DataFrame, points: DataFrame, nodes: DataFrame, runs: DataFrame, collections: list, cycles: list[str]) -> DataFrame:
+    """M5: (level, message), a row for each rule that applies, a single ok where none does.
+
+    Rules: cycles that ran without output (runs: name, n), collections without points, a graph without nodes, messages
+    without metadata. Every rule is a count of one table.
+    """
+    spark = messages.sparkSession
+    own = runs.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 0").select("name")
+    idle = spark.createDataFrame([(i, c) for i, c in enumerate(cycles)], "i int, name string").join(own.hint("merge"), "name", "left_anti")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda s: s["name"]), ", ")
+    idle = idle.agg(F.count("*").alias("n"), names.alias("names")).filter("n > 0").select(F.lit("warning").alias("level"), F.concat(F.lit("cycles producing 0 output: "), "names").alias("message"))
+    held = points.select(F.col("collection").cast("string").alias("name")).distinct()
+    empty = spark.createDataFrame([(str(c),) for c in collections], "name string").join(held.hint("merge"), "name", "left_anti")
+    empty = empty.select(F.lit("warning"), F.concat(F.lit("collection '"), "name", F.lit("' has 0 points")))
+    bare = nodes.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("warning"), F.lit("graph has 0 nodes"))
+    missing = messages.join(metadata.select("message_id").hint("merge"), "message_id", "left_anti").agg(F.count("*").alias("n")).filter("n > 0")
+    missing = missing.select(F.lit("warning"), F.concat(F.col("n").cast("string"), F.lit(" messages missing metadata")))
+    found = idle.union(empty).union(bare).union(missing)
+    none = found.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("ok"), F.lit("All systems healthy"))
+    return found.union(none)
 
 
 def gate_report(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as T
 from ..operators import chunks, entities as E, graph as G, ingest as N, intent as I, quality as Q, report as M, retrieve as R
 from . import bindings as B
-from .sql import AS_OF, STOP, doc_type_case, historical, intent_case, status_case, with_
+from .sql import AS_OF, DEPTH, PREPASS, STOP, doc_type_case, historical, intent_sql, status_case, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -48,7 +48,7 @@ def last_response_turns(s, d):
     return N.google_turns(B.table(s, d, "conversations"))
 
 
-@query("", r"""SELECT doc_id AS id, doc_id::VARCHAR AS title, len(list_filter(regexp_split_to_array(trim(text), '[ \n]+'), lambda w: w <> '')) AS word_count FROM documents WHERE length(trim(text)) > 0""")
+@query("", r"""SELECT doc_id AS id, doc_id::VARCHAR AS title, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word_count FROM documents WHERE regexp_matches(text, '\S')""")
 def document_heads(s, d):
     return N.document_heads(B.documents(s, d))
 
@@ -277,7 +277,7 @@ def split_messages(s, d):
     return own.select("message_id", prompt.alias("prompt"), response.alias("response"))
 
 
-@query("", r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents")
+@query("", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def cleaned_texts(s, d):
     return docs(s, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
@@ -288,15 +288,15 @@ def message_keywords(s, d):
     return T.keywords(own, 10).select("id", "keyword", "times", *long("place"))
 
 
-@query("messages", f"SELECT message_id, CASE WHEN dd <= 0 THEN 'today' WHEN dd = 1 THEN 'yesterday' WHEN dd < 7 THEN dd || ' days ago' WHEN dd < 14 THEN '1 week ago' WHEN dd < 30 THEN (dd // 7) || ' weeks ago' WHEN dd < 60 THEN '1 month ago' ELSE (dd // 30) || ' months ago' END AS ago FROM (SELECT message_id, floor((epoch({AS_OF}) - epoch(created_at)) / 86400)::BIGINT AS dd FROM messages)")
+@query("messages", f"SELECT message_id, CASE WHEN dd < 0 THEN '' WHEN dd = 0 THEN 'today' WHEN dd = 1 THEN 'yesterday' WHEN dd < 7 THEN dd || ' days ago' WHEN dd < 14 THEN '1 week ago' WHEN dd < 30 THEN (dd // 7) || ' weeks ago' WHEN dd < 60 THEN '1 month ago' ELSE (dd // 30) || ' months ago' END AS ago FROM (SELECT message_id, floor((epoch({AS_OF}) - epoch(created_at)) / 86400)::BIGINT AS dd FROM messages)")
 def relative_times(s, d):
     return B.messages(s, d).select("message_id", T.relative_time(F.col("created_at"), B.AS_OF).alias("ago"))
 
 
-@query("messages", f"SELECT message_id, {intent_case('user_prompt', 0)} AS intent, {intent_case('user_prompt', 2)} AS confidence, {intent_case('user_prompt', 3)} AS depth, {historical('user_prompt')} AS historical FROM messages")
+@query("messages", f"SELECT message_id, i[1] AS intent, i[2]::DOUBLE AS confidence, {DEPTH.format('i[1]')} AS depth, {PREPASS.format('i[1]')} AS prepass, historical FROM (SELECT message_id, {intent_sql('user_prompt')} AS i, {historical('user_prompt')} AS historical FROM messages)")
 def message_intents(s, d):
     p = F.col("user_prompt")
-    return B.messages(s, d).select("message_id", T.intent(p).alias("intent"), T.intent_confidence(p).cast("double").alias("confidence"), T.retrieval_depth(p).alias("depth"), T.is_historical(p).alias("historical"))
+    return B.messages(s, d).select("message_id", T.route(p).alias("r"), T.is_historical(p).alias("historical")).select("message_id", "r.*", "historical")
 
 
 @query("", f"SELECT doc_id, {doc_type_case('text')} AS doc_type FROM documents")
@@ -309,11 +309,18 @@ def normal_names(s, d):
     return B.entities(s, d, True).select("id", T.normal_name(F.col("name")).alias("name"))
 
 
-@query("", """SELECT event_id, CASE WHEN h < 5 THEN 'night' WHEN h < 12 THEN 'morning' WHEN h < 17 THEN 'afternoon' WHEN h < 21 THEN 'evening' ELSE 'night' END AS part, ['winter', 'spring', 'summer', 'autumn'][(m % 12) // 3 + 1] AS season,
-    round(2 * degrees(acos(-tan(radians(52.5)) * tan(radians(-23.44) * cos(radians(360.0 / 365 * (dy + 10)))))) / 15, 6) AS daylight FROM (SELECT event_id, hour(ts) AS h, month(ts) AS m, dayofyear(ts) AS dy FROM events)""")
+@query("", """SELECT event_id, CASE WHEN h BETWEEN 5 AND 7 THEN 'early morning' WHEN h BETWEEN 8 AND 11 THEN 'morning' WHEN h BETWEEN 12 AND 16 THEN 'afternoon' WHEN h BETWEEN 17 AND 20 THEN 'evening' ELSE 'night' END AS part,
+    CASE WHEN h BETWEEN 5 AND 11 THEN 'Good morning' WHEN h BETWEEN 12 AND 16 THEN 'Good afternoon' ELSE 'Good evening' END AS greeting,
+    CASE WHEN m IN (12, 1, 2) THEN 'winter' WHEN m < 6 THEN 'spring' WHEN m < 9 THEN 'summer' ELSE 'fall' END AS season, round(2 * half, 6) AS daylight, round(noon - half, 6) AS sunrise, round(noon + half, 6) AS sunset,
+    [-2, 3, 16, 30, 43, 53, 58, 55, 44, 31, 17, 2][m] AS low, [17, 23, 36, 53, 67, 76, 82, 80, 69, 55, 36, 21][m] AS high
+    FROM (SELECT *, degrees(acos(-tan(radians(52.5)) * tan(radians(23.45 * sin(radians(360.0 / 365 * (dy - 81))))))) / 15 AS half, 12 + (1.0 * 15 - 13.4) / 15 AS noon FROM (SELECT event_id, hour(ts) AS h, month(ts) AS m, dayofyear(ts) AS dy FROM events))""")
 def event_seasons(s, d):
     t = F.col("ts")
-    return B.table(s, d, "events").select("event_id", T.time_of_day(t).alias("part"), T.season(t, 52.5).alias("season"), F.round(T.daylight_hours(t, 52.5), 6).alias("daylight"))
+    rise, fall = T.sunrise_sunset(t, 52.5, 13.4, 1.0)
+    low, high = T.climate(t)
+    plain = [T.time_of_day(t).alias("part"), T.greeting(t).alias("greeting"), T.season(t, 52.5).alias("season"), low.alias("low"), high.alias("high")]
+    hours = [F.round(c, 6).alias(n) for n, c in (("daylight", T.daylight_hours(t, 52.5)), ("sunrise", rise), ("sunset", fall))]
+    return B.table(s, d, "events").select("event_id", *plain, *hours)
 
 
 @query("messages", f"SELECT message_id, {status_case('user_prompt')} AS status FROM messages")
@@ -326,9 +333,11 @@ def token_split(s, d):
     return B.messages(s, d).select("message_id", T.split_tokens(F.lit(1000), F.col("user_prompt"), F.col("model_response")).cast("long").alias("tokens"))
 
 
-@query("messages", r"""SELECT message_id, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN n < 5 THEN -0.3 WHEN n < 20 THEN -0.1 WHEN n > 100 THEN 0.2 ELSE 0.1 END + CASE WHEN length(model_response) < length(user_prompt) THEN -0.1 ELSE 0.05 END
-    - least(0.3, (len(runs) - len(list_distinct(runs))) * 0.05) - CASE WHEN regexp_matches(lower(model_response), 'as an ai|i cannot|i''m sorry') THEN 0.2 ELSE 0.0 END)), 3)::DOUBLE AS score
-    FROM (SELECT *, CASE WHEN n >= 4 THEN list_transform(range(1, n - 2), lambda i: array_to_string(w[i:i+3], ' ')) ELSE [] END AS runs FROM (SELECT *, len(w) AS n FROM (SELECT *, list_filter(regexp_split_to_array(lower(model_response), '[ \n]+'), lambda x: x <> '') AS w FROM messages)))""")
+@query("messages", r"""SELECT message_id, CASE WHEN model_response = '' THEN 0.0 ELSE greatest(0.0, least(1.0, round(0.5 + CASE WHEN n < 10 THEN -0.15 WHEN n > 100 THEN 0.1 ELSE 0 END - CASE WHEN np > 20 AND n / np < 0.3 THEN 0.1 ELSE 0 END
+    - CASE WHEN n > 20 AND coalesce(repeated, 0) > 3 THEN 0.15 ELSE 0 END - CASE WHEN phrases >= 2 THEN 0.1 ELSE 0 END, 3))) END::DOUBLE AS score
+    FROM (SELECT *, len(w) AS n, CASE WHEN user_prompt = '' THEN 1 ELSE len(list_filter(regexp_split_to_array(user_prompt, '\s+'), lambda x: x <> '')) END AS np, len(list_filter(['i hope this helps', 'let me know if', 'feel free to', 'i''d be happy to', 'is there anything else'], lambda p: contains(lower(model_response), p))) AS phrases
+        FROM (SELECT *, list_filter(regexp_split_to_array(lower(model_response), '\s+'), lambda x: x <> '') AS w FROM messages)) m
+    LEFT JOIN (SELECT message_id, count(*) AS repeated FROM (SELECT message_id, run FROM (SELECT message_id, array_to_string(w[i:i + 3], ' ') AS run FROM (SELECT message_id, list_filter(regexp_split_to_array(lower(model_response), '\s+'), lambda x: x <> '') AS w FROM messages), unnest(range(1, len(w) - 2)) t(i)) GROUP BY 1, 2 HAVING count(*) > 2) GROUP BY 1) USING (message_id)""")
 def quality_scores(s, d):
     return B.messages(s, d).select("message_id", T.quality_score(F.col("user_prompt"), F.col("model_response")).alias("score"))
 
@@ -485,11 +494,11 @@ def betweenness_centrality(s, d):
     return G.betweenness(G.cooccurrence(B.mentions(s, d, "l_partkey"), "message_id")).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query("metadata", """, k AS (SELECT message_id, conversation_id, unnest(keywords) AS k FROM metadata JOIN messages USING (message_id)), rare AS (SELECT k FROM k GROUP BY k HAVING count(*) <= 1000), w AS (SELECT k.* FROM k JOIN rare USING (k)), n AS (SELECT message_id, count(*) AS n FROM w GROUP BY message_id)
-    SELECT a, b, round(s / (x.n + y.n - s), 6) AS jaccard FROM (SELECT p.message_id AS a, q.message_id AS b, count(*) AS s FROM w p JOIN w q ON p.k = q.k AND p.message_id < q.message_id AND p.conversation_id <> q.conversation_id GROUP BY 1, 2) JOIN n x ON x.message_id = a JOIN n y ON y.message_id = b WHERE s / (x.n + y.n - s) >= 0.1""")
+@query("metadata", """, w AS (SELECT message_id, conversation_id, unnest(keywords) AS k FROM metadata JOIN messages USING (message_id) WHERE quality_score > 0.5), n AS (SELECT message_id, count(*) AS n FROM w GROUP BY message_id)
+    SELECT a, b, round(s / (x.n + y.n - s), 6) AS jaccard, shared FROM (SELECT p.message_id AS a, q.message_id AS b, count(*) AS s, string_agg(p.k, ',' ORDER BY p.k) AS shared FROM w p JOIN w q ON p.k = q.k AND p.message_id < q.message_id AND p.conversation_id <> q.conversation_id GROUP BY 1, 2) JOIN n x ON x.message_id = a JOIN n y ON y.message_id = b WHERE s / (x.n + y.n - s) >= 0.3""")
 def similar_messages(s, d):
     rows = B.metadata(s, d).join(B.messages(s, d).select("message_id", "conversation_id"), "message_id")
-    return G.keyword_similarity(rows, 0.1).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return G.keyword_similarity(rows).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.array_join("shared", ",").alias("shared"))
 
 
 @query("points", """, f AS (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, point_id) <= 3), u AS (SELECT conversation_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM f),
@@ -591,12 +600,13 @@ def linked_entities(s, d):
 # Quality and lifecycle
 
 
-@query("metadata", r"""SELECT message_id, greatest(round(greatest(0.0, least(1.0, CASE WHEN q < 0.15 THEN 0.5 * 0.3 WHEN q < 0.4 THEN 0.5 * 0.7 WHEN q > 0.7 THEN 0.5 + 0.1 ELSE 0.5 END)), 4)::DOUBLE, CASE WHEN q >= 0.8 THEN 0.6 WHEN q >= 0.6 THEN 0.4 WHEN q >= 0.3 THEN 0.2 ELSE 0.0 END)::DOUBLE AS salience FROM (SELECT message_id, quality_score AS q FROM metadata) WHERE q IS NOT NULL
-    UNION ALL SELECT message_id, 0.5 FROM metadata WHERE quality_score IS NULL""")
+@query("metadata points", """SELECT point_id, CASE WHEN q IS NULL THEN s ELSE greatest(round(greatest(0.0, least(1.0, coalesce(e, CASE WHEN q < 0.15 THEN s * 0.3 WHEN q < 0.4 THEN s * 0.7 WHEN q > 0.7 THEN s + 0.1 ELSE s END))), 4),
+    CASE WHEN q >= 0.9 THEN 0.9 WHEN q >= 0.8 THEN 0.7 WHEN q >= 0.7 THEN 0.6 WHEN q >= 0.5 THEN 0.3 ELSE 0.0 END) END::DOUBLE AS salience
+    FROM (SELECT point_id, salience::DOUBLE AS s, quality_score AS q, CASE WHEN m.message_id % 9 = 0 THEN latency_total_ms / 5000 END AS e FROM points p LEFT JOIN metadata m ON m.message_id = p.parent_id + 1001)""")
 def propagated_salience(s, d):
-    own = B.metadata(s, d)
-    pts = own.select("message_id", F.col("message_id").alias("point_id"), F.lit(0.5).alias("salience"))
-    return Q.propagate_salience(pts, own).select(F.col("point_id").alias("message_id"), "salience")
+    own = B.metadata(s, d).withColumn("salience_score", F.when(F.col("message_id") % 9 == 0, F.col("latency_total_ms") / 5000))
+    pts = B.points(s, d).select("point_id", "salience", (F.col("parent_id") + 1001).alias("message_id"))
+    return Q.propagate_salience(pts, own)
 
 
 @query("metadata points", f"""SELECT m.message_id FROM metadata m JOIN messages USING (message_id) JOIN (SELECT message_id FROM (SELECT n.message_id, p.salience, p.last_retrieved FROM points p JOIN messages n ON n.message_id % 499 = p.point_id) GROUP BY message_id HAVING bool_and(salience < 0.9 AND last_retrieved IS NULL)) l USING (message_id)
@@ -607,7 +617,7 @@ def prunable_messages(s, d):
     return Q.prunable(pts, B.metadata(s, d), own, B.AS_OF, quality=0.5, salience=0.9)
 
 
-@query("metadata", f"SELECT message_id, {intent_case('user_prompt', 0)} AS intent FROM messages JOIN metadata USING (message_id) WHERE quality_score >= 0.6 AND message_id > 5000 AND length(user_prompt) > 0 AND length(model_response) > 0")
+@query("metadata", f"SELECT message_id, ({intent_sql('user_prompt')})[1] AS intent FROM messages JOIN metadata USING (message_id) WHERE quality_score >= 0.6 AND message_id > 5000 AND length(user_prompt) > 0 AND length(model_response) > 0")
 def mining_queue(s, d):
     return Q.mining_queue(B.messages(s, d), B.metadata(s, d), 5000)
 
@@ -721,11 +731,15 @@ def coverage(s, d):
     return M.coverage(own, B.metadata(s, d), own.filter("length(model_response) > 500").select("message_id"))
 
 
-@query("metadata", ", c AS (SELECT count(*) AS m, count(CASE WHEN message_id % 3 > 0 THEN quality_score END) AS s FROM metadata) SELECT 'info' AS level, 'unscored messages' AS message FROM c WHERE s < m UNION ALL SELECT 'warning', 'less than half scored' FROM c WHERE s * 2 < m")
+@query("metadata points", """, m AS (SELECT count(*) AS n FROM messages WHERE message_id NOT IN (SELECT message_id FROM metadata WHERE quality_score IS NOT NULL)), r AS (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1),
+    f AS (SELECT 'warning' AS level, 'cycles producing 0 output: ' || (SELECT string_agg(x, ', ' ORDER BY i) FROM (VALUES (0, 'purchase'), (1, 'dream'), (2, 'error'), (3, 'decay')) c(i, x) WHERE x NOT IN (SELECT name FROM r)) AS message
+    UNION ALL SELECT 'warning', 'collection ' || chr(39) || c || chr(39) || ' has 0 points' FROM (VALUES (0), (1), (2)) v(c) WHERE c NOT IN (SELECT collection FROM points)
+    UNION ALL SELECT 'warning', 'graph has 0 nodes' WHERE (SELECT count(*) FROM messages) = 0 UNION ALL SELECT 'warning', n || ' messages missing metadata' FROM m WHERE n > 0)
+    SELECT * FROM f WHERE message IS NOT NULL UNION ALL SELECT 'ok', 'All systems healthy' WHERE NOT EXISTS (SELECT * FROM f WHERE message IS NOT NULL)""")
 def coverage_alerts(s, d):
-    own = B.messages(s, d)
-    meta = B.metadata(s, d).withColumn("quality_score", F.when(F.col("message_id") % 3 > 0, F.col("quality_score")))
-    return M.alerts(M.coverage(own, meta, own.select("message_id")))
+    own, runs = B.messages(s, d), B.table(s, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    meta = B.metadata(s, d).filter("quality_score is not null")
+    return M.alerts(own, meta, B.points(s, d), own.select("message_id"), runs, [0, 1, 2], ["purchase", "dream", "error", "decay"])
 
 
 @query("registry", "SELECT 'enough' AS gate, CASE WHEN count(*) >= 100 THEN 'PASS' ELSE 'FAIL' END AS result FROM registry UNION ALL SELECT 'hashed', CASE WHEN count(*) = count(content_hash) THEN 'PASS' ELSE 'FAIL' END FROM registry UNION ALL SELECT 'ok 90 %', CASE WHEN count(*) FILTER (WHERE status = 'ok') * 10 >= count(*) * 9 THEN 'PASS' ELSE 'FAIL' END FROM registry")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import DOC_TYPES, HISTORICAL, INTENTS, STATUS_WORDS, STOPWORDS
+from ..functions.text import ANYWHERE, CLARIFICATION, DOC_TYPES, HISTORICAL, SHORT, STOPWORDS
 from .bindings import STATUSES
 
 AS_OF = "TIMESTAMP '2024-02-15 00:00:00'"
@@ -67,22 +67,29 @@ def with_(names: str, body: str) -> str:
     return f"WITH {', '.join(CTE[n] for n in order)} {body}" if order else body
 
 
-def intent_case(text: str, field: int) -> str:
-    t = f"lower(trim({text}))"
-    show = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE"
-    rows = " ".join(f"WHEN regexp_matches({t}, '{q(r[1])}')" + (f" AND length({t}) < 60" if r[4] else "") + f" THEN {show(r[field])}" for r in INTENTS)
-    long, short = {0: ("discussion", "statement"), 2: (0.5, 0.4), 3: ("full", "none")}[field]
-    return f"CASE {rows} WHEN length({t}) > 20 THEN {show(long)} ELSE {show(short)} END"
+def intent_sql(text: str) -> str:
+    """name and confidence of the first rule that fits, as a list of two strings."""
+    t = rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    short = lambda name: rf"length({t}) < 60 AND regexp_matches({t}, '^({q(SHORT[name])})[\s!?.]*$', 'i')"
+    has = lambda name: f"regexp_matches({t}, '{q(ANYWHERE[name])}', 'i')"
+    return f"""CASE WHEN {t} = '' THEN ['acknowledgment', '0.9'] WHEN regexp_matches({t}, '^/\\w+') THEN ['command', '1'] WHEN {has('emotional')} THEN ['emotional', '0.8']
+        WHEN {short('greeting')} THEN ['greeting', '0.95'] WHEN {short('acknowledgment')} THEN ['acknowledgment', '0.9'] WHEN {short('farewell')} THEN ['farewell', '0.9'] WHEN {short('continuation')} THEN ['continuation', '0.85']
+        WHEN regexp_matches({t}, '^({q(CLARIFICATION)})', 'i') THEN ['clarification', '0.8'] WHEN {has('meta')} THEN ['meta', '0.8'] WHEN {has('planning')} THEN ['planning', '0.75'] WHEN {has('knowledge')} THEN ['knowledge', '0.75']
+        WHEN {has('creative')} THEN ['creative', '0.7'] WHEN length({t}) > 20 THEN ['knowledge', '0.5'] ELSE ['acknowledgment', '0.4'] END"""
+
+
+DEPTH = "CASE WHEN {0} IN ('knowledge', 'creative', 'planning') THEN 'full' WHEN {0} IN ('continuation', 'clarification', 'meta') THEN 'light' ELSE 'none' END"
+PREPASS = "{0} IN ('emotional', 'knowledge', 'creative', 'planning', 'meta')"
 
 
 def doc_type_case(text: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), '{p}') THEN '{n}'" for n, p in DOC_TYPES) + " ELSE 'general' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}', 'i') THEN '{n}'" for n, p in DOC_TYPES) + " ELSE 'general' END"
 
 
 def historical(text: str) -> str:
-    return f"regexp_matches(lower({text}), '{HISTORICAL}')"
+    return "(" + " OR ".join(f"regexp_matches({text}, '{p}', 'i')" for p in HISTORICAL) + ")"
 
 
 def status_case(text: str) -> str:
-    word = f"regexp_extract(lower({text}), '({'|'.join(STATUS_WORDS)})', 1)"
-    return "CASE " + " ".join(f"WHEN {word} = '{w}' THEN '{s}'" for w, s in STATUS_WORDS.items()) + " END"
+    word = rf"lower(regexp_extract({text}, '(?:to|as|is)\s+(done|complete|finished|shipped|in.?progress|started|blocked|not.?started|planning|review|archived|pending|processing|failed)', 1, 'i'))"
+    return f"CASE WHEN {word} = '' THEN NULL WHEN {word} IN ('done', 'complete', 'finished') THEN 'completed' WHEN {word} = 'started' THEN 'in_progress' ELSE replace(replace({word}, ' ', '_'), '-', '_') END"

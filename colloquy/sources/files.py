@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import stripped
+
 CLAUDE = "uuid string, name string, created_at string, chat_messages array<struct<sender: string, text: string, content: array<struct<type: string, thinking: string, text: string, name: string>>>>"
 GOOGLE = "runSettings struct<model: string>, systemInstruction struct<parts: array<struct<text: string>>>, chunkedPrompt struct<chunks: array<struct<role: string, isThought: boolean, text: string, parts: array<struct<text: string>>>>>"
 QUEST = "anchor struct<parent_node_label: string, parent_node_name: string, parent_node_id: string>, topology_plan struct<nodes_to_create: array<struct<label: string, properties: map<string, string>>>, relationships_to_create: array<struct<start_node: string, end_node: string, type: string>>>"
@@ -36,7 +38,7 @@ def read_google_export(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("md", "txt"), exclude: str | None = None) -> DataFrame:
     """(file_path, title, content, word_count, modified, content_hash) of text files; empty ones are dropped."""
-    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.trim("value").alias("content"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), stripped(F.col("value")).alias("content"))
     rows = rows.filter(F.col("file_path").rlike(r"\.(" + "|".join(extensions) + ")$") & (F.length("content") > 0))
     if exclude:
         rows = rows.filter(~F.col("file_path").rlike(exclude))
