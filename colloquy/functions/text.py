@@ -310,27 +310,40 @@ def split_tokens(total: Column, reasoning: Column, response: Column) -> Column:
 BOILERPLATE = ("i hope this helps", "let me know if", "feel free to", "i'd be happy to", "is there anything else")
 
 
+def _let(value: Column, body) -> Column:
+    """The body of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quality_score(prompt: Column, response: Column, reasoning: Column | None = None) -> Column:
     """from 0.5 up for reasoning and substance, down for terse, repetitive and boilerplate responses; 0 to 1, and 0
-    without a response. Time is linear in the response (but for a sort of its four-word runs)."""
-    size = lambda text: F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
-    w = F.filter(F.split(F.lower(response), r"\s+"), lambda x: x != "")
-    n, asked = F.size(w), F.when(F.length(F.coalesce(prompt, F.lit(""))) > 0, size(prompt)).otherwise(1)
-    rest = lambda k: F.slice(w, k + 1, F.greatest(n - k, F.lit(0)))
-    runs = F.slice(F.arrays_zip(w.alias("a"), rest(1).alias("b"), rest(2).alias("c"), rest(3).alias("d")), 1, F.greatest(n - 3, F.lit(0)))
-    runs = F.sort_array(F.transform(runs, lambda r: F.concat_ws(" ", r["a"], r["b"], r["c"], r["d"])))
-    # In sorted order, a run that occurs three times or more equals the one two places on.
-    thrice = F.filter(F.arrays_zip(runs.alias("x"), F.slice(runs, 3, F.greatest(n, F.lit(0))).alias("y")), lambda r: r["x"] == r["y"])
-    repeated = F.size(F.array_distinct(F.transform(thrice, lambda r: r["x"])))
+    without a response. Time is linear in the response, but for a sort of its four-word runs."""
+    split = lambda text: F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
+
+    def runs(w: Column) -> Column:
+        rest = lambda k: F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0)))
+        fours = F.arrays_zip(w.alias("a"), rest(1).alias("b"), rest(2).alias("c"), rest(3).alias("d"))
+        return F.sort_array(F.transform(F.slice(fours, 1, F.greatest(F.size(w) - 3, F.lit(0))), lambda r: F.concat_ws(" ", r["a"], r["b"], r["c"], r["d"])))
+
+    def repeated(r: Column) -> Column:
+        """In sorted order, a run that occurs three times or more equals the one two places on."""
+        pairs = F.arrays_zip(r.alias("x"), F.slice(r, 3, F.size(r)).alias("y"))
+        return F.size(F.array_distinct(F.transform(F.filter(pairs, lambda p: p["x"] == p["y"]), lambda p: p["x"])))
+
     phrases = sum((F.contains(F.lower(response), F.lit(p)).cast("int") for p in BOILERPLATE), F.lit(0))
-    score = F.lit(0.5)
-    if reasoning is not None:
-        k = F.coalesce(F.length(reasoning), F.lit(0))
-        score = score + F.when(k > 500, 0.2).when(k > 100, 0.1).when(k > 0, 0.05).otherwise(0.0)
-    score = score + F.when(n < 10, -0.15).when(n > 100, 0.1).otherwise(0.0)
-    score = score - F.when((asked > 20) & (n / F.greatest(asked, F.lit(1)) < 0.3), 0.1).otherwise(0.0)
-    score = score - F.when((n > 20) & (repeated > 3), 0.15).otherwise(0.0) - F.when(phrases >= 2, 0.1).otherwise(0.0)
-    return F.when(F.length(F.coalesce(response, F.lit(""))) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 3))))
+    asked = F.when(F.length(F.coalesce(prompt, F.lit(""))) > 0, F.size(split(prompt))).otherwise(1)
+    thought = F.lit(0) if reasoning is None else F.coalesce(F.length(reasoning), F.lit(0))
+    counted = _let(split(F.lower(response)), lambda w: F.struct(F.size(w).alias("n"), _let(runs(w), repeated).alias("repeated")))
+    facts = F.struct(counted.alias("c"), asked.alias("asked"), phrases.alias("phrases"), thought.alias("thought"))
+
+    def score(f: Column) -> Column:
+        n, m = f["c"]["n"], f["asked"]
+        total = F.lit(0.5) + F.when(f["thought"] > 500, 0.2).when(f["thought"] > 100, 0.1).when(f["thought"] > 0, 0.05).otherwise(0.0)
+        total = total + F.when(n < 10, -0.15).when(n > 100, 0.1).otherwise(0.0) - F.when((m > 20) & (n / F.greatest(m, F.lit(1)) < 0.3), 0.1).otherwise(0.0)
+        total = total - F.when((n > 20) & (f["c"]["repeated"] > 3), 0.15).otherwise(0.0) - F.when(f["phrases"] >= 2, 0.1).otherwise(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 3)))
+
+    return F.when(F.length(F.coalesce(response, F.lit(""))) == 0, 0.0).otherwise(_let(facts, score))
 
 
 def salience_floor(quality: Column) -> Column:
