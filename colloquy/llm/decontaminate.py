@@ -194,7 +194,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_span: in
 
     A span of more than ``most_span`` words is cut out of its text, from its first word's first character to its
     last word's last; a document of whose words more than the part ``most_coverage`` is hit goes. Other documents
-    keep their rows as they are. n_chars, if there, is counted again for texts that change.
+    keep their rows as they are, null texts and ids, repeated rows and columns of any name, too; an empty table or
+    benchmark changes nothing. n_chars, if there, is counted again for texts that change.
     """
     import regex
 
@@ -215,15 +216,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_span: in
                         last = at[s["end"] - 1][1]
                     text = "".join([*keep, text[last:]])
                 out.append(text)
-            names = [n for n in b.schema.names if n not in ("spans", "n_words", "item_ids", "_hit")]
-            yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
+            yield pa.record_batch([pa.array(out, pa.string()), b.column("_own")], names=["text", "_own"])
 
-    found = match(docs, automata(benchmark, window), tuple(c for c in docs.columns if c != "doc_id"))
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_own"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    kept = found.withColumn("_hit", hit).filter(F.col("_hit") <= most_coverage * F.col("n_words"))
-    kinds = dict(docs.dtypes)
-    rest = kept.select("doc_id", "spans", *(c for c in docs.columns if c != "doc_id"))
-    done = rest.mapInArrow(cut, ", ".join(f"`{c}` {kinds[c] if c != 'doc_id' else 'long'}" for c in ["doc_id", *(c for c in docs.columns if c != "doc_id")]))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return done.select(*(F.col(c).cast(kinds[c]) for c in docs.columns))
+    found = match(own, automata(benchmark, window), ("text", "_own")).filter(hit <= most_coverage * F.col("n_words"))
+    kind = dict(own.dtypes)["_own"]
+    done = found.select("text", "spans", "_own").mapInArrow(cut, f"text string, _own {kind}")
+    out = {c: F.col(f"_own.{c}") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        changed = ~F.col("text").eqNullSafe(F.col("_own.text"))
+        out["n_chars"] = F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("_own.n_chars"))
+    return done.select(*(c.alias(n) for n, c in out.items()))

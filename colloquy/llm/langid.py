@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ngrams import fold, grams, join, mixed, per_text
 from .tokens import blocks
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 SIZES = (3, 4, 5)
 
 

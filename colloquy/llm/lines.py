@@ -183,15 +183,17 @@ def digest(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, keep_blank: bool = True) -> DataFrame:
-    """The documents with those lines taken out of their texts; n_chars, if there, counts the new text. Without
-    ``keep_blank``, documents go of which that leaves white space alone."""
-    gone = removed.select(F.col("doc_id").alias("_id"), "removed")
-    both = docs.join(gone.hint("merge"), docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = both.withColumn("text", text)
+    """The documents with those lines taken out of their texts; n_chars, if there, counts a text that changes. Without
+    ``keep_blank``, documents go of which that leaves white space alone. Other columns stay, whatever their names."""
+    gone = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_gone"))
+    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*docs.columns).alias("_own"))
+    both = own.join(gone.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    kept = F.filter(F.split("_own.text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    out = both.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("_own.text")).otherwise(F.array_join(kept, "\n")))
     if not keep_blank:
-        out = out.filter(F.col("removed").isNull() | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.filter(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x09-\x0D\x20]"))
+    columns = {c: F.col(f"_own.{c}") for c in docs.columns} | {"text": F.col("_text")}
+    if "n_chars" in columns:
+        counted = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_own.n_chars")).otherwise(counted)
+    return out.select(*(c.alias(n) for n, c in columns.items()))

@@ -325,3 +325,27 @@ def test_toxicity(spark):
     none = toxicity.fit(docs, marks.limit(0))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
     assert toxicity.score(docs.limit(0), none).collect() == []
+
+
+def test_language_against_plain_sets(make):
+    """Shares and decisions of the bit-sliced filters against plain sets of n-grams; numbers are no letters."""
+    rng = random.Random(12)
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["ßu", "ré", "tzo"], "cc": ["wi", "qua", "xe"]}
+    texts = [(k, lang, " ".join("".join(rng.choices(parts, k=3)) for _ in range(30))) for k, (lang, parts) in enumerate(list(syllables.items()) * 40)]
+    docs = make([(k, t) for k, _, t in texts]).drop("lang").join(make([]).sparkSession.createDataFrame([(k, lang) for k, lang, _ in texts], "doc_id long, lang string"), "doc_id")
+    filters = langid.fit(docs, least_share=0.0)
+    held = {k for k, _, _ in texts if zlib.crc32(str(k).encode()) % 5 == 0}
+    fold = lambda t: f" {' '.join(re.sub(r'[0-9]', ' ', t.lower()).split())} ".encode()
+    grams = lambda t: [(n, fold(t)[i : i + n]) for n in (3, 4, 5) for i in range(len(fold(t)) - n + 1)]
+    known = {lang: Counter(g for k, own, t in texts if own == lang and k not in held for g in grams(t)) for lang in syllables}
+    known = {lang: {g for g, n in c.items() if n >= 2} for lang, c in known.items()}
+    asked = [t for k, _, t in texts if k in held] + ["kalo ßuré wiqua kamimi", "zzzz yyyy"]
+    shares = filters.shares(asked)
+    for row, text in zip(shares, asked, strict=True):
+        own = grams(text)
+        for value, lang in zip(row, filters.languages, strict=True):
+            assert abs(value - sum(g in known[lang] for g in own) / len(own)) < 0.01
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, filters).collect()}
+    assert all(got[k] == lang for k, lang, _ in texts)
+    none = langid.predict(make([(1, "½ ②"), (2, "12 Ⅷ"), (3, None), (4, "")]), filters).collect()
+    assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)] * 4

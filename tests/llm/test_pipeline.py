@@ -44,3 +44,29 @@ def test_stages(spark):
                 ids, mine = [*own_ids(t), 1], [r for r in rows if r.doc_id == d]
                 assert [r.ids_crc32 for r in mine] == [zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in mine] and sum(r.length for r in mine) == len(ids)
         docs = out
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, lang_pred int, removed string, spans string, n_words int, item_ids string, _id string, _hit int, kept string, hash string, f int"
+
+
+def test_stages_on_awkward_rows(spark, messy):
+    """Null and empty texts, a null id, repeated rows, no rows at all, and columns named as the operators' own."""
+    import corpus_pipeline
+
+    def table(texts):
+        return spark.createDataFrame([(i, t, "en" if i and i % 2 else None, "s", None if t is None else len(t), 0.5, "h", 1, "r", "s", 2, "i", "x", 3, "k", "y", 4) for i, t in texts], CLASHING)
+
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = work.saved(stage(spark, table(messy), DATA), f"test-{name}")
+        got[name] = out.collect()
+        assert stage(spark, table([]), DATA).collect() == []
+        if name != "packing":
+            assert out.dtypes == table([]).dtypes
+            assert all(r.held_out == "h" and r.removed == "r" and r.f == 4 and (r.text is None or r.n_chars == len(r.text)) for r in got[name])
+    lettered = [(i, t) for i, t in messy if t and any(c.isalpha() for c in t)]
+    assert {(r.doc_id, r.text) for r in got["language"]} <= set(lettered) and len(got["language"]) > 0.9 * len(lettered)
+    near = [(r.doc_id, r.text) for r in got["near_dedup"]]
+    assert near.count((5, dict(messy[6:8])[5])) == 1 if (5, dict(messy[6:8])[5]) in near else True
+    assert {(None, None), (1, None), (2, "")} <= set(near)
+    assert len(got["decontamination"]) == len(messy) and {r.text for r in got["line_dedup"]} >= {None, ""}
