@@ -67,7 +67,7 @@ def _flat(column, dtype=np.float64) -> np.ndarray:
     return np.array(column.to_pylist(), dtype)
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.65, per_list: int = 256, fit_on: int = 20_000, most_lists: int = 4096, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.5, per_list: int = 128, fit_on: int = 20_000, most_lists: int = 4096, block: int = 4096) -> DataFrame:
     """The k nearest rows of each query row (vec_id divisible by ``every``): query_id, rank, vec_id, score.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. The
@@ -76,7 +76,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.
 
     Equal vectors are searched once: a group is searched for by one of its queries and found as one candidate with
     its k + 1 smallest ids, which is all that a result can need. Lists are scanned in blocks of about ``block``
-    vectors, so a crowded list is many tasks. Vectors that are null, zero, or hold a null or a component that is not
+    vectors, and asked in blocks of about ``block`` queries, so a crowded or much asked list is many tasks. Vectors that are null, zero, or hold a null or a component that is not
     finite take no part, nor do those of another length than most have; a null vec_id takes no part. Repeated rows
     count once. Fewer candidates than k are all returned; an empty table gives no rows. Other columns are not read.
     """
@@ -136,9 +136,14 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.
     asking = rows.filter(F.col("vec_id") % every == 0).select("same", F.col("vec_id").alias("query_id")).distinct()
     groups = saved(asking.groupBy("same").agg(F.count("*").alias("w")), "ann-queries")
     questions = own.join(groups.hint("merge"), "same").select("id", "v").mapInArrow(ask, "lists array<int>, query long, v array<double>, r array<double>, bound double")
-    questions = questions.withColumn("list", F.explode("lists")).drop("lists").join(F.broadcast(blocks), "list")
-    questions = questions.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = parts.groupBy("list", "block").cogroup(questions.groupBy("list", "block")).applyInArrow(compare, "query long, id long, score double")
+    questions = saved(questions.withColumn("list", F.explode("lists")).drop("lists"), "ann-questions")
+    asked = saved(questions.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("turns")), "ann-turns")  # a row per list
+    counts = blocks.join(asked.hint("merge"), "list")
+    parts = parts.join(F.broadcast(asked), "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+    questions = questions.join(F.broadcast(counts), "list").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int"))
+    questions = questions.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "turns")
+    per = ["list", "block", "turn"]
+    met = parts.groupBy(*per).cogroup(questions.groupBy(*per)).applyInArrow(compare, "query long, id long, score double")
     best = met.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))).filter(F.col("place") <= most)
     named = own.select("same", "id").join(members.hint("merge"), "same").select("same", "id", "ids")
     best = saved(best, "ann-best")

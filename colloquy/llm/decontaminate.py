@@ -121,7 +121,7 @@ def _load(path: str) -> SuffixAutomaton:
         return pickle.loads(f.read())
 
 
-def automata(benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000) -> list[str]:
+def automata(benchmark: DataFrame, window: int = 10, most_words: int = 250_000) -> list[str]:
     """Build the automata of all items and write them to the shared folder; their paths.
 
     The items' words are counted first. Items are dealt by hash into as many blocks as keep a block near
@@ -143,11 +143,24 @@ def automata(benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000
     return sorted(r.path for r in blocks.groupBy("block").applyInArrow(build, "path string").collect())
 
 
+def _gathered(batches, most: int):
+    """Batches of about ``most`` bytes, so that several automata are each read once for many documents."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def match(docs: DataFrame, paths: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: doc_id, n_words, spans (word ranges begin and end), item_ids (sorted as strings), ``extra``."""
 
     def run(batches):
-        for b in batches:
+        for b in _gathered(batches, 1 << 26) if len(paths) > 1 else batches:
             texts = [words(t) for t in b.column("text").to_pylist()]
             spans, items = [[] for _ in texts], [set() for _ in texts]
             for path in paths:

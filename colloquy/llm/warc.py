@@ -37,35 +37,27 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to, date:
     return VERSION + b"\r\n" + "\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archive(out, records, sample_bytes: int = 1 << 20, dictionary_bytes: int = 1 << 15, level: int = 3) -> tuple[int, int]:
-    """Write records to a stream; (records, bytes) written.
+def write_archive(out, records: list[bytes], sample_bytes: int = 1 << 20, dictionary_bytes: int = 1 << 15, level: int = 3) -> tuple[int, int]:
+    """Write the records of one file to a stream; (records, bytes) written.
 
-    The dictionary is trained on the file's first records, up to ``sample_bytes`` of them and 16 KB of each (a bound on
-    the fit alone; every record is compressed with it). Where they are too few to train on, the file has none.
+    The dictionary is trained on records from all over the file, of about ``sample_bytes`` together and 16 KB of each
+    at most (a bound on the fit alone; every record is compressed with it). Where they are too few to train on, their
+    own bytes are the dictionary.
     """
-    first, size, records = [], 0, iter(records)
-    for r in records:
-        first.append(r)
-        size += len(r)
-        if size >= sample_bytes:
-            break
+    step = max(1, -(-sum(map(len, records)) // sample_bytes))
+    sample = [r[: 1 << 14] for r in records[::step]]
     try:
-        known = zstandard.train_dictionary(dictionary_bytes, [r[: 1 << 14] for r in first], level=level)
-        raw = known.as_bytes()
-        out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
-        press = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=True)
-        written = 8 + len(raw)
+        raw = zstandard.train_dictionary(dictionary_bytes, sample, level=level).as_bytes()
     except zstandard.ZstdError:
-        press, written = zstandard.ZstdCompressor(level=level, write_content_size=True), 0
-    n = 0
-    for group in (first, records):
-        for r in group:
-            frame = press.compress(r)
-            out.write(frame)
-            written += len(frame)
-            n += 1
-        first = []
-    return n, written
+        raw = b"".join(sample)[-dictionary_bytes:]
+    out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
+    press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True)
+    written = 8 + len(raw)
+    for r in records:
+        frame = press.compress(r)
+        out.write(frame)
+        written += len(frame)
+    return len(records), written
 
 
 def read_archive(source):
@@ -97,19 +89,35 @@ def read_archive(source):
         raise ValueError("an archive ends inside a record")
 
 
+#: Bytes of records after which a task begins its next archive: what it holds in memory to take a sample from.
+ARCHIVE_BYTES = 1 << 26
+
+
 def _writer(folder: str, date: str):
+    columns = ("page_id", "url", "payload", "sha1", "refers_to", "again")
+
+    def records(batches):
+        for b in batches:
+            for page, url, payload, sha1, to, again in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                yield record(page, url, payload, sha1, to, date, again)
+
+    def archives(batches):
+        held, size = [], 0
+        for r in records(batches):
+            held.append(r)
+            size += len(r)
+            if size >= ARCHIVE_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
     def run(batches):
         part = TaskContext.get().partitionId()
-        path = f"{folder}/pages-{part:06d}.warc.zst"
-
-        def records():
-            for b in batches:
-                for page, url, payload, sha1, to, again in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to", "again")), strict=True):
-                    yield record(page, url, payload, sha1, to, date, again)
-
-        done = []
-        put_file(path, lambda out: done.append(write_archive(out, records())))
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([done[0][0]], pa.int64()), pa.array([done[0][1]], pa.int64())], names=["part", "path", "n_records", "n_bytes"])
+        for k, own in enumerate(archives(batches)):
+            path, done = f"{folder}/pages-{part:06d}-{k:04d}.warc.zst", []
+            put_file(path, lambda out, own=own, done=done: done.append(write_archive(out, own)))
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([done[0][0]], pa.int64()), pa.array([done[0][1]], pa.int64())], names=["part", "path", "n_records", "n_bytes"])
 
     return run
 
