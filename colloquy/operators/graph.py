@@ -22,9 +22,9 @@ def pairs_within(rows: DataFrame, group: str, item: str, crowd: int = 500) -> tu
     pairs are dealt over blocks of partners rather than made in one task."""
     own = rows.select(group, item).distinct()
     sizes = own.groupBy(group).agg(F.count("*").alias("n"))
-    left = own.join(sizes, group).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / crowd)))).select(group, F.col(item).alias("a"), "block")
-    right = own.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(item), F.floor((F.col("n") - 1) / crowd) + 1)).select(group, F.col(item).alias("b"), "block")
-    return left.join(right, [group, "block"]).filter("a < b").select(group, "a", "b"), sizes.filter(F.col("n") > crowd)
+    left = own.join(sizes.hint("merge"), group).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / crowd)))).select(group, F.col(item).alias("a"), "block")
+    right = own.join(sizes.hint("merge"), group).withColumn("block", F.pmod(F.xxhash64(item), F.floor((F.col("n") - 1) / crowd) + 1)).select(group, F.col(item).alias("b"), "block")
+    return left.join(right.hint("merge"), [group, "block"]).filter("a < b").select(group, "a", "b"), sizes.filter(F.col("n") > crowd)
 
 
 def cooccurrence(mentions: DataFrame, scope: str, least: int = 2) -> DataFrame:

@@ -7,29 +7,49 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import tokens
 
 
+#: Query terms that are sent to all tasks; more of them are joined by shuffle.
+ASKED = 10_000
+
+
 def inverted_index(docs: DataFrame, pattern: str = r"[a-z]{3,}") -> DataFrame:
     """(doc_id, term, tf, dl): term counts and the document's length in terms."""
     words = docs.select("doc_id", tokens(F.col("text"), pattern).alias("w")).withColumn("dl", F.size("w"))
     return words.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, n_docs: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, doc_id, score) of documents that hold all terms of a query (qid, term)."""
-    stats = index.select("doc_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = queries.distinct().withColumn("need", F.count("*").over(Window.partitionBy("qid")))
-    hit = index.join(wanted, "term").join(df, "term").join(F.broadcast(stats))
+def bm25(docs: DataFrame, queries: DataFrame, pattern: str = r"[a-z]{3,}", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, doc_id, score) of documents that hold all terms of a query (qid, term).
+
+    Words that no query asks for are dropped before anything is counted or shuffled; what is kept of the others is a
+    length per document.
+    """
+    words = docs.select("doc_id", tokens(F.col("text"), pattern).alias("w")).select("doc_id", F.size("w").alias("dl"), "w").filter("dl > 0")
+    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    wanted = queries.distinct()
+    wanted = wanted.join(wanted.groupBy("qid").agg(F.count("*").alias("need")).hint("merge"), "qid")
+    asked = wanted.select("term").distinct()
+    few = asked.count() <= ASKED
+    each = words.select("doc_id", "dl", F.explode("w").alias("term"))
+    hit = each.join(F.broadcast(asked) if few else asked.hint("merge"), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    hit = hit.join(F.broadcast(df) if few else df.hint("merge"), "term").join(F.broadcast(wanted) if few else wanted.hint("merge"), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("qid", "doc_id", "need").agg(F.sum(part).alias("score"), F.count("*").alias("found")).filter("found = need").select("qid", "doc_id", "score")
 
 
-def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """R2: (qid, doc_id) of documents that hold the words of a phrase (qid, phrase) in a row; phrases are a stated, small set."""
-    pad = lambda t: F.concat(F.lit(" "), F.array_join(tokens(t, "[a-z]+"), " "), F.lit(" "))
-    padded = docs.select("doc_id", pad(F.col("text")).alias("t"))
-    wanted = phrases.select("qid", pad(F.col("phrase")).alias("p"))
-    return padded.join(F.broadcast(wanted), F.contains("t", F.col("p"))).select("qid", "doc_id")
+def phrase_search(docs: DataFrame, phrases: DataFrame, pattern: str = "[a-z]+") -> DataFrame:
+    """R2: (qid, doc_id) of documents that hold the words of a phrase (qid, phrase) in a row.
+
+    By positions: a phrase's words and a document's meet by word, and a place where all of them line up is a hit.
+    """
+    wanted = phrases.select("qid", tokens(F.col("phrase"), pattern).alias("p")).select("qid", F.size("p").alias("need"), F.posexplode("p").alias("i", "term"))
+    asked = wanted.select("term").distinct()
+    few = asked.count() <= ASKED
+    each = docs.select("doc_id", F.posexplode(tokens(F.col("text"), pattern)).alias("at", "term"))
+    met = each.join(F.broadcast(asked) if few else asked.hint("merge"), "term").join(F.broadcast(wanted) if few else wanted.hint("merge"), "term")
+    lined = met.groupBy("qid", "doc_id", "need", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
+    return lined.filter("n = need").select("qid", "doc_id").distinct()
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,15 +62,18 @@ def top_k(rows: DataFrame, per: list[str], order: list[Column], k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def vector_search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def vector_search(points: DataFrame, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
     """(qid, point_id, collection, conversation_id, parent_id, salience, created_at, score, rank), exact.
 
-    Queries (qid, vector) are a stated, small set that is sent to every block of points; filter the points first for
-    R6, rank within a collection by filtering to it.
+    Queries (qid, vector) are a stated set, each asked of every block of points; of a block only the k best are
+    shuffled on. Filter the points first for R6, rank within a collection by filtering to it.
     """
-    both = points.join(F.broadcast(queries.select("qid", F.col("vector").alias("qv"))), F.col("point_id") != F.col("qid"))
+    asked = queries.select("qid", F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int"))
+    both = dealt.join(asked.hint("shuffle_hash"), "block").filter(F.col("point_id") != F.col("qid"))
     scored = both.withColumn("score", cosine(F.col("vector"), F.col("qv"))).drop("vector", "qv")
-    return top_k(scored, ["qid"], [F.desc("score"), F.col("point_id")], k)
+    order = [F.desc("score"), F.col("point_id")]
+    return top_k(top_k(scored, ["qid", "block"], order, k).drop("rank", "block"), ["qid"], order, k)
 
 
 def to_embed(chunks: DataFrame, messages: DataFrame, metadata: DataFrame, points: DataFrame) -> DataFrame:

@@ -354,7 +354,7 @@ TERMS = [(1, "the"), (1, "ing"), (2, "ion"), (2, "that"), (3, "and"), (3, "with"
 
 @query("docterms", "SELECT qid, doc_id, round(sum(ln(1 + ((SELECT count(*) FROM dl) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))), 4) AS score FROM (VALUES (1, 'the'), (1, 'ing'), (2, 'ion'), (2, 'that'), (3, 'and'), (3, 'with'), (3, 'for')) q(qid, term) JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) GROUP BY qid, doc_id HAVING count(*) = CASE WHEN qid = 3 THEN 3 ELSE 2 END")
 def keyword_search(s, d):
-    return R.bm25(R.inverted_index(docs(s, d)), s.createDataFrame(TERMS, "qid int, term string")).select("qid", "doc_id", F.round("score", 4).alias("score"))
+    return R.bm25(docs(s, d), s.createDataFrame(TERMS, "qid int, term string")).select("qid", "doc_id", F.round("score", 4).alias("score"))
 
 
 @query("", "SELECT qid, doc_id FROM documents JOIN (VALUES (1, ' of the '), (2, ' in the ')) q(qid, p) ON contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ', p)")
@@ -363,7 +363,7 @@ def phrase_search(s, d):
 
 
 def _queries(s, d) -> DataFrame:
-    return B.points(s, d).filter("point_id < 5").select(F.col("point_id").alias("qid"), "vector")
+    return B.points(s, d).filter("point_id % 50 = 0").select(F.col("point_id").alias("qid"), "vector")
 
 
 def _hits(s, d, k: int = 30) -> DataFrame:
@@ -375,13 +375,13 @@ def vector_search(s, d):
     return _hits(s, d, 10).select("qid", "point_id", F.round("score", 4).alias("score"))
 
 
-@query("points", "SELECT q.point_id AS qid, p.point_id, round(list_cosine_similarity(p.vector, q.vector), 4) AS score FROM points p JOIN points q ON q.point_id < 5 AND p.point_id <> q.point_id WHERE p.collection = 1 AND p.salience BETWEEN 0.3 AND 0.8 QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY list_cosine_similarity(p.vector, q.vector) DESC, p.point_id) <= 5")
+@query("points", "SELECT q.point_id AS qid, p.point_id, round(list_cosine_similarity(p.vector, q.vector), 4) AS score FROM points p JOIN points q ON q.point_id % 50 = 0 AND p.point_id <> q.point_id WHERE p.collection = 1 AND p.salience BETWEEN 0.3 AND 0.8 QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY list_cosine_similarity(p.vector, q.vector) DESC, p.point_id) <= 5")
 def filtered_vector_search(s, d):
     rows = B.points(s, d).filter("collection = 1 and salience between 0.3 and 0.8")
     return R.vector_search(rows, _queries(s, d), 5).select("qid", "point_id", F.round("score", 4).alias("score"))
 
 
-@query("points", "SELECT qid, point_id, collection, round(score, 4) AS score FROM (SELECT * FROM (SELECT q.point_id AS qid, p.point_id, p.collection, list_cosine_similarity(p.vector, q.vector) AS score FROM points p JOIN points q ON q.point_id < 5 AND p.point_id <> q.point_id) QUALIFY row_number() OVER (PARTITION BY qid, collection ORDER BY score DESC, point_id) <= 5) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, point_id) <= 6")
+@query("points", "SELECT qid, point_id, collection, round(score, 4) AS score FROM (SELECT * FROM (SELECT q.point_id AS qid, p.point_id, p.collection, list_cosine_similarity(p.vector, q.vector) AS score FROM points p JOIN points q ON q.point_id % 50 = 0 AND p.point_id <> q.point_id) QUALIFY row_number() OVER (PARTITION BY qid, collection ORDER BY score DESC, point_id) <= 5) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, point_id) <= 6")
 def search_all_collections(s, d):
     own = B.points(s, d)
     each = [R.vector_search(own.filter(F.col("collection") == c), _queries(s, d), 5).drop("rank") for c in (0, 1)]
@@ -395,12 +395,12 @@ def hybrid_merge(s, d):
 
 
 @query("hits mentions", """, pairs AS (SELECT a.entity_id AS a, b.entity_id AS b, count(DISTINCT a.message_id)::DOUBLE AS weight FROM mentions a JOIN mentions b ON a.message_id = b.message_id AND a.entity_id < b.entity_id GROUP BY 1, 2 HAVING count(*) >= 2),
-    edges AS (SELECT a, b, weight FROM pairs WHERE a < 40 AND b < 40), two AS (SELECT a, b, weight FROM edges UNION ALL SELECT b, a, weight FROM edges),
+    two AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs),
     best AS (SELECT qid, conversation_id FROM (SELECT qid, conversation_id, avg(score) AS m FROM hits GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(m, 9) DESC, conversation_id) <= 3),
     near AS (SELECT qid, b AS conversation_id, max(weight) AS w FROM (SELECT qid, a, b, weight FROM best JOIN two ON conversation_id = a QUALIFY row_number() OVER (PARTITION BY qid, a ORDER BY weight DESC, b) <= 10) GROUP BY 1, 2)
     SELECT h.qid, h.point_id, coalesce(0.001 * w, 0.0)::DOUBLE AS graph_boost, round(h.score + coalesce(0.001 * w, 0.0), 4) AS score FROM hits h LEFT JOIN (SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.qid = near.qid AND best.conversation_id = near.conversation_id)) n ON n.qid = h.qid AND n.conversation_id = h.conversation_id""")
 def graph_affinity(s, d):
-    edges = G.cooccurrence(B.mentions(s, d), "message_id").filter("a < 40 and b < 40").select("a", "b", F.col("weight").cast("double").alias("weight"))
+    edges = G.cooccurrence(B.mentions(s, d), "message_id").select("a", "b", F.col("weight").cast("double").alias("weight"))
     return R.graph_affinity(_hits(s, d), edges, 0.001).select("qid", "point_id", "graph_boost", F.round("score", 4).alias("score"))
 
 
@@ -470,23 +470,19 @@ def message_cooccurrence(s, d):
     return G.cooccurrence(B.mentions(s, d, "l_partkey"), "message_id")
 
 
-def _dense(s, d) -> DataFrame:
-    return G.cooccurrence(B.mentions(s, d), "message_id", 30)
-
-
 @query("parts", ", e AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS weight FROM (SELECT DISTINCT entity_id, conversation_id FROM mentions) a JOIN (SELECT DISTINCT entity_id, conversation_id FROM mentions) b ON a.conversation_id = b.conversation_id AND a.entity_id < b.entity_id GROUP BY 1, 2 HAVING count(*) >= 3) SELECT a, b, weight FROM e")
 def conversation_cooccurrence(s, d):
     return G.cooccurrence(B.mentions(s, d, "l_partkey"), "conversation_id", 3)
 
 
-@query("mentions", _PAIRS.format("message_id", 30) + ", t AS (SELECT a AS id, b AS other, weight FROM e UNION ALL SELECT b, a, weight FROM e) SELECT id, other, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, other)::INTEGER AS rank FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, other) <= 5")
+@query("parts", _PAIRS.format("message_id", 2) + ", t AS (SELECT a AS id, b AS other, weight FROM e UNION ALL SELECT b, a, weight FROM e) SELECT id, other, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, other)::INTEGER AS rank FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, other) <= 5")
 def entity_neighbours(s, d):
-    return G.neighbours(_dense(s, d), 5)
+    return G.neighbours(message_cooccurrence(s, d), 5)
 
 
-@query("mentions", _PAIRS.format("message_id", 30) + " SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY id")
+@query("parts", _PAIRS.format("message_id", 2) + " SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY id")
 def degree_centrality(s, d):
-    return G.degree(_dense(s, d))
+    return G.degree(message_cooccurrence(s, d))
 
 
 @query()
@@ -600,20 +596,25 @@ def linked_entities(s, d):
 # Quality and lifecycle
 
 
+def _of_messages(points: DataFrame) -> DataFrame:
+    """Points with the message whose chunks they are: four parents for each conversation, in their order."""
+    return points.withColumn("message_id", F.floor(F.col("parent_id") / 4) * 1000 + F.col("parent_id") % 4 + 1)
+
+
+
 @query("metadata points", """SELECT point_id, CASE WHEN q IS NULL THEN s ELSE greatest(round(greatest(0.0, least(1.0, coalesce(e, CASE WHEN q < 0.15 THEN s * 0.3 WHEN q < 0.4 THEN s * 0.7 WHEN q > 0.7 THEN s + 0.1 ELSE s END))), 4),
     CASE WHEN q >= 0.9 THEN 0.9 WHEN q >= 0.8 THEN 0.7 WHEN q >= 0.7 THEN 0.6 WHEN q >= 0.5 THEN 0.3 ELSE 0.0 END) END::DOUBLE AS salience
-    FROM (SELECT point_id, salience::DOUBLE AS s, quality_score AS q, CASE WHEN m.message_id % 9 = 0 THEN latency_total_ms / 5000 END AS e FROM points p LEFT JOIN metadata m ON m.message_id = p.parent_id + 1001)""")
+    FROM (SELECT point_id, salience::DOUBLE AS s, quality_score AS q, CASE WHEN m.message_id % 9 = 0 THEN latency_total_ms / 5000 END AS e FROM points p LEFT JOIN metadata m ON m.message_id = p.parent_id // 4 * 1000 + p.parent_id % 4 + 1)""")
 def propagated_salience(s, d):
     own = B.metadata(s, d).withColumn("salience_score", F.when(F.col("message_id") % 9 == 0, F.col("latency_total_ms") / 5000))
-    pts = B.points(s, d).select("point_id", "salience", (F.col("parent_id") + 1001).alias("message_id"))
-    return Q.propagate_salience(pts, own)
+    return Q.propagate_salience(_of_messages(B.points(s, d)).select("point_id", "salience", "message_id"), own)
 
 
-@query("metadata points", f"""SELECT m.message_id FROM metadata m JOIN messages USING (message_id) JOIN (SELECT message_id FROM (SELECT n.message_id, p.salience, p.last_retrieved FROM points p JOIN messages n ON n.message_id % 499 = p.point_id) GROUP BY message_id HAVING bool_and(salience < 0.9 AND last_retrieved IS NULL)) l USING (message_id)
+@query("metadata points", f"""SELECT m.message_id FROM metadata m JOIN messages USING (message_id) JOIN (SELECT message_id FROM (SELECT n.message_id, p.salience, CASE WHEN p.parent_id % 2 = 1 THEN p.last_retrieved END AS last_retrieved FROM points p JOIN messages n ON n.message_id = p.parent_id // 4 * 1000 + p.parent_id % 4 + 1) GROUP BY message_id HAVING bool_and(salience < 0.9 AND last_retrieved IS NULL)) l USING (message_id)
     WHERE quality_score < 0.5 AND created_at < {AS_OF} - INTERVAL 7 DAYS""")
 def prunable_messages(s, d):
     own = B.messages(s, d)
-    pts = B.points(s, d).join(own.select("message_id"), F.col("message_id") % 499 == F.col("point_id")).select("message_id", "salience", "last_retrieved")
+    pts = _of_messages(B.points(s, d)).join(own.select("message_id").hint("merge"), "message_id").select("message_id", "salience", F.when(F.col("parent_id") % 2 == 1, F.col("last_retrieved")).alias("last_retrieved"))
     return Q.prunable(pts, B.metadata(s, d), own, B.AS_OF, quality=0.5, salience=0.9)
 
 

@@ -32,7 +32,7 @@ CTE = {
     "points": """points AS (SELECT vec_id AS point_id, embedding::DOUBLE[] AS vector, vec_id % 2 AS collection, vec_id % 40 AS conversation_id, vec_id // 3 AS parent_id, (vec_id % 11) / 10.0::DOUBLE AS salience,
             TIMESTAMP '2024-01-01 00:00:00' + to_hours(vec_id) AS created_at, CASE WHEN vec_id % 4 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(vec_id) END AS last_retrieved FROM embeddings)""",
     "hits": """hits AS (SELECT q.point_id AS qid, p.point_id, p.collection, p.conversation_id, p.parent_id, p.salience, p.created_at, list_cosine_similarity(p.vector, q.vector) AS score
-            FROM points p JOIN points q ON q.point_id < 5 AND p.point_id <> q.point_id QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY list_cosine_similarity(p.vector, q.vector) DESC, p.point_id) <= 30)""",
+            FROM points p JOIN points q ON q.point_id % 50 = 0 AND p.point_id <> q.point_id QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY list_cosine_similarity(p.vector, q.vector) DESC, p.point_id) <= 30)""",
     "outbox": """outbox AS (SELECT event_id AS id, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation, user_id % 9 AS entity_type, user_id AS entity_id, props AS payload, ts AS created_at FROM events)""",
     "items": f"""items AS (SELECT 'n' || n_nationkey AS id, 'project' AS entity_type, 'top' AS domain, NULL::VARCHAR AS parent_id, n_name AS title, 'in_progress' AS status, 1::BIGINT AS priority FROM nation
             UNION ALL SELECT 'c' || c_custkey, 'feature', c_mktsegment, 'n' || c_nationkey, c_name, [{', '.join(f"'{s}'" for s in STATUSES)}][c_custkey % 8 + 1], (1 + c_custkey % 5)::BIGINT FROM customer)""",
