@@ -29,10 +29,14 @@ def propagate_salience(points: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def prunable(points: DataFrame, metadata: DataFrame, messages: DataFrame, as_of: str, age_days: int = 7, quality: float = 0.1, salience: float = 0.1) -> DataFrame:
-    """Q3: (message_id) of old messages of low quality all of whose points have low salience and were never retrieved."""
+    """Q3: (message_id) of old messages of low quality, synced if the metadata says (salience_synced), all of whose
+    points have low salience and were never retrieved."""
     low = points.groupBy("message_id").agg(F.bool_and((F.col("salience") < salience) & F.col("last_retrieved").isNull()).alias("low")).filter("low")
     old = messages.filter(F.col("created_at") < F.lit(as_of).cast("timestamp") - F.expr(f"interval {age_days} days"))
-    return metadata.filter(F.col("quality_score") < quality).join(old, "message_id", "left_semi").join(low, "message_id", "left_semi").select("message_id")
+    poor = metadata.filter(F.col("quality_score") < quality)
+    if "salience_synced" in metadata.columns:
+        poor = poor.filter("salience_synced")
+    return poor.join(old.hint("merge"), "message_id", "left_semi").join(low.hint("merge"), "message_id", "left_semi").select("message_id")
 
 
 def mining_queue(messages: DataFrame, metadata: DataFrame, since: int, least: float = 0.6) -> DataFrame:

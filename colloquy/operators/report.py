@@ -26,13 +26,21 @@ def roles(turns: DataFrame, role: str | None = None, prefix: str | None = None)
 
 
 def json_field(column: str, path: str, kind: str) -> Column:
-    """P4."""
-    return F.get_json_object(column, path).cast(kind)
+    """A value of a JSON text, null where it is not there or of another kind."""
+    return F.get_json_object(column, path).try_cast(kind)
 
 
-def display(items: DataFrame) -> DataFrame:
-    """Ids cut to eight characters, enums in title case."""
-    return items.select(F.substring("id", 1, 8).alias("id"), F.initcap(F.replace("status", F.lit("_"), F.lit(" "))).alias("status"), "title")
+def json_or_raw(column: str) -> Column:
+    """(parsed, raw): a JSON object's fields as texts; for anything else, the text as it stands."""
+    parsed = F.from_json(column, "map<string, string>")
+    good = parsed.isNotNull() & F.col(column).rlike(r"^\s*\{")
+    return F.struct(F.when(good, parsed).alias("parsed"), F.when(~F.coalesce(good, F.lit(False)), F.col(column)).alias("raw"))
+
+
+def display(items: DataFrame, date: str | None = None) -> DataFrame:
+    """Ids cut to eight characters, enums in title case, a date cut to the minute (16 characters)."""
+    shown = [F.date_format(date, "yyyy-MM-dd HH:mm").alias(date)] if date else []
+    return items.select(F.substring("id", 1, 8).alias("id"), F.initcap(F.replace("status", F.lit("_"), F.lit(" "))).alias("status"), "title", *shown)
 
 
 def signals(rows: DataFrame, columns: list[str], words: list[str]) -> DataFrame:
@@ -40,17 +48,52 @@ def signals(rows: DataFrame, columns: list[str], words: list[str]) -> DataFrame:
     return rows.filter(functools.reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(w)) for c in columns for w in words)))
 
 
+#: Priorities by name, in their order.
+RANKS = ("critical", "high", "normal", "low")
+
+
+def priority_rank(name: Column) -> Column:
+    """K2: the place of a named priority, unknown ones last."""
+    return functools.reduce(lambda c, x: c.when(F.lower(name) == x[1], x[0]), enumerate(RANKS), F.when(F.lit(False), -1)).otherwise(len(RANKS))
+
+
 def active(items: DataFrame, n: int = 20) -> DataFrame:
-    """Open items by priority, titles and ids breaking ties."""
+    """Open items by priority, titles and ids breaking ties."""
     return items.filter(~F.col("status").isin("completed", "shipped", "archived")).orderBy("priority", "title", "id").limit(n)
 
 
+def open_tasks(tasks: DataFrame, n: int = 20) -> DataFrame:
+    """Tasks that are not done, by the rank of their priority's name, the oldest first."""
+    return tasks.filter(~F.col("status").isin("completed", "failed", "cancelled")).orderBy(priority_rank(F.col("priority")), "created_at", "id").limit(n)
+
+
 def needs_retrieval(text: Column, stopwords: list[str]) -> Column:
-    """P10: three words or more, two of them no stopwords."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """P10: three words or more between white space, two of them no stopwords."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     return (F.size(words) >= 3) & (F.size(F.filter(words, lambda w: ~w.isin(stopwords))) >= 2)
 
 
+def with_children_of(parents: DataFrame, rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """Parents with those of their rows (key, entity_type) that have one type, all parents kept."""
+    own = rows.withColumnRenamed(key, "_key")
+    return parents.join(own.hint("merge"), (parents[key] == F.col("_key")) & (F.col("entity_type") == kind), "left").drop("_key")
+
+
+def conversations_of(messages: DataFrame, matches: Column) -> DataFrame:
+    """The distinct conversations of the messages that match."""
+    return messages.filter(matches).select("conversation_id").distinct()
+
+
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """The number of different pairs (a, b), either way round."""
+    return pairs.agg(F.countDistinct(F.struct(F.least("a", "b"), F.greatest("a", "b"))).alias("pairs"))
+
+
+def used_means(hits: DataFrame, used: Column) -> DataFrame:
+    """(qid, used, mean_score, mean_salience) over the hits of each query that were used."""
+    return hits.filter(used).groupBy("qid").agg(F.count("*").alias("used"), F.avg("score").alias("mean_score"), F.avg("salience").alias("mean_salience"))
+
+
 def edges_touching(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, direction, other, relationship_type) of relationships at either end of a node (id)."""
     out = rels.join(nodes, F.col("source_id") == F.col("id")).select("id", F.lit("out").alias("direction"), F.col("target_id").alias("other"), "relationship_type")
@@ -70,9 +113,14 @@ def count_by(rows: DataFrame, **columns: str) -> DataFrame:
     return rows.select(pairs).groupBy("p.metric", "p.value").agg(F.count("*").alias("n"))
 
 
-def conversation_rollup(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, last_turn, chars)."""
-    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("chars"))
+def conversation_rollup(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+    """(conv_id, turns, last_turn, chars, tokens); ``conversations`` (conv_id) keeps those without a turn. A token is
+    counted for every four characters begun."""
+    size = F.length("text")
+    own = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), F.sum(size).alias("chars"), F.sum(F.ceil(size / 4)).alias("tokens"))
+    if conversations is None:
+        return own
+    return conversations.join(own.hint("merge"), "conv_id", "left").fillna(0, ["turns", "chars", "tokens"])
 
 
 def document_frequency(docs: DataFrame, words: Column) -> DataFrame:
@@ -91,6 +139,16 @@ def introspection(metadata: DataFrame, n: int = 50, top: int = 5) -> DataFrame:
     return last.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword").limit(top)
 
 
+def introspection_summary(metadata: DataFrame, n: int = 50, top: int = 5, shown: int = 3) -> DataFrame:
+    """A10: one row: how many of the last n scored rows there are, their mean score, their most frequent keywords, and the
+    first rationales among them, the newest first."""
+    last = metadata.filter("quality_score is not null").orderBy(F.desc("message_id")).limit(n)
+    said = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.length("rationale") > 0, F.struct((-F.col("message_id")).alias("k"), "rationale")))), 1, shown), lambda s: s["rationale"])
+    one = last.agg(F.count("*").alias("rows"), F.avg("quality_score").alias("mean_score"), said.alias("rationales"))
+    common = introspection(metadata, n, top).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "keyword"))), lambda s: s["keyword"]).alias("keywords"))
+    return one.join(F.broadcast(common))  # one row each
+
+
 def last_n(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """W3."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).filter(F.col("_n") <= n).drop("_n")
@@ -180,9 +238,10 @@ def gate_report(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def turn_metrics(messages: DataFrame, metadata: DataFrame) -> DataFrame:
-    """M7: (conversation_id, turns, mean_latency, mean_quality)."""
-    both = messages.join(metadata, "message_id", "left")
-    return both.groupBy("conversation_id").agg(F.count("*").alias("turns"), F.round(F.avg("latency_total_ms"), 6).alias("mean_latency"), F.round(F.avg("quality_score"), 6).alias("mean_quality"))
+    """M7: (conversation_id, turns, mean_latency, mean_quality, last_turn, last_latency): means, and the latest turn's own."""
+    both = messages.join(metadata.hint("merge"), "message_id", "left")
+    own = [F.count("*").alias("turns"), F.round(F.avg("latency_total_ms"), 6).alias("mean_latency"), F.round(F.avg("quality_score"), 6).alias("mean_quality")]
+    return both.groupBy("conversation_id").agg(*own, F.max("sequence").alias("last_turn"), F.max_by("latency_total_ms", "sequence").alias("last_latency"))
 
 
 def run_counters(logs: DataFrame) -> DataFrame:

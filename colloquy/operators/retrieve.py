@@ -125,15 +125,17 @@ def composite(score: Column, salience: Column) -> Column:
     return F.when((salience == 0) | (salience == 0.5) | salience.isNull(), score).otherwise(score * (0.5 + salience))
 
 
-def select_context(hits: DataFrame, threshold: float = 0.3, most: int = 10, per_parent: int = 3) -> DataFrame:
-    """Hits (qid, point_id, parent_id, score, n_chars) with a reject reason, null for those that are kept."""
+def select_context(hits: DataFrame, threshold: float = 0.3, most: int = 10, per_parent: int = 3, keyword: Column | None = None) -> DataFrame:
+    """Hits (qid, point_id, parent_id, score, n_chars) with a reject reason, null for those that are kept. Hits by
+    ``keyword`` may have any score."""
     order = [F.desc("score"), F.col("point_id")]
-    passing = (F.col("n_chars") >= 50) & (F.col("score") > threshold)
+    low = F.col("score") <= threshold if keyword is None else (F.col("score") <= threshold) & ~keyword
+    passing = (F.col("n_chars") >= 50) & ~low
     r = hits.withColumn("_ok", passing).withColumn("_parent", F.row_number().over(Window.partitionBy("qid", "_ok", "parent_id").orderBy(*order)))
     r = r.withColumn("_mine", F.col("_ok") & (F.col("_parent") <= per_parent))
     before = F.sum(F.col("_mine").cast("int")).over(Window.partitionBy("qid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("_before", F.coalesce(before, F.lit(0)))
-    reason = F.when(F.col("n_chars") < 50, "short").when(F.col("score") <= threshold, "score").when(F.col("_before") >= most, "over max").when(F.col("_parent") > per_parent, "diversity")
+    reason = F.when(F.col("n_chars") < 50, "short").when(low, "score").when(F.col("_before") >= most, "over max").when(F.col("_parent") > per_parent, "diversity")
     return r.withColumn("reason", reason).drop("_ok", "_parent", "_mine", "_before")
 
 
@@ -152,6 +154,11 @@ def salience_fold(start: Column, usages: Column, floor: float = 0.1) -> Column:
     return F.aggregate(usages, start.cast("double"), lambda s, u: F.when(u > 0.3, F.least(F.lit(1.0), s + 0.03 * u)).when(u < 0.1, F.greatest(F.lit(floor), s - 0.01)).otherwise(s))
 
 
+def rerank_feedback(salience: Column, scores: Column, gain: float = 0.05) -> Column:
+    """Salience after rerank scores in order: each adds ``gain`` of itself, up to 1."""
+    return F.aggregate(scores, salience.cast("double"), lambda s, x: F.least(F.lit(1.0), s + gain * x))
+
+
 def rerank(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """Given scores (qid, point_id, rerank) put in order; a missing one counts as 0."""
     both = hits.drop("rank").join(scores, ["qid", "point_id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))

@@ -165,14 +165,43 @@ def recent_errors(s, d):
     return M.listing(rows, [F.desc("timestamp"), F.desc("id")], 100, level="ERROR").select("id", "level", "module", "message")
 
 
-@query("messages", f"""SELECT message_id, len(w) >= 3 AND len(list_filter(w, lambda x: x NOT IN {STOP})) >= 2 AS needed FROM (SELECT message_id, list_filter(regexp_split_to_array(lower(user_prompt), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM messages)""")
+@query("messages", f"""SELECT message_id, len(w) >= 3 AND len(list_filter(w, lambda x: x NOT IN {STOP})) >= 2 AS needed FROM (SELECT message_id, list_filter(regexp_split_to_array(lower(user_prompt), '\\s+'), lambda x: x <> '') AS w FROM messages)""")
 def retrieval_gate(s, d):
     return B.messages(s, d).select("message_id", M.needs_retrieval(F.col("user_prompt"), T.STOPWORDS).alias("needed"))
 
 
+@query("tasks", "SELECT id, status, p AS priority FROM (SELECT *, ['critical', 'high', 'normal', 'low', 'other'][priority] AS p FROM tasks) WHERE status NOT IN ('completed', 'failed', 'cancelled') ORDER BY CASE p WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, created_at, id LIMIT 50")
+def open_tasks(s, d):
+    names = F.array(*map(F.lit, ["critical", "high", "normal", "low", "other"]))
+    return M.open_tasks(B.tasks(s, d).withColumn("priority", F.element_at(names, F.col("priority").cast("int"))), 50).select("id", "status", "priority")
+
+
+@query("messages", "SELECT DISTINCT conversation_id FROM messages WHERE contains(lower(user_prompt), 'eron') OR contains(lower(model_response), 'thst')")
+def conversations_of_matches(s, d):
+    low = lambda c: F.lower(c)
+    return M.conversations_of(B.messages(s, d), F.contains(low("user_prompt"), F.lit("eron")) | F.contains(low("model_response"), F.lit("thst")))
+
+
 # Joins
 
 
+@query("messages outbox", "SELECT c.conversation_id, o.id, o.operation FROM (SELECT DISTINCT conversation_id FROM messages) c LEFT JOIN outbox o ON o.entity_id = c.conversation_id AND o.entity_type = 3")
+def conversations_with_changes(s, d):
+    own = B.messages(s, d).select("conversation_id").distinct()
+    rows = B.outbox(s, d).select(F.col("entity_id").alias("conversation_id"), "entity_type", "id", "operation")
+    return M.with_children_of(own, rows, "conversation_id", 3).select("conversation_id", "id", "operation")
+
+
+@query("mentions", "SELECT count(DISTINCT (least(a.entity_id, b.entity_id), greatest(a.entity_id, b.entity_id))) AS pairs FROM mentions a JOIN mentions b ON a.message_id = b.message_id AND a.entity_id <> b.entity_id")
+def distinct_pairs(s, d):
+    return M.distinct_pairs(G.pairs_within(B.mentions(s, d), "message_id", "entity_id")[0])
+
+
+@query("hits", "SELECT qid, count(*) AS used, round(avg(score), 6) AS mean_score, round(avg(salience), 6) AS mean_salience FROM hits WHERE point_id % 3 = 0 GROUP BY qid")
+def used_means(s, d):
+    return M.used_means(_hits(s, d), F.col("point_id") % 3 == 0).select("qid", "used", F.round("mean_score", 6).alias("mean_score"), F.round("mean_salience", 6).alias("mean_salience"))
+
+
 @query("metadata", "SELECT m.message_id, conversation_id, coalesce(quality_score, 0) AS quality_score, latency_total_ms FROM messages m LEFT JOIN metadata USING (message_id)")
 def messages_with_metadata(s, d):
     return B.messages(s, d).join(B.metadata(s, d), "message_id", "left").select("message_id", "conversation_id", F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"), "latency_total_ms")
@@ -203,9 +232,11 @@ def item_counts(s, d):
     return M.count_by(B.items(s, d), status="status", domain="domain", kind="entity_type")
 
 
-@query("", "SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
+@query("", """SELECT c.conv_id, coalesce(turns, 0) AS turns, last_turn, coalesce(chars, 0)::BIGINT AS chars, coalesce(tokens, 0)::BIGINT AS tokens FROM (SELECT conv_id FROM conversations UNION SELECT -1 - doc_id FROM documents) c
+    LEFT JOIN (SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, sum(length(text)) AS chars, sum(ceil(length(text) / 4)) AS tokens FROM conversations GROUP BY conv_id) t ON t.conv_id = c.conv_id""")
 def conversation_rollup(s, d):
-    return M.conversation_rollup(B.table(s, d, "conversations"))
+    own = B.table(s, d, "conversations")
+    return M.conversation_rollup(own, own.select("conv_id").union(docs(s, d).select((-1 - F.col("doc_id")).alias("conv_id"))).distinct())
 
 
 @query("registry", "SELECT ingestion_type, min(entity_count) AS least, max(entity_count) AS most, round(avg(entity_count), 6) AS mean, sum(entity_count)::BIGINT AS total, count(*) FILTER (WHERE status = 'failed') AS failed FROM registry GROUP BY ingestion_type")
@@ -229,6 +260,15 @@ def introspection(s, d):
     return M.introspection(B.metadata(s, d))
 
 
+@query("metadata", """, last AS (SELECT *, CASE WHEN message_id % 2 = 0 THEN 'because ' || message_id END AS rationale FROM metadata WHERE quality_score IS NOT NULL ORDER BY message_id DESC LIMIT 50)
+    SELECT count(*) AS rows, round(avg(quality_score), 6) AS mean_score, (SELECT string_agg(rationale, ';' ORDER BY message_id DESC) FROM (SELECT * FROM last WHERE rationale IS NOT NULL ORDER BY message_id DESC LIMIT 3)) AS rationales,
+        (SELECT string_agg(keyword, ';' ORDER BY n DESC, keyword) FROM (SELECT keyword, count(*) AS n FROM (SELECT unnest(keywords) AS keyword FROM last) GROUP BY keyword ORDER BY n DESC, keyword LIMIT 5)) AS keywords FROM last""")
+def introspection_summary(s, d):
+    meta = B.metadata(s, d).withColumn("rationale", F.when(F.col("message_id") % 2 == 0, F.concat(F.lit("because "), F.col("message_id").cast("string"))))
+    joined = [F.array_join(c, ";").alias(c) for c in ("rationales", "keywords")]
+    return M.introspection_summary(meta).select("rows", F.round("mean_score", 6).alias("mean_score"), *joined)
+
+
 @query("", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
 def last_turns(s, d):
     return M.last_n(B.table(s, d, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role")
@@ -749,7 +789,7 @@ def ingest_gates(s, d):
     return M.gate_report(B.registry(s, d), {"enough": n >= 100, "hashed": n == F.count("content_hash"), "ok 90 %": F.count_if(F.col("status") == "ok") * 10 >= n * 9})
 
 
-@query("metadata", "SELECT conversation_id, count(*) AS turns, round(avg(latency_total_ms), 6) AS mean_latency, round(avg(quality_score), 6) AS mean_quality FROM messages JOIN metadata USING (message_id) GROUP BY conversation_id")
+@query("metadata", "SELECT conversation_id, count(*) AS turns, round(avg(latency_total_ms), 6) AS mean_latency, round(avg(quality_score), 6) AS mean_quality, max(sequence) AS last_turn, arg_max(latency_total_ms, sequence) AS last_latency FROM messages JOIN metadata USING (message_id) GROUP BY conversation_id")
 def turn_metrics(s, d):
     return M.turn_metrics(B.messages(s, d), B.metadata(s, d))
 
