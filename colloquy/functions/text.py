@@ -310,7 +310,7 @@ def split_tokens(total: Column, reasoning: Column, response: Column) -> Column:
 BOILERPLATE = ("i hope this helps", "let me know if", "feel free to", "i'd be happy to", "is there anything else")
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """The body of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -333,7 +333,7 @@ def quality_score(prompt: Column, response: Column, reasoning: Column | None = N
     phrases = sum((F.contains(F.lower(response), F.lit(p)).cast("int") for p in BOILERPLATE), F.lit(0))
     asked = F.when(F.length(F.coalesce(prompt, F.lit(""))) > 0, F.size(split(prompt))).otherwise(1)
     thought = F.lit(0) if reasoning is None else F.coalesce(F.length(reasoning), F.lit(0))
-    counted = _let(split(F.lower(response)), lambda w: F.struct(F.size(w).alias("n"), _let(runs(w), repeated).alias("repeated")))
+    counted = let(split(F.lower(response)), lambda w: F.struct(F.size(w).alias("n"), let(runs(w), repeated).alias("repeated")))
     facts = F.struct(counted.alias("c"), asked.alias("asked"), phrases.alias("phrases"), thought.alias("thought"))
 
     def score(f: Column) -> Column:
@@ -343,7 +343,7 @@ def quality_score(prompt: Column, response: Column, reasoning: Column | None = N
         total = total - F.when((n > 20) & (f["c"]["repeated"] > 3), 0.15).otherwise(0.0) - F.when(f["phrases"] >= 2, 0.1).otherwise(0.0)
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 3)))
 
-    return F.when(F.length(F.coalesce(response, F.lit(""))) == 0, 0.0).otherwise(_let(facts, score))
+    return F.when(F.length(F.coalesce(response, F.lit(""))) == 0, 0.0).otherwise(let(facts, score))
 
 
 def salience_floor(quality: Column) -> Column:

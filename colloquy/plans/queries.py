@@ -799,12 +799,12 @@ def run_counters(s, d):
     return M.run_counters(B.logs(s, d))
 
 
-@query("points messages", """SELECT message_id AS id, conversation_id, coalesce(CASE WHEN message_id % 5 <> 0 THEN ((message_id * 37) % 101) / 100.0 END, 0.5)::DOUBLE AS salience FROM messages WHERE length(model_response) BETWEEN 1 AND 500 AND message_id % 3 <> 0""")
+@query("points messages", """SELECT message_id AS id, conversation_id, coalesce(CASE WHEN message_id % 5 <> 0 THEN ((message_id * 37) % 101) / 100.0 END, 0.5)::DOUBLE AS salience FROM messages WHERE message_id % 3 <> 0""")
 def embed_payloads(s, d):
     own = B.messages(s, d)
     done = own.filter("message_id % 3 = 0").select(F.col("message_id").alias("id"), F.lit(0).alias("chunk_index"))
-    parts = chunks.chunk_messages(own, 500, 400, 50, 40).filter("chunk_total = 1")
-    return R.to_embed(parts, own, B.metadata(s, d), done).filter("length(chunk_text) > 0").join(own.filter("length(model_response) <= 500").select(F.col("message_id").alias("id")), "id", "left_semi").select("id", "conversation_id", "salience")
+    parts = chunks.chunk_messages(own, 1 << 30)  # every message in one chunk
+    return R.to_embed(parts, own, B.metadata(s, d), done).select("id", "conversation_id", "salience")
 
 
 @query()

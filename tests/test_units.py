@@ -1,6 +1,7 @@
 """Hand-computed cases for operators that SQL does not check."""
 
 import json
+import re
 import uuid
 
 import pytest
@@ -57,14 +58,106 @@ def test_replies(spark):
     assert T.validate_replies(rows, "turn")[0].first().overall == pytest.approx(0.65)
 
 
-@pytest.mark.parametrize("text", ["", "short", "One. " * 300, "word" * 900, "a b\n\n" * 500, "Ünï çödé! " * 200, "x" * 399 + " " + "y" * 800])
-def test_chunks_lose_nothing(spark, text):
-    rows = spark.createDataFrame([(1, text)], "id int, content string")
-    got = sorted(chunks.chunk(rows, 500, 400, 50, 40).collect(), key=lambda r: r.chunk_index)
-    assert [r.chunk_index for r in got] == list(range(len(got)))
-    assert "".join(text[r.char_start : r.char_end] for r in got) == text
-    assert all(r.chunk_text.endswith(text[r.char_start : r.char_end]) for r in got)
-    assert all(r.char_end - r.char_start <= 450 or len(text) <= 500 for r in got)
+def plain_pieces(text, most, least):
+    """The rule of chunking, in plain Python."""
+
+    def packed(units, between, most):
+        out, now = [], ""
+        for u in units:
+            if len(now + between + u if now else u) <= most:
+                now = now + between + u if now else u
+            else:
+                out += [now] if now else []
+                now = u
+        return out, now
+
+    def sentences(p):
+        out, now = [], ""
+        for s in (s.strip() for s in re.split(r"(?<=[.!?])\s+", p) if s.strip()):
+            if len(now + " " + s if now else s) <= most:
+                now = now + " " + s if now else s
+                continue
+            out, now = [*out, now] if now else out, s
+            if len(s) > most:
+                while len(now) > most:
+                    at = now.rfind(" ", 0, most)
+                    at = at if at >= most // 2 else most
+                    out.append(now[:at].rstrip())
+                    now = now[at:].lstrip()
+                out, now = [*out, now] if now else out, ""
+        if now and out and len(now) < least:
+            return [*out[:-1], out[-1] + " " + now]
+        return [*out, now] if now else out
+
+    if len(text) <= most:
+        return [text] if text else []
+    out, now = packed([p.strip() for p in re.split(r"\n\n+", text) if p.strip()], "\n\n", most)
+    merged = []
+    for p in [*out, now] if now else out:
+        if merged and len(p) < least:
+            merged[-1] += "\n\n" + p
+        else:
+            merged.append(p)
+    return [x for p in merged for x in ([p] if len(p) <= most else sentences(p))]
+
+
+def plain_chunks(text, threshold, most, least, overlap, head="", before=0, whole=None):
+    if not text.strip():
+        return []
+    if len(text if whole is None else whole) <= threshold:
+        full = head + text if whole is None else whole
+        return [(0, len(text) if whole is None else len(whole), full)]
+    text, out, at = text.strip(), [], 0
+    parts = plain_pieces(text, max(most - len(head), 2 * least) if head else most, least)
+    for i, p in enumerate(parts):
+        start = text.find(p[:50], at)
+        start = at if start < 0 else start
+        at = max(start + 1, at)
+        lead = ""
+        if i:
+            lead = parts[i - 1][-overlap:]
+            lead = lead[lead.find(" ") + 1 :] if lead.find(" ") > 0 else lead
+            lead = lead + " " if lead else ""
+        out.append((before + start, before + start + len(p), head + lead + p))
+    return out
+
+
+LONG = [
+    "", " \n ", "short", "One. " * 300, "word" * 900, "a b\n\n" * 500, "Ünï çödé! " * 200, "x" * 399 + " " + "y" * 800, " lead. " + "z " * 300 + "\n\n\n" + "Tail here? " * 60 + "\n\nend.",
+    "\n\n".join(f"Paragraph {k} says {'more ' * (k * 7 % 40)}now." for k in range(40)), "no end " * 90 + "\n\n" + "tiny\n\n" + "q" * 395 + ".\n\n" + "w" * 30,
+]
+
+
+def test_chunks_by_plain_rule(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(LONG)], "id int, content string")
+    got = {}
+    for r in chunks.chunk(rows, 500, 400, 50, 40).orderBy("id", "chunk_index").collect():
+        own = got.setdefault(r.id, [])
+        assert r.chunk_index == len(own)
+        own.append((r.char_start, r.char_end, r.chunk_text))
+        assert r.position == ("only" if r.chunk_total == 1 else "first" if r.chunk_index == 0 else "last" if r.chunk_index == r.chunk_total - 1 else "middle")
+    assert got == {i: w for i, t in enumerate(LONG) if (w := plain_chunks(t, 500, 400, 50, 40))}
+
+
+def test_chunks_of_messages_and_documents(spark):
+    asked = ["why", "Tell me " * 40, ""]
+    messages = spark.createDataFrame([(i * 10 + k, q, t) for i, t in enumerate(LONG) for k, q in enumerate(asked)], "message_id int, user_prompt string, model_response string")
+    got, want = {}, {}
+    for r in chunks.chunk_messages(messages, 500, 400, 50, 40).orderBy("id", "chunk_index").collect():
+        got.setdefault(r.id, []).append((r.char_start, r.char_end, r.chunk_text))
+    for i, t in enumerate(LONG):
+        for k, q in enumerate(asked):
+            whole, head = f"Q: {q}\nA: {t}", f"Q: {q[:150].strip()}{'...' if len(q) > 150 else ''}\nA: " if q else ""
+            own = [(0, len(whole), whole)] if len(whole) <= 500 else plain_chunks(t, -1, 400, 50, 40, head, len(q) + 7)
+            want |= {i * 10 + k: own} if own else {}
+    assert got == want
+    docs = spark.createDataFrame([(i, "Title" if i % 2 else "", t) for i, t in enumerate(LONG)], "id int, title string, content string")
+    got = {}
+    for r in chunks.chunk_documents(docs, threshold=500, most=400, least=50, overlap=40).orderBy("id", "chunk_index").collect():
+        got.setdefault(r.id, []).append((r.char_start, r.char_end, r.chunk_text))
+    assert got == {i: w for i, t in enumerate(LONG) if (w := plain_chunks(t, 500, 400, 50, 40, "Title\n" if i % 2 else ""))}
+    assert chunks.coverage_totals(chunks.chunk(docs.select("id", "content"), 500, 400, 50, 40)).first().records == len(got)
+    assert chunks.fetch(chunks.chunk(docs.select("id", "content")), 3).filter("id = 2").first().preview == "sho"
 
 
 def edges(spark, *pairs):
