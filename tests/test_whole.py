@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from colloquy.llm import decontaminate
 from colloquy.operators import graph as G, ingest as N, intent as I
 from colloquy.plans import bindings as B
 from colloquy.plans.queries import QUERIES
+from test_units import plain_chunks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -87,32 +87,26 @@ def test_payloads_of_all_chunks(spark):
     got = defaultdict(dict)
     for r in QUERIES["chunk_payloads"](spark, DATA).collect():
         assert r.chunk_index not in got[r.id]
-        got[r.id][r.chunk_index] = r
+        got[r.id][r.chunk_index] = (r.conversation_id, r.created_at, r.salience, r.chunk_text)
     longer = 0
     for m in B.messages(spark, DATA).collect():
-        own = got.pop(m.message_id, {})
+        whole, q = f"Q: {m.user_prompt}\nA: {m.model_response}", m.user_prompt
+        head = f"Q: {q[:150].strip()}{'...' if len(q) > 150 else ''}\nA: " if q else ""
+        parts = [(0, 0, whole)] if len(whole) <= 500 else plain_chunks(m.model_response, -1, 400, 50, 40, head)
         quality = m.message_id * 37 % 101 / 100 if m.message_id % 5 else 0.5
-        assert all((r.conversation_id, r.created_at, r.salience) == (m.conversation_id, m.created_at, quality) for r in own.values())
-        if m.message_id % 3 == 0:
-            assert sorted(own) == list(range(1, len(own) + 1)) and (len(m.model_response) <= 500) == (not own)
-            longer += len(own)
-            continue
-        # Without prompts and overlaps, the chunks' texts give the response again.
-        assert sorted(own) == list(range(len(own)))
-        text, head = "", f"Q: {m.user_prompt[:150]}...\nA: "
-        for k in range(len(own)):
-            assert own[k].chunk_text.startswith(head)
-            body = own[k].chunk_text.removeprefix(head)
-            text += body[next(n for n in range(41) if text.endswith(body[:n]) and m.model_response.startswith(body[n:], len(text))) :]
-        assert text == m.model_response
-        longer += len(own) > 1
+        want = {i: (m.conversation_id, m.created_at, quality, text) for i, (_, _, text) in enumerate(parts) if i or m.message_id % 3}
+        assert got.pop(m.message_id, {}) == want
+        longer += len(parts) > 1
     assert longer and not got
 
 
+KEYED = "message_id long, conversation_id long, keywords array<string>"
+
+
 def test_common_keywords_count(spark):
     """A keyword of over 1,000 messages is evidence like any other."""
     n = 1010
-    rows = spark.createDataFrame([(i, i, ["common", f"own{i}"]) for i in range(n)], "message_id long, conversation_id long, keywords array<string>")
+    rows = spark.createDataFrame([(i, i, ["common", f"own{i}"], 0.6) for i in range(n)], f"{KEYED}, quality_score double")
     got = G.keyword_similarity(rows, 0.3)
     assert [tuple(r) for r in got.groupBy("jaccard").count().collect()] == [(1 / 3, n * (n - 1) // 2)]
 
@@ -127,8 +121,10 @@ def test_keyword_similarity(spark, least):
         (ca, x), (cb, y) = sets[a], sets[b]
         if ca != cb and x & y and len(x & y) / len(x | y) >= least:
             want[a, b] = len(x & y) / len(x | y)
-    got = G.keyword_similarity(spark.createDataFrame(rows, "message_id long, conversation_id long, keywords array<string>"), least).collect()
+    scored = [(*r, 0.9) for r in rows] + [(900 + r[0], r[1], r[2], 0.5) for r in rows]  # 0.5 is not over the bound
+    got = G.keyword_similarity(spark.createDataFrame(scored, f"{KEYED}, quality_score double"), least).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
+    assert all(r.shared == sorted(sets[r.a][1] & sets[r.b][1]) for r in got)
 
 
 def test_titles_of_several_words(spark):
@@ -149,16 +145,3 @@ def test_numbers_in_order(spark):
 def test_messages_are_numbered_in_parts(spark):
     plan = QUERIES["entity_sources"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(message_id" not in plan
-
-
-def test_automata_are_built_by_tasks(spark, monkeypatch):
-    def on_driver(*_):
-        raise AssertionError("built on the driver")
-
-    monkeypatch.setattr(decontaminate.SuffixAutomaton, "__init__", on_driver)
-    bench = spark.createDataFrame([(i, f"word{i} and more of item {i}") for i in range(20)], "item_id long, text string")
-    paths = decontaminate.automata(bench, 5, most_words=30)
-    assert len(paths) > 1
-    found = decontaminate.find(spark.createDataFrame([(1, "Word7 and more"), (2, "so Word7 and more of item 7"), (3, None)], "doc_id long, text string"), bench, 5)
-    assert {r.doc_id: (r.n_words, r.item_ids) for r in found.collect()} == {1: (3, []), 2: (7, ["7"]), 3: (0, [])}
-    assert decontaminate.automata(bench.filter("item_id < 0"), 4) == []
