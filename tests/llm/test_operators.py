@@ -362,3 +362,50 @@ def test_automata_are_built_by_tasks(spark, monkeypatch):
     found = decontaminate.find(spark.createDataFrame([(1, "Word7 and more"), (2, "so Word7 and more of item 7"), (3, None)], "doc_id long, text string"), bench, 5)
     assert {r.doc_id: (r.n_words, r.item_ids) for r in found.collect()} == {1: (3, []), 2: (7, ["7"]), 3: (0, [])}
     assert decontaminate.automata(bench.filter("item_id < 0"), 4) == []
+
+
+def test_toxicity_against_plain_sums(spark, make):
+    """Ratios counted and scores summed in plain Python; the regression is where its gradient vanishes."""
+    rng = random.Random(21)
+    clean, bad = ["walk", "garden", "letter", "window", "summer", "paper"], ["grumbo", "snarv", "vilkat"]
+    rows = []
+    for k in range(240):
+        toxic = int(k % 4 == 0)
+        rows.append((k, " ".join(rng.choices(clean, k=12) + (rng.choices(bad, k=rng.randint(1, 3)) if toxic else [])), toxic))
+    docs, labels = make([(k, t) for k, t, _ in rows]), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, penalty=1.0, steps=4000)
+
+    def slots(text):
+        out, mask = set(), (1 << 64) - 1
+        raw = f" {' '.join(text.split())} ".encode()
+        for n in toxicity.SIZES:
+            for i in range(len(raw) - n + 1):
+                code = n
+                for byte in raw[i : i + n]:
+                    code = (code << 8 | byte) & mask
+                x = (code + 7) * 0x9E3779B97F4A7C15 & mask
+                x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+                out.add(x >> (64 - toxicity.BITS))
+        return out
+
+    learned = [(slots(t), y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5]
+    m = Counter(y for _, y in learned)
+    seen = {y: Counter(s for own, z in learned if z == y for s in own) for y in (0, 1)}
+    ratio = {s: np.log((seen[1][s] + 1) / (m[1] + 2)) - np.log((seen[0][s] + 1) / (m[0] + 2)) for s in {*seen[0], *seen[1]}}
+    kept = set(np.flatnonzero(model.weights).tolist())
+    assert kept and kept <= set(ratio)
+    for s, r in ratio.items():
+        p, q = seen[1][s] + 1, seen[0][s] + 1
+        error = np.sqrt(max(1 / p - 1 / (m[1] + 2), 0) + max(1 / q - 1 / (m[0] + 2), 0))
+        assert (s in kept) == (abs(r) >= 4 * error) or s not in kept  # a coefficient may come out as 0
+    z = {k: model.bias + sum(model.weights[s] for s in slots(t)) for k, t, _ in rows}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(abs(got[k].score - 1 / (1 + np.exp(-z[k]))) < 1e-9 and got[k].predicted == (z[k] >= 0) for k in z)
+    assert all(got[k].predicted == y for k, _, y in rows)
+    share = m[1] / (m[0] + m[1])
+    weigh = {1: (0.5 / share) ** 0.5, 0: (0.5 / (1 - share)) ** 0.5}
+    gap = [(own, (1 / (1 + np.exp(-(model.bias + sum(model.weights[s] for s in own)))) - y) * weigh[y] / len(learned)) for own, y in learned]
+    for s in kept:
+        pull = sum(g for own, g in gap if s in own) * ratio[s] + model.weights[s] / ratio[s] / len(learned)
+        assert abs(pull) < 1e-3
+    assert abs(sum(g for _, g in gap)) < 1e-2
