@@ -160,15 +160,18 @@ def match(docs: DataFrame, paths: list[str], extra: tuple[str, ...] = ()) -> Dat
     """A row per document: doc_id, n_words, spans (word ranges begin and end), item_ids (sorted as strings), ``extra``."""
 
     def run(batches):
-        for b in _gathered(batches, 1 << 26) if len(paths) > 1 else batches:
-            texts = [words(t) for t in b.column("text").to_pylist()]
-            spans, items = [[] for _ in texts], [set() for _ in texts]
-            for path in paths:
-                own = _load(path)
-                for k, t in enumerate(texts):
-                    s, found = own.match(t)
-                    spans[k] += s
-                    items[k] |= found
+        for b in _gathered(batches, 1 << 25) if len(paths) > 1 else batches:
+            texts = b.column("text").to_pylist()
+            n, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for path in paths or [None]:
+                own = _load(path) if path else None
+                for k, text in enumerate(texts):
+                    w = words(text)  # of one text at a time
+                    n[k] = len(w)
+                    if own:
+                        s, found = own.match(w)
+                        spans[k] += s
+                        items[k] |= found
             if len(paths) > 1:
                 for k, s in enumerate(spans):
                     spans[k] = []
@@ -176,10 +179,9 @@ def match(docs: DataFrame, paths: list[str], extra: tuple[str, ...] = ()) -> Dat
                         if spans[k] and spans[k][-1][1] >= a:
                             a, e = spans[k][-1][0], max(e, spans[k].pop()[1])
                         spans[k].append((a, e))
-            yield pa.record_batch(
-                [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"begin": a, "end": e} for a, e in s] for s in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string())), *(b.column(c) for c in extra)],
-                names=["doc_id", "n_words", "spans", "item_ids", *extra],
-            )
+            places = pa.array([[{"begin": a, "end": e} for a, e in s] for s in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+            named = pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))
+            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), places, named, *(b.column(c) for c in extra)], names=["doc_id", "n_words", "spans", "item_ids", *extra])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in extra if c not in ("doc_id", "text")))
     kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in extra)

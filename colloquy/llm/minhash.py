@@ -41,7 +41,7 @@ def shingles(text: str | None) -> np.ndarray:
     own = (text or "").encode().lower().split()
     if not own:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, own), np.uint64, len(own))
     n = min(WORDS, len(h))

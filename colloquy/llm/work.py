@@ -114,20 +114,28 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (id, component), component the smallest id reachable.
 
-    In each round an id takes the smallest label among its own and its neighbours', so the rounds are as many as the
-    longest shortest path has links: few for the star-shaped links of this subpackage. Every round is written to the
-    shared folder; only ids of one link each meet in a join, and the labels of a much linked id are summed before the
-    shuffle.
+    In each round an id takes the smallest label among its own, its neighbours' and those that neighbours of ids with
+    its label have, and then the label of the id that its label names, so that whole trees are hooked together and
+    chains shorten by leaps: few rounds for long paths, too. Every round is written to the shared folder and the one
+    before deleted; labels of much linked ids and of large components go by lookup(), which gathers them in no task.
     """
     both = saved(edges.select(F.col(a).alias("id"), F.col(b).alias("other")).union(edges.select(b, a)).filter("id <> other").distinct(), "cc-edges")
     degree = both.groupBy("id").agg(F.count("*").alias("w"))
     labels = saved(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), "cc-labels")
-    total = max(1, both.count())
+    links, ids = max(1, both.count()), max(1, labels.count())
     while True:
         own = labels.join(degree.hint("merge"), "id").select(F.col("id").alias("other"), "component", "w")
-        near = lookup(both, own, "other", "w", total, ["id"]).groupBy("id").agg(F.min("component").alias("near"))
-        step = labels.join(near.hint("merge"), "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = lookup(both, own, "other", "w", links, ["id"]).groupBy("id").agg(F.min("component").alias("near"))
+        met = labels.join(near.hint("merge"), "id")
+        hooks = met.groupBy(F.col("component").alias("id")).agg(F.min("near").alias("hook"))
+        step = met.join(hooks.hint("merge"), "id", "left").select("id", F.col("component").alias("was"), F.least("component", "near", "hook").alias("component"))
         step = saved(step, "cc-labels")
-        labels = step.select("id", "component")
         if not step.filter("was <> component").limit(1).count():
-            return labels
+            drop(labels, both)
+            return step.select("id", "component")
+        named = step.groupBy("component").agg(F.count("*").alias("w"))
+        named = named.join(step.select(F.col("id").alias("component"), F.col("component").alias("root")).hint("merge"), "component")
+        leapt = lookup(step.select("id", "component"), named, "component", "w", ids, ["id"]).select("id", F.coalesce("root", "component").alias("component"))
+        leapt = saved(leapt, "cc-labels")
+        drop(labels, step)
+        labels = leapt

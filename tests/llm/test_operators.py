@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from colloquy.llm import ann, automata, decontaminate, langid, lines, minhash, packing, secrets, tokenfiles, tokens, toxicity, warc
+from colloquy.llm import ann, automata, decontaminate, langid, lines, minhash, packing, secrets, tokenfiles, tokens, toxicity, warc, work
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -409,3 +409,17 @@ def test_toxicity_against_plain_sums(spark, make):
         pull = sum(g for own, g in gap if s in own) * ratio[s] + model.weights[s] / ratio[s] / len(learned)
         assert abs(pull) < 1e-3
     assert abs(sum(g for _, g in gap)) < 1e-2
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    """Chains, stars and rings; the rounds do not grow with a chain's length."""
+    rounds = []
+    plain = work.saved
+    monkeypatch.setattr(work, "saved", lambda df, name: rounds.append(name) or plain(df, name))
+    ids = list(range(300))
+    random.Random(2).shuffle(ids)
+    pairs = list(zip(ids, ids[1:], strict=False)) + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2000 + (k + 1) % 50) for k in range(50)] + [(3000, 3000)]
+    got = {r.id: r.component for r in work.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, 0), **dict.fromkeys(range(1000, 1100), 1000), **dict.fromkeys(range(2000, 2050), 2000)}
+    assert rounds.count("cc-labels") < 30
+    assert work.components(spark.createDataFrame([], "a long, b long")).collect() == []
