@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ _tables: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can write to: spark.checkpoint.dir.
 
-    A temporary folder is made only where the setting is missing (local tests).
+    Where the setting is missing, a temporary folder is made in local mode alone; a cluster would not share it.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = _own.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _own[sc.applicationId] = base
