@@ -67,12 +67,13 @@ def _flat(column, dtype=np.float64) -> np.ndarray:
     return np.array(column.to_pylist(), dtype)
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.5, per_list: int = 128, fit_on: int = 20_000, most_lists: int = 4096, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.5, per_root: float = 2.5, fit_on: int = 20_000, most_lists: int = 4096, block: int = 4096) -> DataFrame:
     """The k nearest rows of each query row (vec_id divisible by ``every``): query_id, rank, vec_id, score.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. The
     index is fitted on ``fit_on`` vectors at most (those with the smallest hash of their id) and holds every vector, in
-    about one list per ``per_list`` vectors, ``most_lists`` at most. A query probes the part ``probe`` of the lists.
+    ``per_root`` times as many lists as the root of their number, ``most_lists`` at most. A query probes the part
+    ``probe`` of the lists, and more where they hold fewer than four times the vectors that a result needs.
 
     Equal vectors are searched once: a group is searched for by one of its queries and found as one candidate with
     its k + 1 smallest ids, which is all that a result can need. Lists are scanned in blocks of about ``block``
@@ -95,7 +96,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.
     members = firsts.groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
 
     n = own.count()
-    lists = max(1, min(most_lists, round(n / per_list)))
+    lists = max(1, min(most_lists, round(per_root * n**0.5)))
     sample = np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(fit_on).collect()])
     shared = spark.sparkContext.broadcast(fit(sample, lists))
     probes = max(1, int(np.ceil(probe * lists)))
@@ -108,14 +109,20 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.
                 yield pa.record_batch([pa.array(_squares(x, index.centroids).argmin(1), pa.int32()), b.column("id"), b.column("v"), pa.array(list(x), pa.list_(pa.float64()))], names=["list", "id", "v", "r"])
 
     def ask(batches):
-        index = shared.value
+        index, held = shared.value, sizes
+        own = _squares(index.sample, index.centroids).argmin(1)  # the lists of the sample
         for b in batches:
             if b.num_rows:
                 x = _flat(b.column("v")) @ index.rotation
-                far = np.sort(_squares(x, index.sample), axis=1)
-                bound = far[:, most - 1] * (1 + 1e-9) if far.shape[1] >= most else np.full(len(x), np.inf)
-                to = np.argsort(_squares(x, index.centroids), axis=1, kind="stable")[:, :probes]
-                yield pa.record_batch([pa.array(list(to), pa.list_(pa.int32())), b.column("id"), b.column("v"), pa.array(list(x), pa.list_(pa.float64())), pa.array(bound)], names=["lists", "query", "v", "r", "bound"])
+                far, order = _squares(x, index.sample), np.argsort(_squares(x, index.centroids), axis=1, kind="stable")
+                to, bound = [], []
+                for row, near in zip(far, order, strict=True):
+                    enough = int(np.searchsorted(np.cumsum(held[near]), 4 * most)) + 1
+                    to.append(near[: max(probes, enough)])
+                    # In the probed lists, as many vectors as a result needs lie within the bound.
+                    known = row[np.isin(own, to[-1])]
+                    bound.append(np.partition(known, most - 1)[most - 1] * (1 + 1e-9) if len(known) >= most else np.inf)
+                yield pa.record_batch([pa.array(to, pa.list_(pa.int32())), b.column("id"), b.column("v"), pa.array(list(x), pa.list_(pa.float64())), pa.array(bound, pa.float64())], names=["lists", "query", "v", "r", "bound"])
 
     def compare(key, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
@@ -131,16 +138,21 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe: float = 0.
         return pa.table({"query": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     listed = saved(own.select("id", "v").mapInArrow(assign, "list int, id long, v array<double>, r array<double>"), "ann-lists")
-    blocks = saved(listed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "ann-blocks")  # a row per list
+    counts = listed.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counts = saved(counts, "ann-blocks")  # a row per list
+    sizes = np.zeros(lists, np.int64)
+    for row in counts.collect():
+        sizes[row["list"]] = row["n"]
+    blocks = counts.drop("n")
     parts = listed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     asking = rows.filter(F.col("vec_id") % every == 0).select("same", F.col("vec_id").alias("query_id")).distinct()
     groups = saved(asking.groupBy("same").agg(F.count("*").alias("w")), "ann-queries")
     questions = own.join(groups.hint("merge"), "same").select("id", "v").mapInArrow(ask, "lists array<int>, query long, v array<double>, r array<double>, bound double")
     questions = saved(questions.withColumn("list", F.explode("lists")).drop("lists"), "ann-questions")
     asked = saved(questions.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("turns")), "ann-turns")  # a row per list
-    counts = blocks.join(asked.hint("merge"), "list")
+    both = blocks.join(asked.hint("merge"), "list")
     parts = parts.join(F.broadcast(asked), "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
-    questions = questions.join(F.broadcast(counts), "list").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int"))
+    questions = questions.join(F.broadcast(both), "list").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int"))
     questions = questions.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "turns")
     per = ["list", "block", "turn"]
     met = parts.groupBy(*per).cogroup(questions.groupBy(*per)).applyInArrow(compare, "query long, id long, score double")

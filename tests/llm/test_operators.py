@@ -254,7 +254,7 @@ def test_neighbours(spark):
     v = [(i, (centres[i % 12] + rng.normal(size=24)).tolist()) for i in range(1500)]
     v += [(2000 + i, v[0][1]) for i in range(40)] + [(2100, None), (2200, [0.0] * 24), (2300, [float("nan")] * 24), (2400, [1.0]), (None, v[1][1]), (2500, v[5][1]), (2500, v[5][1])]
     df = spark.createDataFrame([(i, x, 1, "s") for i, x in v], "vec_id long, embedding array<double>, w long, same string")
-    got = ann.nearest(df, per_list=60).collect()
+    got = ann.nearest(df).collect()
     good = [(i, np.array(x)) for i, x in v if i is not None and x is not None and len(x) == 24 and np.isfinite(x).all() and any(x)]
     good = {(i, x.tobytes()): (i, x) for i, x in good}.values()
     ids, m = np.array([i for i, _ in good]), np.array([x for _, x in good])
@@ -423,3 +423,21 @@ def test_components_of_long_chains(spark, monkeypatch):
     assert got == {**dict.fromkeys(ids, 0), **dict.fromkeys(range(1000, 1100), 1000), **dict.fromkeys(range(2000, 2050), 2000)}
     assert rounds.count("cc-labels") < 30
     assert work.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_recall_of_neighbours(spark):
+    """Every vector whose id is divisible by 50 against all: nine of ten true neighbours or more, with exact scores."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = sorted((r.vec_id, np.array(r.embedding, float)) for r in table.collect())
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    got = {}
+    for r in ann.nearest(table, every=50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        distance = np.sqrt(((v - v[k]) ** 2).sum(1))
+        near = sorted((d, i) for d, i in zip(distance.tolist(), ids.tolist(), strict=True) if i != ids[k])[:10]
+        own = got[int(ids[k])]
+        assert all(abs(s - distance[np.searchsorted(ids, i)]) < 1e-12 for i, s in own) and len(own) == 10
+        hits += len({i for _, i in near} & {i for i, _ in own})
+    assert hits >= 0.9 * 10 * len(got)
