@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,10 +11,13 @@ from .retrieve import cosine, top_k
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the cluster's shared folder; a temporary one only where none is set (tests)."""
+    """Cut lineage by a checkpoint in the cluster's shared folder; a temporary one in local mode alone, where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 
 
