@@ -693,11 +693,13 @@ def message_chunks(s, d):
     return chunks.chunk_messages(B.messages(s, d), 500, 400, 50, 40)
 
 
-@query("", "SELECT sum(length(text))::BIGINT AS chars, count(*) AS documents FROM documents WHERE length(text) > 0")
+@query("", r"SELECT count(*) AS documents, count(*) FILTER (WHERE length(text) <= 3000) AS whole, sum(CASE WHEN length(text) <= 3000 THEN length(text) END)::BIGINT AS chars FROM documents WHERE regexp_matches(text, '\S')")
 def chunk_coverage(s, d):
-    """Chunks put together give every text again."""
-    own = chunks.chunk(B.documents(s, d).select("id", "content"))
-    return own.agg(F.sum(F.col("char_end") - F.col("char_start")).alias("chars"), F.countDistinct("id").alias("documents"))
+    """Every document with a text has chunks, and those up to the threshold are whole in one."""
+    rows = B.documents(s, d)
+    own = chunks.chunk(rows.select("id", "content")).join(rows.select("id", F.length("content").alias("n")).hint("merge"), "id")
+    one = (F.col("n") <= 3000) & (F.col("char_start") == 0) & (F.col("char_end") == F.col("n")) & (F.col("chunk_total") == 1)
+    return own.agg(F.countDistinct("id").alias("documents"), F.count_if(one).alias("whole"), F.sum(F.when(one, F.col("n"))).cast("long").alias("chars"))
 
 
 # Intent state
