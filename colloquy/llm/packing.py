@@ -28,6 +28,7 @@ def _tokenize(tokenizer: str, end: int):
                 own = [pa.array(np.full(k - i, part, np.int32)), pa.array(np.arange(row, row + k - i)), b.column("doc_id").slice(i, k - i)]
                 yield pa.record_batch([*own, pa.array(at + seen), pa.array(n), ids], names=names)
                 seen, row = seen + len(flat), row + k - i
+            pa.default_memory_pool().release_unused()
 
     return run
 

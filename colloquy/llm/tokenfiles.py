@@ -79,6 +79,7 @@ def _writer(folder: str, tokenizer: str, id_column: str, end: int, length: int,
                         for at in range(0, full, step):
                             to.write_batch(batch(left[at : at + step], step))
                         left = left[full:]
+                    pa.default_memory_pool().release_unused()
                 if len(left):
                     to.write_batch(batch(np.pad(left, (0, -len(left) % length)), len(left)))
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of texts that are encoded at once.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 #: Fixed value: the pre-tokenizing pattern of byte-level BPE vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -25,7 +25,7 @@ class Encoder:
     what each of the two memories keeps.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
