@@ -182,6 +182,7 @@ def match(docs: DataFrame, paths: list[str], extra: tuple[str, ...] = ()) -> Dat
             places = pa.array([[{"begin": a, "end": e} for a, e in s] for s in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
             named = pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), places, named, *(b.column(c) for c in extra)], names=["doc_id", "n_words", "spans", "item_ids", *extra])
+        _load.cache_clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in extra if c not in ("doc_id", "text")))
     kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in extra)

@@ -95,6 +95,7 @@ def _sign(batches):
                 bands.append(None)
                 marks.append(None)
         yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(print_, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "n", "print", "bands", "marks"])
+    _words.clear()
 
 
 def _agree(percent: int, n: np.ndarray) -> np.ndarray:

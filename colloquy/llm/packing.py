@@ -29,6 +29,7 @@ def _tokenize(tokenizer: str, end: int):
                 yield pa.record_batch([*own, pa.array(at + seen), pa.array(n), ids], names=names)
                 seen, row = seen + len(flat), row + k - i
             pa.default_memory_pool().release_unused()
+        coder.forget()
 
     return run
 

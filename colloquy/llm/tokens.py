@@ -127,6 +127,10 @@ class Encoder:
         place += np.arange(ends[-1], dtype=np.int32)
         return values[place], np.add.reduceat(n, first + np.arange(len(heads)))
 
+    def forget(self) -> None:
+        """Free the memories of words, for the stages that follow in the same worker."""
+        self.pieces, self.chunks = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         ids, n = self.flat(pa.array(texts, pa.string()), 0)
