@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, lines, minhash, packing, secrets, sql, tokenfiles, toxicity, warc
+from . import ann, conversations, decontaminate, langid, lines, minhash, packing, secrets, sql, tokenfiles, toxicity, urls, warc, whiten
 
 
 def _tokenizer() -> str:
@@ -59,6 +59,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(spark, _table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_warc, op4_secrets, op5_decontamination, op6_near_duplicates, op7_neighbours, op8_language, op9_toxicity, op10_token_files)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.digest(turns, conversations.repair(conversations.damage(turns)))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_warc, op4_secrets, op5_decontamination, op6_near_duplicates, op7_neighbours, op8_language, op9_toxicity, op10_token_files, op11_url_filter, op12_whitening, op13_conversation_repair)}
 #: The other operators have no form in SQL: tokenizers, trained models, spans by automata, approximate search.
-ORACLE: dict[str, str] = {"op2_line_dedup": sql.LINES, "op3_warc": sql.WARC, "op5_decontamination": sql.DECONTAMINATION, "op6_near_duplicates": sql.NEAR}
+ORACLE: dict[str, str] = {"op2_line_dedup": sql.LINES, "op3_warc": sql.WARC, "op5_decontamination": sql.DECONTAMINATION, "op6_near_duplicates": sql.NEAR, "op11_url_filter": sql.URLS, "op13_conversation_repair": sql.REPAIR}

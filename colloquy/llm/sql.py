@@ -38,3 +38,60 @@ links AS (SELECT a, b FROM pairs WHERE 100 * c >= 75 * (na + nb - c)), both_ways
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT x, b FROM reach JOIN both_ways ON y = a),
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
+
+def _urls() -> str:
+    from .urls import LIMIT, RULES, WEIGHTS
+
+    edge = r"[^a-z\x{80}-\x{10FFFF}]"
+    hit = lambda t: f"regexp_matches(u, '(^|{edge}){t}({edge}|$)')::BIGINT"
+    strict = " + ".join(hit(t) for t, w in WEIGHTS.items() if w >= LIMIT)
+    soft = " + ".join(hit(t) for t, w in WEIGHTS.items() if w < LIMIT)
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return f"""
+WITH p AS (SELECT page_id, {_LOWER.format("coalesce(url, '')")} AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, u, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+s AS (SELECT page_id, host, path, {strict} AS n_strict, {soft} AS n_soft FROM q),
+r AS (SELECT * FROM (VALUES {rules}) t(h, b, v)),
+m AS (SELECT host, path, arg_max(h || b, length(h || b)) AS rule, arg_max(v, length(h || b)) AS v FROM (SELECT DISTINCT host, path FROM s), r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {LIMIT} * n_strict + n_soft >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM s LEFT JOIN m USING (host, path)"""
+
+
+URLS = _urls()
+
+
+def _repair() -> str:
+    """The edits by a recursive walk over each conversation's rows, a string of cost and edits for each of four states."""
+    add = lambda s, c, e: f"(lpad((substr({s}, 1, 9)::INT + {c})::VARCHAR, 9, '0') || substr({s}, 10) || '{e}')"
+    ch = r"[^\x20\x09-\x0D]"
+    byte = "list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    return rf"""
+WITH RECURSIVE t AS (SELECT {byte} AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS b FROM conversations),
+n AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS n FROM k, t),
+d AS (SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE WHEN n = 1 THEN '' WHEN n = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM n, unnest(range(CASE WHEN n = 3 THEN 2 ELSE 1 END)) WHERE n <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+f AS (SELECT conv_id, turn, role, text, i, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS r,
+  CASE WHEN NOT regexp_matches(text, '{ch}') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 1 ELSE 0 END AS k FROM o),
+w AS (SELECT conv_id, i, r, k, lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS nxt FROM f),
+st AS (SELECT conv_id, count(*) FILTER (k = 2) AS blank, count(*) FILTER (k = 3) AS duplicate, count(*) FILTER (k = 1) AS truncated, count(*) FILTER (nxt IS NOT NULL AND r || nxt NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM w GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM d GROUP BY conv_id),
+dp AS (SELECT conv_id, 0::BIGINT AS i, '000000000' AS v0, NULL::VARCHAR AS v1, NULL::VARCHAR AS v2, NULL::VARCHAR AS v3 FROM st UNION ALL
+  SELECT conv_id, i, {add('w0', 2, 'D')}, least({add('w1', 2, 'D')}, CASE WHEN ok AND r = 's' THEN {add('w0', 'late', 'K')} END),
+    least({add('w2', 2, 'D')}, CASE WHEN ok THEN {add('m', '1 + late', 'R')} END, CASE WHEN ok AND r = 'u' THEN {add('m', 'late', 'K')} END),
+    least({add('w3', 2, 'D')}, CASE WHEN ok THEN {add('w2', '1 + late', 'R')} END, CASE WHEN ok AND r = 'a' THEN {add('w2', 'late', 'K')} END)
+  FROM (SELECT *, least(w0, w1, w3) AS m FROM (SELECT *, least(v3, {add('w2', 5, 'I')}) AS w3 FROM
+    (SELECT x.conv_id, f.i, f.r, f.k < 2 AS ok, CASE WHEN f.k = 1 THEN 5 ELSE 0 END AS late, v0 AS w0, v1 AS w1, least(v2, {add('v0', 5, 'I')}, {add('v1', 5, 'I')}, {add('v3', 5, 'I')}) AS w2, v3
+     FROM dp x JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i + 1)))),
+e AS (SELECT dp.conv_id, least(v0, v3, {add('v2', 5, 'I')}, {add('v1', 10, 'II')}) AS v FROM dp JOIN st ON st.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = st.n),
+a AS (SELECT conv_id, j, substr(v, 9 + j, 1) AS c FROM e, unnest(range(1, length(v) - 8)) u(j)),
+b AS (SELECT conv_id, j, c, CASE WHEN c <> 'I' THEN count(*) FILTER (c <> 'I') OVER (PARTITION BY conv_id ORDER BY j) END AS i FROM a),
+h AS (SELECT b.conv_id, j, c, f.role, f.text, f.r, row_number() OVER (PARTITION BY b.conv_id ORDER BY j) AS p FROM b LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i WHERE c <> 'D'),
+h2 AS (SELECT *, max(CASE WHEN p = 1 AND c = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM h),
+z AS (SELECT conv_id, sha256(string_agg(CASE WHEN c = 'K' THEN role WHEN (p - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN c = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM h2 GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(substr(v, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(v, 10), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
+REPAIR = _repair()
