@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -100,6 +100,7 @@ class Automaton:
     rows: np.ndarray
     accepts: np.ndarray
     dead: int
+    lists: list | None = field(default=None, repr=False, compare=False)
 
     def linked(self) -> list[list]:
         """A list for each state: the lists of the 256 next states, then the accept bits."""
@@ -109,14 +110,17 @@ class Automaton:
             own.append(bits)
         return out
 
-    def ends(self, data: bytes, at: int, step: int = 1) -> list[int]:
-        """Positions where a match that starts at ``at`` ends, nearest first; with step -1 it is read backwards."""
-        found, state = [], 0
-        for i in range(at, len(data)) if step > 0 else range(at - 1, -1, -1):
-            state = int(self.rows[state, data[i]])
-            if state == self.dead:
+    def ends(self, data: bytes, at: int, step: int = 1, stop: int = 0) -> list[int]:
+        """Positions where a match that starts at ``at`` ends, nearest first; with step -1 it is read backwards, as far
+        as ``stop``."""
+        if self.lists is None:
+            self.lists = self.linked()
+        found, row, dead = [], self.lists[0], self.lists[self.dead] if self.dead >= 0 else None
+        for i in range(at, len(data)) if step > 0 else range(at - 1, stop - 1, -1):
+            row = row[data[i]]
+            if row is dead:
                 break
-            if self.accepts[state]:
+            if row[256]:
                 found.append(i + 1 if step > 0 else i)
         return found
 

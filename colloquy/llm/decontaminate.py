@@ -43,6 +43,11 @@ class SuffixAutomaton:
         for state in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
             if self.size[self.link[state]] >= window:
                 held[self.link[state]] |= held[state]
+        # The shortest substring of window words or more that ends each state's own, one look instead of a climb.
+        self.top = list(range(len(self.size)))
+        for state in sorted(range(1, len(self.size)), key=self.size.__getitem__):
+            if self.size[self.link[state]] >= window:
+                self.top[state] = self.top[self.link[state]]
         self.items = [frozenset(h) if size >= window else frozenset() for h, size in zip(held, self.size, strict=True)]
         # Short items that end here: their number of words and ids, longest first, over the chain of links.
         self.short: list[tuple] = [()] * len(self.size)
@@ -83,7 +88,7 @@ class SuffixAutomaton:
         """Word ranges (begin, end; joined where they touch or overlap) that windows cover, and the items they are of."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
-        step, link, size, short, window = self.next, self.link, self.size, self.short, self.window
+        step, link, size, short, window, top = self.next, self.link, self.size, self.short, self.window, self.top
         state = length = 0
         for i, w in enumerate(map(self.ids.get, text)):
             if w is None:
@@ -97,10 +102,7 @@ class SuffixAutomaton:
             state, length = to, length + 1
             most = 0
             if length >= window:
-                s = state
-                while size[link[s]] >= window:
-                    s = link[s]
-                found |= self.items[s]
+                found |= self.items[top[state]]
                 most = length
             for n, items in short[state]:
                 if n <= length:
@@ -124,13 +126,26 @@ def _load(path: str) -> SuffixAutomaton:
 def automata(benchmark: DataFrame, window: int = 10, most_words: int = 250_000) -> list[str]:
     """Build the automata of all items and write them to the shared folder; their paths.
 
-    The items' words are counted first. Items are dealt by hash into as many blocks as keep a block near
-    ``most_words`` words; each block's automaton is built and written by a task of its own, and only its path goes to
-    the driver, so a worker holds one block at a time, whatever the benchmark's size.
+    The items' words are counted first. Items of over ``most_words`` words are cut into pieces that overlap by a window
+    less one word, so that each window lies in one of them. The pieces are dealt by hash into as many blocks as keep a block
+    near ``most_words`` words; each block's automaton is built and written by a task of its own, and only its path goes to
+    the driver, so a worker holds one block at a time, whatever the benchmark's and an item's size.
     """
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for item, text in zip(*(b.column(c).to_pylist() for c in ("item_id", "text")), strict=True):
+                w = words(text)
+                for piece, i in enumerate(range(0, max(len(w) - window + 1, 1), most_words)):
+                    out.append((item, piece, b" ".join(w[i : i + most_words + window - 1]).decode()))
+            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["item_id", "piece", "text"])
+
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     total = items.select(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * most_words)))
+    if n > 1:
+        items = items.mapInArrow(cut, "item_id long, piece long, text string")
     folder = make_dir(new_path(benchmark.sparkSession, "benchmark"))
 
     def build(rows: pa.Table) -> pa.Table:
@@ -139,7 +154,7 @@ def automata(benchmark: DataFrame, window: int = 10, most_words: int = 250_000)
         put_file(path, lambda out: out.write(pickle.dumps(own)))
         return pa.table({"path": [path]})
 
-    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", *(["piece"] if n > 1 else [])), F.lit(n)))
     return sorted(r.path for r in blocks.groupBy("block").applyInArrow(build, "path string").collect())
 
 

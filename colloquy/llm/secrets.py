@@ -42,6 +42,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules, nodes = rules, [parse(r.pattern) for r in rules]
         self.rows = build(nodes, True).linked()
+        self.each = [build([n], True).linked()[0] for n in nodes]
         self.back = [build([backwards(n)], False) for n in nodes]
         self.on = [build([n], False) for n in nodes]
 
@@ -54,20 +55,38 @@ class Scanner:
                 out.append((i + 1, row[256]))
         return out
 
+    def next_end(self, data: bytes, k: int, at: int) -> int:
+        """Where the first match of rule k that starts at ``at`` or later can end, -1 if none does."""
+        row = self.each[k]
+        for i in range(at, len(data)):
+            row = row[data[i]]
+            if row[256]:
+                return i + 1
+        return -1
+
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, rule) in bytes, leftmost and non-overlapping for each rule, by start and rule."""
+        """(start, end, rule) in bytes, leftmost and non-overlapping for each rule, by start and rule.
+
+        A hit is followed back to its first start, no farther than the end of the match before; where there is none,
+        as the hit began inside that match, the rule's own automaton goes on from that end. So each rule reads a byte
+        a fixed number of times.
+        """
         found, hits = [], self.hits(data)
         for k in range(len(self.rules)) if hits else ():
             done, last = 0, 0
             for end in (e for e, bits in hits if bits >> k & 1):
                 if end <= done:
                     continue
-                starts = [s for s in self.back[k].ends(data, end, -1) if s >= last]
-                if starts:
-                    ends = self.on[k].ends(data, starts[-1])
-                    last = done = ends[-1]
-                    if ends[-1] - ends[0] + 1 >= self.rules[k].tail:
-                        found.append((starts[-1], ends[-1], k))
+                starts = self.back[k].ends(data, end, -1, last)
+                if not starts:
+                    end = self.next_end(data, k, last)
+                    if end < 0:
+                        break
+                    starts = self.back[k].ends(data, end, -1, last)
+                ends = self.on[k].ends(data, starts[-1])
+                last = done = ends[-1]
+                if ends[-1] - ends[0] + 1 >= self.rules[k].tail:
+                    found.append((starts[-1], ends[-1], k))
         return sorted(found, key=lambda x: (x[0], x[2]))
 
 

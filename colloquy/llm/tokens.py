@@ -32,6 +32,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most, self.pieces, self.chunks = most, {}, {}
+        self.known, self.odd = set(), set()
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_pieces = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -42,6 +43,25 @@ class Encoder:
         self.space = " ".translate(self.byte_names)
         self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True))
 
+    def kinds_of(self, c: str) -> set[str]:
+        """The kinds of a character by the library, by the pattern and by str: one, if all agree."""
+        alone = lambda x: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(x + c)) == 1
+        library = "letter" if alone("a") else "number" if alone("1") else "other" if alone("!") else "space"
+        pattern = next((k for k, x in (("letter", r"\p{L}"), ("number", r"\p{N}"), ("space", r"\s")) if regex.match(x, c)), "other")
+        own = "letter" if c.isalpha() else "space" if c.isspace() else pattern if pattern in ("number", "other") else "other"
+        return {library, pattern, own}
+
+    def notice(self, texts) -> bool:
+        """Look at characters not met before; whether any met so far has different kinds by the library and by Python,
+        whose Unicode tables differ in age. Texts with such characters are the library's."""
+        new = set().union(*texts) - self.known
+        self.known |= new
+        self.odd |= {c for c in new if len(self.kinds_of(c)) > 1}
+        return bool(self.odd)
+
+    def strange(self, text: str) -> bool:
+        return any(x in text for x in self.added) or not self.odd.isdisjoint(text)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -70,10 +90,13 @@ class Encoder:
             self.chunks = {}
         # No piece reaches over a space or line feed between two characters that are no white space, nor over the end of an added token.
         plain, stopped, lines, other = set(), [], [], []
+        odd = self.notice(c for c in chunks if c not in self.chunks)
         for c in chunks:
             if c in self.chunks:
                 continue
-            if c.isalpha():
+            if odd and not self.odd.isdisjoint(c):
+                self.chunks[c] = None
+            elif c.isalpha():
                 plain.add(c)
             elif c[-1:] in self.stops and c[:-1].isalpha():
                 stopped.append(c)
@@ -91,7 +114,7 @@ class Encoder:
         return [*map(self.chunks.__getitem__, chunks)]
 
     def alone(self, text: str) -> bytes:
-        return (self.whole if any(x in text for x in self.added) else self.by_piece)([text])[0]
+        return (self.whole if self.strange(text) else self.by_piece)([text])[0]
 
     def flat(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by ``end``, and how many each text has with it."""
@@ -107,8 +130,9 @@ class Encoder:
         at, own = known.indices.to_numpy().copy(), self.learn(known.dictionary.to_pylist())
         # A text's first word follows no space: it has ids of its own.
         heads = words.take(pa.array(first)).to_pylist()
+        self.notice(heads)
         at[first] = len(own) + np.arange(len(heads))
-        own += [None if h[-1:].isspace() or any(x in h for x in self.added) else ids for h, ids in zip(heads, self.by_piece(heads), strict=True)]
+        own += [None if h[-1:].isspace() or self.strange(h) else ids for h, ids in zip(heads, self.by_piece(heads), strict=True)]
         unsafe = np.fromiter((x is None for x in own), bool, len(own))[at]
         if unsafe.any():  # these texts go by themselves, in the place of their first word
             whose = np.repeat(np.arange(len(heads)), np.diff(bounds))
