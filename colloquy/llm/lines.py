@@ -68,7 +68,7 @@ def _may(percent: int, a: str, b: str) -> Column:
 
 def _tokens(lines: DataFrame, ranks: bytearray) -> DataFrame:
     """In place of lines, their different words as sorted numbers (the rank of the word's bucket, then its hash), how
-    many they are, and the parities of 128 hash buckets of them: of the even hashes, of the odd ones."""
+    many they are (n) and words the line has (m), and the parities of 128 hash buckets of them: of the even hashes, of the odd ones."""
     low = F.lit((1 << 56) - 1)
 
     def token(w: Column) -> Column:
@@ -77,17 +77,18 @@ def _tokens(lines: DataFrame, ranks: bytearray) -> DataFrame:
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
 
     tokens = F.array_remove(F.transform(_parts(F.col("line")), token), token(F.lit("")))
-    rows = lines.withColumn("tokens", F.sort_array(F.array_distinct(tokens))).drop("line").withColumn("n", F.size("tokens"))
+    rows = lines.withColumn("tokens", tokens).drop("line").withColumn("m", F.size("tokens"))
+    rows = rows.withColumn("tokens", F.sort_array(F.array_distinct("tokens"))).withColumn("n", F.size("tokens"))
     bit = "acc ^ shiftleft(1L, cast(shiftright(t, 1) & 63 as int))"
     return rows.withColumns({name: F.expr(f"aggregate(tokens, 0L, (acc, t) -> if(t & 1 = {k}, {bit}, acc))") for k, name in enumerate(("even", "odd"))})
 
 
 def _entries(lines: DataFrame, percent: int, least: int) -> DataFrame:
     """The prefix index: a row (token, room) for each of a line's rarest tokens, as many as two similar lines need to
-    share one, in place of the tokens; none for lines of fewer than ``least``. ``room`` is the size of the largest
+    share one, in place of the tokens; none for lines of fewer words than ``least``. ``room`` is the size of the largest
     line that can be similar if this is the first token that both have."""
-    size = F.when(F.col("n") >= least, F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).otherwise(0).cast("int")
-    names = [c for c in lines.columns if c != "tokens"]
+    size = F.when(F.col("m") >= least, F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).otherwise(0).cast("int")
+    names = [c for c in lines.columns if c not in ("tokens", "m")]
     rows = lines.select(*names, F.posexplode_outer(F.slice("tokens", 1, size)).alias("at", "token")).filter("token is not null")
     return rows.select(*names, "token", F.floor((100 * F.col("n") - (100 + percent) * F.col("at")) / percent).cast("int").alias("room"))
 
@@ -126,7 +127,7 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
     texts = plain.join(wanted.select("first", "near", "hash").hint("shuffle_hash"), place.eqNullSafe(F.col("first")) & (F.col("hash") == _hash(F.col("line"))))
     texts = texts.select(F.col("first").alias("f"), "hash", "hash.x", F.coalesce("near", F.lit(False)).alias("near"), "line")
     texts = saved(_tokens(texts, ranks).withColumn("tokens", F.when(F.col("near"), F.col("tokens"))), "line-words")
-    copies = copies.join(texts.filter(F.col("n") >= least).select("hash").hint("merge"), "hash", "left_semi")
+    copies = copies.join(texts.filter(F.col("m") >= least).select("hash").hint("merge"), "hash", "left_semi")
     texts = texts.filter("near").drop("near")
 
     index = saved(_entries(texts.drop("hash"), percent, least), "line-entries")
@@ -145,7 +146,7 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
 def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(hash, first) of the later lines of those pairs (a, b) of lines whose word sets reach the similarity.
 
-    A line in very many pairs makes a skewed partition of a merge join, which Spark splits as it runs.
+    A line in very many pairs makes a skewed partition of a merge join of two shuffled tables, which Spark splits as it runs.
     """
     a = texts.select(F.col("x").alias("a"), F.col("tokens").alias("a_tokens"), F.col("n").alias("a_n"))
     b = texts.select(F.col("x").alias("b"), F.col("tokens").alias("b_tokens"), F.col("n").alias("b_n"), "hash", "f")
@@ -161,7 +162,8 @@ def removed_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
 
     Lines stand in the order of doc_id and line number. A line goes if an earlier one has a set of words (lower-cased,
     between white space) whose Jaccard similarity with its own is percent / 100 or more, whether that line goes itself
-    or not. Lines of fewer than ``least`` different words always stay. Documents that lose no line are left out.
+    or not. Lines of fewer than ``least`` words (all of them, repeats too) always
+    stay. Documents that lose no line are left out.
 
     A null text has no lines, an empty one a single empty line; a null doc_id comes first; rows with the same doc_id
     share their places, so a line at the first place of its group stays in each. Other columns are not read.

@@ -136,9 +136,12 @@ def _confirm(percent: int):
 
 def _with(pairs: DataFrame, table: DataFrame, side: str, value: str, total: int, share: int) -> DataFrame:
     """Add to pairs the table's value of one side; safe for a document that is on that side of most pairs."""
+    # What lookup() sends to all tasks is `share` values at most; of texts, only those of up to 2 ** 18 characters count as hot.
     w = pairs.groupBy(F.col(side).alias("_id")).agg(F.count("*").alias("_w"))
     right = w.join(table.select(F.col("id").alias("_id"), F.col(value).alias(f"{value}_{side}")).hint("merge"), "_id")
     other = "b" if side == "a" else "a"
+    if value == "text":
+        right = right.withColumn("_w", F.when(F.length(f"{value}_{side}") <= 1 << 18, F.col("_w")).otherwise(0))
     return lookup(pairs, right.withColumnRenamed("_id", side), side, "_w", total, [other], share)
 
 

@@ -5,8 +5,8 @@ _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || su
 
 LINES = r"""
 WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-t AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS id, doc_id, pos, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x09-\x0D\x20]+'), lambda x: x <> '')) AS w FROM l),
-s AS (SELECT id, doc_id, pos, w, len(w) AS n FROM t WHERE len(w) >= 5),
+t AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS id, doc_id, pos, list_filter(regexp_split_to_array(lower(line), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS v FROM l),
+s AS (SELECT id, doc_id, pos, list_distinct(v) AS w, len(list_distinct(v)) AS n FROM t WHERE len(v) >= 5),
 u AS (SELECT id, n, unnest(w) AS k FROM s), df AS (SELECT k, count(*) AS df FROM u GROUP BY k),
 p AS (SELECT id, n, k FROM u JOIN df USING (k) QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, k) <= n - (75 * n + 99) // 100 + 1),
 c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.k = b.k AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
@@ -71,7 +71,8 @@ n AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295]
 d AS (SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE WHEN n = 1 THEN '' WHEN n = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM n, unnest(range(CASE WHEN n = 3 THEN 2 ELSE 1 END)) WHERE n <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
 f AS (SELECT conv_id, turn, role, text, i, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS r,
-  CASE WHEN NOT regexp_matches(text, '{ch}') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 1 ELSE 0 END AS k FROM o),
+  CASE WHEN NOT regexp_matches(text, '{ch}') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 1 ELSE 0 END AS k FROM o),
 w AS (SELECT conv_id, i, r, k, lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS nxt FROM f),
 st AS (SELECT conv_id, count(*) FILTER (k = 2) AS blank, count(*) FILTER (k = 3) AS duplicate, count(*) FILTER (k = 1) AS truncated, count(*) FILTER (nxt IS NOT NULL AND r || nxt NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM w GROUP BY conv_id),
 g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM d GROUP BY conv_id),

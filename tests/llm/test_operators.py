@@ -78,8 +78,9 @@ def brute_lines(texts, percent=75, least=5):
     for doc, text in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)):
         gone = []
         for p, line in enumerate([] if text is None else text.split("\n")):
-            s = frozenset(w for w in re.split(r"[\x09-\x0D\x20]+", line.lower()) if w)
-            if len(s) >= least:
+            words = [w for w in re.split(r"[\x09-\x0D\x20]+", line.lower()) if w]
+            s = frozenset(words)
+            if len(words) >= least:
                 if any((100 + percent) * len(s & o) >= percent * (len(s) + len(o)) and at != (doc, p) for at, o in seen):
                     gone.append(p)
                 seen.append(((doc, p), s))
