@@ -54,7 +54,7 @@ class Encoder:
     def notice(self, texts) -> bool:
         """Look at characters not met before; whether any met so far has different kinds by the library and by Python,
         whose Unicode tables differ in age. Texts with such characters are the library's."""
-        new = set().union(*texts) - self.known
+        new = set("".join(texts)) - self.known
         self.known |= new
         self.odd |= {c for c in new if len(self.kinds_of(c)) > 1}
         return bool(self.odd)
@@ -90,10 +90,9 @@ class Encoder:
             self.chunks = {}
         # No piece reaches over a space or line feed between two characters that are no white space, nor over the end of an added token.
         plain, stopped, lines, other = set(), [], [], []
-        odd = self.notice(c for c in chunks if c not in self.chunks)
-        for c in chunks:
-            if c in self.chunks:
-                continue
+        fresh = [c for c in chunks if c not in self.chunks]
+        odd = self.notice(fresh)
+        for c in fresh:
             if odd and not self.odd.isdisjoint(c):
                 self.chunks[c] = None
             elif c.isalpha():
