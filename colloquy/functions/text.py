@@ -6,13 +6,19 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Words without weight for keywords and retrieval.
+#: Words that a search leaves out of its terms.
+SEARCH_STOPWORDS = (
+    "a an and are as at be but by can do for from had has have he her his how i if in into is it its me my no not of on or our "
+    "she so that the their them then there these they this to up us was we were what when which who will with would you your"
+).split()
+#: Our own choice of words without weight for keywords.
 STOPWORDS = (
     "a about after all also an and any are as at be been but by can could did do does for from had has have he her him his "
     "how i if in into is it its just like me more my no not of on one or our out she so some than that the their them then "
     "there these they this to up us was we were what when which who will with would you your"
 ).split()
 _STOP = "^(" + "|".join(STOPWORDS) + ")$"
+_SEARCH_STOP = "^(" + "|".join(SEARCH_STOPWORDS) + ")$"
 
 
 def stripped(text: Column) -> Column:
@@ -74,26 +80,35 @@ def clean_text(text: Column) -> Column:
 
 
 def split_reasoning(raw: Column) -> tuple[Column, Column]:
-    """F8: (reasoning, clean text). Paired think or reasoning tags; a lone closing tag ends reasoning that starts the text."""
-    pair = r"(?s)<(?:think|reasoning)>(.*?)</(?:think|reasoning)>"
-    found = F.regexp_extract_all(raw, F.lit(pair), 1)
-    lone = (F.size(found) == 0) & (F.locate("</think>", raw) > 0)
-    at = F.locate("</think>", raw)
-    reasoning = F.when(lone, F.trim(F.substring(raw, F.lit(1), at - 1))).otherwise(F.trim(F.array_join(F.transform(found, F.trim), "\n")))
-    clean = F.when(lone, F.substring(raw, at + 8, F.length(raw))).otherwise(F.regexp_replace(raw, pair, ""))
-    return reasoning, F.regexp_replace(clean, r"^\s+|\s+$", "")
-
-
-def strip_report_format(text: Column) -> Column:
-    """headings, rules, bold-only lines and runs of blank lines go; code fences stay as they are."""
-    parts = F.split(text, "```")
-
-    def plain(t: Column) -> Column:
-        for pattern, to in ((r"(?m)^#{1,6}\s+(.*)$", "$1"), (r"(?m)^[ \t]*(?:---+|\*\*\*+|___+)[ \t]*$", ""), (r"(?m)^\*\*([^*\n]+)\*\*:?[ \t]*$", "$1"), (r"\n{3,}", "\n\n")):
-            t = F.regexp_replace(t, pattern, to)
-        return t
-
-    return F.trim(F.array_join(F.transform(parts, lambda t, i: F.when(i % 2 == 0, plain(t)).otherwise(t)), "```"))
+    """F8: (reasoning, clean text): paired think tags, then what stands before a closing tag left over without an opening one,
+    then paired reasoning tags; parts are trimmed and joined by a blank line."""
+    think, reasoning = r"(?s)<think>(.*?)</think>", r"(?s)<reasoning>(.*?)</reasoning>"
+    first = F.regexp_replace(raw, think, "")
+    at = F.locate("</think>", first)
+    lone = (at > 0) & (F.locate("<think>", first) == 0)
+    before = stripped(F.substring(first, F.lit(1), at - 1))
+    second = F.when(lone, F.substring(first, at + 8, F.length(first))).otherwise(first)
+    parts = F.concat(
+        F.transform(F.regexp_extract_all(raw, F.lit(think), 1), stripped),
+        F.when(lone & (before != ""), F.array(before)).otherwise(F.array().cast("array<string>")),
+        F.transform(F.regexp_extract_all(second, F.lit(reasoning), 1), stripped),
+    )
+    return F.array_join(parts, "\n\n"), stripped(F.regexp_replace(second, reasoning, ""))
+
+
+def strip_report_format(text: Column, signature: str | None = None) -> Column:
+    """marks of headings go, and rules of three or more of the marks - _ * in any mix, the stars of bold-only lines, lines that
+    sign with ``signature`` after one or two dashes, and runs of blank lines; code fences stay as they are."""
+    rules = [(r"(?md)^#{1,6}\s+", ""), (r"(?md)^[-_*]{3,}\s*$", ""), (r"(?md)^\*\*([^*]+)\*\*\s*$", "$1")]
+    if signature:
+        rules.append((rf"(?md)^[—–-]{{1,2}}\s*\Q{signature}\E\s*$", ""))
+    fence = "(?s)```.*?```"
+    bare = F.replace(text, F.lit("\0"), F.lit(""))
+    blocks = F.regexp_extract_all(bare, F.lit(fence), 0)
+    # Each fence is one mark while the rules run, so that no line begins or ends at it.
+    plain = functools.reduce(lambda t, r: F.regexp_replace(t, *r), [*rules, ("\n{3,}", "\n\n")], F.regexp_replace(bare, fence, "\0"))
+    parts = F.transform(F.split(plain, "\0"), lambda t, i: F.concat(t, F.coalesce(F.get(blocks, i), F.lit(""))))
+    return stripped(F.array_join(parts, ""))
 
 
 def tokens(text: Column, pattern: str = r"[a-z][a-z0-9_]+") -> Column:
@@ -116,7 +131,7 @@ def keywords(rows: DataFrame, n: int, id_column: str = "id", text_column: str =
 
 def fts_terms(query: Column) -> Column:
     """search terms; numbers also padded with zeros to four and five digits where they are shorter."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(query), r"[^a-z0-9 ]", " "), " +"), lambda w: (F.length(w) > 1) & ~w.rlike(_STOP))
+    words = F.filter(F.split(F.regexp_replace(F.lower(query), r"[^a-z0-9 ]", " "), " +"), lambda w: (F.length(w) > 1) & ~w.rlike(_SEARCH_STOP))
     wide = lambda w, n: F.when(F.length(w) < n, F.lpad(w, n, "0")).otherwise(w)
     return F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.array_distinct(F.array(w, wide(w, 4), wide(w, 5)))).otherwise(F.array(w))))
 
@@ -227,14 +242,36 @@ def doc_type(title: Column, path: Column | None = None) -> Column:
     return functools.reduce(lambda c, x: c.when(text.rlike(f"(?i){x[1]}"), x[0]), DOC_TYPES, F.when(entry, "entry")).otherwise("general")
 
 
-def entity_candidates(text: Column) -> Column:
-    """F16: capitalised phrases, quoted strings, theory names, numbered items; else the three longest words."""
-    rules = [r"[A-Z][a-z]+(?: [A-Z][a-z]+)+", r'"([^"\n]{2,60})"', r"[A-Z][A-Za-z]*-[Tt]heory", r"\bR[0-9]+\b", r"(?<=[a-z,] )[A-Z][a-z]{2,}"]
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1 if p[0] == '"' else 0) for p in rules))
-    first = F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
-    words = F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) > 3))
-    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3), lambda s: s["w"])
-    return F.when(F.size(found) > 0, first).otherwise(longest)
+#: The endings of compound names.
+COMPOUNDS = ("Theory", "Model", "Framework", "Pattern", "Cycle", "Loop")
+
+
+def entity_candidates(text: Column, stopwords: list[str] = SEARCH_STOPWORDS) -> Column:
+    """F16: names that a text may mention, in the order of the rules and of the text, each once whatever its case.
+
+    Runs of capitalised words; what stands between quotation marks, 2 to 50 characters; compounds; R and one to three
+    digits; capitalised words of three letters or more that do not begin a sentence; where none of these finds any, the
+    three longest words of three letters or more, the earlier of equally long ones. Stopwords and single characters are no names.
+    """
+    letter = "[\\p{L}\\p{N}_]"
+    compound = f"(?i)(?<!{letter}){letter}+-(?:{'|'.join(COMPOUNDS)})(?!{letter})"
+    rules = [(rf"(?<!{letter})[A-Z][a-zA-Z]*(?:[\s-][A-Z][a-zA-Z]*)+(?!{letter})", 0), (r"""['"]([^'"]{2,50})['"]""", 1), (compound, 0), (rf"(?<!{letter})R[0-9]{{1,3}}(?!{letter})", 0)]
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p), g), stripped) for p, g in rules]
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    inner = F.flatten(F.transform(F.split(text, r"[.!?]\s+"), lambda t: let(words(t), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))))))
+    clean = F.transform(inner, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_-]", ""))
+    found.append(F.filter(clean, lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 2)))
+    stop = "^(" + "|".join(stopwords) + ")$"
+    names = F.filter(F.concat(*found), lambda w: (F.length(w) > 1) & ~F.lower(w).rlike(stop))
+    plain = F.filter(F.regexp_extract_all(text, F.lit(f"{letter}+"), 0), lambda w: (F.length(w) > 2) & ~F.lower(w).rlike(stop))
+    ranked = F.array_sort(F.transform(plain, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    longest = F.transform(F.slice(ranked, 1, 3), lambda x: x["w"])
+
+    def once(all_names: Column) -> Column:
+        low = F.transform(all_names, F.lower)
+        return let(F.struct(all_names.alias("n"), low.alias("l")), lambda s: F.filter(s["n"], lambda w, i: F.array_position(s["l"], F.lower(w)) == i + 1))
+
+    return let(names, lambda n: F.when(F.size(n) > 0, once(n)).otherwise(once(longest)))
 
 
 def normal_name(name: Column) -> Column:

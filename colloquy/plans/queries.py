@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from ..operators import chunks, entities as E, graph as G, ingest as N, intent as I, quality as Q, report as M, retrieve as R
+from ..operators import chunks, entities as E, graph as G, index as X, ingest as N, intent as I, quality as Q, report as M, retrieve as R
+from ..sources.shared import new_path, written
 from . import bindings as B
-from .sql import AS_OF, DEPTH, PREPASS, STOP, doc_type_case, historical, intent_sql, status_case, with_
+from .sql import AS_OF, ASKED_TERMS, BEST, DEPTH, PREPASS, SEARCH_STOP, STOP, doc_type_case, historical, index_tables, intent_sql, status_case, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -165,9 +166,9 @@ def recent_errors(s, d):
     return M.listing(rows, [F.desc("timestamp"), F.desc("id")], 100, level="ERROR").select("id", "level", "module", "message")
 
 
-@query("messages", f"""SELECT message_id, len(w) >= 3 AND len(list_filter(w, lambda x: x NOT IN {STOP})) >= 2 AS needed FROM (SELECT message_id, list_filter(regexp_split_to_array(lower(user_prompt), '\\s+'), lambda x: x <> '') AS w FROM messages)""")
+@query("messages", f"""SELECT message_id, len(w) >= 3 AND len(list_filter(w, lambda x: x NOT IN {SEARCH_STOP})) >= 2 AS needed FROM (SELECT message_id, list_filter(regexp_split_to_array(lower(user_prompt), '\\s+'), lambda x: x <> '') AS w FROM messages)""")
 def retrieval_gate(s, d):
-    return B.messages(s, d).select("message_id", M.needs_retrieval(F.col("user_prompt"), T.STOPWORDS).alias("needed"))
+    return B.messages(s, d).select("message_id", M.needs_retrieval(F.col("user_prompt"), T.SEARCH_STOPWORDS).alias("needed"))
 
 
 @query("tasks", "SELECT id, status, p AS priority FROM (SELECT *, ['critical', 'high', 'normal', 'low', 'other'][priority] AS p FROM tasks) WHERE status NOT IN ('completed', 'failed', 'cancelled') ORDER BY CASE p WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, created_at, id LIMIT 50")
@@ -402,6 +403,79 @@ def phrase_search(s, d):
     return R.phrase_search(docs(s, d), s.createDataFrame([(1, "of the"), (2, "in the")], "qid int, phrase string"))
 
 
+def _index(s, rows: DataFrame, stem: bool = True) -> X.Index:
+    """An index of rows (doc_id, text), in the shared folder."""
+    return X.build(rows, new_path(s, "index"), stem=stem)
+
+
+def _asked(rows: DataFrame, most: int = 3, which: str = "doc_id % 50 = 0") -> DataFrame:
+    """What every fiftieth row asks for: the first words of its text that a search counts."""
+    return X.terms_of(rows.filter(which).select(F.col("doc_id").alias("qid"), "text"), T.SEARCH_STOPWORDS, most)
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("qid", "doc_id", *long("rank"), F.round("score", 4).alias("score"))
+
+
+def _message_texts(s, d) -> DataFrame:
+    return B.messages(s, d).select(F.col("message_id").alias("doc_id"), F.concat_ws(" ", "user_prompt", "model_response").alias("text"))
+
+
+#: Message ids are conversation * 1000 + place: the first message of every fiftieth conversation.
+_FIRST = "doc_id % 50000 = 1"
+_OWN = "own AS (SELECT {0} AS doc_id, {1} AS text FROM {2}), qs AS (SELECT doc_id AS qid, text FROM own WHERE doc_id % 50 = 0), "
+_MESSAGES = _OWN.format("message_id", "user_prompt || ' ' || model_response", "messages").replace("doc_id % 50 = 0", _FIRST)
+
+
+@query("", "WITH " + _OWN.format("doc_id", "text", "documents") + index_tables("own", ASKED_TERMS.format(most=3, source="qs")) + BEST + " SELECT qid, doc_id, rank, score FROM best")
+def indexed_documents(s, d):
+    """R1, R3, R4 over documents, through a kept index of stems."""
+    rows = docs(s, d).select("doc_id", "text")
+    return _ranked(_index(s, rows).search(_asked(rows), 10))
+
+
+@query("messages", ", " + _MESSAGES + index_tables("own", ASKED_TERMS.format(most=3, source="qs")) + BEST + " SELECT qid, doc_id, rank, score FROM best")
+def indexed_messages(s, d):
+    """R1, R3, R4 over messages."""
+    rows = _message_texts(s, d)
+    return _ranked(_index(s, rows).search(_asked(rows, 3, _FIRST), 10))
+
+
+@query("variants", ", " + _OWN.format("id", "name", "variants") + index_tables("own", ASKED_TERMS.format(most=3, source="qs"), False) + BEST + " SELECT qid, doc_id, rank, score FROM best")
+def indexed_entities(s, d):
+    """R1 over entities, whose index keeps words as they are."""
+    rows = B.entities(s, d, True).select(F.col("id").alias("doc_id"), F.col("name").alias("text"))
+    return _ranked(_index(s, rows, stem=False).search(_asked(rows), 10))
+
+
+@query()
+def indexed_everywhere(s, d):
+    """Messages, chunks of documents, documents and entities, for the first message of every fiftieth conversation."""
+    parts = written(chunks.chunk(B.documents(s, d).select("id", "content")).select((F.col("id") * 100_000 + F.col("chunk_index")).alias("doc_id"), F.col("chunk_text").alias("text")), "chunks")
+    names = B.entities(s, d, True).select(F.col("id").alias("doc_id"), F.col("name").alias("text"))
+    own = {"messages": _index(s, _message_texts(s, d)), "chunks": _index(s, parts), "documents": _index(s, docs(s, d).select("doc_id", "text")), "entities": _index(s, names, stem=False)}
+    return X.everywhere(own, written(_asked(_message_texts(s, d), 2, _FIRST), "asked"))
+
+
+@query("", "WITH " + _OWN.format("doc_id", "text", "documents") + index_tables("own", "SELECT doc_id AS qid, pos - 1 AS slot, word FROM iw WHERE doc_id % 50 = 0 AND pos <= 2") + """, need AS (SELECT qid, count(*) AS need FROM asked GROUP BY qid)
+    SELECT DISTINCT qid, doc_id FROM (SELECT qid, doc_id, pos - slot AS start, count(*) AS n FROM asked JOIN it USING (term) GROUP BY 1, 2, 3) JOIN need USING (qid) WHERE n = need""")
+def indexed_phrases(s, d):
+    """R2: documents that hold the first two words of every fiftieth document in a row, by their stems."""
+    rows = docs(s, d).select("doc_id", "text")
+    first = F.array_join(F.slice(X.words(F.col("text")), 1, 2), " ")
+    return _index(s, rows).phrases(rows.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), first.alias("phrase")))
+
+
+@query("", "WITH " + _OWN.format("doc_id", "CASE WHEN doc_id % 10 = 3 THEN text || ' zusatz' ELSE text END", "documents WHERE doc_id % 10 <> 2") + index_tables("own", ASKED_TERMS.format(most=2, source="qs")) + BEST + " SELECT qid, doc_id, rank, score FROM best")
+def indexed_after_update(s, d):
+    """R4 by delta: an index of nine documents in ten, then new, changed and deleted ones in a segment of their own."""
+    rows, digit = docs(s, d).select("doc_id", "text"), F.col("doc_id") % 10
+    now = rows.filter(digit != 2).withColumn("text", F.when(digit == 3, F.concat("text", F.lit(" zusatz"))).otherwise(F.col("text")))
+    index = _index(s, rows.filter(digit != 0))
+    states = rows.select("doc_id", F.when(digit == 0, "new").when(digit == 2, "deleted").when(digit == 3, "changed").otherwise("unchanged").alias("state"))
+    return _ranked(X.update(index, now, states, 1).search(_asked(now, 2), 10))
+
+
 def _queries(s, d) -> DataFrame:
     return B.points(s, d).filter("point_id % 50 = 0").select(F.col("point_id").alias("qid"), "vector")
 

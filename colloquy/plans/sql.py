@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from ..functions.text import ANYWHERE, CLARIFICATION, DOC_TYPES, HISTORICAL, SHORT, STOPWORDS
+from ..functions import stem
+from ..functions.text import ANYWHERE, CLARIFICATION, DOC_TYPES, HISTORICAL, SEARCH_STOPWORDS, SHORT, STOPWORDS
+from ..operators.index import WORDS
 from .bindings import STATUSES
 
 AS_OF = "TIMESTAMP '2024-02-15 00:00:00'"
 STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
+SEARCH_STOP = "(" + ", ".join(f"'{w}'" for w in SEARCH_STOPWORDS) + ")"
 
 
 def q(text: str) -> str:
@@ -93,3 +96,41 @@ def historical(text: str) -> str:
 def status_case(text: str) -> str:
     word = rf"lower(regexp_extract({text}, '(?:to|as|is)\s+(done|complete|finished|shipped|in.?progress|started|blocked|not.?started|planning|review|archived|pending|processing|failed)', 1, 'i'))"
     return f"CASE WHEN {word} = '' THEN NULL WHEN {word} IN ('done', 'complete', 'finished') THEN 'completed' WHEN {word} = 'started' THEN 'in_progress' ELSE replace(replace({word}, ' ', '_'), '-', '_') END"
+
+
+def stems(source: str) -> str:
+    """Tables st0 to st8 and ``stems`` (word, term): the Porter stem of each word of a table ``source`` (word)."""
+    rest = lambda suffix: f"left(w, length(w) - {len(suffix)})"
+    has = lambda text, pattern: f"regexp_matches({text}, '{pattern}')"
+
+    def rules(step) -> str:
+        case = [f"WHEN ends_with(w, '{x}') THEN " + (f"CASE WHEN {has(rest(x), c)} THEN {rest(x)} || '{r}' ELSE w END" if c else f"{rest(x)} || '{r}'") for x, r, c in stem.longest_first(step)]
+        return f"CASE {' '.join(case)} ELSE w END"
+
+    cut = f"CASE WHEN ends_with(w, 'eed') THEN NULL WHEN ends_with(w, 'ed') AND {has(rest('ed'), stem.VOWEL)} THEN {rest('ed')} WHEN ends_with(w, 'ing') AND {has(rest('ing'), stem.VOWEL)} THEN {rest('ing')} END"
+    mended = f"CASE WHEN {has('c', '(at|bl|iz)$')} THEN c || 'e' WHEN {has('c', stem.DOUBLE)} THEN left(c, length(c) - 1) WHEN {has('c', stem.ONCE)} AND NOT {has('c', stem.TWICE)} AND {has('c', stem.SHORT)} THEN c || 'e' ELSE c END"
+    one_b = f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {has(rest('eed'), stem.ONCE)} THEN {rest('d')} ELSE w END WHEN c IS NOT NULL THEN {mended} ELSE w END"
+    one_c = f"CASE WHEN {has('w', '[yY]$')} AND {has(rest('y'), stem.VOWEL)} THEN {rest('y')} || 'i' ELSE w END"
+    five_a = f"CASE WHEN ends_with(w, 'e') AND ({has(rest('e'), stem.TWICE)} OR ({has(rest('e'), stem.ONCE)} AND NOT {has(rest('e'), stem.SHORT)})) THEN {rest('e')} ELSE w END"
+    five_b = f"CASE WHEN ends_with(w, 'll') AND {has('w', stem.TWICE)} THEN {rest('l')} ELSE w END"
+    tables = [f"st0 AS (SELECT DISTINCT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM {source})", f"st1 AS (SELECT word, {rules(stem.STEPS[0])} AS w FROM st0)"]
+    tables.append(f"st2 AS (SELECT word, {one_b} AS w FROM (SELECT word, w, {cut} AS c FROM st1))")
+    for k, x in enumerate((one_c, *map(rules, stem.STEPS[1:]), five_a, five_b), 3):
+        tables.append(f"st{k} AS (SELECT word, {x} AS w FROM st{k - 1})")
+    return ", ".join([*tables, f"stems AS (SELECT word, CASE WHEN length(word) > 2 THEN lower(w) ELSE word END AS term FROM st{len(tables) - 1})"])
+
+
+def index_tables(source: str, queries: str, stemmed: bool = True) -> str:
+    """Words of ``source`` (doc_id, text) and asked words of ``queries`` (qid, slot, word) with their terms."""
+    w = f"iw AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS x FROM {source})), aw AS ({queries}), "
+    both = "every AS (SELECT word FROM iw UNION SELECT word FROM aw), " + (stems("every") if stemmed else "stems AS (SELECT word, word AS term FROM every)")
+    return w + both + ", it AS (SELECT doc_id, term, pos FROM iw JOIN stems USING (word)), asked AS (SELECT * FROM aw JOIN stems USING (word))"
+
+
+#: The words that a text asks for (F11): with a qid and a text, the first ``{most}`` of them.
+ASKED_TERMS = f"""SELECT qid, slot, unnest(CASE WHEN regexp_matches(w, '^[0-9]+$') THEN list_distinct([w, lpad(w, greatest(4, length(w))::INTEGER, '0'), lpad(w, greatest(5, length(w))::INTEGER, '0')]) ELSE [w] END) AS word FROM (SELECT qid, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS slot
+    FROM (SELECT qid, list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda w: length(w) > 1 AND w NOT IN {SEARCH_STOP})[1:{{most}}] AS x FROM {{source}}))"""
+BEST = """, itf AS (SELECT doc_id, term, count(*) AS tf FROM it GROUP BY 1, 2), idl AS (SELECT doc_id, count(*) AS dl FROM it GROUP BY 1), idf AS (SELECT term, count(*) AS df FROM itf GROUP BY 1), need AS (SELECT qid, count(DISTINCT slot) AS need FROM asked GROUP BY qid),
+    part AS (SELECT DISTINCT qid, doc_id, term, ln(1 + ((SELECT count(*) FROM idl) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM idl))) AS part FROM asked JOIN itf USING (term) JOIN idf USING (term) JOIN idl USING (doc_id)),
+    slots AS (SELECT qid, doc_id, count(DISTINCT slot) AS n FROM asked JOIN itf USING (term) GROUP BY 1, 2), scored AS (SELECT qid, doc_id, sum(part) AS score FROM part JOIN slots USING (qid, doc_id) JOIN need USING (qid) WHERE n = need GROUP BY 1, 2),
+    best AS (SELECT qid, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10)"""

@@ -30,7 +30,12 @@ def test_point_id(spark):
     [
         ("<think>a</think>b", ("a", "b")),
         ("a\nc</think>\n b", ("a\nc", "b")),
-        ("<reasoning>x</reasoning> y <think>z</think>", ("x\nz", "y")),
+        ("<reasoning>x</reasoning> y <think>z</think>", ("z\n\nx", "y")),
+        ("<think>a</think>b</think> c", ("a\n\nb", "c")),
+        ("<think>a</reasoning>b</think>c", ("a</reasoning>b", "c")),
+        ("x <think> y </think> z <think> open </think>", ("y\n\nopen", "x  z")),
+        ("</think>only", ("", "only")),
+        ("<think>a</think><think>open</reasoning>", ("a", "<think>open</reasoning>")),
         ("plain", ("", "plain")),
         ("", ("", "")),
     ],
@@ -43,12 +48,18 @@ def test_reasoning(spark, raw, want):
 def test_report_format(spark):
     raw = "# Title\ntext\n---\n```\n# code\n```\n\n\n\n**Bold**\nend"
     assert one(spark, T.strip_report_format(F.col("t")), t=raw) == "Title\ntext\n\n```\n# code\n```\n\nBold\nend"
+    assert one(spark, T.strip_report_format(F.col("t")), t="a\n-_-\n*****\n**Note:** x\n**Note:**\nb") == "a\n\n**Note:** x\nNote:\nb"
+    assert one(spark, T.strip_report_format(F.col("t"), "Ada"), t="text\n— Ada\n--  Ada \n- Adam") == "text\n\n- Adam"
+    assert one(spark, T.strip_report_format(F.col("t")), t="x ```# a\n---``` y\n```open\n# h") == "x ```# a\n---``` y\n```open\nh"
 
 
 def test_terms_and_candidates(spark):
     assert one(spark, T.fts_terms(F.col("t")), t="What is R 42, of 123456?") == ["42", "0042", "00042", "123456"]
     assert one(spark, T.entity_candidates(F.col("t")), t='saw Ada Lovelace and "the engine" near R12') == ["Ada Lovelace", "the engine", "R12", "Ada", "Lovelace"]
-    assert one(spark, T.entity_candidates(F.col("t")), t="nothing capital anywhere here") == ["anywhere", "capital", "nothing"]
+    assert one(spark, T.entity_candidates(F.col("t")), t="nothing capital anywhere here") == ["anywhere", "nothing", "capital"]
+    assert one(spark, T.entity_candidates(F.col("t")), t="The C-Theory and 'old grid' of dream-LOOP in R7, not R7777. Next Ünal saw the Mill-race.") == ["The C-Theory", "old grid", "C-Theory", "dream-LOOP", "R7", "R7777", "Ünal", "Mill-race"]
+    assert one(spark, T.entity_candidates(F.col("t")), t="we saw Then and the") == ["saw"]
+    assert one(spark, T.entity_candidates(F.col("t")), t="") == []
 
 
 def test_replies(spark):
