@@ -7,7 +7,8 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .retrieve import cosine, top_k
+from .nearest import nearest
+from .retrieve import top_k
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -46,18 +47,14 @@ def neighbours(edges: DataFrame, k: int) -> DataFrame:
     return top_k(both_ways(edges).toDF("id", "other", "weight"), ["id"], [F.desc("weight"), F.col("other")], k)
 
 
-def conversation_similarity(points: DataFrame, least: float = 0.55, k: int = 5, candidates: int = 30, blocks: int = 64) -> DataFrame:
+def conversation_similarity(points: DataFrame, least: float = 0.55, k: int = 5, candidates: int = 30) -> DataFrame:
     """(conversation_id, other, weight): mean score over the points of another conversation among the nearest
     points to the mean of a conversation's first three."""
     first = points.withColumn("_n", F.row_number().over(Window.partitionBy("conversation_id").orderBy("created_at", "point_id"))).filter("_n <= 3")
     parts = first.select("conversation_id", F.posexplode("vector").alias("i", "x")).groupBy("conversation_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = parts.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("qv"))
-    # Every conversation asks every block of points; blocks keep a task's share of the work bounded.
-    asked = mean.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = points.select("point_id", F.col("conversation_id").alias("other"), "vector", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int").alias("block"))
-    scored = dealt.join(asked.hint("shuffle_hash"), "block")
-    scored = scored.select("conversation_id", "other", "point_id", cosine(F.col("vector"), F.col("qv")).alias("score"))
-    near = top_k(scored, ["conversation_id"], [F.desc("score"), F.col("point_id")], candidates).filter("conversation_id <> other")
+    hits = nearest(points, mean.select(F.col("conversation_id").alias("qid"), F.col("qv").alias("vector")), candidates, skip_own=False)
+    near = points.select("point_id", F.col("conversation_id").alias("other")).join(hits.hint("merge"), "point_id").withColumnRenamed("qid", "conversation_id").filter("conversation_id <> other")
     means = near.groupBy("conversation_id", "other").agg(F.avg("score").alias("weight")).filter(F.col("weight") >= least)
     return top_k(means, ["conversation_id"], [F.desc("weight"), F.col("other")], k)
 

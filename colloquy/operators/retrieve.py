@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
+from .nearest import nearest
 
 
 #: Query terms that are sent to all tasks; more of them are joined by shuffle.
@@ -28,7 +29,7 @@ def bm25(docs: DataFrame, queries: DataFrame, pattern: str = r"[a-z]{3,}", k1: f
     wanted = queries.distinct()
     wanted = wanted.join(wanted.groupBy("qid").agg(F.count("*").alias("need")).hint("merge"), "qid")
     asked = wanted.select("term").distinct()
-    few = asked.count() <= ASKED
+    few = wanted.limit(ASKED + 1).count() <= ASKED  # a row per query and term
     each = words.select("doc_id", "dl", F.explode("w").alias("term"))
     hit = each.join(F.broadcast(asked) if few else asked.hint("merge"), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
@@ -45,7 +46,7 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, pattern: str = "[a-z]+")
     """
     wanted = phrases.select("qid", tokens(F.col("phrase"), pattern).alias("p")).select("qid", F.size("p").alias("need"), F.posexplode("p").alias("i", "term"))
     asked = wanted.select("term").distinct()
-    few = asked.count() <= ASKED
+    few = wanted.limit(ASKED + 1).count() <= ASKED  # a row per query and word
     each = docs.select("doc_id", F.posexplode(tokens(F.col("text"), pattern)).alias("at", "term"))
     met = each.join(F.broadcast(asked) if few else asked.hint("merge"), "term").join(F.broadcast(wanted) if few else wanted.hint("merge"), "term")
     lined = met.groupBy("qid", "doc_id", "need", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
@@ -62,24 +63,19 @@ def top_k(rows: DataFrame, per: list[str], order: list[Column], k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def vector_search(points: DataFrame, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """(qid, point_id, collection, conversation_id, parent_id, salience, created_at, score, rank), exact.
-
-    Queries (qid, vector) are a stated set, each asked of every block of points; of a block only the k best are
-    shuffled on. Filter the points first for R6, rank within a collection by filtering to it.
-    """
-    asked = queries.select("qid", F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dealt = points.withColumn("block", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int"))
-    both = dealt.join(asked.hint("shuffle_hash"), "block").filter(F.col("point_id") != F.col("qid"))
-    scored = both.withColumn("score", cosine(F.col("vector"), F.col("qv"))).drop("vector", "qv")
-    order = [F.desc("score"), F.col("point_id")]
-    return top_k(top_k(scored, ["qid", "block"], order, k).drop("rank", "block"), ["qid"], order, k)
+def vector_search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The points' columns but the vector, with qid, score and rank: the k nearest points of each query
+    (qid, vector) by cosine, exact; a point with the query's id is left out. Filter the points first for R6, rank within
+    a collection by filtering to it."""
+    hits = nearest(points, queries, k)
+    own = points.drop("vector").join(hits.hint("merge"), "point_id")
+    return top_k(own, ["qid"], [F.desc("score"), F.col("point_id")], k)
 
 
 def to_embed(chunks: DataFrame, messages: DataFrame, metadata: DataFrame, points: DataFrame) -> DataFrame:
     """Payload rows of chunks that have no point yet: (id, chunk_index, conversation_id, created_at, salience, chunk_text)."""
-    both = chunks.join(messages.select(F.col("message_id").alias("id"), "conversation_id", "created_at"), "id").join(metadata.select(F.col("message_id").alias("id"), "quality_score"), "id", "left")
-    return both.join(points.select("id", "chunk_index"), ["id", "chunk_index"], "left_anti").select("id", "chunk_index", "conversation_id", "created_at", F.coalesce("quality_score", F.lit(0.5)).alias("salience"), "chunk_text")
+    both = chunks.join(messages.select(F.col("message_id").alias("id"), "conversation_id", "created_at").hint("merge"), "id").join(metadata.select(F.col("message_id").alias("id"), "quality_score").hint("merge"), "id", "left")
+    return both.join(points.select("id", "chunk_index").hint("merge"), ["id", "chunk_index"], "left_anti").select("id", "chunk_index", "conversation_id", "created_at", F.coalesce("quality_score", F.lit(0.5)).alias("salience"), "chunk_text")
 
 
 def first_wins(lists: list[DataFrame], key: list[str]) -> DataFrame:
@@ -96,11 +92,11 @@ def graph_affinity(hits: DataFrame, edges: DataFrame, factor: float = 0.1, seeds
     means = hits.groupBy("qid", "conversation_id").agg(F.avg("score").alias("m"))
     best = top_k(means, ["qid"], [F.desc("m"), F.col("conversation_id")], seeds).select("qid", "conversation_id")
     both = edges.select("a", "b", "weight").union(edges.select("b", "a", "weight"))
-    near = best.join(both, F.col("conversation_id") == F.col("a"))
+    near = best.join(both.hint("merge"), F.col("conversation_id") == F.col("a"))
     near = top_k(near, ["qid", "a"], [F.desc("weight"), F.col("b")], fan).groupBy("qid", F.col("b").alias("conversation_id")).agg(F.max("weight").alias("w"))
-    near = near.join(best, ["qid", "conversation_id"], "left_anti")
+    near = near.join(best.hint("merge"), ["qid", "conversation_id"], "left_anti")
     boost = F.coalesce(factor * F.col("w"), F.lit(0.0))
-    return hits.join(near, ["qid", "conversation_id"], "left").withColumn("graph_boost", boost).withColumn("score", F.col("score") + boost).drop("w")
+    return hits.join(near.hint("merge"), ["qid", "conversation_id"], "left").withColumn("graph_boost", boost).withColumn("score", F.col("score") + boost).drop("w")
 
 
 def entity_sources(mentions: DataFrame, messages: DataFrame, wanted: DataFrame, per_entity: int = 5, most: int = 10) -> DataFrame:
@@ -161,5 +157,5 @@ def rerank_feedback(salience: Column, scores: Column, gain: float = 0.05) -> Col
 
 def rerank(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """Given scores (qid, point_id, rerank) put in order; a missing one counts as 0."""
-    both = hits.drop("rank").join(scores, ["qid", "point_id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
+    both = hits.drop("rank").join(scores.hint("merge"), ["qid", "point_id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
     return top_k(both, ["qid"], [F.desc("rerank"), F.col("point_id")], k)

@@ -34,31 +34,95 @@ def live(snapshot: DataFrame) -> DataFrame:
     return snapshot.filter("payload is not null")
 
 
-def _current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table that the pointer beside a folder of snapshots names, if there is one."""
+#: What a sink keeps beside its snapshot: changes that wait for another attempt, and those set aside.
+WAITING = "entity_type long, entity_id long, id long, operation string, payload string, attempts int, error string"
+
+
+def parses(changes: DataFrame, snapshot: DataFrame | None) -> DataFrame:
+    """An attempt: payloads of rows that are no deletions must be JSON. Adds ``error``, null where the change can be applied."""
+    bad = (F.col("operation") != "DELETE") & F.try_parse_json("payload").isNull()
+    return changes.withColumn("error", F.when(bad, "payload is no JSON"))
+
+
+def parent_known(changes: DataFrame, snapshot: DataFrame | None) -> DataFrame:
+    """An attempt: what parses(), and a row whose payload names a ``parent`` of its type needs that row, in the snapshot or among
+    the changes at hand."""
+    rows = parses(changes, snapshot)
+    there = rows.filter("error is null and operation <> 'DELETE'").select("entity_type", F.col("entity_id").alias("_p"))
+    if snapshot is not None:
+        there = there.union(live(snapshot).select("entity_type", "entity_id"))
+    parent = F.try_variant_get(F.try_parse_json("payload"), "$.parent", "long")
+    both = rows.withColumn("_p", parent).join(there.distinct().withColumn("_there", F.lit(True)).hint("merge"), ["entity_type", "_p"], "left")
+    missing = F.col("error").isNull() & F.col("_p").isNotNull() & F.col("_there").isNull()
+    return both.withColumn("error", F.when(missing, "parent is not there").otherwise(F.col("error"))).select(*changes.columns, "error")
+
+
+def attempt_all(snapshot: DataFrame | None, waiting: DataFrame | None, changes: DataFrame, attempt=parses, most: int = 3, known: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(snapshot, waiting, set aside) after one round: new changes and those that wait are tried; what fails waits for the next
+    round, up to ``most`` attempts, and is then set aside with its error. Types that are not ``known`` are set aside at once.
+
+    A change that succeeds late does not undo later ones of its key: the highest id wins.
+    """
+    fresh = changes.select(*KEY, "id", "operation", "payload", F.lit(0).alias("attempts"))
+    own = fresh if waiting is None else fresh.unionByName(waiting.select(*fresh.columns))
+    strange = F.lit(False) if known is None else ~F.col("entity_type").isin(known)
+    tried = attempt(own.filter(~strange), snapshot).withColumn("attempts", F.col("attempts") + 1)
+    good, bad = tried.filter("error is null"), tried.filter("error is not null")
+    aside = bad.filter(F.col("attempts") >= most).unionByName(own.filter(strange).withColumn("error", F.lit("unknown type")))
+    columns = [c.split()[0] for c in WAITING.split(", ")]
+    return merged(snapshot, good), bad.filter(F.col("attempts") < most).select(*columns), aside.select(*columns)
+
+
+def _pointer(spark: SparkSession, path: str) -> str | None:
+    """The newest complete round that the pointer beside a sink's rounds names, if there is one."""
     try:
         name = spark.read.text(f"{path}/_pointer.d").orderBy(F.desc("value")).first()
     except AnalysisException:
         return None
-    return None if name is None else spark.read.parquet(f"{path}/{name.value.split(' ')[1]}")
+    return None if name is None else name.value.split(" ")[1]
 
 
-def apply_cdc(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a snapshot of a change feed under ``path``. Each batch writes a new snapshot and then adds a line to the
-    pointer, so readers see whole snapshots and a batch that runs twice changes nothing."""
+def _part(spark: SparkSession, path: str, part: str) -> DataFrame | None:
+    name = _pointer(spark, path)
+    return None if name is None else spark.read.parquet(f"{path}/{name}/{part}")
+
+
+def apply_cdc(stream: DataFrame, path: str, checkpoint: str, attempt=parses, most: int = 3, known: list[int] | None = None) -> StreamingQuery:
+    """One sink of a change feed: its snapshot, the changes that wait and those set aside, under ``path``.
+
+    Each batch writes the three tables of its round and then adds a line to the pointer, so readers see whole rounds. A batch that
+    Spark runs again after a crash starts from the round before it and replaces nothing that readers saw. Every sink is a
+    query with its own folder and checkpoint: one that fails or lags does not hold up another.
+    """
 
     def batch(changes: DataFrame, number: int) -> None:
         spark = changes.sparkSession
+        last = _pointer(spark, path)
+        if last is not None and int(last.split("-")[0]) >= number:
+            return  # this batch was completed before the crash
         name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
-        merged(_current(spark, path), changes.select("id", "operation", *KEY, "payload")).write.parquet(f"{path}/{name}")
+        parts = attempt_all(_part(spark, path, "snapshot"), _part(spark, path, "waiting"), changes.select("id", "operation", *KEY, "payload"), attempt, most, known)
+        for part, rows in zip(("snapshot", "waiting", "aside"), parts, strict=True):
+            rows.write.parquet(f"{path}/{name}/{part}")
         spark.range(1).select(F.lit(f"{number:012d} {name}").alias("value")).write.mode("append").text(f"{path}/_pointer.d")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """What apply_cdc() has built so far, without deleted keys."""
-    return live(_current(spark, path))
+    """What a sink has built so far, without deleted keys."""
+    return live(_part(spark, path, "snapshot"))
+
+
+def waiting(spark: SparkSession, path: str) -> DataFrame:
+    """The changes that a sink will try again with its next batch."""
+    return _part(spark, path, "waiting")
+
+
+def set_aside(spark: SparkSession, path: str) -> DataFrame:
+    """All changes that a sink gave up, of every complete round."""
+    names = [r.value.split(" ")[1] for r in spark.read.text(f"{path}/_pointer.d").collect()]  # a line per batch
+    return spark.read.parquet(*[f"{path}/{n}/aside" for n in names])
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -121,15 +185,20 @@ def process_since(mentions: DataFrame, mark: int, key: str = "entity_id", order:
 
 
 def ingest_files(stream: DataFrame, registry_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a registry of files (file_path, content_hash, status) up to date from a stream of them."""
+    """Keep a registry of files up to date from a stream of them (file_path, content_hash): a row (file_path,
+    content_hash, state, status, batch) for each that is new or changed. Use it with the source ``changed_files``, which
+    also sees edits; a batch that runs again adds nothing."""
 
     def batch(files: DataFrame, number: int) -> None:
         spark = files.sparkSession
         try:
-            known = spark.read.parquet(registry_path).withColumn("_n", F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("batch")))).filter("_n = 1").drop("_n", "batch")
+            whole = spark.read.parquet(registry_path)
         except AnalysisException:
-            known = spark.createDataFrame([], "file_path string, content_hash string, status string")
-        delta = registry_delta(files.select("file_path", "content_hash"), known).filter("state <> 'unchanged'")
-        delta.select("file_path", "content_hash", F.lit("ok").alias("status"), F.lit(number).alias("batch")).write.mode("append").parquet(registry_path)
+            whole = spark.createDataFrame([], "file_path string, content_hash string, state string, status string, batch long")
+        if whole.filter(F.col("batch") == number).limit(1).count():
+            return
+        known = whole.withColumn("_n", F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("batch")))).filter("_n = 1").select("file_path", "content_hash", "status")
+        delta = registry_delta(files.select("file_path", "content_hash").distinct(), known).filter("state <> 'unchanged'")
+        delta.select("file_path", "content_hash", "state", F.lit("ok").alias("status"), F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(registry_path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
