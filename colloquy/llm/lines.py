@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .work import drop, lookup, saved
@@ -32,16 +33,15 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
 
 
-def _ranks(docs: DataFrame) -> bytearray:
-    """For each of 2 ** RANK_BITS hash buckets of words a byte: the number of words that it holds, in thirds of a power
-    of two from 1 on."""
+def _ranks(docs: DataFrame) -> DataFrame:
+    """One row with a byte for each of 2 ** RANK_BITS hash buckets of words: the number of words that it holds, in thirds of a
+    power of two from 1 on. A table rather than a literal, as Spark would write a literal out in every description of a plan."""
     word = docs.select(F.explode_outer(_parts(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).select(_bucket(F.xxhash64("w")).alias("bucket"))
     counts = word.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
-    ranks = bytearray(b"\x01" * (1 << RANK_BITS))
-    counts = counts.select("bucket", (1 + F.least(F.floor(3 * F.log2("n")), F.lit(126))).cast("int").alias("rank"))
-    for bucket, rank in counts.collect():  # 2 ** RANK_BITS rows at most, whatever the input
-        ranks[bucket] = rank
-    return ranks
+    counts = counts.select("bucket", (1 + F.least(F.floor(3 * F.log2("n")), F.lit(126))).cast("int").alias("rank")).toArrow()  # 2 ** RANK_BITS rows at most, whatever the input
+    ranks = np.ones(1 << RANK_BITS, np.uint8)
+    ranks[counts["bucket"].to_numpy()] = counts["rank"].to_numpy()
+    return docs.sparkSession.createDataFrame([(bytearray(ranks.tobytes()),)], "ranks binary")
 
 
 def _bucket(h: Column) -> Column:
@@ -66,18 +66,18 @@ def _may(percent: int, a: str, b: str) -> Column:
     return fits & ((100 + percent) * apart <= (100 - percent) * (col(a, "n") + col(b, "n")))
 
 
-def _tokens(lines: DataFrame, ranks: bytearray) -> DataFrame:
+def _tokens(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     """In place of lines, their different words as sorted numbers (the rank of the word's bucket, then its hash), how
     many they are (n) and words the line has (m), and the parities of 128 hash buckets of them: of the even hashes, of the odd ones."""
     low = F.lit((1 << 56) - 1)
 
     def token(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.ascii(F.substring(F.lit(ranks), _bucket(h) + 1, 1).cast("string"))
+        rank = F.ascii(F.substring(F.col("ranks"), _bucket(h) + 1, 1).cast("string"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
 
     tokens = F.array_remove(F.transform(_parts(F.col("line")), token), token(F.lit("")))
-    rows = lines.withColumn("tokens", tokens).drop("line").withColumn("m", F.size("tokens"))
+    rows = lines.join(F.broadcast(ranks)).withColumn("tokens", tokens).drop("line", "ranks").withColumn("m", F.size("tokens"))
     rows = rows.withColumn("tokens", F.sort_array(F.array_distinct("tokens"))).withColumn("n", F.size("tokens"))
     bit = "acc ^ shiftleft(1L, cast(shiftright(t, 1) & 63 as int))"
     return rows.withColumns({name: F.expr(f"aggregate(tokens, 0L, (acc, t) -> if(t & 1 = {k}, {bit}, acc))") for k, name in enumerate(("even", "odd"))})
