@@ -22,6 +22,29 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) of all ids in undirected edges, component the smallest id reachable.
+
+    Stars by turns: every id's larger neighbours are linked to the least id of its neighbourhood, then every id and its
+    smaller neighbours are; edges become stars around the least ids in few rounds, for long chains and cycles, too. A hot
+    id is a skewed partition of a merge join, which Spark splits as it runs.
+    """
+    turned = lambda u, v: (F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    now = _checkpointed(edges.select(*turned(F.col(a), F.col(b))).filter("u <> v").distinct())
+    ids = edges.select(F.col(a).alias("id")).union(edges.select(b)).distinct()
+    mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    while True:
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least.hint("merge"), "u").select("v", "m").union(least.select("u", "m"))
+        now = _checkpointed(small.select(*turned(F.col("v"), F.col("m"))).filter("u <> v").distinct())
+        was, mark = mark, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if was == mark:
+            return ids.join(now.hint("merge"), F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
 def pairs_within(rows: DataFrame, group: str, item: str, crowd: int = 500) -> tuple[DataFrame, DataFrame]:
     """(group, a, b) with a < b of items in the same group, and the groups of over ``crowd`` items (group, n), whose
     pairs are dealt over blocks of partners rather than made in one task."""
@@ -188,7 +211,7 @@ def clusters(hits: DataFrame, quality: DataFrame, least: float = 0.6, smallest:
     near = hits.filter((F.col("score") > least) & (F.col("conversation_id") != F.col("seed_conversation")))
     near = top_k(near.drop("rank"), ["qid"], [F.desc("score"), F.col("point_id")], largest - 1)
     rows = near.select("qid", "point_id", "conversation_id").union(near.select("qid", F.col("qid"), F.col("seed_conversation")).distinct())
-    rows = rows.join(quality.select("point_id", "quality"), "point_id", "left")
+    rows = rows.join(quality.select("point_id", "quality").hint("merge"), "point_id", "left")
     found = rows.groupBy(F.col("qid").alias("seed")).agg(F.sort_array(F.collect_list("point_id")).alias("members"), (F.avg("quality") * F.countDistinct("conversation_id") / F.count("*")).alias("score")).filter(F.size("members") >= smallest)
     if not greedy:
         return found
@@ -196,8 +219,8 @@ def clusters(hits: DataFrame, quality: DataFrame, least: float = 0.6, smallest:
     while open_.limit(1).count():
         flat = open_.select("seed", "place", F.explode("members").alias("m"))
         least_place = flat.groupBy("m").agg(F.min("place").alias("best"))
-        blocked = flat.join(least_place, "m").filter("place > best").select("seed").distinct()
-        stay = _checkpointed(open_.join(blocked, "seed", "left_anti"))
+        blocked = flat.join(least_place.hint("merge"), "m").filter("place > best").select("seed").distinct()
+        stay = _checkpointed(open_.join(blocked.hint("merge"), "seed", "left_anti"))
         kept = stay if kept is None else kept.union(stay)
         used = stay.select(F.explode("members").alias("m"))
         open_ = _checkpointed(open_.join(flat.join(used, "m", "left_semi").select("seed").distinct(), "seed", "left_anti"))

@@ -85,9 +85,9 @@ def recommend_actions(messages: DataFrame, items: DataFrame, act: float = 0.75,
     words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w")
     title = items.groupBy(F.lower("title").alias("title")).agg(F.min("id").alias("item_id"))
     own = title.select("title", "item_id", words(F.col("title")))
-    index = own.join(own.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("title", "item_id").agg(F.min(F.struct("n", "w")).alias("r")).select("title", "item_id", "r.w")
+    index = own.join(own.groupBy("w").agg(F.count("*").alias("n")).hint("merge"), "w").groupBy("title", "item_id").agg(F.min(F.struct("n", "w")).alias("r")).select("title", "item_id", "r.w")
     whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace("title", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
-    named = rows.select("message_id", "text", words(F.col("text"))).join(index, "w").filter(F.contains("text", F.col("title"))).filter(F.rlike("text", whole)).groupBy("message_id").agg(F.min("item_id").alias("item_id"))
-    both = rows.join(named, "message_id", "left").withColumn("confidence", F.round(base + F.when(F.col("item_id").isNotNull(), 0.1).when(F.col("tool") == "create_item", 0.0).otherwise(-0.2), 2))
+    named = rows.select("message_id", "text", words(F.col("text"))).join(index.hint("merge"), "w").filter(F.contains("text", F.col("title"))).filter(F.rlike("text", whole)).groupBy("message_id").agg(F.min("item_id").alias("item_id"))
+    both = rows.join(named.hint("merge"), "message_id", "left").withColumn("confidence", F.round(base + F.when(F.col("item_id").isNotNull(), 0.1).when(F.col("tool") == "create_item", 0.0).otherwise(-0.2), 2))
     outcome = F.when(F.col("confidence") >= act, "act").when(F.col("confidence") >= confirm, "confirm").otherwise("ignore")
     return both.select("message_id", "tool", "status", "item_id", "confidence", outcome.alias("outcome"))

@@ -14,7 +14,7 @@ def score_unscored(messages: DataFrame, metadata: DataFrame, n: int = 10) -> Dat
     words = words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda s: s["keyword"]).alias("keywords"))
     score = quality_score(F.col("user_prompt"), F.col("model_response"))
     own = todo.select("message_id", score.alias("quality_score"))
-    return own.join(words, own.message_id == words.id, "left").select("message_id", "quality_score", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return own.join(words.hint("merge"), own.message_id == words.id, "left").select("message_id", "quality_score", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def propagate_salience(points: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -185,16 +185,31 @@ def sprint_view(items: DataFrame, tasks: DataFrame) -> DataFrame:
     return kids.join(done, "id", "left").na.fill(0, ["tasks", "completed"])
 
 
-#: Board columns by status.
-BOARD = {"not_started": "Backlog", "planning": "Backlog", "in_progress": "Doing", "blocked": "Doing", "review": "Review", "completed": "Done", "shipped": "Done", "archived": "Done"}
-
-
-def board(tasks: DataFrame, mapping: dict[str, str], as_of: str, days: int = 14) -> DataFrame:
-    """M2: (column, n, shown): cards by column; finished ones are shown for ``days`` days, all are counted."""
-    column = functools.reduce(lambda c, s: c.when(F.col("status") == s, mapping[s]), mapping, F.when(F.lit(False), F.lit(None).cast("string")))
-    age = F.datediff(F.lit(as_of).cast("date"), F.to_date("created_at"))
-    shown = (F.col("column") != "Done") | (age <= days)
-    return tasks.withColumn("column", column).filter("column is not null").groupBy("column").agg(F.count("*").alias("n"), F.count_if(shown).alias("shown"))
+#: The columns of the boards with their titles and statuses, the types that are no cards, and the days for which finished
+#: cards are shown.
+ITEM_COLUMNS = {"Backlog": ["not_started"], "Planning": ["planning"], "In Progress": ["in_progress"], "Blocked": ["blocked"], "Review": ["review"], "Done": ["completed", "shipped"]}
+TASK_COLUMNS = {"Pending": ["pending"], "Processing": ["processing"], "Review": ["review"], "Done": ["completed"], "Failed": ["failed", "retry", "dlq"]}
+CONTAINERS = ["project", "book", "chapter"]
+DONE_DAYS = 14
+
+
+def cards(rows: DataFrame, columns: dict[str, list[str]], as_of: str, kind: str | None = None) -> DataFrame:
+    """M2: the rows (status, created_at, updated_at, and entity_type where there is one) that a board shows, with its ``column``, their
+    ``age`` in whole days and whether they are ``shown``: finished ones are for 14 days after their last change. One ``kind``
+    of items may be asked for; without one, containers are left out. Statuses that have no column are, too."""
+    at = F.lit(as_of).cast("timestamp")
+    column = functools.reduce(lambda c, x: c.when(F.col("status").isin(x[1]), x[0]), columns.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+    if "entity_type" in rows.columns:
+        rows = rows.filter(F.col("entity_type") == kind if kind else ~F.col("entity_type").isin(CONTAINERS))
+    whole = lambda c: F.greatest(F.lit(0), F.floor((F.unix_timestamp(at) - F.unix_timestamp(c)) / 86400)).cast("long")
+    recent = F.unix_timestamp("updated_at") >= F.unix_timestamp(at) - DONE_DAYS * 86400
+    return rows.withColumn("column", column).filter("column is not null").withColumn("age", F.coalesce(whole("created_at"), F.lit(0))).withColumn("shown", (F.col("column") != "Done") | F.coalesce(recent, F.lit(False)))
+
+
+def board(rows: DataFrame, columns: dict[str, list[str]], as_of: str, kind: str | None = None) -> DataFrame:
+    """M2: (column, n, shown, oldest): all and shown cards of each column that has any, and the age of the oldest shown one."""
+    own = cards(rows, columns, as_of, kind)
+    return own.groupBy("column").agg(F.count("*").alias("n"), F.count_if("shown").alias("shown"), F.max(F.when(F.col("shown"), F.col("age"))).alias("oldest"))
 
 
 def parents(items: DataFrame) -> DataFrame:

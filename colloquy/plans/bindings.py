@@ -100,7 +100,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("message_id")
     own = messages(spark, sf_dir)
     words = keywords(own.select(m.alias("id"), F.concat_ws(" ", "user_prompt", "model_response").alias("text")), 5).groupBy("id").agg(F.sort_array(F.collect_list("keyword")).alias("keywords"))
-    return own.join(words, m == F.col("id"), "left").select("message_id", F.when(m % 5 != 0, (m * 37) % 101 / 100).alias("quality_score"), ((m * 13) % 5000).alias("latency_total_ms"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return own.join(words.hint("merge"), m == F.col("id"), "left").select("message_id", F.when(m % 5 != 0, (m * 37) % 101 / 100).alias("quality_score"), ((m * 13) % 5000).alias("latency_total_ms"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -552,7 +552,7 @@ def usage_signals(s, d):
     own = B.messages(s, d).select(F.col("message_id").alias("id"), F.concat_ws(" ", "user_prompt", "model_response").alias("text"))
     k = T.keywords(own, 15).groupBy("id").agg(F.collect_list("keyword").alias("w"))
     nxt = k.select((F.col("id") - 1).alias("id"), F.col("w").alias("v"))
-    return k.join(nxt, "id").select(F.col("id").alias("message_id"), F.round(R.usage_signal(F.col("w"), F.col("v")), 6).alias("usage"))
+    return k.join(nxt.hint("merge"), "id").select(F.col("id").alias("message_id"), F.round(R.usage_signal(F.col("w"), F.col("v")), 6).alias("usage"))
 
 
 @query("hits", "SELECT qid, point_id, coalesce(r, 0.0)::DOUBLE AS rerank FROM (SELECT qid, point_id, CASE WHEN point_id % 2 = 0 THEN (point_id * 7 % 100) / 100.0 END AS r FROM hits) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY coalesce(r, 0.0) DESC, point_id) <= 8")
@@ -650,7 +650,7 @@ def insight_clusters(s, d):
     own = B.points(s, d)
     quality = own.select("point_id", ((F.col("point_id") * 37) % 101 / 100).alias("quality"))
     seeds = G.best_seeds(own, quality)
-    hits = R.vector_search(own, seeds, 10).join(seeds.select("qid", "seed_conversation"), "qid")
+    hits = R.vector_search(own, seeds, 10).join(seeds.select("qid", "seed_conversation").hint("merge"), "qid")
     return G.clusters(hits, quality, 0.3).select("seed", F.array_join("members", ",").alias("members"), F.round("score", 6).alias("score"))
 
 
@@ -701,10 +701,60 @@ def extraction_queue(s, d):
     return E.extraction_queue(own, own.filter("message_id % 4 = 0"))
 
 
+_CHAINED = "entity_id - entity_id % 4"
+
+
+@query("mentions", f""", e AS (SELECT DISTINCT entity_id AS src, 'NEXT' AS rel, entity_id + 1 AS dst FROM mentions UNION SELECT DISTINCT entity_id, 'LIKES', entity_id + 7 FROM mentions)
+    SELECT DISTINCT src - src % 4 AS src, rel, dst - dst % 4 AS dst FROM e WHERE dst <= (SELECT max(s_suppkey) FROM supplier) AND src - src % 4 <> dst - dst % 4 AND src >= 4""")
+def merged_entity_edges(s, d):
+    """Edges of suppliers, four of which are one: re-pointed, each once, none on itself."""
+    own = B.entities(s, d)
+    seen, top = B.mentions(s, d).select("entity_id").distinct(), own.agg(F.max("id")).first()[0]
+    edges = seen.select(F.col("entity_id").alias("src"), F.lit("NEXT").alias("rel"), (F.col("entity_id") + 1).alias("dst")).union(seen.select("entity_id", F.lit("LIKES"), F.col("entity_id") + 7)).filter(F.col("dst") <= top)
+    chain = own.filter("id % 4 > 0 and id > 4").select(F.col("id").alias("duplicate_id"), (F.col("id") - 1).alias("canonical_id"))
+    return E.merged_edges(edges.filter("src >= 4"), E.canonical_map(chain))
+
+
+@query("entities", """, m AS (SELECT s_suppkey AS message_id, s_suppkey % 6 AS entity_type, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE ' ' || s_name END AS name, 'd' || (s_suppkey % 2) AS description, TIMESTAMP '2024-01-01' + to_hours(s_suppkey::INTEGER) AS created_at FROM supplier CROSS JOIN range(2)),
+    x AS (SELECT entity_type, lower(trim(name)) AS key, count(*) AS n, min(created_at) AS first, max(created_at) AS last, min(description) AS said FROM m GROUP BY 1, 2), o AS (SELECT *, lower(trim(name)) AS key FROM entities WHERE id % 2 = 0)
+    SELECT coalesce(o.entity_type, x.entity_type) AS entity_type, coalesce(o.key, x.key) AS key, o.id IS NULL AS fresh, (coalesce(mention_count, 0) + coalesce(n, 0))::BIGINT AS mention_count, least(first_seen_at, first) AS first_seen_at, greatest(last_seen_at, last) AS last_seen_at, CASE WHEN o.id IS NULL OR o.id % 4 <> 0 THEN said WHEN said = 'd0' THEN 'D0' ELSE 'D0 | ' || said END AS description
+    FROM o FULL JOIN x ON o.entity_type = x.entity_type AND o.key = x.key""")
+def persisted_entities(s, d):
+    """Extracted names met with the entities of even ids."""
+    sup, k = B.table(s, d, "supplier"), F.col("s_suppkey")
+    name = F.when(k % 3 == 0, F.upper("s_name")).otherwise(F.concat(F.lit(" "), "s_name"))
+    rows = sup.select((k % 6).alias("entity_type"), name.alias("name"), F.concat(F.lit("d"), (k % 2).cast("string")).alias("description"), k.alias("message_id"), F.lit(2.0).alias("relevance"), F.lit("s").alias("snippet"), B.after(k).alias("created_at"))
+    old = B.entities(s, d).filter("id % 2 = 0").withColumn("description", F.when(F.col("id") % 4 == 0, "D0").otherwise(""))
+    done, _ = E.persist(old, rows.union(rows))
+    return done.select("entity_type", F.lower(F.trim("name")).alias("key"), (F.col("id") >= 1 << 62).alias("fresh"), *long("mention_count"), "first_seen_at", "last_seen_at", "description")
+
+
+def _names(s, d) -> DataFrame:
+    """Entities for linking: the longer words of documents, each with its number of documents."""
+    words = docs(s, d).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0))).alias("name"))
+    counts = words.groupBy("name").agg(F.count("*").alias("mention_count"))
+    return written(counts.select(F.xxhash64("name").alias("id"), F.lit("word").alias("entity_type"), "name", "mention_count"), "names")
+
+
 @query()
 def linked_entities(s, d):
-    names = docs(s, d).select(F.col("doc_id").alias("id"), F.lit(0).alias("entity_type"), F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("name"), F.col("n_chars").alias("mention_count")).filter("length(name) > 4")
-    return E.link(B.messages(s, d), names).withColumn("score", F.round("score", 6))
+    """The words of documents that messages name."""
+    names = _names(s, d)
+    index = _index(s, names.select(F.col("id").alias("doc_id"), F.col("name").alias("text")), stem=False)
+    asked = B.messages(s, d).select("message_id", F.concat(F.lit("Of "), F.initcap("user_prompt")).alias("text"))
+    found = E.link(asked, names, index).join(names.select(F.col("id").alias("entity_id"), "name").hint("merge"), "entity_id")
+    return found.select("message_id", "name", F.round("score", 6).alias("score"), *long("place"))
+
+
+@query("entities mentions", """, r AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY mention_count DESC, id) AS rank FROM entities), b AS (SELECT entity_type AS qid, rank, h || '(no description)' || chr(10) || chr(10) AS block, h || '(no description)...' || chr(10) || chr(10) AS short
+        FROM (SELECT *, '**' || name || '** (' || entity_type || ', referenced ' || mention_count || ' times):' || chr(10) AS h FROM r)),
+    e AS (SELECT *, 18 + sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS fin FROM b), o AS (SELECT *, count(*) FILTER (fin > 600) OVER (PARTITION BY qid ORDER BY rank) AS overs FROM e)
+    SELECT qid, chr(10) || '## Known Context' || chr(10) || string_agg(CASE WHEN fin <= 600 THEN block ELSE short END, '' ORDER BY rank) AS context FROM o WHERE fin <= 600 OR (overs = 1 AND fin - length(block) + length(short) <= 600) GROUP BY qid""")
+def entity_contexts(s, d):
+    """A block of context for each type of entity."""
+    rank = F.row_number().over(R.Window.partitionBy("entity_type").orderBy(F.desc("mention_count"), "id"))
+    own = B.entities(s, d).select(F.col("entity_type").alias("qid"), rank.alias("rank"), "name", "entity_type", "mention_count", F.lit("").alias("description"), F.array().cast("array<string>").alias("snippets"))
+    return E.context_block(own, 600)
 
 
 # Quality and lifecycle
@@ -837,9 +887,25 @@ def sprint_view(s, d):
     return M.sprint_view(B.items(s, d), B.tasks(s, d))
 
 
-@query("tasks", "SELECT c AS \"column\", count(*) AS n, count(*) FILTER (WHERE c <> 'Done' OR date_diff('day', created_at::DATE, DATE '1998-08-01') <= 14) AS shown FROM (SELECT *, CASE status WHEN 'pending' THEN 'Backlog' WHEN 'processing' THEN 'Doing' ELSE 'Done' END AS c FROM tasks) GROUP BY c")
+_BOARD = """SELECT c AS "column", count(*) AS n, count(*) FILTER (WHERE shown) AS shown, max(age) FILTER (WHERE shown) AS oldest FROM (SELECT c, c <> 'Done' OR updated_at >= TIMESTAMP '{as_of}' - INTERVAL 14 DAYS AS shown, greatest(0, floor((epoch(TIMESTAMP '{as_of}') - epoch(created_at)) / 86400))::BIGINT AS age
+    FROM (SELECT *, CASE {case} END AS c FROM {rows}) WHERE c IS NOT NULL) GROUP BY c"""
+
+
+def _columns(columns: dict[str, list[str]]) -> str:
+    return " ".join("WHEN status IN (" + ", ".join(f"'{x}'" for x in statuses) + f") THEN '{title}'" for title, statuses in columns.items())
+
+
+@query("tasks", _BOARD.format(as_of="1998-08-01 00:00:00", case=_columns(M.TASK_COLUMNS), rows="(SELECT status, created_at, created_at + to_days((id % 90)::INTEGER) AS updated_at FROM tasks)"))
 def task_board(s, d):
-    return M.board(B.tasks(s, d), {"pending": "Backlog", "processing": "Doing", "completed": "Done"}, "1998-08-01")
+    own = B.tasks(s, d).withColumn("updated_at", F.timestamp_seconds(F.unix_timestamp("created_at") + F.col("id") % 90 * 86400))
+    return M.board(own, M.TASK_COLUMNS, "1998-08-01")
+
+
+@query("items", _BOARD.format(as_of="2024-02-15 00:00:00", case=_columns(M.ITEM_COLUMNS), rows="(SELECT status, TIMESTAMP '2023-11-01' + to_days((length(title) + priority * 7)::INTEGER) AS created_at, TIMESTAMP '2024-01-01' + to_days((substr(id, 2)::BIGINT % 50)::INTEGER) AS updated_at FROM items WHERE entity_type NOT IN ('project', 'book', 'chapter'))"))
+def item_board(s, d):
+    day = lambda start, n: F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + n * 86400)
+    own = B.items(s, d).withColumn("created_at", day("2023-11-01", F.length("title") + F.col("priority") * 7)).withColumn("updated_at", day("2024-01-01", F.substring("id", 2, 20).cast("long") % 50))
+    return M.board(own, M.ITEM_COLUMNS, B.AS_OF)
 
 
 @query("metadata", "SELECT count(*) AS messages, count(quality_score) AS scored, count(*) FILTER (WHERE len(keywords) > 0) AS keyworded, count(*) FILTER (WHERE length(model_response) > 500) AS chunked FROM messages JOIN metadata USING (message_id)")

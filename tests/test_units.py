@@ -203,8 +203,6 @@ def test_greedy_clusters(spark):
 def test_entities(spark):
     chain = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "duplicate_id int, canonical_id int")
     assert {r.duplicate_id: r.canonical_id for r in E.canonical_map(chain).collect()} == {2: 1, 3: 1, 4: 1, 9: 8}
-    blocks = spark.createDataFrame([(1, 1, "a" * 90), (1, 2, "b" * 90), (1, 3, "c" * 90)], "qid int, rank int, text string")
-    assert E.context_block(blocks, 150, 40).first().context == "a" * 90 + "b" * 60
     names = spark.createDataFrame([(1, "Al"), (2, "Bo")], "id int, name string")
     pairs = spark.createDataFrame([("al", "Alan"), ("bo", "Bo")], "alias string, name string")
     got, missing = E.aliases(names, pairs)
