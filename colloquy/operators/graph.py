@@ -227,8 +227,21 @@ def clusters(hits: DataFrame, quality: DataFrame, least: float = 0.6, smallest:
     return (kept if kept is not None else open_).select("seed", "members", "score")
 
 
-def write_back(insights: DataFrame, items: DataFrame, least: float = 0.4) -> DataFrame:
-    """Insights (title, confidence) sure enough, whose first 40 characters stand in no title yet."""
+def write_back(insights: DataFrame, items: DataFrame, least: float = 0.4, width: int = 8) -> DataFrame:
+    """Insights (title, confidence) sure enough, whose first 40 characters, whatever their case, stand in no item's title yet.
+
+    A head's first ``width`` characters are looked up among the pieces of that length of the titles, and only titles that have
+    them are searched for the whole head. Insights without a title are never new.
+    """
     head = F.lower(F.substring("title", 1, 40))
-    fresh = insights.filter(F.col("confidence") >= least).withColumn("_head", head)
-    return fresh.join(items.select(F.lower("title").alias("_t")), F.contains("_t", F.col("_head")), "left_anti").drop("_head")
+    own = insights.filter(F.col("confidence") >= least).withColumn("_head", head).filter(F.length("_head") > 0)
+    heads = own.select("_head").distinct().withColumn("_k", F.substring("_head", 1, width))
+    sizes = [r.n for r in heads.select(F.length("_k").alias("n")).distinct().collect()]  # `width` rows at most
+    title = items.select(F.lower("title").alias("_t")).filter("_t is not null").distinct()
+
+    def cut(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(n)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*map(cut, sizes or [1]))))
+    met = heads.join(title.select("_t", F.explode(pieces).alias("_k")).hint("merge"), "_k").filter(F.contains("_t", F.col("_head"))).select("_head").distinct()
+    return own.join(met.hint("merge"), "_head", "left_anti").drop("_head")

@@ -173,9 +173,28 @@ def elapsed_bands(rows: DataFrame, group: str, ts: str, key: str, bounds: list[i
     return rows.withColumn("minutes", gap).withColumn("band", band.otherwise(names[-1]))
 
 
-def surface(points: DataFrame, seed: int, least: float = 0.7) -> DataFrame:
-    """K5: one point of high salience, by a seeded hash in place of chance."""
-    return points.filter(F.col("salience") >= least).orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(1)
+def surface(rows: DataFrame, seed: int, n: int = 1) -> DataFrame:
+    """K5: (place, id, content): ``n`` of the rows (id, weight, content) by chance, none twice, each draw by weight.
+
+    Each row has an exponential key, -ln(u) / weight with u a hash of its id and the seed; the n smallest keys are such a draw
+    (Efraimidis and Spirakis). One top-n over all tasks, and the same rows for the same seed. Rows without a weight above 0 are
+    never drawn.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    key = -F.log((u + 0.5) / 4294967296) / F.col("weight")
+    drawn = rows.filter("weight > 0").select("id", "content", key.alias("key")).orderBy("key", "id").limit(n)
+    return drawn.withColumn("place", F.row_number().over(Window.orderBy("key", "id")) - 1).select("place", "id", "content")  # n rows
+
+
+def surfaced(kinds: dict[str, DataFrame], turns: int, seed: int, most: int = 1200) -> DataFrame:
+    """K5: (turn, kind, id, content): what comes up in each of so many turns, the kinds in rotation, each a table as surface() reads,
+    contents cut. A kind with fewer rows than turns leaves its later turns out."""
+    out = None
+    for k, (kind, rows) in enumerate(kinds.items()):
+        drawn = surface(rows, seed + k, -(-(turns - k) // len(kinds)))
+        own = drawn.select((F.col("place") * len(kinds) + k).cast("long").alias("turn"), F.lit(kind).alias("kind"), "id", F.substring("content", 1, most).alias("content"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def sprint_view(items: DataFrame, tasks: DataFrame) -> DataFrame:

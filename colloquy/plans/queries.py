@@ -122,6 +122,15 @@ def conversation_hashes(s, d):
     return T.conversation_hash(B.messages(s, d))
 
 
+@query("messages", r""", twice AS (SELECT conversation_id, sequence, user_prompt, model_response FROM messages UNION ALL SELECT conversation_id + 1000000, sequence, translate(user_prompt, 'aeiou', 'AEIOU'), model_response || ' ' FROM messages WHERE conversation_id % 10 = 3),
+    h AS (SELECT conversation_id AS id, sha256(trim(regexp_replace(lower(string_agg('U:' || user_prompt || chr(10) || 'A:' || model_response, chr(10) || '---' || chr(10) ORDER BY sequence)), '[ \t\r\n]+', ' ', 'g'))) AS hash FROM twice GROUP BY conversation_id) SELECT hash, count(*) AS n, min(id) AS first_id FROM h GROUP BY hash HAVING count(*) > 1""")
+def duplicate_conversations(s, d):
+    """Equal conversations by F2's hash; every tenth one is there twice, in other letters."""
+    own = B.messages(s, d).select("conversation_id", "sequence", "user_prompt", "model_response")
+    again = own.filter("conversation_id % 10 = 3").select((F.col("conversation_id") + 1_000_000).alias("conversation_id"), "sequence", F.translate("user_prompt", "aeiou", "AEIOU").alias("user_prompt"), F.concat("model_response", F.lit(" ")).alias("model_response"))
+    return N.exact_duplicates(T.conversation_hash(own.union(again)).withColumnRenamed("conversation_id", "id"), F.col("hash"))
+
+
 # Listings and filters
 
 
@@ -298,6 +307,36 @@ def elapsed_bands(s, d):
     return M.elapsed_bands(rows, "user_id", "ts", "event_id", [5, 30, 120, 480], ["now", "soon", "later", "day", "long"]).select("event_id", *long("minutes"), "band")
 
 
+_DRAWN = "(SELECT id, content, -ln((('0x' || substr(md5(id || ':{seed}'), 1, 8))::BIGINT + 0.5) / 4294967296) / weight AS key FROM {rows} WHERE weight > 0 QUALIFY row_number() OVER (ORDER BY key, id) <= 3)"
+
+
+def _drawn(k: int, kind: str, rows: str) -> str:
+    return f"SELECT (row_number() OVER (ORDER BY key, id) - 1) * 4 + {k} AS turn, '{kind}' AS kind, id, substr(content, 1, 1200) AS content FROM " + _DRAWN.format(seed=11 + k, rows=rows)
+
+
+_KINDS = (
+    ("fragment", "(SELECT point_id AS id, salience AS weight, 'point ' || point_id AS content FROM points WHERE collection = 0 AND salience >= 0.65)"),
+    ("document", "(SELECT doc_id AS id, 1.0::DOUBLE AS weight, text AS content FROM documents WHERE length(text) > 80)"),
+    ("exchange", "(SELECT message_id AS id, quality_score AS weight, substr(user_prompt, 1, 400) || chr(10) || chr(10) || substr(model_response, 1, 600) AS content FROM metadata JOIN messages USING (message_id) WHERE quality_score >= 0.7 AND user_prompt <> '' AND model_response <> '')"),
+    ("source", "(SELECT point_id AS id, salience AS weight, 'point ' || point_id AS content FROM points WHERE collection = 1 AND salience >= 0.6)"),
+)
+
+
+@query("points metadata", " UNION ALL ".join(_drawn(k, kind, rows) for k, (kind, rows) in enumerate(_KINDS)))
+def surfaced_memories(s, d):
+    """K5: what comes up in twelve turns, of four kinds in rotation."""
+    pts = B.points(s, d).select(F.col("point_id").alias("id"), F.col("salience").alias("weight"), F.concat(F.lit("point "), F.col("point_id").cast("string")).alias("content"), "collection")
+    said = F.concat(F.substring("user_prompt", 1, 400), F.lit("\n\n"), F.substring("model_response", 1, 600))
+    both = B.metadata(s, d).filter("quality_score >= 0.7").join(B.messages(s, d).filter("user_prompt <> '' and model_response <> ''").hint("merge"), "message_id")
+    kinds = {
+        "fragment": pts.filter("collection = 0 and weight >= 0.65"),
+        "document": docs(s, d).filter("length(text) > 80").select(F.col("doc_id").alias("id"), F.lit(1.0).alias("weight"), F.col("text").alias("content")),
+        "exchange": both.select(F.col("message_id").alias("id"), F.col("quality_score").alias("weight"), said.alias("content")),
+        "source": pts.filter("collection = 1 and weight >= 0.6"),
+    }
+    return M.surfaced(kinds, 12, 11)
+
+
 # Text functions
 
 
@@ -562,6 +601,15 @@ def reranked(s, d):
     return R.rerank(hits, scores, 8).select("qid", "point_id", "rerank")
 
 
+@query("hits", """, u AS (SELECT point_id, list(((qid // 50) * 7 % 11) / 10.0::DOUBLE ORDER BY qid) AS u, any_value(salience)::DOUBLE AS s FROM hits GROUP BY point_id)
+    SELECT point_id, round(list_reduce(list_prepend(s, u), lambda s, u: CASE WHEN u > 0.3 THEN least(1.0, s + 0.03 * u) WHEN u < 0.1 THEN greatest(0.1, s - 0.01) ELSE s END), 9) AS salience, round(list_reduce(list_prepend(s, u), lambda s, u: least(1.0, s + 0.05 * u)), 9) AS reranked FROM u""")
+def salience_feedback(s, d):
+    """Salience of each found point after its usages, and after rerank scores, in the order of the queries."""
+    used = _hits(s, d).groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("qid", (F.floor(F.col("qid") / 50) * 7 % 11 / 10).alias("u")))).alias("u"), F.first("salience").alias("s"))
+    u = F.transform("u", lambda x: x["u"])
+    return used.select("point_id", F.round(R.salience_fold(F.col("s"), u), 9).alias("salience"), F.round(R.rerank_feedback(F.col("s"), u), 9).alias("reranked"))
+
+
 @query("mentions messages", """, w AS (SELECT * FROM (VALUES (1, 3), (1, 4), (2, 5)) w(qid, entity_id)), own AS (SELECT rid, message_id AS m, entity_id, (message_id % (SELECT count(*) FROM messages)) AS k FROM mentions), nm AS (SELECT *, row_number() OVER (ORDER BY message_id) - 1 AS k FROM messages),
     x AS (SELECT qid, own.entity_id, nm.message_id, created_at, CASE WHEN length(model_response) > 0 THEN model_response ELSE user_prompt END AS text FROM own JOIN w USING (entity_id) JOIN nm USING (k)),
     y AS (SELECT DISTINCT qid, entity_id, message_id, created_at, text FROM x WHERE length(text) >= 20), z AS (SELECT DISTINCT qid, message_id, created_at, text FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY qid, entity_id ORDER BY created_at DESC, message_id DESC) <= 5))
@@ -701,7 +749,23 @@ def extraction_queue(s, d):
     return E.extraction_queue(own, own.filter("message_id % 4 = 0"))
 
 
-_CHAINED = "entity_id - entity_id % 4"
+@query("variants", """, p AS (SELECT upper(name) AS alias, CASE WHEN id % 2 = 0 THEN name ELSE name || ' Ltd' END AS name FROM variants WHERE id < 1000)
+    SELECT id AS alias_id, p.name, 'edge' AS part FROM variants v JOIN p ON lower(v.name) = lower(p.alias) UNION ALL SELECT NULL, name, 'missing' FROM (SELECT DISTINCT name FROM p WHERE lower(name) NOT IN (SELECT lower(name) FROM variants))""")
+def alias_edges(s, d):
+    """E5: edges from entities to the full names of their aliases, and full names that no entity has."""
+    own = B.entities(s, d, True)
+    pairs = own.filter("id < 1000").select(F.upper("name").alias("alias"), F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit(" Ltd"))).alias("name"))
+    edges, missing = E.aliases(own, pairs)
+    return edges.select("alias_id", "name", F.lit("edge").alias("part")).unionByName(missing.select("name", F.lit("missing").alias("part")), allowMissingColumns=True)
+
+
+@query("", """WITH t AS (SELECT doc_id, lower(substr(text, 1, 60)) AS t FROM documents WHERE doc_id % 3 = 0), i AS (SELECT doc_id, substr(text, 1, 1 + doc_id::INTEGER % 45) AS title, (doc_id % 10) / 10.0 AS confidence FROM documents WHERE text <> '')
+    SELECT doc_id, title FROM i WHERE confidence >= 0.4 AND NOT EXISTS (SELECT 1 FROM t WHERE contains(t.t, lower(substr(i.title, 1, 40))))""")
+def fresh_insights(s, d):
+    """Titles cut from documents that stand in no title of every third document."""
+    own = docs(s, d)
+    made = own.filter("text <> ''").select("doc_id", F.substring(F.col("text"), F.lit(1), (1 + F.col("doc_id") % 45).cast("int")).alias("title"), (F.col("doc_id") % 10 / 10).alias("confidence"))
+    return G.write_back(made, own.filter("doc_id % 3 = 0").select(F.substring("text", 1, 60).alias("title"))).select("doc_id", "title")
 
 
 @query("mentions", f""", e AS (SELECT DISTINCT entity_id AS src, 'NEXT' AS rel, entity_id + 1 AS dst FROM mentions UNION SELECT DISTINCT entity_id, 'LIKES', entity_id + 7 FROM mentions)
@@ -793,7 +857,11 @@ def message_threads(s, d):
     return Q.format_threads(own, own.filter("sequence = 2"))
 
 
-@query()
+_QUALITY = ORACLE["quality_scores"].partition("SELECT message_id, CASE WHEN model_response")
+
+
+@query("metadata", ", scores AS (SELECT message_id, CASE WHEN model_response" + _QUALITY[2] + """), kw AS (SELECT message_id, string_agg(k, ',' ORDER BY times DESC, place) AS keywords FROM (SELECT * FROM wordcount QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY times DESC, place) <= 10) GROUP BY message_id)
+    SELECT message_id, score AS quality_score, coalesce(kw.keywords, '') AS keywords FROM metadata JOIN scores USING (message_id) LEFT JOIN kw USING (message_id) WHERE message_id % 3 = 0 OR quality_score IS NULL""")
 def scored_messages(s, d):
     meta = B.metadata(s, d).withColumn("quality_score", F.when(F.col("message_id") % 3 > 0, F.col("quality_score")))
     return Q.score_unscored(B.messages(s, d), meta).select("message_id", "quality_score", F.array_join("keywords", ",").alias("keywords"))

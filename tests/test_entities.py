@@ -109,3 +109,21 @@ def test_cards(spark):
     assert got == {1: ("Done", 15, False), 2: ("Done", 15, True), 5: ("Backlog", 0, True), 6: ("Review", 0, True)}
     assert {r.column: (r.n, r.shown, r.oldest) for r in M.board(own, M.ITEM_COLUMNS, "2024-02-16").collect()} == {"Done": (2, 1, 15), "Backlog": (1, 1, 0), "Review": (1, 1, 0)}
     assert [r.id for r in M.cards(own, M.ITEM_COLUMNS, "2024-02-16", "book").collect()] == [3]
+
+
+def test_surface_draws_by_weight(spark):
+    """Over many seeds, a row comes first about as often as its share of the weights; none is drawn twice."""
+    rows = spark.createDataFrame([(i, w, f"c{i}") for i, w in enumerate([1.0, 2.0, 3.0, 4.0, 0.0, None])], "id long, weight double, content string")
+    first = [M.surface(rows, seed, 4).collect() for seed in range(60)]
+    assert all(sorted(r.id for r in d) == [0, 1, 2, 3] and [r.place for r in d] == [0, 1, 2, 3] for d in first)
+    heads = [d[0].id for d in first]
+    assert 12 <= heads.count(3) <= 36 and heads.count(0) <= 16 and M.surface(rows, 5, 2).collect() == M.surface(rows, 5, 2).collect()
+    turns = M.surfaced({"a": rows, "b": rows.filter("id = 1")}, 5, 3, most=1).collect()
+    assert {(r.turn, r.kind) for r in turns} == {(0, "a"), (2, "a"), (4, "a"), (1, "b")} and {r.content for r in turns} == {"c"}
+
+
+def test_write_back(spark):
+    insights = spark.createDataFrame([(1, "Alpha beta", 0.9), (2, "alpha BETA gamma", 0.5), (3, "new", 0.9), (4, "ew", 0.9), (5, "x" * 60, 0.9), (6, "zzz", 0.1), (7, "", 0.9), (8, None, 0.9)], "id int, title string, confidence double")
+    items = spark.createDataFrame([("The Alpha Beta plan",), ("brand New",), ("x" * 41,), (None,)], "title string")
+    assert sorted(r.id for r in G.write_back(insights, items).collect()) == [2]
+    assert sorted(r.id for r in G.write_back(insights, items.limit(0)).collect()) == [1, 2, 3, 4, 5]
