@@ -401,25 +401,3 @@ def layer_variant(weight: Column) -> Column:
 def age_years(born: Column, as_of: str) -> Column:
     """whole years."""
     return F.floor(F.months_between(F.lit(as_of).cast("date"), born.cast("date")) / 12).cast("int")
-
-
-#: Reply shapes: the schema of each kind and the condition that accepts it.
-REPLIES = {
-    "eval": ("score double, topics array<string>, rationale string", "r.score between 0 and 1"),
-    "entity": ("name string, type string, relevance double", "length(trim(r.name)) > 0 and r.type is not null"),
-    "register": ("label string, score double", "r.label in ('warm', 'neutral', 'clinical') and r.score between 0 and 1"),
-    "synthesis": ("title string, insight string, confidence double", "length(r.title) > 0 and r.confidence between 0 and 1"),
-    "turn": ("relevance double, depth double, warmth double", "least(r.relevance, r.depth, r.warmth) >= 0 and greatest(r.relevance, r.depth, r.warmth) <= 1"),
-}
-
-
-def validate_replies(replies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """model replies (id, kind, raw) of one kind as typed rows, and those that do not fit (id, raw)."""
-    schema, fits = REPLIES[kind]
-    body = F.trim(F.regexp_replace("raw", r"^\s*```(?:json)?|```\s*$", ""))
-    parsed = replies.filter(F.col("kind") == kind).withColumn("r", F.from_json(body, schema))
-    good = F.coalesce(F.expr(fits), F.lit(False))
-    accepted = parsed.filter(good).select("id", "r.*")
-    if kind == "turn":
-        accepted = accepted.withColumn("overall", 0.4 * F.col("relevance") + 0.35 * F.col("depth") + 0.25 * F.col("warmth"))
-    return accepted, parsed.filter(~good).select("id", "raw")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from ..operators import chunks, entities as E, graph as G, index as X, ingest as N, intent as I, quality as Q, report as M, retrieve as R
+from ..operators import chunks, entities as E, graph as G, index as X, ingest as N, intent as I, quality as Q, replies as P, report as M, retrieve as R
 from ..sources.shared import new_path, written
 from . import bindings as B
 from .sql import AS_OF, ASKED_TERMS, BEST, DEPTH, PREPASS, SEARCH_STOP, STOP, doc_type_case, historical, index_tables, intent_sql, status_case, with_
@@ -867,6 +867,41 @@ def scored_messages(s, d):
     return Q.score_unscored(B.messages(s, d), meta).select("message_id", "quality_score", F.array_join("keywords", ",").alias("keywords"))
 
 
+def _replies(s, d, kind: str, body) -> DataFrame:
+    """Replies about messages: ``body`` as JSON, in a fence for odd ids, cut off for every seventh one."""
+    own, m = B.messages(s, d), F.col("message_id")
+    text = F.to_json(body)
+    raw = F.when(m % 7 == 0, F.substring(text, 1, 20)).when(m % 2 == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text)
+    return own.select(m.alias("id"), F.lit(kind).alias("kind"), raw.alias("raw"))
+
+
+@query("messages", """SELECT message_id AS id, round((message_id * 37 % 131) / 100.0, 3)::DOUBLE AS salience_score, round((message_id * 11 % 97) / 97.0::DOUBLE, 3) AS quality_score, substr(model_response, 1, 500) AS rationale, substr(user_prompt, 1, 1) AS first_topic FROM messages WHERE message_id % 7 <> 0 AND message_id * 37 % 131 <= 100""")
+def evaluated_replies(s, d):
+    """evaluations, of which some are cut off and some out of range."""
+    m = F.col("message_id")
+    body = F.struct((m * 37 % 131 / 100).alias("salience_score"), (m * 11 % 97 / 97).alias("quality_score"), F.col("model_response").alias("quality_reasoning"), F.array(F.substring("user_prompt", 1, 1)).alias("topics"))
+    good, _ = P.validated(_replies(s, d, "eval", body), "eval")
+    return good.select("id", "salience_score", "quality_score", "rationale", F.col("topics")[0].alias("first_topic"))
+
+
+@query("messages", """SELECT message_id AS id, round(least(1.0, (message_id % 13) / 10.0), 2)::DOUBLE AS naturalness_score, 0.0::DOUBLE AS tool_awareness_score, round(0.4 * round(least(1.0, (message_id % 13) / 10.0), 2) + 0.35 * 0.6, 2)::DOUBLE AS overall_score, CASE WHEN message_id % 3 = 0 THEN 'report_mode' ELSE '' END AS flags FROM messages WHERE message_id % 7 <> 0 AND message_id % 13 <> 5""")
+def turn_signals(s, d):
+    """signals of turns, with scores over 1, one missing, and flags that are none."""
+    m = F.col("message_id")
+    body = F.struct((m % 13 / 10).alias("naturalness_score"), F.lit(0.6).alias("attunement_score"), F.array(F.when(m % 3 == 0, "report_mode").otherwise("other")).alias("drift_flags"))
+    good, _ = P.validated(_replies(s, d, "turn", body).filter("id % 13 <> 5"), "turn")
+    return good.select("id", "naturalness_score", "tool_awareness_score", "overall_score", F.array_join("drift_flags", ",").alias("flags"))
+
+
+@query("messages", """SELECT message_id AS id, place, CASE place WHEN 0 THEN 'person' ELSE 'concept' END AS entity_type, substr(user_prompt, 1, 5) || place AS name, CASE place WHEN 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS relevance FROM messages, (VALUES (0), (2)) p(place) WHERE message_id % 7 <> 0 AND user_prompt <> '' AND substr(user_prompt, 1, 1) <> ' '""")
+def reply_entities(s, d):
+    """entities of replies: one of a type there is not, relevance over 1 or missing."""
+    one = lambda kind, k, r: F.struct(F.lit(kind).alias("entity_type"), F.concat(F.substring("user_prompt", 1, 5), F.lit(k)).alias("name"), F.lit(r).cast("double").alias("relevance"))
+    body = F.struct(F.array(one("person", "0", 3.0), one("planet", "1", 0.2), one("concept", "2", None)).alias("entities"))
+    rows = _replies(s, d, "entity", body).join(B.messages(s, d).filter("user_prompt <> '' and left(user_prompt, 1) <> ' '").select(F.col("message_id").alias("id")).hint("merge"), "id", "left_semi")
+    return P.entities(rows)[0].select("id", *long("place"), "entity_type", "name", "relevance").withColumn("place", F.col("place").cast("int"))
+
+
 # Chunks
 
 

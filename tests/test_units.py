@@ -62,13 +62,6 @@ def test_terms_and_candidates(spark):
     assert one(spark, T.entity_candidates(F.col("t")), t="") == []
 
 
-def test_replies(spark):
-    rows = spark.createDataFrame([(1, "eval", '```json\n{"score": 0.5, "topics": ["a"]}\n```'), (2, "eval", '{"score": 3}'), (3, "eval", "no"), (4, "eval", None), (5, "turn", '{"relevance": 1, "depth": 0, "warmth": 1}')], "id int, kind string, raw string")
-    good, bad = T.validate_replies(rows, "eval")
-    assert [r.id for r in good.collect()] == [1] and sorted(r.id for r in bad.collect()) == [2, 3, 4]
-    assert T.validate_replies(rows, "turn")[0].first().overall == pytest.approx(0.65)
-
-
 def plain_pieces(text, most, least):
     """The rule of chunking, in plain Python."""
 
