@@ -13,7 +13,7 @@ from .tokens import BLOCK, blocks, encoder
 from .work import saved
 
 
-def _tokenize(tokenizer: str, end: int):
+def _tokenize(tokenizer: str, end: int, lean: bool):
     names = ["part", "row", "doc_id", "before", "n", "ids"]
 
     def run(batches):
@@ -29,7 +29,8 @@ def _tokenize(tokenizer: str, end: int):
                 yield pa.record_batch([*own, pa.array(at + seen), pa.array(n), ids], names=names)
                 seen, row = seen + len(flat), row + k - i
             pa.default_memory_pool().release_unused()
-        coder.forget()
+        if lean:
+            coder.forget()
 
     return run
 
@@ -57,7 +58,7 @@ def _cut(length: int, keep_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, keep_ids: bool = False, lean: bool = False) -> DataFrame:
     """Cut the concatenation of all documents into sequences of ``length`` ids; a row per piece of a document.
 
     First pass: every partition tokenizes its texts where they are and notes each document's place in it. Second
@@ -67,10 +68,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, keep
 
     A null text counts as empty (its one id is ``end``), a null doc_id stays null, repeated rows are packed each,
     an empty table gives no rows; other columns are not read. Columns: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset and, with ``keep_ids``, the piece's ids as little-endian unsigned 32-bit integers.
+    sequence_id, offset and, with ``keep_ids``, the piece's ids as little-endian unsigned 32-bit integers. Workers keep the ids of
+    words for their next tasks, a bounded number of them; with ``lean`` they free them after each task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = saved(rows.mapInArrow(_tokenize(tokenizer, end), "part int, row long, doc_id long, before long, n long, ids binary"), "packing-ids")
+    ids = saved(rows.mapInArrow(_tokenize(tokenizer, end, lean), "part int, row long, doc_id long, before long, n long, ids binary"), "packing-ids")
     totals = ids.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition of the first pass
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))

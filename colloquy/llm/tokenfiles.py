@@ -84,7 +84,6 @@ def _writer(folder: str, tokenizer: str, id_column: str, end: int, length: int,
                     to.write_batch(batch(np.pad(left, (0, -len(left) % length)), len(left)))
 
         put_file(paths[0], tokens)
-        coder.forget()
 
         n = np.concatenate([np.zeros(0, np.int64), *sizes])
 
