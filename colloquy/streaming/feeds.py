@@ -38,6 +38,11 @@ def live(snapshot: DataFrame) -> DataFrame:
 WAITING = "entity_type long, entity_id long, id long, operation string, payload string, attempts int, error string"
 
 
+def accepts(changes: DataFrame, snapshot: DataFrame | None) -> DataFrame:
+    """An attempt that every change passes."""
+    return changes.withColumn("error", F.lit(None).cast("string"))
+
+
 def parses(changes: DataFrame, snapshot: DataFrame | None) -> DataFrame:
     """An attempt: payloads of rows that are no deletions must be JSON. Adds ``error``, null where the change can be applied."""
     bad = (F.col("operation") != "DELETE") & F.try_parse_json("payload").isNull()
@@ -57,7 +62,7 @@ def parent_known(changes: DataFrame, snapshot: DataFrame | None) -> DataFrame:
     return both.withColumn("error", F.when(missing, "parent is not there").otherwise(F.col("error"))).select(*changes.columns, "error")
 
 
-def attempt_all(snapshot: DataFrame | None, waiting: DataFrame | None, changes: DataFrame, attempt=parses, most: int = 3, known: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def attempt_all(snapshot: DataFrame | None, waiting: DataFrame | None, changes: DataFrame, attempt=accepts, most: int = 3, known: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(snapshot, waiting, set aside) after one round: new changes and those that wait are tried; what fails waits for the next
     round, up to ``most`` attempts, and is then set aside with its error. Types that are not ``known`` are set aside at once.
 
@@ -87,7 +92,7 @@ def _part(spark: SparkSession, path: str, part: str) -> DataFrame | None:
     return None if name is None else spark.read.parquet(f"{path}/{name}/{part}")
 
 
-def apply_cdc(stream: DataFrame, path: str, checkpoint: str, attempt=parses, most: int = 3, known: list[int] | None = None) -> StreamingQuery:
+def apply_cdc(stream: DataFrame, path: str, checkpoint: str, attempt=accepts, most: int = 3, known: list[int] | None = None) -> StreamingQuery:
     """One sink of a change feed: its snapshot, the changes that wait and those set aside, under ``path``.
 
     Each batch writes the three tables of its round and then adds a line to the pointer, so readers see whole rounds. A batch that
