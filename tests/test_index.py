@@ -141,3 +141,34 @@ def test_numbers_fill_their_slot_in_any_width(spark, tmp_path):
     index = X.build(spark.createDataFrame([(1, "entry 0042"), (2, "entry 42"), (3, "entry 00042 x"), (4, "entry 420")], "doc_id long, text string"), str(tmp_path / "n"), buckets=2)
     queries = X.terms_of(spark.createDataFrame([(1, "the entry 42")], "qid long, text string"), SEARCH_STOPWORDS)
     assert {r.doc_id for r in index.search(queries).collect()} == {1, 2, 3}
+
+
+def _shuffled(spark, run):
+    """Rows that the stages of ``run`` wrote to shuffles."""
+    sc, none = spark.sparkContext, spark._jvm.java.util.ArrayList()
+    before = sc._jsc.sc().dagScheduler().nextStageId()
+    run()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() >= before)
+
+
+def test_equal_queries_are_answered_once(spark, tmp_path):
+    n = 300
+    docs = spark.createDataFrame([(i, "alpha beta gamma alpha beta") for i in range(n)], "doc_id long, text string")
+    index = X.build(docs, str(tmp_path / "e"), buckets=2)
+    queries = X.terms_of(docs.selectExpr("doc_id as qid", "text"), SEARCH_STOPWORDS)
+    got = []
+    assert _shuffled(spark, lambda: got.extend(index.search(queries, 3).collect())) < n * n
+    assert sorted((r.qid, r.doc_id) for r in got) == [(q, d) for q in range(n) for d in range(3)]
+    phrases = docs.selectExpr("doc_id as qid", "'beta gamma' as phrase").filter("qid % 3 = 0")
+    assert _shuffled(spark, lambda: got.append(index.phrases(phrases).count())) < n * n // 3
+    assert got[-1] == n * n // 3
+
+
+def test_stems_beyond_those_sent(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SENT", 1)
+    text = "runs running Runs cat " + "x" * 80 + "s"
+    index = X.build(spark.createDataFrame([(1, text), (2, "cat")], "doc_id long, text string"), str(tmp_path / "s"), buckets=2)
+    got = {(r.qid, r.doc_id) for r in index.search(spark.createDataFrame([(1, 0, "run"), (2, 0, "cats"), (3, 0, "x" * 80)], "qid long, slot int, word string")).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (3, 1)}
+    assert index.phrases(spark.createDataFrame([(1, "run running"), (2, "running run cats"), (3, "run cat run")], "qid long, phrase string")).count() == 2
