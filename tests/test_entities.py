@@ -127,3 +127,14 @@ def test_write_back(spark):
     items = spark.createDataFrame([("The Alpha Beta plan",), ("brand New",), ("x" * 41,), (None,)], "title string")
     assert sorted(r.id for r in G.write_back(insights, items).collect()) == [2]
     assert sorted(r.id for r in G.write_back(insights, items.limit(0)).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_variants_have_ids_of_their_own(spark, tmp_path):
+    from colloquy.plans import bindings
+
+    data = "/root/testdata/sf0.001/"
+    spark.range(1500).selectExpr("id as s_suppkey", "concat('Supplier ', id) as s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    for name in ("lineitem", "orders"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{data}{name}.parquet")
+    ids = [r.id for r in bindings.entities(spark, str(tmp_path), True).select("id").collect()]
+    assert len(ids) == len(set(ids)) == 1500 + 3 * 150
