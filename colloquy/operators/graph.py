@@ -7,9 +7,13 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.shared import written
 from .nearest import nearest
 from .retrieve import top_k
 
+#: Pairs that one task counts.
+DEALT = 1_000_000
+
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a checkpoint in the cluster's shared folder; a temporary one in local mode alone, where none is set."""
@@ -45,20 +49,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return ids.join(now.hint("merge"), F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
-def pairs_within(rows: DataFrame, group: str, item: str, crowd: int = 500) -> tuple[DataFrame, DataFrame]:
+def pairs_within(rows: DataFrame, group: str, item: str, crowd: int = 500, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(group, a, b) with a < b of items in the same group, and the groups of over ``crowd`` items (group, n), whose
-    pairs are dealt over blocks of partners rather than made in one task."""
-    own = rows.select(group, item).distinct()
+    pairs are dealt over blocks of partners rather than made in one task. ``parts``: the number of tasks, if not Spark's own."""
+    dealt = lambda df, *by: df if parts is None else df.repartition(parts, *by)
+    own = dealt(rows.select(group, item), group).distinct()
     sizes = own.groupBy(group).agg(F.count("*").alias("n"))
     left = own.join(sizes.hint("merge"), group).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / crowd)))).select(group, F.col(item).alias("a"), "block")
+    left = dealt(left, group, "block")
     right = own.join(sizes.hint("merge"), group).withColumn("block", F.pmod(F.xxhash64(item), F.floor((F.col("n") - 1) / crowd) + 1)).select(group, F.col(item).alias("b"), "block")
+    right = dealt(right, group, "block")
     return left.join(right.hint("merge"), [group, "block"]).filter("a < b").select(group, "a", "b"), sizes.filter(F.col("n") > crowd)
 
 
+def dealt_pairs(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """The pairs of ``pairs_within``, equal ones in one task, in as many tasks as their number asks for. They are
+    dealt out before they are counted, so what a task holds does not grow with the table."""
+    own = written(rows.select(group, item).distinct(), "items")
+    n = own.groupBy(group).count().agg(F.sum(F.greatest(F.col("count"), F.col("count") * (F.col("count") - 1) / 2))).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(n // DEALT) + 1)
+    return pairs_within(own, group, item, parts=parts)[0].repartition(parts, "a", "b")
+
+
 def cooccurrence(mentions: DataFrame, scope: str, least: int = 2) -> DataFrame:
     """(a, b, weight) of entities that share ``least`` distinct messages or conversations (``scope``)."""
-    pairs, _ = pairs_within(mentions, scope, "entity_id")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    return dealt_pairs(mentions, scope, "entity_id").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

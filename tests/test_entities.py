@@ -138,3 +138,11 @@ def test_variants_have_ids_of_their_own(spark, tmp_path):
         (tmp_path / f"{name}.parquet").symlink_to(f"{data}{name}.parquet")
     ids = [r.id for r in bindings.entities(spark, str(tmp_path), True).select("id").collect()]
     assert len(ids) == len(set(ids)) == 1500 + 3 * 150
+
+
+def test_pairs_are_counted_in_more_tasks_as_they_grow(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("id % 50 as message_id", "id as entity_id")
+    monkeypatch.setattr(G, "DEALT", 1000)
+    edges = G.cooccurrence(rows.union(rows.selectExpr("message_id + 50", "entity_id")), "message_id")
+    assert "REPARTITION_BY_NUM" in edges._jdf.queryExecution().executedPlan().toString()
+    assert edges.agg({"weight": "min", "a": "count"}).first().asDict() == {"min(weight)": 2, "count(a)": 50 * 40 * 39 // 2}
