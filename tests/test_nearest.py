@@ -1,6 +1,7 @@
 """Exact vector search against all distances, on clustered, equal and awkward vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.operators import nearest as V
@@ -46,3 +47,19 @@ def test_tight_clusters(spark):
     rows = [(i, np.eye(20)[i % 20] + rng.normal(size=20) * 0.01) for i in range(2000)]
     got = V.nearest(table(spark, rows, "point_id"), table(spark, rows[::100], "qid"), 5).collect()
     assert {(r.qid, r.point_id, round(r.score, 6)) for r in got} == brute(rows, rows[::100], 5, True)
+
+
+def test_pieces():
+    """What tasks compute or hand on at once is bounded, whatever the batches; no row is lost."""
+    batches = [pa.record_batch([pa.array(range(n))], names=["i"]) for n in (0, 5000, 3, 1)]
+    got = list(V._pieces(batches, 100, 2000))
+    assert max(b.num_rows for b in got) == 20 and [x for b in got for x in b["i"].to_pylist()] == [x for b in batches for x in b["i"].to_pylist()]
+    assert [b.num_rows for b in V._pieces(batches[2:], 9999, 100)] == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("cells", [1, 300])
+def test_small_pieces(spark, cells):
+    rng = np.random.default_rng(cells)
+    rows = [(i, rng.normal(size=8)) for i in range(400)]
+    got = V.nearest(table(spark, rows, "point_id").repartition(2), table(spark, rows[::9], "qid").repartition(1), 7, cells=cells).collect()
+    assert {(r.qid, r.point_id, round(r.score, 6)) for r in got} == brute(rows, rows[::9], 7, True)
