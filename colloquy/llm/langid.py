@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,6 +14,8 @@ from .tokens import blocks
 
 _LETTER = regex.compile(r"\p{L}")
 SIZES = (3, 4, 5)
+#: Bytes of texts that are judged at once: their n-grams take some 60 times as much memory.
+BLOCK = 1 << 19
 
 
 def held_out() -> Column:
@@ -104,12 +107,13 @@ def fit(docs: DataFrame, per_language: int = 2000, least_share: float = 2e-5) ->
     return own.close()
 
 
-def predict(docs: DataFrame, filters: Filters, extra: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, filters: Filters, extra: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score (the winning language's corrected share) and ``extra``.
 
     ``und`` with score 0 for a null or empty text, one without a letter, or if no language was learned; ties go to the
     language that sorts first. Whole texts of any length are read; a null doc_id is not held out; repeated rows give a
-    row each; other columns are no input. Rows stay in their partition, the filters go to the workers as one array.
+    row each; other columns are no input. Rows stay in their partition, the filters go to the workers as one array. The text
+    may lie in ``row``, a struct column named in ``extra``, so that it goes to the workers and back only once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -117,9 +121,9 @@ def predict(docs: DataFrame, filters: Filters, extra: tuple[str, ...] = ()) -> D
         own = shared.value
         names = np.array([*own.languages, "und"], object)
         for b in batches:
-            texts, found, score = [t or "" for t in b.column("text").to_pylist()], [], []
-            for i, k in blocks(texts):
-                part = texts[i:k]
+            whole = pc.fill_null(pc.struct_field(b.column(row), "text") if row else b.column("text"), "")
+            for i, k in blocks(whole, BLOCK):
+                part = whole.slice(i, k - i).to_pylist()
                 if own.languages:
                     shares = own.shares(part)
                     best = shares.argmax(axis=1)
@@ -127,12 +131,12 @@ def predict(docs: DataFrame, filters: Filters, extra: tuple[str, ...] = ()) -> D
                 else:
                     best, top = np.zeros(len(part), int), np.zeros(len(part))
                 none = np.array([not own.languages or not _LETTER.search(t) for t in part])
-                found += names[np.where(none, len(own.languages), best)].tolist()
-                score += np.where(none, 0.0, top).tolist()
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(found, pa.string()), pa.array(score, pa.float64()), *(b.column(c) for c in extra)], names=["doc_id", "held_out", "lang_pred", "score", *extra])
+                found, score = names[np.where(none, len(own.languages), best)], np.where(none, 0.0, top)
+                same = [b.column(c).slice(i, k - i) for c in ("doc_id", "held_out", *extra)]
+                yield pa.record_batch([*same[:2], pa.array(found, pa.string()), pa.array(score, pa.float64()), *same[2:]], names=["doc_id", "held_out", "lang_pred", "score", *extra])
 
     kinds = dict(docs.dtypes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *(c for c in extra if c not in ("doc_id", "text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *([] if row else ["text"]), *(c for c in extra if c not in ("doc_id", "text")))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in extra))
 
 

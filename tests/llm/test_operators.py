@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import ann, automata, decontaminate, langid, lines, minhash, packing, secrets, tokenfiles, tokens, toxicity, warc, work
 
@@ -442,3 +443,33 @@ def test_recall_of_neighbours(spark):
         assert all(abs(s - distance[np.searchsorted(ids, i)]) < 1e-12 for i, s in own) and len(own) == 10
         hits += len({i for _, i in near} & {i for i, _ in own})
     assert hits >= 0.9 * 10 * len(got)
+
+
+def test_group_of_similar_lines_makes_no_pairs(make, monkeypatch):
+    """No line of the group resembles the first ones, but all later ones each other: no table grows with the group's square."""
+    word, size, real = [f"w{k}" for k in range(20)], {}, lines.saved
+
+    def counted(df, name):
+        out = real(df, name)
+        size[name] = max(size.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lines, "saved", counted)
+    apart = [{i, j, (j + 1) % 20} if j + 1 < 20 or i else {0, 19, 9} for j in range(20) for i in range(j)]
+    texts = [(k, " ".join([*(w for i, w in enumerate(word) if i not in out), f"a{k}", f"b{k}", f"c{k}"])) for k, out in enumerate(apart)]
+    texts += [(k, " ".join([*word[: k % 20], f"x{k}", *word[k % 20 + 1 :]])) for k in range(200, 400)]
+    sets = [set(t.split()) for _, t in texts]
+    gone = {k for at, (k, _) in enumerate(texts) if any(4 * len(sets[at] & x) >= 3 * len(sets[at] | x) for x in sets[:at])}
+    assert len(gone) > 150 and {r.doc_id for r in lines.removed_lines(make(texts)).collect()} == gone
+    assert max(size.values()) <= 6 * len(texts)
+
+
+def test_language_of_texts_in_rows(make, messy, monkeypatch):
+    """A text that lies in the row that is passed on goes to the workers once; answers are those of plain texts."""
+    monkeypatch.setattr(langid, "BLOCK", 500)
+    docs = make(messy)
+    filters = langid.fit(docs, least_share=0.0)
+    plain = langid.predict(docs, filters, ("text",))
+    whole = langid.predict(docs.select("doc_id", F.struct("text", "lang").alias("_row")), filters, ("_row",), "_row")
+    answers = lambda df: sorted(map(repr, df.collect()))
+    assert answers(whole.select(*plain.columns[:-1], "_row.text")) == answers(plain) and "text" not in whole.columns and plain.count() == len(messy)
