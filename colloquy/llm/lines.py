@@ -105,8 +105,9 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
 
     First the prefix index of all lines is joined with itself by token, in a semi join: it keeps the entries that have
     any partner within the bounds of _may(), and yields no pairs. Only these lines' words are fetched. Among them each
-    line then meets the first line of each of its tokens; those that no such line resembles meet all earlier lines of
-    their tokens that the bounds leave. So a large group of similar lines costs a pair for each token.
+    line then meets the first line of each of its tokens. Those that no such line resembles meet all earlier lines of
+    their tokens that the bounds leave, again in semi joins: the last compares words and stops at the first similar line. So
+    a large group of similar lines costs a row for each token of its lines, and never a row for each two of them.
     """
     place = F.struct("doc_id", "pos")
     plain = _lines(docs)
@@ -139,10 +140,16 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
     met = index.alias("b").join(hubs.select("token", "hub").hint("merge"), "token").filter((F.col("hub.f") < F.col("b.f")) & _may(percent, "hub", "b"))
     gone = verified(texts, saved(met.select(F.col("hub.x").alias("a"), F.col("b.x").alias("b")).distinct(), "line-pairs"), percent)
     later = index.join(gone.select("hash.x").hint("merge"), "x", "left_anti")
-    met = index.alias("a").join(later.alias("b").hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.f") < F.col("b.f")) & bounds)
-    pairs = saved(met.select(F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct(), "line-pairs")
-    drop(index)
-    gone = gone.union(verified(texts, pairs, percent)).groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
+    earlier = (F.col("a.token") == F.col("b.token")) & (F.col("a.f") < F.col("b.f")) & bounds
+    late = saved(later.alias("b").join(index.alias("a").hint("merge"), earlier, "left_semi"), "line-late")
+    early = index.alias("a").join(late.alias("b").hint("merge"), earlier, "left_semi")
+    words = texts.select("x", "tokens")
+    early, last = (saved(rows.join(words.hint("merge"), "x"), "line-last") for rows in (early, late))
+    alike = _overlap(percent, F.size(F.array_intersect("a.tokens", "b.tokens")), F.col("a.n"), F.col("b.n"))
+    met = last.alias("b").join(early.alias("a").hint("merge"), earlier & alike, "left_semi").select("x").distinct()
+    found = saved(texts.join(met.hint("merge"), "x", "left_semi").select("hash", F.col("f").alias("first")), "line-gone")
+    drop(index, late, early, last)
+    gone = gone.union(found).groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
     both = copies.join(gone.hint("merge"), F.col("hash") == F.col("b"), "full")
     return both.select(F.coalesce("hash", "b").alias("hash"), F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("first", "b_first").alias("first"), F.col("b").isNotNull().alias("gone"))
 
