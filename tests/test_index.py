@@ -172,3 +172,22 @@ def test_stems_beyond_those_sent(spark, tmp_path, monkeypatch):
     got = {(r.qid, r.doc_id) for r in index.search(spark.createDataFrame([(1, 0, "run"), (2, 0, "cats"), (3, 0, "x" * 80)], "qid long, slot int, word string")).collect()}
     assert got == {(1, 1), (2, 1), (2, 2), (3, 1)}
     assert index.phrases(spark.createDataFrame([(1, "run running"), (2, "running run cats"), (3, "run cat run")], "qid long, phrase string")).count() == 2
+
+
+def test_documents_that_lack_a_term_do_not_meet_the_query(spark, tmp_path, monkeypatch):
+    """400 different queries of two terms, each term in 20 documents and both in one: no 20 candidates for each of them."""
+    size, real = [], X.Index.candidates
+
+    def counted(self, held, sizes):
+        out = real(self, held, sizes)
+        size.append(out.count())
+        return out
+
+    monkeypatch.setattr(X.Index, "candidates", counted)
+    docs = spark.createDataFrame([(i, f"a{i % 20}x b{i // 20}x 00{10 + i % 7}") for i in range(400)], "doc_id long, text string")
+    index = X.build(docs, str(tmp_path / "index"))
+    found = index.search(X.terms_of(docs.selectExpr("doc_id AS qid", "text"), [], 2), 10).collect()
+    assert sorted((r.qid, r.doc_id, r.rank) for r in found) == [(i, i, 1) for i in range(400)]
+    assert size == [size[0]] and 400 <= size[0] <= 800
+    numbers = index.search(X.terms_of(spark.createDataFrame([(1, "a3x 13"), (2, "a3x 013"), (3, "a3x zz")], "qid long, text string"), []), None).collect()
+    assert {(r.qid, r.doc_id) for r in numbers} == {(q, i) for q in (1, 2) for i in range(400) if i % 20 == 3 and i % 7 == 3}
