@@ -34,14 +34,14 @@ def _hash(line: Column) -> Column:
 
 
 def _ranks(docs: DataFrame) -> DataFrame:
-    """One row with a byte for each of 2 ** RANK_BITS hash buckets of words: the number of words that it holds, in thirds of a
-    power of two from 1 on. A table, asked by a scalar subquery: its bytes are in no row and in no description of a plan."""
+    """One row with a number for each of 2 ** RANK_BITS hash buckets of words: how many words it holds, in thirds of a power of
+    two from 1 on. A table, asked by a scalar subquery: its numbers are in no row and in no description of a plan."""
     word = docs.select(F.explode_outer(_parts(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).select(_bucket(F.xxhash64("w")).alias("bucket"))
     counts = word.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
     counts = counts.select("bucket", (1 + F.least(F.floor(3 * F.log2("n")), F.lit(126))).cast("int").alias("rank")).toArrow()  # 2 ** RANK_BITS rows at most, whatever the input
     ranks = np.ones(1 << RANK_BITS, np.uint8)
     ranks[counts["bucket"].to_numpy()] = counts["rank"].to_numpy()
-    return docs.sparkSession.createDataFrame([(bytearray(ranks.tobytes()),)], "ranks binary")
+    return docs.sparkSession.createDataFrame([(ranks.tolist(),)], "ranks array<tinyint>")
 
 
 def _bucket(h: Column) -> Column:
@@ -71,20 +71,19 @@ def _tokens(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     many they are (n) and words the line has (m), and the parities of 128 hash buckets of them: of the even hashes, of the odd ones."""
     low = F.lit((1 << 56) - 1)
 
-    def token(w: Column, bytes_: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.ascii(F.substring(bytes_, _bucket(h) + 1, 1).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
+    def token(h: Column, counts: Column) -> Column:
+        return F.shiftleft(F.coalesce(F.get(counts, _bucket(h)).cast("long"), F.lit(0).cast("long")), 56).bitwiseOR(h.bitwiseAND(low))
 
-    def all_tokens(bytes_: Column) -> Column:
-        return F.array_remove(F.transform(_parts(F.col("line")), lambda w: token(w, bytes_)), token(F.lit(""), bytes_))
+    def all_tokens(counts: Column) -> Column:
+        hashes = F.array_remove(F.transform(_parts(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+        return F.transform(hashes, lambda h: token(h, counts))
 
     # Named once, the subquery's column is put in place of its name and never becomes part of a row.
     tokens = F.element_at(F.transform(F.array("ranks"), all_tokens), 1)
     rows = lines.withColumn("ranks", ranks.scalar()).withColumn("tokens", tokens).drop("line", "ranks").withColumn("m", F.size("tokens"))
     rows = rows.withColumn("tokens", F.sort_array(F.array_distinct("tokens"))).withColumn("n", F.size("tokens"))
-    bit = "acc ^ shiftleft(1L, cast(shiftright(t, 1) & 63 as int))"
-    return rows.withColumns({name: F.expr(f"aggregate(tokens, 0L, (acc, t) -> if(t & 1 = {k}, {bit}, acc))") for k, name in enumerate(("even", "odd"))})
+    bits = {name: F.expr(f"aggregate(tokens, 0L, (acc, t) -> acc ^ shiftleft({bit}, cast(shiftright(t, 1) & 63 as int)))") for name, bit in (("even", "1L"), ("odd", "t & 1"))}
+    return rows.withColumns(bits).withColumn("even", F.col("even").bitwiseXOR(F.col("odd")))
 
 
 def _entries(lines: DataFrame, percent: int, least: int) -> DataFrame:

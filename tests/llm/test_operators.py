@@ -464,6 +464,20 @@ def test_group_of_similar_lines_makes_no_pairs(make, monkeypatch):
     assert max(size.values()) <= 6 * len(texts)
 
 
+def test_words_of_lines_sort_as_plain_numbers(make, messy):
+    """No word's number may be null in the schema, or Spark sorts each line's numbers as objects."""
+    docs = make(messy)
+    tokens = lines._tokens(lines._lines(docs), lines._ranks(docs))
+    assert not tokens.schema["tokens"].dataType.containsNull
+    for r in tokens.join(lines._lines(docs), ["doc_id", "pos"]).dropDuplicates().collect():
+        words = r.line.lower().split()
+        bits = [0, 0]
+        for t in r.tokens:
+            bits[t & 1] ^= 1 << (t >> 1 & 63)
+        assert (r.m, r.n) == (len(words), len(set(words))) and r.tokens == sorted(r.tokens)
+        assert [b - (1 << 64) * (b >> 63) for b in bits] == [r.even, r.odd]
+
+
 def test_language_of_texts_in_rows(make, messy, monkeypatch):
     """A text that lies in the row that is passed on goes to the workers once; answers are those of plain texts."""
     monkeypatch.setattr(langid, "BLOCK", 500)
