@@ -33,19 +33,29 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
 
 
-def _ranks(docs: DataFrame) -> DataFrame:
-    """One row with a number for each of 2 ** RANK_BITS hash buckets of words: how many words it holds, in thirds of a power of
-    two from 1 on. A table, asked by a scalar subquery: its numbers are in no row and in no description of a plan."""
-    word = docs.select(F.explode_outer(_parts(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).select(_bucket(F.xxhash64("w")).alias("bucket"))
-    counts = word.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
-    counts = counts.select("bucket", (1 + F.least(F.floor(3 * F.log2("n")), F.lit(126))).cast("int").alias("rank")).toArrow()  # 2 ** RANK_BITS rows at most, whatever the input
-    ranks = np.ones(1 << RANK_BITS, np.uint8)
+def _words(lines: DataFrame) -> DataFrame:
+    """In place of lines, the 56-bit hashes of their different words, how many those are (n) and words the line has (m)."""
+    short = lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)
+    hashes = F.array_remove(F.transform(_parts(F.col("line")), short), short(F.lit("")))
+    rows = lines.withColumn("hashes", hashes).drop("line").withColumn("m", F.size("hashes"))
+    return rows.withColumn("hashes", F.array_distinct("hashes")).withColumn("n", F.size("hashes"))
+
+
+def _ranks(rows: DataFrame) -> DataFrame:
+    """One row with a number for each of 2 ** RANK_BITS hash buckets of words: how many lines' different words it holds, in thirds of
+    a power of two from 1 on, at bit 56. A table, asked by a scalar subquery: its numbers are in no row and in no description of a plan.
+    ``rows`` are documents or those of _words()."""
+    words = rows if "hashes" in rows.columns else _words(_lines(rows))
+    counts = words.select(F.explode_outer("hashes").alias("h")).filter("h is not null").groupBy(_bucket(F.col("h"), 56).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = counts.select("bucket", (1 + F.least(F.floor(3 * F.log2("n")), F.lit(126))).cast("long").alias("rank")).toArrow()  # 2 ** RANK_BITS rows at most, whatever the input
+    ranks = np.ones(1 << RANK_BITS, np.int64)
     ranks[counts["bucket"].to_numpy()] = counts["rank"].to_numpy()
-    return docs.sparkSession.createDataFrame([(ranks.tolist(),)], "ranks array<tinyint>")
+    return rows.sparkSession.createDataFrame([((ranks << 56).tolist(),)], "ranks array<bigint>")
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - RANK_BITS).cast("int")
+def _bucket(h: Column, bits: int = 64) -> Column:
+    """The first RANK_BITS of a hash of so many bits."""
+    return F.shiftrightunsigned(h, bits - RANK_BITS)
 
 
 def _overlap(percent: int, overlap: Column, n_a: Column, n_b: Column) -> Column:
@@ -66,75 +76,81 @@ def _may(percent: int, a: str, b: str) -> Column:
     return fits & ((100 + percent) * apart <= (100 - percent) * (col(a, "n") + col(b, "n")))
 
 
-def _tokens(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    """In place of lines, their different words as sorted numbers (the rank of the word's bucket, then its hash), how
-    many they are (n) and words the line has (m), and the parities of 128 hash buckets of them: of the even hashes, of the odd ones."""
-    low = F.lit((1 << 56) - 1)
+def _tokens(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """In place of lines, or of the hashes of _words(), their different words as sorted numbers (the rank of the word's bucket, then
+    its hash), and the parities of 128 hash buckets of them: of the even hashes, of the odd ones.
 
-    def token(h: Column, counts: Column) -> Column:
-        return F.shiftleft(F.coalesce(F.get(counts, _bucket(h)).cast("long"), F.lit(0).cast("long")), 56).bitwiseOR(h.bitwiseAND(low))
+    Functions of array elements are interpreted, so each takes as few steps as it can: ranks lie where a number has them,
+    and a word's bit is read from a short array.
+    """
+    words = rows if "hashes" in rows.columns else _words(rows)
+    number = lambda counts: F.transform("hashes", lambda h: F.coalesce(counts[_bucket(h, 56)], F.lit(1 << 56)).bitwiseOR(h))
+    # Named once, the subquery's column is put in place of its name and never becomes part of a row.
+    tokens = F.element_at(F.transform(F.array("ranks"), number), 1)
+    numbered = words.withColumn("ranks", ranks.scalar()).withColumn("tokens", tokens).drop("hashes", "ranks").withColumn("tokens", F.sort_array("tokens"))
 
-    def all_tokens(counts: Column) -> Column:
-        hashes = F.array_remove(F.transform(_parts(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-        return F.transform(hashes, lambda h: token(h, counts))
+    def parity(odd: int) -> Column:
+        """Of tokens t with t & 1 equal to that, at bit t >> 1 & 63."""
+        bits = F.array(*(F.lit(((1 << (k >> 1)) ^ (1 << 63)) - (1 << 63) if k & 1 == odd else 0).cast("long") for k in range(128)))
+        seen = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.coalesce(bits[t.bitwiseAND(F.lit(127))], F.lit(0))))
+        return F.coalesce(seen, F.lit(0).cast("long"))  # never null, or joins would compute it twice, first to filter by it
 
-    # Named once, the subquery's column is put in place of its name and never becomes part of a row.
-    tokens = F.element_at(F.transform(F.array("ranks"), all_tokens), 1)
-    rows = lines.withColumn("ranks", ranks.scalar()).withColumn("tokens", tokens).drop("line", "ranks").withColumn("m", F.size("tokens"))
-    rows = rows.withColumn("tokens", F.sort_array(F.array_distinct("tokens"))).withColumn("n", F.size("tokens"))
-    bits = {name: F.expr(f"aggregate(tokens, 0L, (acc, t) -> acc ^ shiftleft({bit}, cast(shiftright(t, 1) & 63 as int)))") for name, bit in (("even", "1L"), ("odd", "t & 1"))}
-    return rows.withColumns(bits).withColumn("even", F.col("even").bitwiseXOR(F.col("odd")))
+    return numbered.withColumns({"even": parity(0), "odd": parity(1)})
 
 
-def _entries(lines: DataFrame, percent: int, least: int) -> DataFrame:
+def _entries(lines: DataFrame, percent: int) -> DataFrame:
     """The prefix index: a row (token, room) for each of a line's rarest tokens, as many as two similar lines need to
-    share one, in place of the tokens; none for lines of fewer words than ``least``. ``room`` is the size of the largest
-    line that can be similar if this is the first token that both have."""
-    size = F.when(F.col("m") >= least, F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).otherwise(0).cast("int")
-    names = [c for c in lines.columns if c not in ("tokens", "m")]
+    share one, in place of the tokens. ``room`` is the size of the largest line that can be similar if this is the first
+    token that both have."""
+    size = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
+    names = [c for c in lines.columns if c != "tokens"]
     rows = lines.select(*names, F.posexplode_outer(F.slice("tokens", 1, size)).alias("at", "token")).filter("token is not null")
     return rows.select(*names, "token", F.floor((100 * F.col("n") - (100 + percent) * F.col("at")) / percent).cast("int").alias("room"))
 
 
+def _perhaps(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those rows whose x is in ``keys``, and a few others: 2 ** (RANK_BITS + 6) bits of hash buckets, whatever the input, as a scalar
+    subquery. With more keys than that it leaves out nothing, and nothing is lost; it only saves a shuffle of rows that no key meets."""
+    bit = F.expr("cast(shiftrightunsigned(x, 40) & 63 as int)")
+    marks = keys.groupBy(_bucket(F.col("x")).alias("bucket"), bit.alias("bit")).agg(F.lit(1)).groupBy("bucket")
+    marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # 2 ** RANK_BITS rows at most, whatever the input
+    table = np.zeros(1 << RANK_BITS, np.int64)
+    table[marks["bucket"].to_numpy()] = marks["bits"].to_numpy()
+    table = rows.sparkSession.createDataFrame([(table.tolist(),)], "marks array<bigint>")
+    found = F.expr(f"shiftrightunsigned(marks[shiftrightunsigned(x, {64 - RANK_BITS})], cast(shiftrightunsigned(x, 40) & 63 as int)) & 1 = 1")
+    return rows.withColumn("marks", table.scalar()).filter(found).drop("marks")
+
+
 def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
-    """Groups of equal lines that do not all stay: (hash, w, first, gone).
+    """Groups of equal lines of ``least`` words or more that do not all stay: (hash, w, first, gone).
 
     ``first`` is the group's first place (doc_id, pos), ``w`` its number of lines; with ``gone`` an earlier line of
     other text is similar, so that the first line goes, too.
 
-    First the prefix index of all lines is joined with itself by token, in a semi join: it keeps the entries that have
-    any partner within the bounds of _may(), and yields no pairs. Only these lines' words are fetched. Among them each
+    Equal lines become one before their words are read, and words are split and hashed once, into a table. First the prefix
+    index of all lines is joined with itself by token, in a semi join: it keeps the entries that have any partner
+    within the bounds of _may(), and yields no pairs. Two similar lines both keep the entry of their first common token, so only
+    these entries go on, and only their lines' words are fetched. Among them each
     line then meets the first line of each of its tokens. Those that no such line resembles meet all earlier lines of
     their tokens that the bounds leave, again in semi joins: the last compares words and stops at the first similar line. So
     a large group of similar lines costs a row for each token of its lines, and never a row for each two of them.
     """
-    place = F.struct("doc_id", "pos")
-    plain = _lines(docs)
-    groups = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first")).groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("w"))
-    groups = saved(groups, "line-groups")
-    total = max(1, groups.agg(F.sum("w")).first()[0] or 0)
-    often = groups.filter(F.col("w") * 2000 >= total).select(F.col("hash").alias("_h"), F.col("first").alias("_f"))  # 2,000 rows at most
-
-    ranks = _ranks(docs)
-    once = plain.select(_hash(F.col("line")).alias("hash"), place.alias("first"), "line").join(F.broadcast(often), F.col("hash") == F.col("_h"), "left")
-    once = once.filter(F.col("_f").isNull() | F.col("_f").eqNullSafe(F.col("first"))).select("hash.x", "line")
-    # Copies of a line share x: 64 bits of its hash, which only has to tell lines of one token apart.
-    entries = _entries(_tokens(once, ranks), percent, least).repartition("token")
-    entries = entries.groupBy("token", "x").agg(*(F.min(c).alias(c) for c in ("n", "room", "even", "odd")))
+    plain = _lines(docs).select(_hash(F.col("line")).alias("hash"), F.struct("doc_id", "pos").alias("first"), "line")
+    groups = plain.groupBy("hash.x", "hash.y").agg(F.min("first").alias("f"), F.count("*").alias("w"), F.first("line").alias("line"))
+    # Filtered once it is read: a filter by m would go below the words and split each line twice. Neither do joins need a repartition() before.
+    words = saved(_words(groups), "line-words").filter(F.col("m") >= least).withColumn("hash", F.struct("x", "y"))
+
+    ranks = _ranks(words)
+    # x: 64 bits of a line's hash, which only have to tell lines of one token apart.
+    entries = _entries(_tokens(words.select("x", "n", "hashes"), ranks), percent)
     bounds = _may(percent, "a", "b")
     near = entries.alias("a").join(entries.alias("b").hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.x") != F.col("b.x")) & bounds, "left_semi")
-    near = saved(near.select("x").distinct(), "line-near")
-
-    # The words of these lines; of those that only have copies, whether they are long enough.
-    copies = groups.filter("w > 1")
-    wanted = groups.join(near.withColumn("near", F.lit(True)).hint("shuffle_hash"), F.col("hash.x") == F.col("x"), "left").filter("near or w > 1")
-    texts = plain.join(wanted.select("first", "near", "hash").hint("shuffle_hash"), place.eqNullSafe(F.col("first")) & (F.col("hash") == _hash(F.col("line"))))
-    texts = texts.select(F.col("first").alias("f"), "hash", "hash.x", F.coalesce("near", F.lit(False)).alias("near"), "line")
-    texts = saved(_tokens(texts, ranks).withColumn("tokens", F.when(F.col("near"), F.col("tokens"))), "line-words")
-    copies = copies.join(texts.filter(F.col("m") >= least).select("hash").hint("merge"), "hash", "left_semi")
-    texts = texts.filter("near").drop("near")
-
-    index = saved(_entries(texts.drop("hash"), percent, least), "line-entries")
+    near = saved(near, "line-near")
+
+    texts = _perhaps(words, near).join(near.select("x").distinct().hint("merge"), "x", "left_semi")
+    texts = saved(texts.select("x", "hash", "f", "n", F.col("hashes").alias("tokens")), "line-texts")
+    index = saved(near.join(texts.select("x", "f").hint("merge"), "x"), "line-entries")
+    drop(near)
     hubs = index.groupBy("token").agg(F.min(F.struct("f", "x", "n", "room", "even", "odd")).alias("hub"), F.count("*").alias("w")).filter("w > 1")
     met = index.alias("b").join(hubs.select("token", "hub").hint("merge"), "token").filter((F.col("hub.f") < F.col("b.f")) & _may(percent, "hub", "b"))
     gone = verified(texts, saved(met.select(F.col("hub.x").alias("a"), F.col("b.x").alias("b")).distinct(), "line-pairs"), percent)
@@ -142,13 +158,14 @@ def similar_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
     earlier = (F.col("a.token") == F.col("b.token")) & (F.col("a.f") < F.col("b.f")) & bounds
     late = saved(later.alias("b").join(index.alias("a").hint("merge"), earlier, "left_semi"), "line-late")
     early = index.alias("a").join(late.alias("b").hint("merge"), earlier, "left_semi")
-    words = texts.select("x", "tokens")
-    early, last = (saved(rows.join(words.hint("merge"), "x"), "line-last") for rows in (early, late))
+    tokens = texts.select("x", "tokens")
+    early, last = (saved(rows.join(tokens.hint("merge"), "x"), "line-last") for rows in (early, late))
     alike = _overlap(percent, F.size(F.array_intersect("a.tokens", "b.tokens")), F.col("a.n"), F.col("b.n"))
     met = last.alias("b").join(early.alias("a").hint("merge"), earlier & alike, "left_semi").select("x").distinct()
     found = saved(texts.join(met.hint("merge"), "x", "left_semi").select("hash", F.col("f").alias("first")), "line-gone")
     drop(index, late, early, last)
     gone = gone.union(found).groupBy(F.col("hash").alias("b")).agg(F.min("first").alias("b_first"))
+    copies = words.filter("w > 1").select("hash", F.col("f").alias("first"), "w")
     both = copies.join(gone.hint("merge"), F.col("hash") == F.col("b"), "full")
     return both.select(F.coalesce("hash", "b").alias("hash"), F.coalesce("w", F.lit(1)).alias("w"), F.coalesce("first", "b_first").alias("first"), F.col("b").isNotNull().alias("gone"))
 
@@ -188,8 +205,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFra
 
 def digest(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_lines, n_removed, removed (line numbers, comma-joined)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     both = own.join(removed.hint("merge"), own.doc_id.eqNullSafe(removed.doc_id), "left")
     return both.select(own.doc_id, "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 

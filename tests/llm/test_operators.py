@@ -464,6 +464,23 @@ def test_group_of_similar_lines_makes_no_pairs(make, monkeypatch):
     assert max(size.values()) <= 6 * len(texts)
 
 
+def test_only_entries_with_a_partner_go_past_the_first_join(make, monkeypatch):
+    """Lines differ in one rare word each, of which no later table holds an entry; equal lines and lines of few words are read once and never."""
+    size, real = {}, lines.saved
+
+    def counted(df, name):
+        out = real(df, name)
+        size[name] = max(size.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lines, "saved", counted)
+    texts = [(2 * k + i, " ".join([f"own{2 * k + i}", *(f"w{k}_{j}" for j in range(19))])) for k in range(40) for i in range(2)]
+    copies = [(1000 + k, "\n".join([texts[k % 4][1], "a few words", ""])) for k in range(60)]
+    gone = {r.doc_id: r.removed for r in lines.removed_lines(make(texts + copies)).collect()}
+    assert gone == {k: [0] for k in [*range(1, 80, 2), *range(1000, 1060)]}
+    assert size["line-entries"] <= 5 * len(texts) and size["line-texts"] == len(texts)
+
+
 def test_words_of_lines_sort_as_plain_numbers(make, messy):
     """No word's number may be null in the schema, or Spark sorts each line's numbers as objects."""
     docs = make(messy)
