@@ -3,8 +3,12 @@
 import math
 import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from colloquy.functions.stem import porter
 from colloquy.functions.text import SEARCH_STOPWORDS
@@ -191,3 +195,71 @@ def test_documents_that_lack_a_term_do_not_meet_the_query(spark, tmp_path, monke
     assert size == [size[0]] and 400 <= size[0] <= 800
     numbers = index.search(X.terms_of(spark.createDataFrame([(1, "a3x 13"), (2, "a3x 013"), (3, "a3x zz")], "qid long, text string"), []), None).collect()
     assert {(r.qid, r.doc_id) for r in numbers} == {(q, i) for q in (1, 2) for i in range(400) if i % 20 == 3 and i % 7 == 3}
+
+
+def test_an_index_is_built_in_one_pass_without_shuffling_postings(spark, tmp_path):
+    """Texts are read once, and no (document, word) goes through a shuffle: only the different words do, for their stems."""
+    read, n = spark.sparkContext.accumulator(0), 400
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(0, n, 1, 4).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 50), x -> concat('w', x)), ' ') AS text").mapInArrow(seen, "doc_id long, text string")
+    assert _shuffled(spark, lambda: X.build(docs, str(tmp_path / "once"), buckets=4)) <= 50 * 4 * 4
+    assert read.value == n
+
+
+def test_what_a_search_shuffles_does_not_grow_with_what_matches(spark, tmp_path):
+    """60 different queries that all of 300 documents match, the best three asked for."""
+    n, terms = 300, [f"term{chr(97 + i)}x" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(terms) + " more" * (i % 7)) for i in range(n)], "doc_id long, text string")
+    asked = [f"{a} {b}" for k, a in enumerate(terms) for b in terms[:k]][:60]
+    index = X.build(docs, str(tmp_path / "all"), buckets=2)
+    queries = X.terms_of(spark.createDataFrame(list(enumerate(asked)), "qid long, text string"), [])
+    got = []
+    assert _shuffled(spark, lambda: got.extend(index.search(queries, 3).collect())) < len(asked) * n // 2
+    assert sorted((r.qid, r.doc_id, r["rank"]) for r in got) == [(q, 7 * d, d + 1) for q in range(len(asked)) for d in range(3)]
+
+
+def test_found_phrases_are_not_shuffled(spark, tmp_path):
+    """60 different phrases of two and three words, each in all of 300 documents."""
+    n, terms = 300, [f"w{i}" for i in range(31)]
+    docs = spark.createDataFrame([(i, " ".join(terms)) for i in range(n)], "doc_id long, text string")
+    phrases = [f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False)] + [" ".join(terms[i : i + 3]) for i in range(len(terms) - 2)] + ["w0 w2", "w1 w2 w4", "w3"]
+    index = X.build(docs, str(tmp_path / "p"), buckets=2)
+    found = []
+    assert _shuffled(spark, lambda: found.extend(index.phrases(spark.createDataFrame(list(enumerate(phrases)), "qid long, phrase string")).collect())) < len(phrases) * n // 2
+    assert {tuple(r) for r in found} == {(q, d) for q, p in enumerate(phrases) if p not in ("w0 w2", "w1 w2 w4") for d in range(n)} and len(found) == 60 * n
+
+
+def test_blocks_bits_and_parts_of_any_size(spark, tmp_path, monkeypatch):
+    """Blocks of few words, few documents and queries at once, several shards and packs: equal to plain Python, number forms too.
+    What tasks do is done here, as a change of the module does not reach them."""
+    for name, value in {"AT_ONCE": 3, "BLOCK_WORDS": 20, "BLOCK_DOCS": 7, "SHARD": 9, "ASKS": 5, "PACK": 2, "CELLS": 256, "PAIRS": 8, "SENT": 3}.items():
+        monkeypatch.setattr(X, name, value)
+
+    def here(self, f, schema):
+        kinds = to_arrow_schema(spark.createDataFrame([], schema).schema)
+        made = pa.Table.from_batches([b.cast(kinds) for b in f(iter(self.toArrow().to_batches(max_chunksize=5)))], kinds)
+        return spark.createDataFrame(made.combine_chunks(), schema)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", here)
+    monkeypatch.setattr(X, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gammas", "gamma", "delta", "42", "0042", "00042", "epsilon"]
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(0, 9))) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    index = X.build(docs, str(tmp_path / "parts"), buckets=3)
+    asked = {q: rng.sample(words, 2) for q in range(20)}
+    queries = X.terms_of(spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()], "qid long, text string"), [])
+    forms = lambda w: list(dict.fromkeys([w, w.zfill(4), w.zfill(5)])) if w.isdigit() else [w]
+    for k in (2, 200):
+        got = {(r.qid, r.doc_id, r["rank"], round(r.score, 6)) for r in index.search(queries, k).collect()}
+        assert got == ranked(texts, {q: [forms(w) for w in ws] for q, ws in asked.items()}, k)
+    phrases = {q: " ".join(rng.choices(words, k=rng.randint(1, 4))) for q in range(40)}
+    found = sorted(tuple(r) for r in index.phrases(spark.createDataFrame(list(phrases.items()), "qid long, phrase string")).collect())
+    own = {d: [textbook(w) for w in split(t)] for d, t in texts.items()}
+    want = {q: [textbook(w) for w in split(p)] for q, p in phrases.items()}
+    assert found == [(q, d) for q, p in want.items() for d, t in own.items() if any(t[i : i + len(p)] == p for i in range(len(t)))]
