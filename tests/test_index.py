@@ -211,6 +211,17 @@ def test_an_index_is_built_in_one_pass_without_shuffling_postings(spark, tmp_pat
     assert read.value == n
 
 
+def test_an_update_shuffles_no_postings(spark, tmp_path):
+    """Half of 200 documents changed: only states, ids and different words are shuffled; a search finds the new words alone."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 60), x -> concat(if(id % 2 = 0, 'v', 'w'), x)), ' ') AS text")
+    now = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, replace(text, 'v', 'u'), text) AS text")
+    states = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, 'changed', 'unchanged') AS state")
+    index = X.build(docs, str(tmp_path / "u"), buckets=2)
+    assert _shuffled(spark, lambda: X.update(index, now, states, 1)) <= 200 + 200 + 60 * 4 * 4
+    found = index.search(spark.createDataFrame([(1, 0, "u7"), (2, 0, "v7"), (3, 0, "w7")], "qid long, slot int, word string")).collect()
+    assert sorted((r.qid, r.doc_id) for r in found) == [(q, d) for q, rest in ((1, 0), (3, 1)) for d in range(200) if d % 2 == rest]
+
+
 def test_what_a_search_shuffles_does_not_grow_with_what_matches(spark, tmp_path):
     """60 different queries that all of 300 documents match, the best three asked for."""
     n, terms = 300, [f"term{chr(97 + i)}x" for i in range(12)]
