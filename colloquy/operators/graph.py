@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 
@@ -13,6 +14,8 @@ from .retrieve import top_k
 
 #: Pairs that one task counts.
 DEALT = 1_000_000
+#: Pairs that are counted in a round, if there are more.
+ROUND = 250_000_000
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -62,18 +65,51 @@ def pairs_within(rows: DataFrame, group: str, item: str, crowd: int = 500, parts
     return left.join(right.hint("merge"), [group, "block"]).filter("a < b").select(group, "a", "b"), sizes.filter(F.col("n") > crowd)
 
 
+def paired(rows: DataFrame, group: str, item: str, crowd: int = 500) -> DataFrame:
+    """Lists (x, y, same) whose pairs (an item of x, a larger one of y) are those of items in the same group: a group's items in
+    order, and those of a group of over ``crowd`` in blocks, of which each meets each. ``rows`` hold an item of a group once."""
+    rows = rows.filter(F.col(group).isNotNull() & F.col(item).isNotNull())
+    blocks = rows.groupBy(group).agg((F.floor((F.count("*") - 1) / crowd) + 1).alias("blocks"))
+    own = rows.join(blocks.hint("merge"), group).withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")))
+    lists = written(own.groupBy(group, "block", "blocks").agg(F.sort_array(F.collect_list(item)).alias("x")), "lists")
+    one, more = lists.filter("blocks = 1").select("x", F.col("x").alias("y"), F.lit(True).alias("same")), lists.filter("blocks > 1")
+    other = more.select(group, F.col("block").alias("to"), F.col("x").alias("y"))
+    return one.union(more.join(other.hint("merge"), group).select("x", "y", (F.col("block") == F.col("to")).alias("same")))
+
+
 def dealt_pairs(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """The pairs of ``pairs_within``, equal ones in one task, in as many tasks as their number asks for. They are
-    dealt out before they are counted, so what a task holds does not grow with the table."""
+    """The pairs (a, b), a < b, of items in the same group, equal ones in one task, in as many tasks as their number asks for.
+    They are dealt out before they are counted, so what a task holds does not grow with the table."""
+    return _dealt_rounds(rows, group, item, None)[0]
+
+
+def _dealt_rounds(rows: DataFrame, group: str, item: str, most: int | None) -> list[DataFrame]:
+    """The pairs of ``dealt_pairs`` in tables of about ``most`` pairs, by their first items; in one table if that is None."""
     own = written(rows.select(group, item).distinct(), "items")
-    n = own.groupBy(group).count().agg(F.sum(F.greatest(F.col("count"), F.col("count") * (F.col("count") - 1) / 2))).first()[0] or 0
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(n // DEALT) + 1)
-    return pairs_within(own, group, item, parts=parts)[0].repartition(parts, "a", "b")
+    n = int(own.groupBy(group).count().agg(F.sum(F.greatest(F.col("count"), F.col("count") * (F.col("count") - 1) / 2))).first()[0] or 0)
+    rounds = 1 if most is None else n // most + 1
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, n // rounds // DEALT + 1)
+    lists = paired(own, group, item)
+    lists = lists if rounds == 1 else written(lists, "paired")
+
+    def dealt(turn: int) -> DataFrame:
+        each = lists.select(F.posexplode("x").alias("i", "a"), "y", "same")
+        each = each if rounds == 1 else each.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == turn)
+        rest = F.when(F.col("same"), F.slice("y", F.col("i") + 2, F.size("y"))).otherwise(F.col("y"))
+        return each.select("a", F.explode(rest).alias("b")).filter("a < b").repartition(parts, "a", "b")
+
+    return [dealt(turn) for turn in range(rounds)]
 
 
 def cooccurrence(mentions: DataFrame, scope: str, least: int = 2) -> DataFrame:
-    """(a, b, weight) of entities that share ``least`` distinct messages or conversations (``scope``)."""
-    return dealt_pairs(mentions, scope, "entity_id").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    """(a, b, weight) of entities that share ``least`` distinct messages or conversations (``scope``).
+
+    Many pairs are counted in rounds, one after another, each with the pairs of some entities; a round leaves only the edges
+    behind, so the disk that pairs take does not grow with the table.
+    """
+    rounds = _dealt_rounds(mentions, scope, "entity_id", ROUND)
+    counted = [pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least) for pairs in rounds]
+    return counted[0] if len(counted) == 1 else functools.reduce(DataFrame.union, [written(edges, "edges") for edges in counted])
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime
+from itertools import combinations
 
 import pytest
 
@@ -146,3 +148,21 @@ def test_pairs_are_counted_in_more_tasks_as_they_grow(spark, monkeypatch):
     edges = G.cooccurrence(rows.union(rows.selectExpr("message_id + 50", "entity_id")), "message_id")
     assert "REPARTITION_BY_NUM" in edges._jdf.queryExecution().executedPlan().toString()
     assert edges.agg({"weight": "min", "a": "count"}).first().asDict() == {"min(weight)": 2, "count(a)": 50 * 40 * 39 // 2}
+
+
+@pytest.mark.parametrize("most", [10**9, 20_000])
+def test_many_pairs_are_counted_in_rounds(spark, monkeypatch, most):
+    """78,000 pairs in groups of 40, 44,850 in one of 300 (seven blocks of 50), nulls: each round shuffles a part, and leaves none."""
+    rows = spark.range(2000).selectExpr("id % 50 AS message_id", "id AS entity_id")
+    rows = rows.union(rows.selectExpr("message_id + 50", "entity_id")).union(spark.range(300).selectExpr("200", "id")).union(spark.sql("SELECT null, 1 UNION ALL SELECT null, 2 UNION ALL SELECT 1, null"))
+    monkeypatch.setattr(G, "ROUND", most)
+    monkeypatch.setattr(G.paired, "__defaults__", (50,))
+    sc, none = spark.sparkContext, spark._jvm.java.util.ArrayList()
+    before = sc._jsc.sc().dagScheduler().nextStageId()
+    edges = G.cooccurrence(rows, "message_id")
+    got = {(r.a, r.b): r.weight for r in edges.collect()}
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(spark._jvm.double, 0), none)
+    written = [stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() >= before]
+    want = Counter(p for k in range(50) for p in combinations(range(k, 2000, 50), 2) for _ in range(2)) + Counter(combinations(range(300), 2))
+    assert got == {p: n for p, n in want.items() if n >= 2}
+    assert (max(written) > 100_000) == (most > 122_850) and (most > 122_850 or max(written) < 30_000)
