@@ -72,9 +72,10 @@ def paired(rows: DataFrame, group: str, item: str, crowd: int = 500) -> DataFram
     blocks = rows.groupBy(group).agg((F.floor((F.count("*") - 1) / crowd) + 1).alias("blocks"))
     own = rows.join(blocks.hint("merge"), group).withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")))
     lists = written(own.groupBy(group, "block", "blocks").agg(F.sort_array(F.collect_list(item)).alias("x")), "lists")
-    one, more = lists.filter("blocks = 1").select("x", F.col("x").alias("y"), F.lit(True).alias("same")), lists.filter("blocks > 1")
+    more = lists.filter("blocks > 1")
     other = more.select(group, F.col("block").alias("to"), F.col("x").alias("y"))
-    return one.union(more.join(other.hint("merge"), group).select("x", "y", (F.col("block") == F.col("to")).alias("same")))
+    met = more.join(other.hint("merge"), group).filter("block <> to").select("x", "y", F.lit(False).alias("same"))
+    return lists.select("x", F.col("x").alias("y"), F.lit(True).alias("same")).union(written(met, "met"))
 
 
 def dealt_pairs(rows: DataFrame, group: str, item: str) -> DataFrame:
@@ -90,7 +91,6 @@ def _dealt_rounds(rows: DataFrame, group: str, item: str, most: int | None) -> l
     rounds = 1 if most is None else n // most + 1
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, n // rounds // DEALT + 1)
     lists = paired(own, group, item)
-    lists = lists if rounds == 1 else written(lists, "paired")
 
     def dealt(turn: int) -> DataFrame:
         each = lists.select(F.posexplode("x").alias("i", "a"), "y", "same")
